@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, quality, tokens
+from tessella.llm import bpe, quality, sharding, tokens
 from tessella.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.op4(documents(spark, sf_dir))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op9(documents(spark, sf_dir))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op10(documents(spark, sf_dir))
 
@@ -26,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_token_counts": op4_token_counts,
         "op7_quality_rules": op7_quality_rules,
+        "op9_sharding": op9_sharding,
         "op10_bpe": op10_bpe,
     }
 
