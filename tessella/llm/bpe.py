@@ -49,11 +49,8 @@ class Automaton:
         self.left: dict[str, str] = {}  # merged label -> the label it grew from, to follow a first part down
         self.rank: dict[str, int] = {}
         self.states: list[tuple[int, str, int]] = [(-1, "", -1)]  # parent, arc taken away, rank of the rule
-        self.table: dict[tuple[str, str], bool] = {}
         for k, (u, v) in enumerate(merges):
             self._gadget(k, u, v)
-        self.longest = max(map(len, self.target))
-        self.table.clear()  # answers given while rules were missing
 
     def _gadget(self, k: int, u: str, v: str) -> None:
         if u not in self.target or v not in self.target or u + v in self.target:
@@ -80,37 +77,55 @@ class Automaton:
             state = parent
         return True
 
-    def step(self, last: str | None, label: str) -> bool:
-        """Whether ``label`` may follow the label ``last`` (None: the start)."""
-        if last is None:
-            return True
-        key = (last, label)
-        known = self.table.get(key)
-        if known is None:
-            if len(self.table) > 2_000_000:
-                self.table.clear()
-            known = self.table[key] = self._has(self.target[last], label)
+    def compile(self, end: str) -> None:
+        """The transition tables: labels by what they spell inside a word and at its end, answers by pair of labels."""
+        self.number = {label: k for k, label in enumerate(self.target)}
+        self.names = list(self.target)
+        self.inner = {x: k for x, k in self.number.items() if not (end and x.endswith(end) and len(x) > len(end))}
+        self.final = {x[: len(x) - len(end)]: k for x, k in self.number.items() if x.endswith(end) and len(x) > len(end)}
+        self.longest = max(map(len, self.inner))
+        self.table: dict[int, bool] = {}
+
+    def _step(self, last: int, label: int) -> bool:
+        """Whether ``label`` leaves the state that ``last`` leads to (looked up once, then from the table)."""
+        if len(self.table) > 2_000_000:
+            self.table.clear()
+        known = self.table[last << 24 | label] = self._has(self.target[self.names[last]], self.names[label])
         return known
 
-    def path(self, word: str, end: str = "") -> list[str]:
-        """The labels of the one path that spells ``word``, whose last symbol carries the end mark."""
-        n, target, step, longest = len(word), self.target, self.step, self.longest
-        last: list[str | None] = [None] * (n + 1)
-        begin = [0] * (n + 1)
-        for i in range(1, n + 1):
-            mark = end if i == n else ""
-            for j in range(max(0, i - longest), i):
-                label = word[j:i] + mark
-                if label in target and (j == 0 or last[j] is not None) and step(last[j] if j else None, label):
-                    last[i], begin[i] = label, j
+    def path(self, word: str) -> list[int]:
+        """The labels of the one path that spells ``word``, whose last symbol carries the end mark.
+
+        Arcs are tried from the longest; a place from which no arc goes on is dead, since only one path leads to it.
+        """
+        n, inner, final, table, longest, step = len(word), self.inner, self.final, self.table, self.longest, self._step
+        path: list[int] = []
+        places = [0]
+        dead = set()
+        length = n
+        while True:
+            j = places[-1]
+            found = -1
+            while length > 0:
+                i = j + length
+                k = (final.get(word[j:]) if i == n else inner.get(word[j:i])) if i not in dead else None
+                if k is not None and (not path or (ok if (ok := table.get(path[-1] << 24 | k)) is not None else step(path[-1], k))):
+                    found = k
                     break
-        out, i = [], n
-        while i:
-            if last[i] is None:
-                raise ValueError(f"no path spells {word!r}")
-            out.append(last[i])
-            i = begin[i]
-        return out[::-1]
+                length -= 1
+            if found >= 0:
+                path.append(found)
+                if i == n:
+                    return path
+                places.append(i)
+                length = n - i if n - i <= longest else longest
+            else:
+                if not path:
+                    raise ValueError(f"no path spells {word!r}")
+                dead.add(j)
+                places.pop()
+                path.pop()
+                length = j - places[-1] - 1
 
 
 class WordCoder:
@@ -127,18 +142,20 @@ class WordCoder:
         self.symbols = byte_symbols()
         base = [s + e for s in self.symbols for e in {"", self.end} if s + e in self.ids]
         self.automaton = Automaton(base, [tuple(m) for m in model["merges"]])
+        self.automaton.compile(self.end)
+        self.number = [self.ids[x] for x in self.automaton.names]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", SPACE)).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
-        self.spaces = regex.compile(f"[{SPACE}]+").sub
         self.labels = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
         self.known: dict[str, bytes] = {}
         self.spelled: dict[bytes, str] = {}
 
     def _word(self, word: str) -> bytes:
-        path = self.automaton.path("".join([self.symbols[b] for b in word.encode()]), self.end)
-        ids = [self.ids[x] for x in path]
+        plain = word.isascii() and word.isprintable()  # such bytes stand for themselves
+        path = self.automaton.path(word if plain else "".join([self.symbols[b] for b in word.encode()]))
+        ids = [self.number[k] for k in path]
         if len(self.known) >= KEPT_WORDS:
             self.known.clear()
             self.spelled.clear()
@@ -146,7 +163,8 @@ class WordCoder:
         return out
 
     def _normal(self, text: str) -> str:
-        text = self.spaces(" ", unicodedata.normalize("NFC", text))
+        """Normal form and lower case. Runs of white space need not be made one: no word holds any."""
+        text = unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower()  # case is mapped without regard to a word's end
 
     def encode(self, text: str) -> list[bytes]:
