@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, quality, sharding, tokens
+from tessella.llm import bpe, fingerprint, mixing, quality, sharding, tokens
 from tessella.llm.common import documents
 
 
@@ -14,10 +14,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op7(documents(spark, sf_dir))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op1(documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.op4(documents(spark, sf_dir))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.op8(documents(spark, sf_dir))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op9(documents(spark, sf_dir))
 
@@ -28,12 +36,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
         "op4_token_counts": op4_token_counts,
         "op7_quality_rules": op7_quality_rules,
+        "op8_fingerprints": op8_fingerprints,
         "op9_sharding": op9_sharding,
         "op10_bpe": op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality.sql()}
+    return {"op1_mixing": mixing.sql(), "op7_quality_rules": quality.sql(), "op8_fingerprints": fingerprint.sql()}
