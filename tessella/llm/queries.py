@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, fingerprint, mixing, quality, sharding, tokens
+from tessella.llm import bpe, fingerprint, mixing, quality, sharding, tokens, warc
 from tessella.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.op4(documents(spark, sf_dir))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op6(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.op8(documents(spark, sf_dir))
 
@@ -38,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op4_token_counts": op4_token_counts,
+        "op6_warc": op6_warc,
         "op7_quality_rules": op7_quality_rules,
         "op8_fingerprints": op8_fingerprints,
         "op9_sharding": op9_sharding,
@@ -46,4 +51,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.sql(), "op7_quality_rules": quality.sql(), "op8_fingerprints": fingerprint.sql()}
+    return {
+        "op1_mixing": mixing.sql(),
+        "op6_warc": warc.sql(),
+        "op7_quality_rules": quality.sql(),
+        "op8_fingerprints": fingerprint.sql(),
+    }
