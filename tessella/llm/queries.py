@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, fingerprint, mixing, quality, sharding, tokens, warc
+from tessella.llm import bpe, fingerprint, mixing, quality, sharding, substrings, tokens, warc
 from tessella.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op1(documents(spark, sf_dir))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.op2(documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.op4(documents(spark, sf_dir))
 
@@ -41,6 +45,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_substring_dedup": op2_substring_dedup,
         "op4_token_counts": op4_token_counts,
         "op6_warc": op6_warc,
         "op7_quality_rules": op7_quality_rules,
