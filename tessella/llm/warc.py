@@ -47,17 +47,18 @@ def base32_sha1(data: Column) -> Column:
 def write(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T00:00:00Z", per_file: int = 50_000) -> None:
     """Write a record for each row of ``pages`` (page_id, url, html). Payloads under ``least`` bytes are all responses."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", payload.alias("payload"), base32_sha1(payload).alias("digest"))
-    keys = rows.select("page_id", "digest").groupBy("page_id", "digest").agg(F.lit(1).alias("one"))
+    name = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+    rows = pages.select("page_id", name.alias("name"), "url", payload.alias("payload"), base32_sha1(payload).alias("digest"))
+    keys = rows.select("page_id", "name", "digest").groupBy("name", "digest").agg(F.max("page_id").alias("page_id"))
     first = keys.groupBy("digest").agg(F.max("page_id").alias("response_id"))
-    roles = keys.join(first, "digest").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "response_id")
-    number = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
-    placed = rows.join(roles, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest"))).withColumn("number", number)
+    roles = keys.join(first, "digest").select("name", "digest", "response_id")
+    # Numbering and join share their keys, so a payload is shuffled once.
+    number = F.row_number().over(Window.partitionBy("name", "digest").orderBy("url"))
+    placed = rows.withColumn("number", number).join(roles, ["name", "digest"])
 
     n = F.octet_length("payload")
     responds = (F.col("page_id").eqNullSafe(F.col("response_id")) & (F.col("number") == 1)) | (n < least)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), n.cast("string"), F.lit(END))
-    name = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     url = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("url"), F.lit("urn:none")), "\r", "%0D"), "\n", "%0A")
     block = F.when(responds, F.concat(http, F.col("payload"))).otherwise(http)
     refers = F.concat(
@@ -65,7 +66,7 @@ def write(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T0
     )
     record = F.concat(
         F.lit(MAGIC + "WARC-Type: "), F.when(responds, F.lit("response")).otherwise(F.lit("revisit")),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), name, F.lit(">\r\nWARC-Target-URI: "), url,
+        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.col("name"), F.lit(">\r\nWARC-Target-URI: "), url,
         F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Payload-Digest: sha1:"), F.col("digest"), F.lit("\r\n"),
         F.when(responds, F.lit("")).otherwise(refers),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"),
