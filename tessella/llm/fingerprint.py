@@ -37,7 +37,7 @@ def _digest(x: Column) -> Column:
 
 
 def tree(text: Column) -> Column:
-    """struct(root, leaves, fingerprint) of a text."""
+    """The fingerprint string of a text."""
 
     def paragraph(p: Column) -> Column:
         return F.concat_ws(",", F.transform(F.regexp_extract_all(p, F.lit(SEGMENTS), F.lit(0)), _digest))
@@ -47,25 +47,29 @@ def tree(text: Column) -> Column:
         return let(body, lambda b: F.concat(F.substring(F.sha2(F.concat_ws(";", F.transform(b, lambda p: F.sha2(p, 256))), 256), 1, 16), F.lit("="), F.concat_ws(";", b)))
 
     def whole(sections: Column) -> Column:
-        joined = F.concat_ws("|", sections)
-        return let(
-            joined,
-            lambda j: F.struct(
-                F.sha2(j, 256).alias("root"),
-                F.array_distinct(F.regexp_extract_all(j, F.lit(r"(?<=[=,;])[0-9a-f]{8}(?=[,;|]|$)"), F.lit(0))).alias("leaves"),
-                F.concat(F.sha2(j, 256), F.lit(":"), j).alias("fingerprint"),
-            ),
-        )
+        return let(F.concat_ws("|", sections), lambda j: F.concat(F.sha2(j, 256), F.lit(":"), j))
 
     body = F.coalesce(text, F.lit(""))
     return let(F.transform(F.split(body, SECTION_BREAK, -1), section), whole)
 
 
+def root(fingerprint: Column) -> Column:
+    return F.substring_index(fingerprint, ":", 1)
+
+
+def leaves(fingerprint: Column) -> Column:
+    """The distinct segment digests in a fingerprint string."""
+    return F.array_distinct(F.regexp_extract_all(F.substring_index(fingerprint, ":", -1), F.lit(r"(?<=[=,;])[0-9a-f]{8}(?=[,;|]|$)"), F.lit(0)))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Share of distinct segments in common, of two trees."""
-    n = F.size(a["leaves"]) + F.size(b["leaves"])
-    common = F.size(F.array_intersect(a["leaves"], b["leaves"]))
-    return F.when(a["root"] == b["root"], F.lit(1.0)).when(n == 0, F.lit(1.0)).otherwise(2.0 * common / n).cast("double")
+    """Share of distinct segments in common, of two fingerprint strings."""
+
+    def share(x: Column, y: Column) -> Column:
+        n = F.size(x) + F.size(y)
+        return F.when(n == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / n).cast("double")
+
+    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(let(leaves(a), lambda x: let(leaves(b), lambda y: share(x, y))))
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
@@ -91,7 +95,7 @@ def neighbours(ids: DataFrame) -> DataFrame:
 
 def fingerprint(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """root and fingerprint of every whole text, beside the kept columns."""
-    return docs.select(*keep, tree(F.col(text)).alias("_t")).select(*keep, "_t.root", "_t.fingerprint")
+    return docs.select(*keep, tree(F.col(text)).alias("fingerprint")).select(*keep, root(F.col("fingerprint")).alias("root"), "fingerprint")
 
 
 def differing_sections(a: Column, b: Column) -> Column:
@@ -109,29 +113,31 @@ def differing_sections(a: Column, b: Column) -> Column:
 
 def op8(docs: DataFrame) -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit(""))
-    same_id = Window.partitionBy("doc_id").orderBy("digest")
-    keyed = docs.select("doc_id", F.unhex(F.md5(body)).alias("digest"), F.floor(F.length(body) / 2).cast("int").alias("need"), body.alias("body"))
-    rows = keyed.select("doc_id", "digest", "body").withColumn("no", F.row_number().over(same_id)).drop("digest")
-    ids = keyed.drop("body").withColumn("no", F.row_number().over(same_id)).drop("digest")
-    ring = neighbours(materialize(ids, "ring-ids"))  # no text is moved for the ids
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))  # a null id is the last in descending order
+    same_key = Window.partitionBy("key").orderBy("digest")
+    keyed = docs.select("doc_id", key.alias("key"), F.unhex(F.md5(body)).alias("digest"), F.floor(F.length(body) / 2).cast("int").alias("need"), body.alias("body"))
+    ids = keyed.select("key", "digest", "need").withColumn("no", F.row_number().over(same_key))
+    ring = neighbours(materialize(ids.select(F.col("key").alias("doc_id"), "no", "need"), "ring-ids"))  # no text is moved for the ids
     donors = ring.select(F.col("doc_id").alias("owner"), F.col("no").alias("owner_no"), "need", "next_id", "next_no")
-    own = rows.withColumn("tree", tree(F.col("body")))
-    given = own.join(donors, F.col("doc_id").eqNullSafe(F.col("next_id")) & (F.col("no") == F.col("next_no"))).select(
-        "owner", "owner_no", F.substring(F.col("body"), F.lit(1), F.col("need")).alias("head"), F.col("tree").alias("next_tree")
+    # Texts are dealt by key once; the numbering and both joins use that. (The numbers are compared by a difference, so that
+    # they do not become join keys, which would deal the texts anew.)
+    rows = keyed.select("doc_id", "key", "digest", "body").withColumn("no", F.row_number().over(same_key))
+    given = rows.join(donors, (F.col("key") == F.col("next_id")) & (F.col("no") - F.col("next_no") == 0)).select(
+        "owner", "owner_no", F.substring(F.col("body"), F.lit(1), F.col("need")).alias("head"), tree(F.col("body")).alias("next_fingerprint")
     )
-    both = own.join(given, F.col("doc_id").eqNullSafe(F.col("owner")) & (F.col("no") == F.col("owner_no")))
+    both = rows.join(given, (F.col("key") == F.col("owner")) & (F.col("no") - F.col("owner_no") == 0))
     half = F.floor(F.length("body") / 2).cast("int")
     edited = both.select(
-        "doc_id", F.length("body").cast("long").alias("n_chars"), "tree", "next_tree",
+        "doc_id", F.length("body").cast("long").alias("n_chars"), "next_fingerprint", tree(F.col("body")).alias("fingerprint"),
         F.concat(F.substring(F.col("body"), F.lit(1), F.length("body") - half), F.col("head")).alias("edited"),
     )
-    done = edited.select("doc_id", "n_chars", "tree", "next_tree", F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("edited")).alias("edited_tree"))
+    done = edited.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", tree(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint"
+    )
     return done.select(
-        "doc_id", "n_chars", "edited_sha256",
-        F.col("tree.fingerprint").alias("fingerprint"),
-        F.col("edited_tree.fingerprint").alias("edited_fingerprint"),
-        likeness(F.col("tree"), F.col("edited_tree")).alias("near_edited"),
-        likeness(F.col("tree"), F.col("next_tree")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
 
 
