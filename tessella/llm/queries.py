@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, fingerprint, mixing, quality, sharding, substrings, tokens, warc
+from tessella.llm import bpe, fingerprint, mixing, near, quality, sharding, substrings, tokens, warc
 from tessella.llm.common import documents
 
 
@@ -26,6 +26,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.op4(documents(spark, sf_dir))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.op5(documents(spark, sf_dir))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op6(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op2_substring_dedup": op2_substring_dedup,
         "op4_token_counts": op4_token_counts,
+        "op5_near_dedup": op5_near_dedup,
         "op6_warc": op6_warc,
         "op7_quality_rules": op7_quality_rules,
         "op8_fingerprints": op8_fingerprints,
