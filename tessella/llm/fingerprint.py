@@ -30,6 +30,8 @@ SECTION_BREAK = r"\n[ \t]*\n"
 SEGMENTS = f"[\\s\\S]{{1,{SEGMENT}}}"
 #: Ids that one range of the ordering holds.
 RANGE_ROWS = 5000
+#: Stands for a null doc_id while documents are matched.
+NO_ID = -(2**63)
 
 
 def _digest(x: Column) -> Column:
@@ -113,22 +115,22 @@ def differing_sections(a: Column, b: Column) -> Column:
 
 def op8(docs: DataFrame) -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit(""))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))  # a null id is the last in descending order
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))  # a null id is the last in descending order
     same_key = Window.partitionBy("key").orderBy("digest")
-    keyed = docs.select("doc_id", key.alias("key"), F.unhex(F.md5(body)).alias("digest"), F.floor(F.length(body) / 2).cast("int").alias("need"), body.alias("body"))
+    keyed = docs.select(key.alias("key"), F.unhex(F.md5(body)).alias("digest"), F.floor(F.length(body) / 2).cast("int").alias("need"), body.alias("body"))
     ids = keyed.select("key", "digest", "need").withColumn("no", F.row_number().over(same_key))
     ring = neighbours(materialize(ids.select(F.col("key").alias("doc_id"), "no", "need"), "ring-ids"))  # no text is moved for the ids
     donors = ring.select(F.col("doc_id").alias("owner"), F.col("no").alias("owner_no"), "need", "next_id", "next_no")
-    # Texts are dealt by key once; the numbering and both joins use that. (The numbers are compared by a difference, so that
+    # Texts are dealt by key once; the numbering and both joins use that (both sides of a join need the same columns of it). (The numbers are compared by a difference, so that
     # they do not become join keys, which would deal the texts anew.)
-    rows = keyed.select("doc_id", "key", "digest", "body").withColumn("no", F.row_number().over(same_key))
+    rows = keyed.select("key", "digest", "body").withColumn("no", F.row_number().over(same_key))
     given = rows.join(donors, (F.col("key") == F.col("next_id")) & (F.col("no") - F.col("next_no") == 0)).select(
         "owner", "owner_no", F.substring(F.col("body"), F.lit(1), F.col("need")).alias("head"), tree(F.col("body")).alias("next_fingerprint")
     )
     both = rows.join(given, (F.col("key") == F.col("owner")) & (F.col("no") - F.col("owner_no") == 0))
     half = F.floor(F.length("body") / 2).cast("int")
     edited = both.select(
-        "doc_id", F.length("body").cast("long").alias("n_chars"), "next_fingerprint", tree(F.col("body")).alias("fingerprint"),
+        F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), F.length("body").cast("long").alias("n_chars"), "next_fingerprint", tree(F.col("body")).alias("fingerprint"),
         F.concat(F.substring(F.col("body"), F.lit(1), F.length("body") - half), F.col("head")).alias("edited"),
     )
     done = edited.select(
