@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, fingerprint, mixing, near, quality, sharding, substrings, tokens, warc
+from tessella.llm import bpe, fingerprint, lines, mixing, near, quality, sharding, substrings, tokens, warc
 from tessella.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.op2(documents(spark, sf_dir))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.op3(documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.op4(documents(spark, sf_dir))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_line_dedup": op3_line_dedup,
         "op4_token_counts": op4_token_counts,
         "op5_near_dedup": op5_near_dedup,
         "op6_warc": op6_warc,
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": mixing.sql(),
+        "op3_line_dedup": lines.sql(),
         "op6_warc": warc.sql(),
         "op7_quality_rules": quality.sql(),
         "op8_fingerprints": fingerprint.sql(),
