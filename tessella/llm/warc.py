@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.llm.common import scratch_root
+from tessella.llm.common import materialize, scratch_root, small
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -154,6 +154,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         .applyInPandas(reached, "file string, block long, seq long, offset long, successor long")
     )
     true = candidates.join(chain.select("file", "block", "seq", "successor"), ["file", "block", "seq"])
+    true = materialize(true, "warc-records")  # heads and digests only
     complete = true.filter("whole").select("page", "record_type", "refers_to", "stated", "payload_bytes", "computed")
 
     # Records whose content holds the magic: their pieces, in order, with the magic between them.
@@ -161,8 +162,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         "file", F.col("offset").alias("from"), "successor", "page", "record_type", "refers_to", "stated", "head_len", "block_len"
     )
     parts = placed.select("file", "block", "seq", "offset").join(split, "file").filter("offset >= `from` AND offset < successor")
+    parts = materialize(parts, "warc-parts")
+    # Broadcast when counted as few, so that the other pieces are not shuffled to be thrown away.
+    parts = small(parts, parts.count())
     again = got.select(F.col("file").alias("_file"), F.col("block").alias("_block"), F.col("seq").alias("_seq"), "value")
-    texts = parts.join(again, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")) & (F.col("seq") == F.col("_seq")))
+    texts = again.join(parts, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")) & (F.col("seq") == F.col("_seq")))
     joined = texts.groupBy("file", "from", "page", "record_type", "refers_to", "stated", "head_len", "block_len").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("offset", "value"))), lambda x: x["value"]), MAGIC).alias("value")
     )
