@@ -19,11 +19,11 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        step = materialize(step, "labels")
-        up = step.select(F.col("node").alias("_node"), F.col("label").alias("_up"))
-        jumped = materialize(
-            step.join(up, F.col("label") == F.col("_node"), "left").select("node", F.least("label", F.coalesce("_up", "label")).alias("label"), "old"), "labels"
+        up = labels.select(F.col("node").alias("_node"), F.col("label").alias("_up"))
+        jumped = step.join(up, F.col("label") == F.col("_node"), "left").select(
+            "node", F.least("label", F.coalesce("_up", "label")).alias("label"), (F.least("label", F.coalesce("_up", "label")) < F.col("old")).alias("fell")
         )
+        jumped = materialize(jumped, "labels")
         labels = jumped.select("node", "label")
-        if jumped.filter(F.col("label") != F.col("old")).isEmpty():
+        if jumped.filter("fell").isEmpty():
             return labels

@@ -10,10 +10,11 @@ text with a count from the start.
   text has too. Texts that miss this bound have no partner and are settled there; this loses nothing.
 * Signatures: ICWS draws r and c from Gamma(2, 1) and beta from U(0, 1) per shingle and draw, by a hash; the sample is
   the shingle with the least ln c - r (t - beta) - r, t = floor(ln w / r + beta), together with t. ``ROWS`` samples make a band.
-* Verification: in each bucket of equal bands all texts are held against the smallest one by weighted Jaccard
-  similarity. Verified links are joined to components. What is left are pairs of different components in one bucket;
-  the triangle inequality of the Jaccard distance rules most of them out by the two known similarities, and
-  the others are verified too. So no pair of a bucket is left out, while a group of copies costs a comparison a member.
+* Verification: in each bucket of equal bands all texts are held against the one with the least weight to itself, by
+  weighted Jaccard similarity. Verified links are joined to components. What is left are pairs of different components in
+  one bucket. Two bounds rule out most of them: what a text has to itself cannot be shared, and the triangle
+  inequality of the Jaccard distance with the two known similarities. The others are verified too. So no pair of a
+  bucket is left out, while a group of copies costs a comparison a member.
 
 Groups are dealt over sub-groups of at most ``PART`` texts, so no task holds a large group.
 
@@ -48,7 +49,7 @@ NO_ID = -(2**63)
 
 SENT = "bucket int, chunk int, hashes binary, counts binary"
 HEARD = "chunk int, bucket int, hashes binary, counts binary"
-CANDIDATE = "doc_id long, total double, bands array<long>, shingles binary, weights binary"
+CANDIDATE = "doc_id long, total double, common double, bands array<long>, shingles binary, weights binary"
 SCORED = "a long, b long, score double"
 
 
@@ -159,7 +160,7 @@ def tally(table: pa.Table) -> pa.Table:
 
 def weigher(buckets: int, n_docs: int, similarity: float):
     def weigh(texts: pa.Table, told: pa.Table) -> pa.Table:
-        schema = pa.schema([("doc_id", pa.int64()), ("total", pa.float64()), ("bands", pa.list_(pa.int64())), ("shingles", pa.binary()), ("weights", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("total", pa.float64()), ("common", pa.float64()), ("bands", pa.list_(pa.int64())), ("shingles", pa.binary()), ("weights", pa.binary())])
         answers, reps = told.filter(told.column("bucket").is_valid()), told.filter(told.column("digest").is_valid())
         if not texts.num_rows or not reps.num_rows:
             return schema.empty_table()
@@ -188,11 +189,12 @@ def weigher(buckets: int, n_docs: int, similarity: float):
             return schema.empty_table()
         spans = _by(text)
         bands = signature(key, w, np.array([x for x, _ in spans])).view(np.int64)
-        rows = {"doc_id": [], "total": [], "bands": list(bands), "shingles": [], "weights": []}
+        rows = {"doc_id": [], "total": [], "common": [], "bands": list(bands), "shingles": [], "weights": []}
         for x, y in spans:
             s = shared[x:y]
             rows["doc_id"].append(c.doc[text[x]])
             rows["total"].append(total[text[x]])
+            rows["common"].append(common[text[x]])
             rows["shingles"].append(key[x:y][s].tobytes())
             rows["weights"].append(w[x:y][s].astype("<f4").tobytes())
         return pa.table(rows, schema=schema)
@@ -246,47 +248,57 @@ def candidate_sets(docs: DataFrame, reps: DataFrame, n_docs: int, similarity: fl
 
 def links(candidates: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that connect every two texts of a bucket whose similarity reaches the threshold."""
-    slots = candidates.select("doc_id", F.posexplode("bands").alias("band", "value"))
-    n_slots = slots.count()
-    shared = slots.groupBy("band", "value").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(shared, "buckets")
-    members = materialize(slots.join(small(shared.drop("n"), shared.count()), ["band", "value"]), "bucket-members")
-    scores = materialize(verify(members.filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), candidates), "scores")
+    own = 1 - F.col("common") / F.col("total")  # the share of weight that no other text has
+    slots = candidates.select("doc_id", "total", "common", own.alias("own"), "bands", F.posexplode("bands").alias("band", "value"))
+    shared = slots.groupBy("band", "value").agg(F.min(F.struct("own", "doc_id", "total", "common")).alias("top"), F.count("*").alias("n")).filter("n > 1")
+    shared = materialize(shared.select("band", "value", F.col("top").alias("leader")), "buckets")
+    members = materialize(slots.join(small(shared, shared.count()), ["band", "value"]), "bucket-members")
+    first = members.filter((F.col("doc_id") != F.col("leader.doc_id")) & _possible("leader.", "", similarity))
+    scores = materialize(verify(first.select(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), candidates), "scores")
     good = scores.filter(F.col("score") >= similarity)
-    # The similarity of every member with the leader of its bucket, for the bound below.
-    near = members.join(scores.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), "score"), ["leader", "doc_id"], "left")
-    near = materialize(near.withColumn("score", F.when(F.col("doc_id") == F.col("leader"), 1.0).otherwise(F.col("score"))), "bucket-scores")
-    tested = scores.select("a", "b")
-    while True:
-        labels = components(good)
-        placed = near.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        placed = materialize(placed.select("band", "value", "doc_id", "label", "score"), "bucket-labels")
-        parts = placed.groupBy("band", "value", "label").agg(F.count("*").alias("n"))
-        main = parts.groupBy("band", "value").agg(
-            F.count("*").alias("labels"), F.sum("n").alias("all"), F.max(F.struct("n", -F.col("label"))).alias("top")
-        ).filter("labels > 1")
-        main = main.select("band", "value", "all", (F.col("all") - F.col("top.n")).alias("strays"), (-F.col("top.col2")).alias("main"))
-        main = materialize(main, "mixed-buckets")
-        work = main.agg(F.sum(F.col("strays") * F.col("all"))).first()[0]
-        if not work:
-            return good
-        mixed = placed.join(main, ["band", "value"])
-        strays = mixed.filter(F.col("label") != F.col("main"))
-        if work > 50 * n_slots:  # many unlike texts in large buckets: let one of each be compared first
-            strays = strays.groupBy("band", "value").agg(F.min(F.struct("doc_id", "label", "score")).alias("s")).select("band", "value", "s.*")
-        left = strays.select("band", "value", F.col("doc_id").alias("x"), F.col("label").alias("lx"), F.col("score").alias("sx"))
-        right = mixed.select("band", "value", F.col("doc_id").alias("y"), F.col("label").alias("ly"), F.col("score").alias("sy"))
-        # 1 - similarity is a metric: two texts whose distances to a third differ by more than the bound are too far apart.
-        bound = F.abs(F.col("sx") - F.col("sy")) <= 1 - similarity + 1e-9
-        rest = left.join(right, ["band", "value"]).filter((F.col("lx") != F.col("ly")) & bound)
-        rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = materialize(verify(rest, candidates), "scores")
-        if work <= 50 * n_slots:
-            return good.unionByName(fresh.filter(F.col("score") >= similarity))
-        if fresh.isEmpty():
-            raise RuntimeError("no pair is left to compare, yet a bucket is mixed")
-        good = materialize(good.unionByName(fresh.filter(F.col("score") >= similarity)), "links")
-        tested = materialize(tested.unionByName(fresh.select("a", "b")), "tested")
+
+    # What is left in a bucket: pairs of different components, unless the bounds rule them out.
+    labels = components(good).withColumnRenamed("node", "doc_id")
+    known = scores.select(F.col("a").alias("_leader"), F.col("b").alias("doc_id"), "score")
+    placed = members.withColumn("_leader", F.col("leader.doc_id")).join(known, ["_leader", "doc_id"], "left").join(labels, "doc_id", "left")
+    placed = materialize(placed.select(
+        "band", "value", "bands", "doc_id", "total", "common", "own", F.coalesce("label", "doc_id").alias("label"),
+        F.when(F.col("doc_id") == F.col("_leader"), 1.0).otherwise(F.col("score")).alias("score"),
+    ), "bucket-labels")
+    parts = placed.groupBy("band", "value", "label").agg(F.count("*").alias("n"))
+    main = parts.groupBy("band", "value").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).filter("labels > 1")
+    main = materialize(main.select("band", "value", F.col("top.label").alias("main")), "mixed-buckets")
+    mixed = placed.join(small(main, main.count()), ["band", "value"])
+    inner = F.col("own") <= _own_bound(similarity)
+    strays = mixed.filter(F.col("label") != F.col("main"))
+    rest = _rest(strays.filter(inner), mixed, similarity).unionByName(_rest(strays.filter(~inner), mixed.filter(inner), similarity))
+    rest = rest.distinct().join(scores.select("a", "b"), ["a", "b"], "left_anti").join(scores.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    return good.unionByName(verify(rest, candidates).filter(F.col("score") >= similarity))
+
+
+def _own_bound(similarity: float) -> float:
+    """Of two similar texts one has no more of its weight to itself: else (1 - u) / (1 + u) is under the threshold."""
+    return (1 - similarity) / (1 + similarity) + 1e-9
+
+
+def _possible(x: str, y: str, similarity: float) -> Column:
+    """Whether the weights of two texts allow the similarity: they share at most the lesser of what each shares with any."""
+    most = F.least(F.col(f"{x}common"), F.col(f"{y}common"))
+    return most >= F.lit(similarity * (1 - 1e-9)) * (F.col(f"{x}total") + F.col(f"{y}total") - most)
+
+
+def _rest(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of one bucket and different components that neither the weights nor the scores with the leader rule out.
+
+    1 - similarity is a metric: two texts whose distances to a third differ by more than the bound are too far apart.
+    """
+    x, y = left.alias("x"), right.alias("y")
+    far = F.coalesce(F.abs(F.col("x.score") - F.col("y.score")) > 1 - similarity + 1e-9, F.lit(False))
+    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value"))
+    # A pair is met in the first band that it shares, once.
+    again = F.exists(F.slice(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), F.lit(1), F.col("x.band")), lambda p: p)
+    met = x.join(y, same & (F.col("x.label") != F.col("y.label")) & _possible("x.", "y.", similarity) & ~far & ~again)
+    return met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
