@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.llm.common import materialize, n_words_of, small
+from tessella.llm.common import materialize, n_words_of, small, words_of
 
 BUCKET_ROWS = 1000
 LEAST_WEIGHT = 0.05
@@ -77,11 +77,16 @@ def mix(
     most: float = 2.0,
     weights: tuple[float, ...] = WEIGHTS,
     seed: str = SEED,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken words of every row of ``docs`` (columns doc_id, source)."""
+    """doc_id, source, size, source_size, target and taken words of every row of ``docs`` (columns doc_id, source).
+
+    Other columns named in ``keep`` (small ones, such as a digest) are carried along.
+    """
     rows = materialize(
         docs.select(
             "doc_id",
+            *keep,
             F.col("source").cast("string").alias("source"),
             size.cast("long").alias("size"),
             F.greatest(F.lit(LEAST_WEIGHT), F.coalesce(quality, F.lit(LEAST_WEIGHT))).alias("weight"),
@@ -112,7 +117,7 @@ def mix(
     known = small(sums, (n_docs or 0) // BUCKET_ROWS + 2 * n_sources)
     dealt = keyed.join(known, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket"))).drop("_source", "_bucket")
 
-    columns = ("doc_id", "source", "size", "source_size", "target")
+    columns = ("doc_id", *keep, "source", "size", "source_size", "target")
     epochs = F.col("epochs") * F.col("size")
     settled = dealt.filter(F.col("whole").isNotNull()).select(*columns, (epochs + F.col("whole") * F.col("size")).cast("long").alias("taken"))
     in_order = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -121,6 +126,25 @@ def mix(
     return settled.unionByName(cut.select(*columns, (epochs + part).cast("long").alias("taken")))
 
 
+def draw(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: a row of ``docs`` (with text) for each time it is taken, with ``copy`` from 1.
+
+    The document at which a budget ends is cut to the words that are taken, joined by single spaces.
+    """
+    marked = docs.withColumn("_mark", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    mixed = mix(marked, n_words_of(F.col("text")), quality_weight(F.col("text")), keep=("_mark",), **options)
+    taken = mixed.filter("taken > 0").groupBy("doc_id", "_mark").agg(F.collect_list(F.struct("size", "taken")).alias("_takes"))
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_of"), "_takes")
+    number = F.row_number().over(Window.partitionBy("doc_id", "_mark").orderBy(F.lit(0)))  # equal rows take in turn
+    met = marked.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of"))).withColumn("_n", number)
+    met = met.withColumn("_take", F.get("_takes", F.col("_n") - 1))
+    size, words = F.col("_take.size"), F.col("_take.taken")
+    copies = met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(words / size))))
+    rest = (words - (F.col("copy") - 1) * size).cast("int")
+    text = F.when(rest >= size, F.col("text")).otherwise(F.array_join(F.slice(words_of(F.col("text")), F.lit(1), rest), " "))
+    return copies.withColumn("text", text).select(*docs.columns, "copy")
+
+
 def op1(docs: DataFrame) -> DataFrame:
     mixed = mix(docs, n_words_of(F.col("text")), quality_weight(F.col("text")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")

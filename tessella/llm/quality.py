@@ -146,6 +146,16 @@ def apply_rules(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     ).withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
 
 
+def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their columns.
+
+    The verdict passes through a generator, because a filter on it would be moved below the projection and every metric
+    would be computed anew for each of its uses.
+    """
+    judged = apply_rules(docs, text, keep=tuple(docs.columns), rules=rules)
+    return judged.select(*docs.columns, F.explode_outer(F.array("kept")).alias("_stays")).filter("_stays").select(*docs.columns)
+
+
 #: DuckDB SQL of the same projection; ``{rel}`` is the relation of documents.
 SQL = """
 with w as (
