@@ -45,14 +45,19 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+#: Rows of one file of a small table (ids, scores, labels).
+FILE_ROWS = 1_000_000
+
+
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here and sizes are known.
 
-    A lost executor then costs a read of files that every other one can also read.
+    A lost executor then costs a read of files that every other one can also read. With an upper bound for its ``rows``, a
+    table of narrow rows is gathered into few files, since each costs the store some calls whatever its size.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tessella/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.repartition(rows // FILE_ROWS + 4)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

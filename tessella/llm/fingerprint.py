@@ -83,7 +83,7 @@ def neighbours(ids: DataFrame) -> DataFrame:
     parts = max(1, -(-n // RANGE_ROWS))
     order = (F.col("doc_id").desc_nulls_last(), F.col("no"))
     # The range is written down, so that no later stage can see other range ends.
-    ranged = materialize(ids.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()), "ring-ranges")
+    ranged = materialize(ids.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()), "ring-ranges", n)
     w = Window.partitionBy("range").orderBy(*order)
     inside = ranged.withColumn("next", F.lead(F.struct("doc_id", "no")).over(w))
     inside = inside.withColumn("rn", F.row_number().over(w))

@@ -105,11 +105,11 @@ def _earlier(a: str, b: str) -> Column:
     return (F.col(f"{a}.doc") < F.col(f"{b}.doc")) | ((F.col(f"{a}.doc") == F.col(f"{b}.doc")) & (F.col(f"{a}.line") < F.col(f"{b}.line")))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, t: float, n_lines: int) -> DataFrame:
     """(doc, line) of those ``b`` of ``pairs`` (a_doc, a_line, b_doc, b_line) whose words match ``a``'s."""
-    pairs = materialize(pairs, "line-pairs")
+    pairs = materialize(pairs, "line-pairs", n_lines)
     ends = pairs.select(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")).union(pairs.select("b_doc", "b_line")).distinct()
-    wanted = materialize(ends, "line-ends")
+    wanted = materialize(ends, "line-ends", n_lines)
     n = wanted.count()
     lists = wanted.groupBy("doc").agg(F.collect_list("line").alias("numbers"))
     lists = F.broadcast(lists) if n <= BROADCAST_LINES else lists
@@ -132,9 +132,10 @@ def matches(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text").filter(F.col("text").isNotNull())
     lines = rows.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "body")).filter(_has_word(F.col("body")))
     places = materialize(lines.select("doc", "line", F.unhex(_digest(F.col("body"))).alias("key")), "line-places")
+    n_lines = places.count()
     first = places.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("first"))
     repeat = places.join(first, "key").filter(F.struct("doc", "line") > F.col("first"))
-    copies = materialize(repeat.select("doc", "line", F.concat(F.col("line").cast("string"), F.lit(":"), F.lower(F.hex("key"))).alias("entry")), "line-copies")
+    copies = materialize(repeat.select("doc", "line", F.concat(F.col("line").cast("string"), F.lit(":"), F.lower(F.hex("key"))).alias("entry")), "line-copies", n_lines)
     n_copies = copies.count()
 
     # The index of first lines.
@@ -169,7 +170,7 @@ def matches(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         F.min(F.struct(F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity"))).alias("far"), F.col("a.doc").alias("doc"), F.col("a.line").alias("line"))).alias("a")
     )
     pairs = nearest.select(F.col("a.doc").alias("a_doc"), F.col("a.line").alias("a_line"), "b_doc", "b_line")
-    settled = materialize(_verified(pairs, rows, t), "line-settled")
+    settled = materialize(_verified(pairs, rows, t, n_lines), "line-settled", n_lines)
     n_settled = settled.count()
 
     # The lines that are left against all earlier lines.
@@ -179,10 +180,10 @@ def matches(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     pairs = met.select(
         F.col("a.doc").alias("a_doc"), F.col("a.line").alias("a_line"), F.col("b.doc").alias("b_doc"), F.col("b.line").alias("b_line")
     ).distinct()
-    more = _verified(pairs, rows, t)
+    more = _verified(pairs, rows, t, n_lines)
     similar = settled.unionByName(more).distinct()
     named = similar.join(places, ["doc", "line"]).select("doc", F.concat(F.col("line").cast("string"), F.lit(":"), F.lower(F.hex("key"))).alias("entry"))
-    return materialize(copies.select("doc", "entry").unionByName(named), "line-matches")
+    return materialize(copies.select("doc", "entry").unionByName(named), "line-matches", n_lines)
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:

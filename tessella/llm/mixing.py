@@ -97,7 +97,7 @@ def mix(
     per_source = rows.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count("*").alias("n_docs"), F.avg("weight").alias("mean_weight")
     )
-    goals = materialize(targets(per_source, share, most, weights), "mix-targets")
+    goals = materialize(targets(per_source, share, most, weights), "mix-targets", 0)
     n_sources, n_docs = goals.agg(F.count("*"), F.sum("n_docs")).first()
     goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
     goals = goals.withColumn("budget", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
@@ -113,7 +113,7 @@ def mix(
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(up_to), F.lit(0)))
     #: 1: all of the bucket is taken; 0: none; null: the budget ends in it.
     whole = F.when(F.col("before") + F.col("words") <= F.col("budget"), 1).when(F.col("before") >= F.col("budget"), 0)
-    sums = materialize(sums.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), "before", whole.alias("whole")), "mix-buckets")
+    sums = materialize(sums.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), "before", whole.alias("whole")), "mix-buckets", n_docs or 0)
     known = small(sums, (n_docs or 0) // BUCKET_ROWS + 2 * n_sources)
     dealt = keyed.join(known, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket"))).drop("_source", "_bucket")
 

@@ -220,12 +220,13 @@ def score(table: pa.Table) -> pa.Table:
     return pa.table({"a": rest.column("a").to_pylist(), "b": rest.column("b").to_pylist(), "score": common / (total - common)}, schema=schema)
 
 
-def verify(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Score distinct pairs (a, b). The pairs of one ``a`` are dealt over parts, each with a copy of its set."""
-    pairs = materialize(pairs, "pairs")
+def verify(pairs: DataFrame, candidates: DataFrame, rows: int) -> DataFrame:
+    """Score distinct pairs (a, b), about ``rows``. The pairs of one ``a`` are dealt over parts, each with a copy of its set."""
+    pairs = materialize(pairs, "pairs", rows)
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    sized = materialize(sizes, "pair-parts")
-    n_pairs, n_heads = pairs.count(), sized.count()
+    n_pairs = pairs.count()
+    sized = materialize(sizes, "pair-parts", n_pairs)
+    n_heads = sized.count()
     dealt = pairs.join(small(sized, n_heads), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
     members = candidates.join(small(dealt.select("a", "b", "part"), n_pairs), F.col("doc_id") == F.col("b"))
     heads = candidates.join(
@@ -249,31 +250,32 @@ def candidate_sets(docs: DataFrame, reps: DataFrame, n_docs: int, similarity: fl
 def links(candidates: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that connect every two texts of a bucket whose similarity reaches the threshold."""
     own = 1 - F.col("common") / F.col("total")  # the share of weight that no other text has
+    n = candidates.count()
     slots = candidates.select("doc_id", "total", "common", own.alias("own"), "bands", F.posexplode("bands").alias("band", "value"))
     shared = slots.groupBy("band", "value").agg(F.min(F.struct("own", "doc_id", "total", "common")).alias("top"), F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(shared.select("band", "value", F.col("top").alias("leader")), "buckets")
-    members = materialize(slots.join(small(shared, shared.count()), ["band", "value"]), "bucket-members")
+    shared = materialize(shared.select("band", "value", F.col("top").alias("leader")), "buckets", n * BANDS // 2)
+    members = materialize(slots.join(small(shared, shared.count()), ["band", "value"]), "bucket-members", n * BANDS)
     first = members.filter((F.col("doc_id") != F.col("leader.doc_id")) & _possible("leader.", "", similarity))
-    scores = materialize(verify(first.select(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), candidates), "scores")
+    scores = materialize(verify(first.select(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), candidates, n), "scores", n)
     good = scores.filter(F.col("score") >= similarity)
 
     # What is left in a bucket: pairs of different components, unless the bounds rule them out.
-    labels = components(good).withColumnRenamed("node", "doc_id")
+    labels = components(good, n).withColumnRenamed("node", "doc_id")
     known = scores.select(F.col("a").alias("_leader"), F.col("b").alias("doc_id"), "score")
     placed = members.withColumn("_leader", F.col("leader.doc_id")).join(known, ["_leader", "doc_id"], "left").join(labels, "doc_id", "left")
     placed = materialize(placed.select(
         "band", "value", "bands", "doc_id", "total", "common", "own", F.coalesce("label", "doc_id").alias("label"),
         F.when(F.col("doc_id") == F.col("_leader"), 1.0).otherwise(F.col("score")).alias("score"),
-    ), "bucket-labels")
+    ), "bucket-labels", n * BANDS)
     parts = placed.groupBy("band", "value", "label").agg(F.count("*").alias("n"))
     main = parts.groupBy("band", "value").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).filter("labels > 1")
-    main = materialize(main.select("band", "value", F.col("top.label").alias("main")), "mixed-buckets")
+    main = materialize(main.select("band", "value", F.col("top.label").alias("main")), "mixed-buckets", n)
     mixed = placed.join(small(main, main.count()), ["band", "value"])
     inner = F.col("own") <= _own_bound(similarity)
     strays = mixed.filter(F.col("label") != F.col("main"))
     rest = _rest(strays.filter(inner), mixed, similarity).unionByName(_rest(strays.filter(~inner), mixed.filter(inner), similarity))
     rest = rest.distinct().join(scores.select("a", "b"), ["a", "b"], "left_anti").join(scores.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    return good.unionByName(verify(rest, candidates).filter(F.col("score") >= similarity))
+    return good.unionByName(verify(rest, candidates, n).filter(F.col("score") >= similarity))
 
 
 def _own_bound(similarity: float) -> float:
@@ -305,10 +307,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """doc_id and class_id, the smallest doc_id of its class, of every row of ``docs`` (doc_id, text)."""
     body = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), body.alias("text"))
-    digests = materialize(rows.select("doc_id", F.unhex(F.md5("text")).alias("digest")), "digests")
-    reps = materialize(digests.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "reps")
-    candidates = materialize(candidate_sets(rows, reps, digests.count(), similarity), "candidates")
-    labels = components(links(candidates, similarity))
+    n = rows.count()
+    digests = materialize(rows.select("doc_id", F.unhex(F.md5("text")).alias("digest")), "digests", n)
+    reps = materialize(digests.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "reps", n)
+    candidates = materialize(candidate_sets(rows, reps, n, similarity).hint("rebalance"), "candidates")
+    labels = components(links(candidates, similarity), candidates.count())
     classes = reps.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("digest", F.coalesce("label", "doc_id").alias("class_id"))
     named = digests.join(classes, "digest")
 
