@@ -5,7 +5,7 @@ occur more than once are stored by one response (the largest page_id) and referr
 the HTTP head of the full payload.
 
 Reading: the text source splits the files at every occurrence of the record magic, so no task holds more than the bytes
-between two of them, and large files are read by many tasks. Each piece is only a candidate: a payload can hold the magic too. From a
+between two of them, whether a large file is read by one task (as the compressed ones written here) or by many. Each piece is only a candidate: a payload can hold the magic too. From a
 piece's head follows where its successor would begin. Offsets come from piece lengths summed up in file order, and
 pointer jumping from the start of each file retains the candidates that the chain reaches. Only lengths and offsets (a few
 numbers a candidate) are gathered by file. Payloads that were split by a magic inside are put together from their
@@ -34,27 +34,31 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
-def base32_sha1(data: Column) -> Column:
-    """Upper-case base32 of the SHA-1: 8 groups of 20 bits, 4 digits each; 160 bits need no padding."""
+def base32(sha: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hex: 8 groups of 20 bits, 4 digits each; 160 bits need no padding."""
     digits = []
-    sha = F.sha1(data)
     for g in range(8):
         bits = F.conv(F.substring(sha, 5 * g + 1, 5), 16, 10).cast("int")
         digits += [F.substring(F.lit(ALPHABET), F.shiftright(bits, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
     return F.concat(*digits)
 
 
-def write(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T00:00:00Z", per_file: int = 50_000) -> None:
-    """Write a record for each row of ``pages`` (page_id, url, html). Payloads under ``least`` bytes are all responses."""
+def write(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T00:00:00Z", file_bytes: int = 64_000_000) -> None:
+    """Write a record for each row of ``pages`` (page_id, url, html). Payloads under ``least`` bytes are all responses.
+
+    Files hold about ``file_bytes`` of payload before compression.
+    """
     payload = F.coalesce(F.col("html"), F.lit(""))
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
-    rows = pages.select("page_id", name.alias("name"), "url", payload.alias("payload"), base32_sha1(payload).alias("digest"))
-    keys = rows.select("page_id", "name", "digest").groupBy("name", "digest").agg(F.max("page_id").alias("page_id"))
-    first = keys.groupBy("digest").agg(F.max("page_id").alias("response_id"))
-    roles = keys.join(first, "digest").select("name", "digest", "response_id")
+    rows = pages.select("page_id", name.alias("name"), "url", payload.alias("payload"), F.unhex(F.sha1(payload)).alias("sha"))
+    keys = rows.groupBy("name", "sha").agg(F.max("page_id").alias("page_id"), F.sum(F.octet_length("payload")).alias("bytes"))
+    keys = materialize(keys, "warc-keys", pages.count())
+    n_bytes = keys.agg(F.sum("bytes")).first()[0] or 0
+    first = keys.groupBy("sha").agg(F.max("page_id").alias("response_id"))
+    roles = keys.join(first, "sha").select("name", "sha", "response_id")
     # Numbering and join share their keys, so a payload is shuffled once.
-    number = F.row_number().over(Window.partitionBy("name", "digest").orderBy("url"))
-    placed = rows.withColumn("number", number).join(roles, ["name", "digest"])
+    number = F.row_number().over(Window.partitionBy("name", "sha").orderBy("url"))
+    placed = rows.withColumn("number", number).join(roles, ["name", "sha"]).withColumn("digest", base32(F.lower(F.hex("sha"))))
 
     n = F.octet_length("payload")
     responds = (F.col("page_id").eqNullSafe(F.col("response_id")) & (F.col("number") == 1)) | (n < least)
@@ -73,7 +77,8 @@ def write(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T0
         F.lit(END), block, F.lit("\r\n"),
     )
     # The sink's line separator is the second half of the record's end.
-    placed.select(record.alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", per_file).text(path)
+    files = max(12, -(-n_bytes // file_bytes))
+    placed.select(record.alias("value")).coalesce(files).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def _header(name: str) -> Column:
@@ -111,8 +116,11 @@ def reached(group: pd.DataFrame) -> pd.DataFrame:
     return group[mark[:n]][["file", "block", "seq", "offset", "successor"]]
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """page (as written), record_type, refers_to, payload_bytes, payload_digest and digest_ok of every record."""
+def read(spark: SparkSession, path: str, records: int = 0) -> DataFrame:
+    """page (as written), record_type, refers_to, payload_bytes, payload_digest and digest_ok of every record.
+
+    ``records``: about how many there are.
+    """
     got = pieces(spark, path)
     head = got.withColumn("head", F.substring_index("value", END, 1)).select(
         "file", "block", "seq", "value", F.octet_length("value").cast("long").alias("len"), "head",
@@ -134,7 +142,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     facts = local.select(
         "file", "block", "seq", "len", "head_len", "block_len", "record_type", "page", "refers_to", "stated", whole.alias("whole"),
         F.expr("try_cast(regexp_extract(content, '(?i)Content-Length: *([0-9]+)', 1) AS long)").alias("payload_bytes"),
-        base32_sha1(_payload(F.col("content"))).alias("computed"),
+        base32(F.sha1(_payload(F.col("content")))).alias("computed"),
     )
 
     # Offsets: lengths and magics summed up within a block, then over the blocks of a file.
@@ -154,7 +162,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         .applyInPandas(reached, "file string, block long, seq long, offset long, successor long")
     )
     true = candidates.join(chain.select("file", "block", "seq", "successor"), ["file", "block", "seq"])
-    true = materialize(true, "warc-records")  # heads and digests only
+    true = materialize(true, "warc-records", records)  # heads and digests only
     complete = true.filter("whole").select("page", "record_type", "refers_to", "stated", "payload_bytes", "computed")
 
     # Records whose content holds the magic: their pieces, in order, with the magic between them.
@@ -162,7 +170,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         "file", F.col("offset").alias("from"), "successor", "page", "record_type", "refers_to", "stated", "head_len", "block_len"
     )
     parts = placed.select("file", "block", "seq", "offset").join(split, "file").filter("offset >= `from` AND offset < successor")
-    parts = materialize(parts, "warc-parts")
+    parts = materialize(parts, "warc-parts", 0)
     # Broadcast when counted as few, so that the other pieces are not shuffled to be thrown away.
     parts = small(parts, parts.count())
     again = got.select(F.col("file").alias("_file"), F.col("block").alias("_block"), F.col("seq").alias("_seq"), "value")
@@ -173,7 +181,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     rebuilt = joined.withColumn("content", content.cast("string")).select(
         "page", "record_type", "refers_to", "stated",
         F.expr("try_cast(regexp_extract(content, '(?i)Content-Length: *([0-9]+)', 1) AS long)").alias("payload_bytes"),
-        base32_sha1(_payload(F.col("content"))).alias("computed"),
+        base32(F.sha1(_payload(F.col("content")))).alias("computed"),
     )
     revisit = F.col("record_type") == "revisit"
     return complete.unionByName(rebuilt).select(
@@ -193,7 +201,7 @@ def op6(pages: DataFrame) -> DataFrame:
     path = f"{scratch_root(spark)}/tessella/{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}"
     write(pages, path)
     kind = pages.schema["page_id"].dataType
-    return read(spark, path).select(
+    return read(spark, path, pages.count()).select(
         F.when(F.col("page") != "null", F.col("page")).cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.when(F.col("refers_to") != "null", F.col("refers_to")).cast(kind).alias("refers_to"),
     )
