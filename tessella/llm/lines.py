@@ -37,9 +37,13 @@ NO_ID = -(2**63)
 BROADCAST_LINES = 1_000_000
 
 
+def _split(line: Column) -> Column:
+    return F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
+
+
 def words_of_line(line: Column) -> Column:
     """The set of words of a line."""
-    return F.array_remove(F.array_distinct(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " ")), "")
+    return F.array_distinct(_split(line))
 
 
 def _has_word(line: Column) -> Column:
@@ -60,13 +64,13 @@ def _number(entry: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """floor(log2(count)) + 1 by hash bucket, a byte each: a constant whose size does not grow with the input."""
+    """floor(log2(count)) by hash bucket: a constant array whose size does not grow with the input."""
     words = docs.select(F.explode(F.split(F.translate("text", "\t\n\x0b\x0c\r", "     "), " ")).alias("w")).filter("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(CLASSES - 1).alias("bucket")).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("c"))
-    table = bytearray([1]) * CLASSES
+    table = [0] * CLASSES
     for r in counts.collect():  # at most CLASSES rows
-        table[r["bucket"]] = min(63, r["c"] + 1)
-    return F.lit(bytes(table))
+        table[r["bucket"]] = min(63, r["c"])
+    return F.from_json(F.lit(str(table)), "array<int>")  # folded into one literal when planned
 
 
 def _tokens(words: Column, classes: Column) -> Column:
@@ -74,8 +78,8 @@ def _tokens(words: Column, classes: Column) -> Column:
 
     def number(w: Column) -> Column:
         h = F.xxhash64(w)
-        c = F.ascii(F.substring(classes, h.bitwiseAND(CLASSES - 1).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
-        return F.shiftleft(c, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+        c = F.get(classes, h.bitwiseAND(CLASSES - 1).cast("int"))
+        return F.shiftleft(c.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
     return F.sort_array(F.array_distinct(F.transform(words, number)))
 
@@ -147,7 +151,7 @@ def matches(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         F.filter("all", lambda e: ~F.array_contains("lines", _entry(e["line"], e["body"])))
     )
     firsts = known.select("doc", "lines", entries.alias("all")).select("doc", F.explode(kept).alias("e")).select("doc", "e.line", "e.body")
-    sets = firsts.select("doc", "line", _tokens(words_of_line(F.col("body")), rarity(rows)).alias("tokens"))
+    sets = firsts.select("doc", "line", _tokens(_split(F.col("body")), rarity(rows)).alias("tokens"))
     n = F.size("tokens")
     parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
     prefix = F.slice("tokens", F.lit(1), (n - F.ceil(F.lit(t) * n - 1e-9) + 1).cast("int"))
