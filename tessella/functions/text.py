@@ -121,7 +121,7 @@ def rule_name(rule: Column) -> Column:
 
 
 def major_version(version: Column) -> Column:
-    return F.expr("CAST(NULL AS INT)") if version is None else F.nullif(F.regexp_extract(version, r"(\d+)", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(version, r"(\d+)", 1), F.lit("")).cast("int")
 
 
 #: Ranks of evidence.
@@ -177,7 +177,7 @@ def backoff_minutes(base: Column, attempt: Column) -> Column:
 def contains_word(text: Column, word: Column) -> Column:
     """Whether ``word`` stands in ``text`` between characters that are no letters, digits or underscores, in any case."""
     pattern = F.concat(F.lit(r"(^|[^a-z0-9_])"), F.regexp_replace(F.lower(word), r"([^a-z0-9_])", r"\\$1"), F.lit(r"([^a-z0-9_]|$)"))
-    return F.lower(text).rlike(pattern)
+    return F.regexp_like(F.lower(text), pattern)
 
 
 #: Our own patterns of secrets and the names of what they find.

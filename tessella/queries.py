@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that register queries through ``QUERIES`` (name -> callable) and ``ORACLES`` (name -> SQL).
-MODULES = ("tessella.plans.corpus",)
+MODULES = ("tessella.plans.corpus", "tessella.plans.scalars")
 
 
 def queries() -> dict[str, Query]:
