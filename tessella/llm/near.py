@@ -275,7 +275,8 @@ def links(candidates: DataFrame, similarity: float) -> DataFrame:
     strays = mixed.filter(F.col("label") != F.col("main"))
     rest = _rest(strays.filter(inner), mixed, similarity).unionByName(_rest(strays.filter(~inner), mixed.filter(inner), similarity))
     rest = rest.distinct().join(scores.select("a", "b"), ["a", "b"], "left_anti").join(scores.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    return good.unionByName(verify(rest, candidates, n).filter(F.col("score") >= similarity))
+    more = verify(rest, candidates, n).filter(F.col("score") >= similarity)
+    return materialize(good.unionByName(more), "verified", n)  # read twice below
 
 
 def _own_bound(similarity: float) -> float:
