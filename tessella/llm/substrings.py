@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.windows import (
-    Plan, by_bucket, chunked, found, ids, pack, text_bytes, unpack, unzip, windows,
+    Plan, by_bucket, chunked, found, ids, pack, runs, text_bytes, unpack, unzip, windows,
 )
 
 WIDTH = 50
@@ -54,8 +54,7 @@ def sender(width: int, buckets: int):
         order = first[np.lexsort((w.doc[first], bucket[first]))]
         b, d, h = bucket[order], doc[w.doc[order]], w.hash[order]
         rows = {"bucket": [], "chunk": [], "hashes": [], "docs": [], "runs": []}
-        edges = np.flatnonzero(np.diff(b, prepend=-1)) if len(b) else []
-        for x, y in zip(edges, [*edges[1:], len(b)], strict=True):
+        for x, y in runs(b):
             run = np.flatnonzero(np.diff(d[x:y], prepend=d[x] - 1 if d[x] > -(1 << 63) else 0))
             rows["bucket"].append(int(b[x]))
             rows["chunk"].append(chunk)
@@ -84,10 +83,9 @@ def judge(table: pa.Table) -> pa.Table:
     row, h = row[order][hit], h[hit]
     order = np.argsort(row, kind="stable")
     row, h = row[order], h[order]
-    edges = np.flatnonzero(np.diff(row, prepend=-1)) if len(row) else []
     chunks = table.column("chunk").to_pylist()
     bucket = table.column("bucket")[0].as_py()
-    out = [(chunks[row[x]], pack(h[x:y], BYTES)) for x, y in zip(edges, [*edges[1:], len(row)], strict=True)]
+    out = [(chunks[row[x]], pack(h[x:y], BYTES)) for x, y in runs(row)]
     return pa.table(
         {"chunk": [x for x, _ in out], "bucket": [bucket] * len(out), "hashes": [x for _, x in out]},
         schema=pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary())]),

@@ -134,6 +134,12 @@ def unpack(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of each run of equal values; none for no values."""
+    edges = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True]))).tolist() if len(values) else [0]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
 def cut(h: np.ndarray, width: int) -> np.ndarray:
     return h & np.uint64((1 << (8 * width)) - 1)
 
