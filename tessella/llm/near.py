@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import materialize, small
 from tessella.llm.graph import components
 from tessella.llm.windows import (
-    BUCKET_BASE, Plan, Windows, by_bucket, chunked, found, ids, mix, pack, text_bytes, unpack, unzip, windows,
+    BUCKET_BASE, Plan, Windows, by_bucket, chunked, found, ids, mix, pack, runs, text_bytes, unpack, unzip, windows,
 )
 
 WIDTH = 5
@@ -114,11 +114,6 @@ class Chunk:
         self.name_hash, self.name_bucket = self.hash[first], self.bucket[first]
 
 
-def _by(values: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else []
-    return list(zip(edges, [*edges[1:], len(values)], strict=True))
-
-
 def sender(buckets: int):
     def send(texts: pa.Table, reps: pa.Table) -> pa.Table:
         rows = {"bucket": [], "chunk": [], "hashes": [], "counts": []}
@@ -127,7 +122,7 @@ def sender(buckets: int):
             c = Chunk(texts, reps, buckets)
             order = np.lexsort((c.local, c.name_bucket))
             h, b, n = c.name_hash[order], c.name_bucket[order], c.local[order]
-            for x, y in _by(b):
+            for x, y in runs(b):
                 rows["bucket"].append(int(b[x]))
                 rows["chunk"].append(chunk)
                 rows["hashes"].append(pack(h[x:y], BYTES))
@@ -151,7 +146,7 @@ def tally(table: pa.Table) -> pa.Table:
     more = more[np.argsort(row[more], kind="stable")]
     h, total, row = h[more], total[more], row[more]
     chunks, bucket = table.column("chunk").to_pylist(), table.column("bucket")[0].as_py()
-    out = [(chunks[row[x]], pack(h[x:y], BYTES), total[x:y].astype("<i8").tobytes()) for x, y in _by(row)]
+    out = [(chunks[row[x]], pack(h[x:y], BYTES), total[x:y].astype("<i8").tobytes()) for x, y in runs(row)]
     return pa.table(
         {"chunk": [x[0] for x in out], "bucket": [bucket] * len(out), "hashes": [x[1] for x in out], "counts": [x[2] for x in out]},
         schema=pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())]),
@@ -187,7 +182,7 @@ def weigher(buckets: int, n_docs: int, similarity: float):
         key, w, text, shared = c.key[keep], weight[keep], c.text[keep], shared[keep]
         if not len(key):
             return schema.empty_table()
-        spans = _by(text)
+        spans = runs(text)
         bands = signature(key, w, np.array([x for x, _ in spans])).view(np.int64)
         rows = {"doc_id": [], "total": [], "common": [], "bands": list(bands), "shingles": [], "weights": []}
         for x, y in spans:
