@@ -45,6 +45,15 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Free the shuffle files of finished jobs.
+
+    Spark drops them only when the driver's garbage collector finds that their plans are gone, and they can fill the
+    executors' disks long before that. So the collector is called once a job's result has been written.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of one file of a small table (ids, scores, labels).
 FILE_ROWS = 1_000_000
 
@@ -58,6 +67,7 @@ def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tessella/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     (df if rows is None else df.repartition(rows // FILE_ROWS + 4)).write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,7 +28,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize, scratch_root
+from tessella.llm.common import materialize, release, scratch_root
 
 SIMILARITY = 0.8
 CLASSES = 1 << 17
@@ -161,6 +161,7 @@ def matches(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{scratch_root(spark)}/tessella/{spark.sparkContext.applicationId}/{name}"
     index.repartition("token").write.bucketBy(buckets, "token").sortBy("token").option("path", path).saveAsTable(name)
+    release(spark)
     index = spark.table(name)
 
     # Each line against the earliest of its lists, by classes of length.
