@@ -4,13 +4,14 @@ A rule names a kind of fact, the languages it holds for and a pattern whose firs
 one its detail). All rules that apply are one array expression over a line, so a corpus is read once whatever the number of rules,
 nothing is shuffled, and no user function runs.
 
-Defined results for odd input: a null text or language has no facts; a line can give facts of several kinds, one of each
-rule; lines that are comments give none.
+Defined results for odd input: a null text has no facts; a line gives a fact for each match of each rule, however many;
+comments at a line's start give none, by the marks of its language, and what follows a closed one is read.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -62,7 +63,7 @@ ROUTES = (
     LineRule("route", r"#\[(get|post|put|patch|delete)\(\s*\"([^\"]+)\"", ("Rust",)),
 )
 CLIENT_CALLS = (
-    LineRule("client_call", r"\bfetch\(\s*['\"`]([^'\"`]+)['\"`](?:.*method:\s*['\"](\w+)['\"])?", JS),
+    LineRule("client_call", r"\bfetch\(\s*['\"`]([^'\"`]+)['\"`](?:(?:(?!\bfetch\().)*method:\s*['\"](\w+)['\"])?", JS),
     LineRule("client_call", rf"\b(?:axios|http|client|\$http)\.(?:{VERB})\(\s*['\"`]([^'\"`]+)['\"`]", JS),
     LineRule("client_call", rf"\b(?:requests|httpx|session)\.(?:{VERB})\(\s*f?['\"]([^'\"]+)['\"]", ("Python",)),
 )
@@ -92,19 +93,48 @@ PAGES = (
     LineRule("form", r"<form\s[^>]*action=\"([^\"]*)\""),
     LineRule("service_host", r"https?://([A-Za-z0-9.-]+)"),
 )
+#: Marks that open a comment where the language is not listed in ``MARKS``.
 COMMENT = r"^\s*(?://|#[^\[]|#$|\*|/\*|--|<!--)"
+SLASHES = r"//|\*|/\*"
+#: By language: what opens a comment, and closed comments (or their ends) after which the line goes on.
+MARKS = (
+    (("HTML",), r"^\s*<!--", r"^(?:\s*<!--.*?-->)+"),
+    (("Python", "Ruby"), r"^\s*#", None),
+    (("JavaScript", "TypeScript", *JVM, "C#", "Go", "Rust"), rf"^\s*(?:{SLASHES})", r"^(?:\s*(?:/\*.*?\*/|\*/))+\s*"),
+    (("Vue", "Svelte"), rf"^\s*(?:{SLASHES}|<!--)", r"^(?:\s*(?:/\*.*?\*/|\*/|<!--.*?-->))+\s*"),
+    (("PHP",), rf"^\s*(?:{SLASHES}|#[^\[]|#$|<!--)", r"^(?:\s*(?:/\*.*?\*/|\*/|<!--.*?-->))+\s*"),
+)
+CLOSED = r"^(?:\s*(?:/\*.*?\*/|\*/|<!--.*?-->))+\s*"
+
+
+def _content(line: Column, language: Column) -> Column:
+    """The line after the comments that open it; null if it is one."""
+
+    def rest(mark: str, closed: str | None) -> Column:
+        left = F.regexp_replace(line, closed, "") if closed else line
+        return F.when(~left.rlike(mark), left)
+
+    out = F
+    for languages, mark, closed in MARKS:
+        out = out.when(language.isin(*languages), rest(mark, closed))
+    return out.otherwise(rest(COMMENT, CLOSED))
 
 
 def compile_lines(rules: tuple[LineRule, ...], line: Column, language: Column) -> Column:
-    """One array of (kind, name, detail) for a line."""
+    """One array of (kind, name, detail) for a line, with every match of every rule."""
+
+    def fact(kind: str) -> Callable[[Column, Column], Column]:
+        return lambda n, d: F.struct(F.lit(kind).alias("kind"), n.alias("name"), d.alias("detail"))
+
     facts = []
     for r in rules:
+        names = F.regexp_extract_all(line, F.lit(r.pattern), F.lit(1))
+        details = F.regexp_extract_all(line, F.lit(r.pattern), F.lit(2)) if _groups(r.pattern) > 1 else F.transform(names, lambda _: F.lit(""))
         hit = line.rlike(r.pattern)
         if r.languages:
             hit = language.isin(*r.languages) & hit
-        detail = F.regexp_extract(line, r.pattern, 2) if _groups(r.pattern) > 1 else F.lit("")
-        facts.append(F.when(hit, F.struct(F.lit(r.kind).alias("kind"), F.regexp_extract(line, r.pattern, 1).alias("name"), detail.alias("detail"))))
-    return F.array_compact(F.array(*facts))
+        facts.append(F.when(hit, F.zip_with(names, details, fact(r.kind))))
+    return F.flatten(F.array_compact(F.array(*facts)))
 
 
 def _groups(pattern: str) -> int:
@@ -113,6 +143,7 @@ def _groups(pattern: str) -> int:
 
 def facts(files: DataFrame, rules: tuple[LineRule, ...] = RULES, keep: tuple[str, ...] = ("path",)) -> DataFrame:
     """The kept columns, line (from 1), kind, name and detail of each fact in ``files`` (with language and text)."""
-    lines = files.select(*keep, "language", F.posexplode(F.split("text", "\n", -1)).alias("line", "_body")).filter(~F.col("_body").rlike(COMMENT))
+    lines = files.select(*keep, "language", F.posexplode(F.split("text", "\n", -1)).alias("line", "_line"))
+    lines = lines.withColumn("_body", _content(F.col("_line"), F.col("language"))).filter("_body IS NOT NULL")
     found = lines.select(*keep, (F.col("line") + 1).cast("long").alias("line"), F.explode(compile_lines(rules, F.col("_body"), F.col("language"))).alias("f"))
     return found.select(*keep, "line", "f.kind", "f.name", "f.detail")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections import defaultdict
 from pathlib import Path
@@ -61,6 +62,33 @@ def test_facts(spark):
     assert not any(n == "/never" for _, _, _, n, _ in got)
 
 
+def test_every_match_of_a_line(spark):
+    rows = [
+        (1, "HTML", '<!-- x --><a href="/1">1</a><a class="b" href="http://x.org/2">2</a><script src="s.js"></script><script src="t.js"></script>\n<!-- <a href="/no"> -->'),
+        (2, "HTML", '* <a href="/3">3</a> # <a href="/3">3</a><form action="/f"><form action="">'),
+        (3, "JavaScript", "/* a */ fetch('/b'); fetch('/c', {method: 'PUT'})\n// fetch('/no')\n/* fetch('/no')\n*/ A.find(1) + B.find(2)\n#p = fetch('/d')"),
+        (4, "HTML", None),
+    ]
+    files = spark.createDataFrame(rows, "path long, language string, text string")
+    got = sorted((r.path, r.line, r.kind, r.name, r.detail) for r in extract.facts(files, extract.PAGES + extract.CLIENT_CALLS + extract.DATABASE).collect())
+    assert got == sorted([
+        (1, 1, "link", "/1", ""), (1, 1, "link", "http://x.org/2", ""), (1, 1, "service_host", "x.org", ""), (1, 1, "script", "s.js", ""), (1, 1, "script", "t.js", ""),
+        (2, 1, "link", "/3", ""), (2, 1, "link", "/3", ""), (2, 1, "form", "/f", ""), (2, 1, "form", "", ""),
+        (3, 1, "client_call", "/b", ""), (3, 1, "client_call", "/c", "PUT"), (3, 4, "orm_read", "A", "find"), (3, 4, "orm_read", "B", "find"), (3, 5, "client_call", "/d", ""),
+    ])
+
+
+def test_page_facts_are_whole(spark):
+    got = sorted((r.page_id, r.line, r.kind, r.name) for r in facts.x22_page_facts(spark, SF_DIR).collect())
+    want = []
+    for r in spark.read.parquet(f"{SF_DIR}/pages.parquet").collect():
+        for k, line in enumerate(r.html.split("\n"), 1):
+            line = re.sub(r"^(?:\s*<!--.*?-->)+", "", line)
+            if not re.match(r"\s*<!--", line):
+                want += [(r.page_id, k, rule.kind, m.group(1)) for rule in extract.PAGES for m in re.finditer(rule.pattern, line)]
+    assert got == sorted(want) and len({g[:3] for g in got}) < len(got)
+
+
 def test_stored_tables(spark):
     root = tempfile.mkdtemp(prefix="spark-")
     files.save_snapshot({"a": spark.range(3)}, root, "v1")
