@@ -14,7 +14,10 @@ Jaccard similarity of at least the threshold with it, both judged on the input.
   with all earlier lines.
 
 The index is written once as a bucketed table, so both joins read it as it lies. Lists of line numbers by document
-are broadcast when counted as small, else joined by doc_id. No user function runs.
+are broadcast when counted as small, else joined by document. No user function runs.
+
+Where doc_ids repeat (or several are null), a document is its doc_id and the digest of its text, and equal documents are
+judged once; the order stays that of doc_ids.
 
 Defined results for odd input: a null text has no lines and is returned as null; lines without a word are kept; a null
 doc_id is the smallest; lines at the same place in rows of one doc_id do not remove each other; an empty table gives an
@@ -32,6 +35,7 @@ from tessella.llm.common import materialize, release, scratch_root
 
 SIMILARITY = 0.8
 CLASSES = 1 << 17
+PLACE = ("doc", "sub", "line")
 NO_ID = -(2**63)
 #: Line numbers that may be broadcast at once, at some 20 bytes each.
 BROADCAST_LINES = 1_000_000
@@ -84,9 +88,23 @@ def _tokens(words: Column, classes: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(words, number)))
 
 
+def _doc() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
+def _sub(keyed: bool, text: str) -> Column:
+    """What tells documents of one doc_id apart: the text's digest, or nothing if every doc_id has one row."""
+    return F.unhex(F.md5(text)) if keyed else F.lit(b"")
+
+
+def _repeated(docs: DataFrame) -> bool:
+    """Whether a doc_id (or null) has several rows."""
+    return not docs.groupBy(_doc().alias("doc")).count().filter("count > 1").isEmpty()
+
+
 def _by_document(entries: DataFrame, n: int) -> DataFrame:
-    """doc, lines: entries gathered by document, broadcast if they are few."""
-    lists = entries.groupBy("doc").agg(F.collect_list("entry").alias("lines"))
+    """doc, sub, lines: entries gathered by document, broadcast if they are few."""
+    lists = entries.groupBy("doc", "sub").agg(F.collect_list("entry").alias("lines"))
     return F.broadcast(lists) if n <= BROADCAST_LINES else lists
 
 
@@ -109,54 +127,60 @@ def _earlier(a: str, b: str) -> Column:
     return (F.col(f"{a}.doc") < F.col(f"{b}.doc")) | ((F.col(f"{a}.doc") == F.col(f"{b}.doc")) & (F.col(f"{a}.line") < F.col(f"{b}.line")))
 
 
+def _end(x: str) -> list[Column]:
+    return [F.col(f"{x}_{c}").alias(c) for c in PLACE]
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, t: float, n_lines: int) -> DataFrame:
-    """(doc, line) of those ``b`` of ``pairs`` (a_doc, a_line, b_doc, b_line) whose words match ``a``'s."""
+    """(doc, sub, line) of those ``b`` of ``pairs`` (doc, sub and line of a and b) whose words match ``a``'s."""
     pairs = materialize(pairs, "line-pairs", n_lines)
-    ends = pairs.select(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")).union(pairs.select("b_doc", "b_line")).distinct()
+    ends = pairs.select(*_end("a")).union(pairs.select(*_end("b"))).distinct()
     wanted = materialize(ends, "line-ends", n_lines)
     n = wanted.count()
-    lists = wanted.groupBy("doc").agg(F.collect_list("line").alias("numbers"))
+    lists = wanted.groupBy("doc", "sub").agg(F.collect_list("line").alias("numbers"))
     lists = F.broadcast(lists) if n <= BROADCAST_LINES else lists
-    picked = rows.join(lists, "doc").select("doc", "numbers", F.split("text", "\n", -1).alias("_lines"))
-    bodies = picked.select("doc", F.explode(F.transform("numbers", lambda i: F.struct(i.alias("line"), F.get("_lines", i).alias("body")))).alias("x"))
-    bodies = bodies.select("doc", "x.line", "x.body").filter(F.col("body").isNotNull()).dropDuplicates(["doc", "line"])
-    a = bodies.select(F.col("doc").alias("a_doc"), F.col("line").alias("a_line"), F.col("body").alias("a_body"))
-    b = bodies.select(F.col("doc").alias("b_doc"), F.col("line").alias("b_line"), F.col("body").alias("b_body"))
-    met = pairs.join(a, ["a_doc", "a_line"]).join(b, ["b_doc", "b_line"])
-    sets = met.select("b_doc", "b_line", words_of_line(F.col("a_body")).alias("x"), words_of_line(F.col("b_body")).alias("y"))
-    common = sets.select("b_doc", "b_line", F.size(F.array_intersect("x", "y")).alias("k"), (F.size("x") + F.size("y")).alias("n"))
+    picked = rows.join(lists, ["doc", "sub"]).select("doc", "sub", "numbers", F.split("text", "\n", -1).alias("_lines"))
+    bodies = picked.select("doc", "sub", F.explode(F.transform("numbers", lambda i: F.struct(i.alias("line"), F.get("_lines", i).alias("body")))).alias("x"))
+    bodies = bodies.select("doc", "sub", "x.line", "x.body").filter(F.col("body").isNotNull())
+    a = bodies.toDF("a_doc", "a_sub", "a_line", "a_body")
+    b = bodies.toDF("b_doc", "b_sub", "b_line", "b_body")
+    met = pairs.join(a, ["a_doc", "a_sub", "a_line"]).join(b, ["b_doc", "b_sub", "b_line"])
+    sets = met.select("b_doc", "b_sub", "b_line", words_of_line(F.col("a_body")).alias("x"), words_of_line(F.col("b_body")).alias("y"))
+    common = sets.select("b_doc", "b_sub", "b_line", F.size(F.array_intersect("x", "y")).alias("k"), (F.size("x") + F.size("y")).alias("n"))
     good = common.filter(F.col("k") >= F.lit(t) * (F.col("n") - F.col("k")) - 1e-9)
-    return good.select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")).distinct()
+    return good.select(*_end("b")).distinct()
 
 
-def matches(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc, entry of every line that an earlier line matches."""
+def matches(docs: DataFrame, similarity: float = SIMILARITY, keyed: bool = True) -> DataFrame:
+    """doc, sub, entry of every line that an earlier line matches. ``keyed``: doc_ids may repeat."""
     t = similarity
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text").filter(F.col("text").isNotNull())
-    lines = rows.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "body")).filter(_has_word(F.col("body")))
-    places = materialize(lines.select("doc", "line", F.unhex(_digest(F.col("body"))).alias("key")), "line-places")
+    rows = docs.select(_doc().alias("doc"), _sub(keyed, "text").alias("sub"), "text").filter(F.col("text").isNotNull())
+    if keyed:
+        rows = materialize(rows.dropDuplicates(["doc", "sub"]), "line-documents")
+    lines = rows.select("doc", "sub", F.posexplode(F.split("text", "\n", -1)).alias("line", "body")).filter(_has_word(F.col("body")))
+    places = materialize(lines.select(*PLACE, F.unhex(_digest(F.col("body"))).alias("key")), "line-places")
     n_lines = places.count()
     first = places.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("first"))
     repeat = places.join(first, "key").filter(F.struct("doc", "line") > F.col("first"))
-    copies = materialize(repeat.select("doc", "line", F.concat(F.col("line").cast("string"), F.lit(":"), F.lower(F.hex("key"))).alias("entry")), "line-copies", n_lines)
+    copies = materialize(repeat.select(*PLACE, F.concat(F.col("line").cast("string"), F.lit(":"), F.lower(F.hex("key"))).alias("entry")), "line-copies", n_lines)
     n_copies = copies.count()
 
     # The index of first lines.
-    known = rows.join(_by_document(copies, n_copies), "doc", "left")
+    known = rows.join(_by_document(copies, n_copies), ["doc", "sub"], "left")
     entries = F.filter(
         F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("body"))), lambda e: _has_word(e["body"])
     )
     kept = F.when(F.col("lines").isNull(), F.col("all")).otherwise(
         F.filter("all", lambda e: ~F.array_contains("lines", _entry(e["line"], e["body"])))
     )
-    firsts = known.select("doc", "lines", entries.alias("all")).select("doc", F.explode(kept).alias("e")).select("doc", "e.line", "e.body")
-    sets = firsts.select("doc", "line", _tokens(_split(F.col("body")), rarity(rows)).alias("tokens"))
+    firsts = known.select("doc", "sub", "lines", entries.alias("all")).select("doc", "sub", F.explode(kept).alias("e")).select("doc", "sub", "e.line", "e.body")
+    sets = firsts.select(*PLACE, _tokens(_split(F.col("body")), rarity(rows)).alias("tokens"))
     n = F.size("tokens")
     parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
     prefix = F.slice("tokens", F.lit(1), (n - F.ceil(F.lit(t) * n - 1e-9) + 1).cast("int"))
-    index = sets.select("doc", "line", n.alias("n"), parity.alias("parity"), F.posexplode(prefix).alias("pos", "token"))
-    index = index.select("token", "doc", "line", "n", (F.col("pos") + 1).alias("pos"), "parity")
+    index = sets.select(*PLACE, n.alias("n"), parity.alias("parity"), F.posexplode(prefix).alias("pos", "token"))
+    index = index.select("token", *PLACE, "n", (F.col("pos") + 1).alias("pos"), "parity")
     name = "line_index_" + uuid.uuid4().hex
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{scratch_root(spark)}/tessella/{spark.sparkContext.applicationId}/{name}"
@@ -166,36 +190,35 @@ def matches(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     # Each line against the earliest of its lists, by classes of length.
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / t))).cast("int")
-    leaders = index.groupBy("token", size_class.alias("size")).agg(F.min(F.struct("doc", "line", "n", "pos", "parity")).alias("first"))
+    leaders = index.groupBy("token", size_class.alias("size")).agg(F.min(F.struct("doc", "line", "n", "pos", "parity", "sub")).alias("first"))
     leaders = leaders.select("token", "size", "first.*").alias("a")
     b = index.withColumn("size", size_class).alias("b")
     close = (F.col("a.token") == F.col("b.token")) & (F.abs(F.col("a.size") - F.col("b.size")) <= 1)
     met = b.join(leaders, close & _earlier("a", "b") & _passes("a", "b", t))
-    nearest = met.groupBy(F.col("b.doc").alias("b_doc"), F.col("b.line").alias("b_line")).agg(
-        F.min(F.struct(F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity"))).alias("far"), F.col("a.doc").alias("doc"), F.col("a.line").alias("line"))).alias("a")
+    nearest = met.groupBy(*[F.col(f"b.{c}").alias(f"b_{c}") for c in PLACE]).agg(
+        F.min(F.struct(F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity"))).alias("far"), *[F.col(f"a.{c}").alias(c) for c in ("doc", "line", "sub")])).alias("a")
     )
-    pairs = nearest.select(F.col("a.doc").alias("a_doc"), F.col("a.line").alias("a_line"), "b_doc", "b_line")
+    pairs = nearest.select(*[F.col(f"a.{c}").alias(f"a_{c}") for c in PLACE], *[f"b_{c}" for c in PLACE])
     settled = materialize(_verified(pairs, rows, t, n_lines), "line-settled", n_lines)
     n_settled = settled.count()
 
     # The lines that are left against all earlier lines.
     done = F.broadcast(settled) if n_settled <= BROADCAST_LINES else settled
-    left = index.join(done, ["doc", "line"], "left_anti").alias("b")
+    left = index.join(done, [*PLACE], "left_anti").alias("b")
     met = left.join(index.alias("a"), (F.col("a.token") == F.col("b.token")) & _earlier("a", "b") & _passes("a", "b", t))
-    pairs = met.select(
-        F.col("a.doc").alias("a_doc"), F.col("a.line").alias("a_line"), F.col("b.doc").alias("b_doc"), F.col("b.line").alias("b_line")
-    ).distinct()
+    pairs = met.select(*[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in PLACE]).distinct()
     more = _verified(pairs, rows, t, n_lines)
     similar = settled.unionByName(more).distinct()
-    named = similar.join(places, ["doc", "line"]).select("doc", F.concat(F.col("line").cast("string"), F.lit(":"), F.lower(F.hex("key"))).alias("entry"))
-    return materialize(copies.select("doc", "entry").unionByName(named), "line-matches", n_lines)
+    named = similar.join(places, [*PLACE]).select("doc", "sub", F.concat(F.col("line").cast("string"), F.lit(":"), F.lower(F.hex("key"))).alias("entry"))
+    return materialize(copies.select("doc", "sub", "entry").unionByName(named), "line-matches", n_lines)
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
     """``docs`` with ``_n_lines``, ``_n_removed`` and the text without its removed lines in place of the text."""
-    found = matches(docs.select("doc_id", F.col(text).alias("text")), similarity)
-    lists = _by_document(found, found.count()).select(F.col("doc").alias("_doc"), F.array_distinct("lines").alias("_removed"))
-    marked = docs.join(lists, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_doc"), "left")
+    keyed = _repeated(docs)
+    found = matches(docs.select("doc_id", F.col(text).alias("text")), similarity, keyed)
+    lists = _by_document(found, found.count()).select(F.col("doc").alias("_doc"), F.col("sub").alias("_sub"), F.array_distinct("lines").alias("_removed"))
+    marked = docs.join(lists, (_doc() == F.col("_doc")) & (_sub(keyed, text) == F.col("_sub")), "left")
     marked = marked.withColumn("_lines", F.split(text, "\n", -1))
     entries = F.transform("_lines", lambda x, i: _entry(i, x))
     kept = F.when(F.col("_removed").isNotNull(), F.array_except(entries, "_removed"))

@@ -17,6 +17,10 @@ from tests.llm import brute
 from tests.llm.test_oracle import odd_documents
 
 
+def place_of(d: int | None) -> int:
+    return -(1 << 63) if d is None else d
+
+
 def texts_of(df) -> list[tuple]:
     return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
 
@@ -177,6 +181,36 @@ def test_line_dedup_keeps_other_columns(spark):
     assert all(r["_text"] == "clash" for d, r in got.items() if d != 99)
 
 
+def repeated_ids() -> list[tuple]:
+    """Many null ids and shared ids with different texts, equal rows among them."""
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(400)]
+    some = [[rng.choice(vocabulary) for _ in range(rng.randint(5, 15))] for _ in range(25)]
+
+    def line() -> str:
+        w = list(rng.choice(some)) if rng.random() < 0.5 else [rng.choice(vocabulary) for _ in range(9)]
+        if rng.random() < 0.5:
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        return " ".join(w)
+
+    rows = [(rng.choice([None, None, 1, 2, 2, k + 10]), "\n".join(line() for _ in range(rng.randint(1, 6)))) for k in range(90)]
+    return [*rows, *rows[:15], (None, None), (2, ""), (None, "")]
+
+
+def test_line_dedup_of_repeated_ids(spark):
+    rows = repeated_ids()
+    placed = [(place_of(d), k, frozenset(brute.words(x))) for d, t in rows if t is not None for k, x in enumerate(t.split("\n"))]
+
+    def gone(d, k: int, x: str) -> bool:
+        w = frozenset(brute.words(x))
+        return bool(w) and any((e, j) < (place_of(d), k) and v and 5 * len(v & w) >= 4 * len(v | w) for e, j, v in placed)
+
+    want = [(d, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not gone(d, k, x))) for d, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(str, texts_of(lines.dedup_lines(docs)))) == sorted(map(str, want))
+    assert 20 < sum(a != b for a, b in zip(rows, want, strict=True)) < len(rows)
+
+
 def test_empty_stages(spark, given):
     docs = given.limit(0)
     for name, stage in corpus_pipeline.STAGES:
