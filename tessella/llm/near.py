@@ -19,7 +19,8 @@ text with a count from the start.
 Groups are dealt over sub-groups of at most ``PART`` texts, so no task holds a large group.
 
 Defined results for odd input: a null text counts as empty; equal texts (empty ones too) share a class; a null doc_id
-is the smallest id and its class is null; repeated rows get a row each; an empty table gives an empty table.
+is the smallest id and its class is null; different texts of one doc_id, or of none, are judged each by itself;
+repeated rows get a row each; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ NO_ID = -(2**63)
 
 SENT = "bucket int, chunk int, hashes binary, counts binary"
 HEARD = "chunk int, bucket int, hashes binary, counts binary"
-CANDIDATE = "doc_id long, total double, common double, bands array<long>, shingles binary, weights binary"
+CANDIDATE = "node long, total double, common double, bands array<long>, shingles binary, weights binary"
 SCORED = "a long, b long, score double"
 
 
@@ -90,13 +91,14 @@ class Chunk:
     """The distinct texts of a chunk that stand for their copies, with their shingles, sorted by text and shingle."""
 
     def __init__(self, table: pa.Table, reps: pa.Table, buckets: int):
-        want = {(d, x): c for d, x, c in zip(reps.column("doc_id").to_pylist(), reps.column("digest").to_pylist(), reps.column("copies").to_pylist(), strict=True)}
-        self.doc, self.copies, texts = [], [], []
+        keys = zip(reps.column("doc_id").to_pylist(), reps.column("digest").to_pylist(), strict=True)
+        want = dict(zip(keys, zip(reps.column("node").to_pylist(), reps.column("copies").to_pylist(), strict=True), strict=True))
+        self.node, self.copies, texts = [], [], []
         for d, t in zip(table.column("doc_id").to_pylist(), unzip(table.column("z")), strict=True):
-            n = want.pop((d, hashlib.md5(t).digest()), None)
-            if n is not None:
-                self.doc.append(d)
-                self.copies.append(n)
+            rep = want.pop((d, hashlib.md5(t).digest()), None)
+            if rep is not None:
+                self.node.append(rep[0])
+                self.copies.append(rep[1])
                 texts.append(t)
         w: Windows = windows(texts, WIDTH, short=True)
         bucket = by_bucket(w.other, buckets)
@@ -155,7 +157,7 @@ def tally(table: pa.Table) -> pa.Table:
 
 def weigher(buckets: int, n_docs: int, similarity: float):
     def weigh(texts: pa.Table, told: pa.Table) -> pa.Table:
-        schema = pa.schema([("doc_id", pa.int64()), ("total", pa.float64()), ("common", pa.float64()), ("bands", pa.list_(pa.int64())), ("shingles", pa.binary()), ("weights", pa.binary())])
+        schema = pa.schema([("node", pa.int64()), ("total", pa.float64()), ("common", pa.float64()), ("bands", pa.list_(pa.int64())), ("shingles", pa.binary()), ("weights", pa.binary())])
         answers, reps = told.filter(told.column("bucket").is_valid()), told.filter(told.column("digest").is_valid())
         if not texts.num_rows or not reps.num_rows:
             return schema.empty_table()
@@ -174,7 +176,7 @@ def weigher(buckets: int, n_docs: int, similarity: float):
         df = df[c.back]
         weight = (c.tf * idf(df, n_docs)).astype(np.float32).astype(np.float64)
         shared = df > np.array(c.copies)[c.text]
-        size = len(c.doc)
+        size = len(c.node)
         total = np.bincount(c.text, weight, size)
         common = np.bincount(c.text, weight * shared, size)
         fit = (total > 0) & (common >= similarity * total * (1 - 1e-9))
@@ -184,10 +186,10 @@ def weigher(buckets: int, n_docs: int, similarity: float):
             return schema.empty_table()
         spans = runs(text)
         bands = signature(key, w, np.array([x for x, _ in spans])).view(np.int64)
-        rows = {"doc_id": [], "total": [], "common": [], "bands": list(bands), "shingles": [], "weights": []}
+        rows = {"node": [], "total": [], "common": [], "bands": list(bands), "shingles": [], "weights": []}
         for x, y in spans:
             s = shared[x:y]
-            rows["doc_id"].append(c.doc[text[x]])
+            rows["node"].append(c.node[text[x]])
             rows["total"].append(total[text[x]])
             rows["common"].append(common[text[x]])
             rows["shingles"].append(key[x:y][s].tobytes())
@@ -223,9 +225,9 @@ def verify(pairs: DataFrame, candidates: DataFrame, rows: int) -> DataFrame:
     sized = materialize(sizes, "pair-parts", n_pairs)
     n_heads = sized.count()
     dealt = pairs.join(small(sized, n_heads), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    members = candidates.join(small(dealt.select("a", "b", "part"), n_pairs), F.col("doc_id") == F.col("b"))
+    members = candidates.join(small(dealt.select("a", "b", "part"), n_pairs), F.col("node") == F.col("b"))
     heads = candidates.join(
-        small(sized.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), n_heads + n_pairs // PART), F.col("doc_id") == F.col("a")
+        small(sized.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), n_heads + n_pairs // PART), F.col("node") == F.col("a")
     ).withColumn("b", F.lit(None).cast("long"))
     columns = ("a", "part", "b", "total", "shingles", "weights")
     return members.select(*columns).unionByName(heads.select(*columns)).groupBy("a", "part").applyInArrow(score, SCORED)
@@ -234,11 +236,13 @@ def verify(pairs: DataFrame, candidates: DataFrame, rows: int) -> DataFrame:
 def candidate_sets(docs: DataFrame, reps: DataFrame, n_docs: int, similarity: float) -> DataFrame:
     """Texts that can have a partner: total weight, band hashes and the shingles that other texts have too."""
     plan = Plan.of(text_bytes(docs))
-    texts = chunked(docs, plan)
-    stand = reps.select(F.pmod(F.xxhash64("doc_id"), F.lit(plan.chunks)).cast("int").alias("chunk"), "doc_id", "digest", "copies")
+    # Dealt by id and text, so rows that share an id, or have none, are not one chunk.
+    texts = chunked(docs.select(F.xxhash64("doc_id", F.unhex(F.md5("text"))).alias("doc_id"), "text"), plan)
+    keyed = reps.withColumn("doc_id", F.xxhash64("doc_id", "digest"))
+    stand = keyed.select(F.pmod(F.xxhash64("doc_id"), F.lit(plan.chunks)).cast("int").alias("chunk"), "doc_id", "digest", "node", "copies")
     sent = texts.groupBy("chunk").cogroup(stand.groupBy("chunk")).applyInArrow(sender(plan.buckets), SENT)
     heard = sent.groupBy("bucket").applyInArrow(tally, HEARD)
-    told = heard.unionByName(stand, allowMissingColumns=True).select("chunk", "bucket", "hashes", "counts", "doc_id", "digest", "copies")
+    told = heard.unionByName(stand, allowMissingColumns=True).select("chunk", "bucket", "hashes", "counts", "doc_id", "digest", "node", "copies")
     return texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(weigher(plan.buckets, n_docs, similarity), CANDIDATE)
 
 
@@ -246,21 +250,21 @@ def links(candidates: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that connect every two texts of a bucket whose similarity reaches the threshold."""
     own = 1 - F.col("common") / F.col("total")  # the share of weight that no other text has
     n = candidates.count()
-    slots = candidates.select("doc_id", "total", "common", own.alias("own"), "bands", F.posexplode("bands").alias("band", "value"))
-    shared = slots.groupBy("band", "value").agg(F.min(F.struct("own", "doc_id", "total", "common")).alias("top"), F.count("*").alias("n")).filter("n > 1")
+    slots = candidates.select("node", "total", "common", own.alias("own"), "bands", F.posexplode("bands").alias("band", "value"))
+    shared = slots.groupBy("band", "value").agg(F.min(F.struct("own", "node", "total", "common")).alias("top"), F.count("*").alias("n")).filter("n > 1")
     shared = materialize(shared.select("band", "value", F.col("top").alias("leader")), "buckets", n * BANDS // 2)
     members = materialize(slots.join(small(shared, shared.count()), ["band", "value"]), "bucket-members", n * BANDS)
-    first = members.filter((F.col("doc_id") != F.col("leader.doc_id")) & _possible("leader.", "", similarity))
-    scores = materialize(verify(first.select(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), candidates, n), "scores", n)
+    first = members.filter((F.col("node") != F.col("leader.node")) & _possible("leader.", "", similarity))
+    scores = materialize(verify(first.select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct(), candidates, n), "scores", n)
     good = scores.filter(F.col("score") >= similarity)
 
     # What is left in a bucket: pairs of different components, unless the bounds rule them out.
-    labels = components(good, n).withColumnRenamed("node", "doc_id")
-    known = scores.select(F.col("a").alias("_leader"), F.col("b").alias("doc_id"), "score")
-    placed = members.withColumn("_leader", F.col("leader.doc_id")).join(known, ["_leader", "doc_id"], "left").join(labels, "doc_id", "left")
+    labels = components(good, n)
+    known = scores.select(F.col("a").alias("_leader"), F.col("b").alias("node"), "score")
+    placed = members.withColumn("_leader", F.col("leader.node")).join(known, ["_leader", "node"], "left").join(labels, "node", "left")
     placed = materialize(placed.select(
-        "band", "value", "bands", "doc_id", "total", "common", "own", F.coalesce("label", "doc_id").alias("label"),
-        F.when(F.col("doc_id") == F.col("_leader"), 1.0).otherwise(F.col("score")).alias("score"),
+        "band", "value", "bands", "node", "total", "common", "own", F.coalesce("label", "node").alias("label"),
+        F.when(F.col("node") == F.col("_leader"), 1.0).otherwise(F.col("score")).alias("score"),
     ), "bucket-labels", n * BANDS)
     parts = placed.groupBy("band", "value", "label").agg(F.count("*").alias("n"))
     main = parts.groupBy("band", "value").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).filter("labels > 1")
@@ -296,25 +300,45 @@ def _rest(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
     # A pair is met in the first band that it shares, once.
     again = F.exists(F.slice(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), F.lit(1), F.col("x.band")), lambda p: p)
     met = x.join(y, same & (F.col("x.label") != F.col("y.label")) & _possible("x.", "y.", similarity) & ~far & ~again)
-    return met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and class_id, the smallest doc_id of its class, of every row of ``docs`` (doc_id, text)."""
+def _classes(docs: DataFrame, similarity: float) -> DataFrame:
+    """doc_id (NO_ID for null), digest and class_id of every row of ``docs``, and the text that stands for its class.
+
+    ``stands`` is the digest of the class's text with the smallest doc_id, by digest where several have it.
+    """
     body = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), body.alias("text"))
     n = rows.count()
     digests = materialize(rows.select("doc_id", F.unhex(F.md5("text")).alias("digest")), "digests", n)
-    reps = materialize(digests.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "reps", n)
+    first = digests.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    # A node of the graph is a text, not a doc_id: ids may repeat or be null.
+    reps = materialize(first.withColumn("node", F.monotonically_increasing_id()), "reps", n)
     candidates = materialize(candidate_sets(rows, reps, n, similarity).hint("rebalance"), "candidates")
     labels = components(links(candidates, similarity), candidates.count())
-    classes = reps.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("digest", F.coalesce("label", "doc_id").alias("class_id"))
-    named = digests.join(classes, "digest")
+    placed = materialize(reps.join(labels, "node", "left").select("digest", "doc_id", F.coalesce("label", "node").alias("label")), "placed", n)
+    tops = placed.groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("top"))
+    classes = placed.join(tops, "label").select("digest", F.col("top.doc_id").alias("class_id"), F.col("top.digest").alias("stands"))
+    return digests.join(classes, "digest")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and class_id, the smallest doc_id of its class, of every row of ``docs`` (doc_id, text)."""
 
     def real(c: str) -> Column:
         return F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
 
-    return named.select(real("doc_id"), real("class_id"))
+    return _classes(docs, similarity).select(real("doc_id"), real("class_id"))
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The row of ``docs`` that stays of each class: that with the smallest doc_id, by its text's digest if it has several."""
+    tops = _classes(docs.select("doc_id", "text"), similarity).filter(F.col("digest") == F.col("stands"))
+    tops = tops.groupBy("digest").agg(F.min("doc_id").alias("_id")).withColumnRenamed("digest", "_digest")
+    here = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_id")) & (F.unhex(F.md5(F.coalesce("text", F.lit("")))) == F.col("_digest"))
+    same = F.struct(F.coalesce("doc_id", F.lit(NO_ID)), F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    return docs.join(tops, here, "left_semi").withColumn("_same", same).dropDuplicates(["_same"]).drop("_same")
 
 
 def op5(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 from collections import defaultdict
@@ -211,6 +212,33 @@ def test_line_dedup_of_repeated_ids(spark):
     assert 20 < sum(a != b for a, b in zip(rows, want, strict=True)) < len(rows)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(900)]
+    bases = [[rng.choice(vocabulary) for _ in range(150)] for _ in range(12)]
+    rows = []
+    for k in range(70):
+        w = list(rng.choice(bases))
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        rows.append((rng.choice([None, None, 1, 2, 2, k + 10]), " ".join(w)))
+    rows += [*rows[:10], (None, None), (None, ""), (3, "a b")]
+    least = {}
+    for d, t in rows:
+        least[t or ""] = min(place_of(d), least.get(t or "", place_of(d)))
+    order = sorted(least, key=lambda t: (least[t], hashlib.md5(t.encode()).digest()))
+    node = {t: k for k, t in enumerate(order)}
+    classes = brute.near_classes([(node[t or ""], t) for _, t in rows])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+
+    want = sorted((place_of(d), least[order[classes[node[t or ""]]]]) for d, t in rows)
+    assert sorted((place_of(r.doc_id), place_of(r.class_id)) for r in near.op5(docs).collect()) == want
+    table = docs.selectExpr("doc_id", "text", "'en' AS lang", "'web' AS source", "0L AS n_chars")
+    left = texts_of(corpus_pipeline.near_dedup(spark, table, SF_DIR))
+    assert sorted((place_of(d), t or "") for d, t in left) == sorted((least[order[c]], order[c]) for c in set(classes.values()))
+    assert len(set(classes.values())) < len(order)
+
+
 def test_empty_stages(spark, given):
     docs = given.limit(0)
     for name, stage in corpus_pipeline.STAGES:
