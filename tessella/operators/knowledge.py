@@ -66,8 +66,8 @@ def file_status(files: DataFrame, analyses: DataFrame) -> DataFrame:
 
 
 def stale_documents(documents: DataFrame, files: DataFrame) -> DataFrame:
-    """doc, stale: whether a source of a document has another hash or is gone. ``documents``: doc, sources (map path -> hash)."""
-    s = documents.select("doc", F.explode_outer("sources").alias("path", "_was"))
+    """doc, stale: whether a source of a document has another hash or is gone. ``documents``: a row of doc, path and hash for each source."""
+    s = documents.select("doc", "path", F.col("hash").alias("_was"))
     met = s.join(files.select("path", "hash"), "path", "left")
     gone = F.col("path").isNotNull() & ~F.col("hash").eqNullSafe(F.col("_was"))
     return met.groupBy("doc").agg(F.bool_or(gone).alias("stale"))

@@ -106,8 +106,8 @@ def m04_m05_status(spark, d):
 
 def m06_stale_docs(spark, d):
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("path"), F.md5("text").alias("hash"), "source")
-    books = docs.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("path", F.when(F.col("path") % 200 == 0, "x").otherwise(F.col("hash")).alias("h")))).alias("sources"))
-    return K.stale_documents(books.select(F.col("source").alias("doc"), "sources"), docs)
+    sources = docs.select(F.col("source").alias("doc"), "path", F.when(F.col("path") % 200 == 0, "x").otherwise(F.col("hash")).alias("hash"))
+    return K.stale_documents(sources, docs)
 
 
 def m14_cache(spark, d):
