@@ -35,29 +35,24 @@ def let(value: Column, body) -> Column:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where that is unset (tests), a folder of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, local mode takes a folder of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessella.scratch.dir", None)
     if not root:
-        root = spark.conf.get("tessella.scratch.dir", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="tessella-")
-            spark.conf.set("tessella.scratch.dir", root)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tessella-")
+        spark.conf.set("tessella.scratch.dir", root)
     return root.rstrip("/")
 
 
-def release(spark: SparkSession) -> None:
-    """Free the shuffle files of finished jobs.
-
-    Spark drops them only when the driver's garbage collector finds that their plans are gone, and they can fill the
-    executors' disks long before that. So the collector is called once a job's result has been written.
-    """
-    spark.sparkContext._jvm.System.gc()
-
-
 #: Rows of one file of a small table (ids, scores, labels).
 FILE_ROWS = 1_000_000
 
 
+def _gathered(df: DataFrame, rows: int | None) -> DataFrame:
+    return df if rows is None else df.repartition(rows // FILE_ROWS + 4)
+
+
 def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here and sizes are known.
 
@@ -66,11 +61,42 @@ def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tessella/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    (df if rows is None else df.repartition(rows // FILE_ROWS + 4)).write.parquet(path)
-    release(spark)
+    _gathered(df, rows).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that one operator writes and reads again, dropped with their files when the ``with`` block ends."""
+
+    DATABASE = "tessella_scratch"
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.names: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        where = f"{scratch_root(self.spark)}/tessella/{self.spark.sparkContext.applicationId}/tables"
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.DATABASE} LOCATION '{where}'")
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def keep(self, df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+        """Like ``materialize``."""
+        name = f"{self.DATABASE}.{tag}_{uuid.uuid4().hex}"
+        _gathered(df, rows).write.format("parquet").saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
+
+    def drop(self, df_tag: str) -> None:
+        """Drop the tables of one tag before the block ends."""
+        for name in [n for n in self.names if n.startswith(f"{self.DATABASE}.{df_tag}_")]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self.names.remove(name)
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its counted ``rows`` are within the limit, else as it is (a shuffled join)."""
     return F.broadcast(df) if rows <= limit else df

@@ -3,89 +3,90 @@
 A line is the set of its words. A line with a word is removed when an earlier line, by (doc_id, line number), has a
 Jaccard similarity of at least the threshold with it, both judged on the input.
 
-* Equal lines are found by their digest; the first of each stays in the join.
-* Words are ordered by rarity: the logarithm of a count of their hash bucket over all documents, then their hash. Any
-  order that all lines share makes the join exact; the rarer the first words, the fewer candidates.
+* Equal lines are found by their digest; the first of each stays in the join, as the set of its words' hashes, written
+  once for the three passes below.
+* Words are ordered by rarity: a count of their hash bucket over the lines, on a scale of half powers of two, then their
+  hash. Any order that all lines share makes the join exact; the rarer the first words, the fewer candidates.
 * The prefix of a line (n - ceil(t n) + 1 words) is indexed. Two similar lines share a prefix word, at which the length
-  and positional filters hold, and their parities (64 bits, each word flips one) differ in no more bits than the lines
-  may differ in words. Pairs that pass are verified on the words themselves.
-* First each line is held against the earliest line of each of its posting lists: only the existence of an earlier match
-  matters, so this settles the large groups of variants without their pairs. Lines that found none are then joined
-  with all earlier lines.
+  and positional filters hold. Their parities (128 bits, 256 for long lines; each word flips one) differ in no more
+  bits than the lines may differ in words. Pairs that pass are verified on the words themselves.
+* Words that may have long posting lists come first: each line is held against the earliest line of each such list,
+  for some rounds. Only the existence of an earlier match matters, so this settles large groups of variants without
+  their pairs. Lines that found none are then joined with all earlier lines.
 
-The index is written once as a bucketed table, so both joins read it as it lies. Lists of line numbers by document
-are broadcast when counted as small, else joined by document. No user function runs.
+Line numbers by document are broadcast up to ``BROADCAST_BYTES``, else joined by document. No user function runs.
 
 Where doc_ids repeat (or several are null), a document is its doc_id and the digest of its text, and equal documents are
 judged once; the order stays that of doc_ids.
 
 Defined results for odd input: a null text has no lines and is returned as null; lines without a word are kept; a null
 doc_id is the smallest; lines at the same place in rows of one doc_id do not remove each other; an empty table gives an
-empty table; other columns are carried by ``dedup_lines`` as they are.
+empty table; other columns are carried by ``dedup_lines`` as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize, release, scratch_root
+from tessella.llm.common import Scratch, materialize
 
 SIMILARITY = 0.8
 CLASSES = 1 << 17
 PLACE = ("doc", "sub", "line")
 NO_ID = -(2**63)
-#: Line numbers that may be broadcast at once, at some 20 bytes each.
-BROADCAST_LINES = 1_000_000
-
-
-def _split(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
+#: Bytes of line numbers that may be broadcast at once.
+BROADCAST_BYTES = 32 << 20
+#: A rarity class from which posting lists may be long: a bucket of 4,096 words. Lists of rarer words are shorter.
+HOT = 24
+ROUNDS = 2
+#: Lines of so many words have the long parity.
+LONG = 192
 
 
-def words_of_line(line: Column) -> Column:
-    """The set of words of a line."""
-    return F.array_distinct(_split(line))
+def _plain(text: str) -> Column:
+    """The text with spaces for other white space but newlines; few texts need the slow way."""
+    return F.when(F.col(text).rlike("[\t\x0b\x0c\r]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(F.col(text))
 
 
-def _has_word(line: Column) -> Column:
-    return F.length(F.translate(line, " \t\x0b\x0c\r", "")) > 0
+def _numbered(text: str) -> Column:
+    return F.posexplode(F.split(_plain(text), "\n", -1)).alias("line", "body")
 
 
-def _digest(line: Column) -> Column:
-    return F.substring(F.md5(line), 1, 24)
+def words_of_line(body: Column) -> Column:
+    """The set of words of a line with no other white space than spaces."""
+    return F.array_distinct(F.array_remove(F.split(body, " "), ""))
 
 
-def _entry(number: Column, line: Column) -> Column:
-    """A line's number and digest as one string: what the lists by document hold."""
-    return F.concat(number.cast("string"), F.lit(":"), _digest(line))
+def _but(numbers: str, lines: str) -> Column:
+    """(line, body) of all lines but those of the numbers (null: none)."""
+    at = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce(numbers, F.array().cast("array<int>")))
+    return F.transform(at, lambda i: F.struct(i.alias("line"), F.get(lines, i).alias("body")))
 
 
-def _number(entry: Column) -> Column:
-    return F.substring_index(entry, ":", 1).cast("int")
+def _has_word(body: Column) -> Column:
+    return F.length(F.trim(body)) > 0
 
 
-def rarity(docs: DataFrame) -> Column:
-    """floor(log2(count)) by hash bucket: a constant array whose size does not grow with the input."""
-    words = docs.select(F.explode(F.split(F.translate("text", "\t\n\x0b\x0c\r", "     "), " ")).alias("w")).filter("w <> ''")
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(CLASSES - 1).alias("bucket")).agg(F.floor(F.log2(F.count("*"))).cast("int").alias("c"))
+def rarity(sets: DataFrame) -> Column:
+    """2 log2(count) by hash bucket: a constant array whose size does not grow with the input."""
+    counts = sets.select(F.explode("hashes").alias("h")).groupBy(F.col("h").bitwiseAND(CLASSES - 1).alias("bucket")).agg(
+        F.floor(2 * F.log2(F.count("*"))).cast("int").alias("c")
+    )
     table = [0] * CLASSES
     for r in counts.collect():  # at most CLASSES rows
         table[r["bucket"]] = min(63, r["c"])
     return F.from_json(F.lit(str(table)), "array<int>")  # folded into one literal when planned
 
 
-def _tokens(words: Column, classes: Column) -> Column:
+def _tokens(hashes: str, classes: Column) -> Column:
     """Sorted numbers of the words: 6 bits of rarity, then 57 bits of hash."""
 
-    def number(w: Column) -> Column:
-        h = F.xxhash64(w)
+    def number(h: Column) -> Column:
         c = F.get(classes, h.bitwiseAND(CLASSES - 1).cast("int"))
         return F.shiftleft(c.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
-    return F.sort_array(F.array_distinct(F.transform(words, number)))
+    return F.sort_array(F.transform(hashes, number))
 
 
 def _doc() -> Column:
@@ -102,24 +103,57 @@ def _repeated(docs: DataFrame) -> bool:
     return not docs.groupBy(_doc().alias("doc")).count().filter("count > 1").isEmpty()
 
 
-def _by_document(entries: DataFrame, n: int) -> DataFrame:
-    """doc, sub, lines: entries gathered by document, broadcast if they are few."""
-    lists = entries.groupBy("doc", "sub").agg(F.collect_list("entry").alias("lines"))
-    return F.broadcast(lists) if n <= BROADCAST_LINES else lists
+def _by_document(places: DataFrame, n: int, n_bytes: int = 24) -> DataFrame:
+    """doc, sub, numbers: line numbers gathered by document, broadcast if they are small."""
+    lists = places.groupBy("doc", "sub").agg(F.collect_set("line").alias("numbers"))
+    return F.broadcast(lists) if n * n_bytes <= BROADCAST_BYTES else lists
+
+
+def _parity(mask: int) -> Column:
+    """Bits 0 to 5 of a word name the one of 64 bits that it flips; only words with the bits of ``mask`` do."""
+    one = F.lit(1).cast("long")
+
+    def flip(acc: Column, x: Column) -> Column:
+        flipped = acc.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int")))
+        return F.when(x.bitwiseAND(mask) == mask, flipped).otherwise(acc) if mask else flipped
+
+    return F.aggregate("tokens", F.lit(0).cast("long"), flip)
+
+
+def _parities() -> list[Column]:
+    """Of all words, of every second, and for long lines of two quarters: together the parities of four quarters."""
+    long, zero = F.col("n") >= LONG, F.lit(0).cast("long")
+    more = [F.when(long, _parity(mask)).otherwise(zero).alias(c) for mask, c in ((128, "p2"), (192, "p3"))]
+    return [_parity(0).alias("p0"), _parity(64).alias("p1"), *more]
+
+
+PARITIES = ("p0", "p1", "p2", "p3")
 
 
-def _overlap(n: Column, m: Column, t: float) -> Column:
-    return F.ceil(F.lit(t / (1 + t)) * (n + m) - 1e-9)
+def _halves(x: str) -> tuple[Column, Column]:
+    return F.col(f"{x}.p1"), F.col(f"{x}.p0").bitwiseXOR(F.col(f"{x}.p1"))
+
+
+def _quarters(x: str) -> tuple[Column, ...]:
+    p0, p1, p2, p3 = (F.col(f"{x}.{p}") for p in PARITIES)
+    return p3, p1.bitwiseXOR(p3), p2.bitwiseXOR(p3), p0.bitwiseXOR(p1).bitwiseXOR(p2).bitwiseXOR(p3)
+
+
+def _differ(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    bits = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)]
+    return sum(bits[1:], bits[0])
 
 
 def _passes(a: str, b: str, t: float) -> Column:
     """The length, positional and parity filters for rows of the index."""
     an, bn = F.col(f"{a}.n"), F.col(f"{b}.n")
-    need = _overlap(an, bn, t)
+    need = F.ceil(F.lit(t / (1 + t)) * (an + bn) - 1e-9)
+    most = an + bn - 2 * need
     return (
         (F.least(an, bn) >= F.lit(t) * F.greatest(an, bn) - 1e-9)
         & (1 + F.least(an - F.col(f"{a}.pos"), bn - F.col(f"{b}.pos")) >= need)
-        & (F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity"))) <= an + bn - 2 * need)
+        & (_differ(_halves(a), _halves(b)) <= most)
+        & ((F.least(an, bn) < LONG) | (_differ(_quarters(a), _quarters(b)) <= most))
     )
 
 
@@ -131,104 +165,114 @@ def _end(x: str) -> list[Column]:
     return [F.col(f"{x}_{c}").alias(c) for c in PLACE]
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, t: float, n_lines: int) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, t: float, scratch: Scratch, n_lines: int) -> DataFrame:
     """(doc, sub, line) of those ``b`` of ``pairs`` (doc, sub and line of a and b) whose words match ``a``'s."""
-    pairs = materialize(pairs, "line-pairs", n_lines)
+    pairs = scratch.keep(pairs, "pairs", n_lines)
     ends = pairs.select(*_end("a")).union(pairs.select(*_end("b"))).distinct()
-    wanted = materialize(ends, "line-ends", n_lines)
-    n = wanted.count()
-    lists = wanted.groupBy("doc", "sub").agg(F.collect_list("line").alias("numbers"))
-    lists = F.broadcast(lists) if n <= BROADCAST_LINES else lists
-    picked = rows.join(lists, ["doc", "sub"]).select("doc", "sub", "numbers", F.split("text", "\n", -1).alias("_lines"))
-    bodies = picked.select("doc", "sub", F.explode(F.transform("numbers", lambda i: F.struct(i.alias("line"), F.get("_lines", i).alias("body")))).alias("x"))
-    bodies = bodies.select("doc", "sub", "x.line", "x.body").filter(F.col("body").isNotNull())
+    wanted = scratch.keep(ends, "ends", n_lines)
+    lists = _by_document(wanted, wanted.count())
+    picked = rows.join(lists, ["doc", "sub"]).select("doc", "sub", "numbers", F.split(_plain("text"), "\n", -1).alias("lines"))
+    bodies = picked.select("doc", "sub", F.explode(F.transform("numbers", lambda i: F.struct(i.alias("line"), F.get("lines", i).alias("body")))).alias("e"))
+    bodies = scratch.keep(bodies.select("doc", "sub", "e.line", words_of_line(F.col("e.body")).alias("body")), "bodies")
     a = bodies.toDF("a_doc", "a_sub", "a_line", "a_body")
     b = bodies.toDF("b_doc", "b_sub", "b_line", "b_body")
     met = pairs.join(a, ["a_doc", "a_sub", "a_line"]).join(b, ["b_doc", "b_sub", "b_line"])
-    sets = met.select("b_doc", "b_sub", "b_line", words_of_line(F.col("a_body")).alias("x"), words_of_line(F.col("b_body")).alias("y"))
-    common = sets.select("b_doc", "b_sub", "b_line", F.size(F.array_intersect("x", "y")).alias("k"), (F.size("x") + F.size("y")).alias("n"))
-    good = common.filter(F.col("k") >= F.lit(t) * (F.col("n") - F.col("k")) - 1e-9)
+    sizes = met.select(
+        "b_doc", "b_sub", "b_line", F.size(F.array_intersect("a_body", "b_body")).alias("k"), F.size("a_body").alias("n"), F.size("b_body").alias("m")
+    )
+    good = sizes.filter(F.col("k") >= F.lit(t) * (F.col("n") + F.col("m") - F.col("k")) - 1e-9)
     return good.select(*_end("b")).distinct()
 
 
-def matches(docs: DataFrame, similarity: float = SIMILARITY, keyed: bool = True) -> DataFrame:
-    """doc, sub, entry of every line that an earlier line matches. ``keyed``: doc_ids may repeat."""
+def _word_sets(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """(Lines that an earlier one equals, hashes of the words of each other line, lines)."""
+    lines = rows.select("doc", "sub", _numbered("text")).filter(_has_word(F.col("body")))
+    places = scratch.keep(lines.select(*PLACE, F.unhex(F.md5("body")).alias("key")), "places")
+    n_lines = places.count()
+    # One number for the order of lines, as a minimum of structs is aggregated by sorting.
+    order = F.col("doc").cast("decimal(20,0)") * F.lit(1 << 32) + F.col("line")
+    first = places.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = scratch.keep(first.select("key", "first"), "first", n_lines)
+    repeat = places.join(first, "key").filter(order > F.col("first"))
+    copies = scratch.keep(repeat.select(*PLACE), "copies", n_lines)
+    known = rows.join(_by_document(copies, copies.count()), ["doc", "sub"], "left")
+    split = known.select("doc", "sub", "numbers", F.split(_plain("text"), "\n", -1).alias("lines"))
+    new = split.select("doc", "sub", F.explode(_but("numbers", "lines")).alias("e")).select("doc", "sub", "e.line", "e.body").filter(_has_word(F.col("body")))
+    hashes = F.array_distinct(F.transform(F.array_remove(F.split("body", " "), ""), lambda w: F.xxhash64(w)))
+    return copies, scratch.keep(new.select(*PLACE, hashes.alias("hashes")), "sets"), n_lines
+
+
+def _index(sets: DataFrame, t: float) -> DataFrame:
+    """A row for each prefix word of each line: its number and place in the order, and what the filters need."""
+    numbered = sets.select(*PLACE, F.size("hashes").alias("n"), _tokens("hashes", rarity(sets)).alias("tokens"))
+    prefix = F.slice("tokens", F.lit(1), (F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + 1).cast("int"))
+    # The parities stand in a projection of their own: beside the explode they would be computed for each of its rows.
+    lines = numbered.select(*PLACE, "n", *_parities(), prefix.alias("prefix"))
+    rows = lines.select(*PLACE, "n", *PARITIES, F.posexplode("prefix").alias("at", "token"))
+    return rows.withColumn("pos", F.col("at") + 1).drop("at")
+
+
+def _settled(index: DataFrame, rows: DataFrame, t: float, scratch: Scratch, n_lines: int) -> tuple[DataFrame, int]:
+    """Lines that match the earliest line of a posting list that may be long, and their number."""
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / t))).cast("int")
+    hot = scratch.keep(index.filter(F.shiftright("token", 57) >= HOT).withColumn("size", size), "hot")
+    settled, n, led = None, 0, None
+    for _ in range(ROUNDS):
+        left = hot if settled is None else hot.join(settled, [*PLACE], "left_anti")
+        fresh = left if led is None else left.join(led, [*PLACE], "left_anti")
+        top = F.min(F.struct("doc", "line", "sub", "n", "pos", *PARITIES))
+        leaders = scratch.keep(fresh.groupBy("token", "size").agg(top.alias("first")).select("token", "size", "first.*"), "leaders", n_lines)
+        close = (F.col("a.token") == F.col("b.token")) & (F.abs(F.col("a.size") - F.col("b.size")) <= 1)
+        met = left.alias("b").join(leaders.alias("a"), close & _earlier("a", "b") & _passes("a", "b", t))
+        nearest = met.groupBy(*[F.col(f"b.{c}").alias(f"b_{c}") for c in PLACE]).agg(
+            F.min(F.struct(_differ(_halves("a"), _halves("b")).alias("far"), *[F.col(f"a.{c}").alias(c) for c in ("doc", "line", "sub")])).alias("a")
+        )
+        pairs = nearest.select(*[F.col(f"a.{c}").alias(f"a_{c}") for c in PLACE], *[f"b_{c}" for c in PLACE])
+        found = scratch.keep(_verified(pairs, rows, t, scratch, n_lines), "settled", n_lines)
+        settled = found if settled is None else settled.unionByName(found)
+        led = leaders.select(*PLACE).distinct() if led is None else led.unionByName(leaders.select(*PLACE)).distinct()
+        new = found.count()
+        n += new
+        if not new:
+            break
+    return settled, n
+
+
+def matches(docs: DataFrame, similarity: float = SIMILARITY, keyed: bool = True) -> tuple[DataFrame, int]:
+    """(doc, sub and line of every line that an earlier line matches, their number). ``keyed``: doc_ids may repeat."""
     t = similarity
-    spark = docs.sparkSession
     rows = docs.select(_doc().alias("doc"), _sub(keyed, "text").alias("sub"), "text").filter(F.col("text").isNotNull())
-    if keyed:
-        rows = materialize(rows.dropDuplicates(["doc", "sub"]), "line-documents")
-    lines = rows.select("doc", "sub", F.posexplode(F.split("text", "\n", -1)).alias("line", "body")).filter(_has_word(F.col("body")))
-    places = materialize(lines.select(*PLACE, F.unhex(_digest(F.col("body"))).alias("key")), "line-places")
-    n_lines = places.count()
-    first = places.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("first"))
-    repeat = places.join(first, "key").filter(F.struct("doc", "line") > F.col("first"))
-    copies = materialize(repeat.select(*PLACE, F.concat(F.col("line").cast("string"), F.lit(":"), F.lower(F.hex("key"))).alias("entry")), "line-copies", n_lines)
-    n_copies = copies.count()
-
-    # The index of first lines.
-    known = rows.join(_by_document(copies, n_copies), ["doc", "sub"], "left")
-    entries = F.filter(
-        F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("body"))), lambda e: _has_word(e["body"])
-    )
-    kept = F.when(F.col("lines").isNull(), F.col("all")).otherwise(
-        F.filter("all", lambda e: ~F.array_contains("lines", _entry(e["line"], e["body"])))
-    )
-    firsts = known.select("doc", "sub", "lines", entries.alias("all")).select("doc", "sub", F.explode(kept).alias("e")).select("doc", "sub", "e.line", "e.body")
-    sets = firsts.select(*PLACE, _tokens(_split(F.col("body")), rarity(rows)).alias("tokens"))
-    n = F.size("tokens")
-    parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
-    prefix = F.slice("tokens", F.lit(1), (n - F.ceil(F.lit(t) * n - 1e-9) + 1).cast("int"))
-    index = sets.select(*PLACE, n.alias("n"), parity.alias("parity"), F.posexplode(prefix).alias("pos", "token"))
-    index = index.select("token", *PLACE, "n", (F.col("pos") + 1).alias("pos"), "parity")
-    name = "line_index_" + uuid.uuid4().hex
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = f"{scratch_root(spark)}/tessella/{spark.sparkContext.applicationId}/{name}"
-    index.repartition("token").write.bucketBy(buckets, "token").sortBy("token").option("path", path).saveAsTable(name)
-    release(spark)
-    index = spark.table(name)
-
-    # Each line against the earliest of its lists, by classes of length.
-    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / t))).cast("int")
-    leaders = index.groupBy("token", size_class.alias("size")).agg(F.min(F.struct("doc", "line", "n", "pos", "parity", "sub")).alias("first"))
-    leaders = leaders.select("token", "size", "first.*").alias("a")
-    b = index.withColumn("size", size_class).alias("b")
-    close = (F.col("a.token") == F.col("b.token")) & (F.abs(F.col("a.size") - F.col("b.size")) <= 1)
-    met = b.join(leaders, close & _earlier("a", "b") & _passes("a", "b", t))
-    nearest = met.groupBy(*[F.col(f"b.{c}").alias(f"b_{c}") for c in PLACE]).agg(
-        F.min(F.struct(F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity"))).alias("far"), *[F.col(f"a.{c}").alias(c) for c in ("doc", "line", "sub")])).alias("a")
-    )
-    pairs = nearest.select(*[F.col(f"a.{c}").alias(f"a_{c}") for c in PLACE], *[f"b_{c}" for c in PLACE])
-    settled = materialize(_verified(pairs, rows, t, n_lines), "line-settled", n_lines)
-    n_settled = settled.count()
-
-    # The lines that are left against all earlier lines.
-    done = F.broadcast(settled) if n_settled <= BROADCAST_LINES else settled
-    left = index.join(done, [*PLACE], "left_anti").alias("b")
-    met = left.join(index.alias("a"), (F.col("a.token") == F.col("b.token")) & _earlier("a", "b") & _passes("a", "b", t))
-    pairs = met.select(*[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in PLACE]).distinct()
-    more = _verified(pairs, rows, t, n_lines)
-    similar = settled.unionByName(more).distinct()
-    named = similar.join(places, [*PLACE]).select("doc", "sub", F.concat(F.col("line").cast("string"), F.lit(":"), F.lower(F.hex("key"))).alias("entry"))
-    return materialize(copies.select("doc", "sub", "entry").unionByName(named), "line-matches", n_lines)
+    with Scratch(docs.sparkSession) as scratch:
+        if keyed:
+            rows = scratch.keep(rows.dropDuplicates(["doc", "sub"]), "documents")
+        copies, sets, n_lines = _word_sets(rows, scratch)
+        index = scratch.keep(_index(sets, t), "index")
+        scratch.drop("sets")
+        settled, n_settled = _settled(index, rows, t, scratch, n_lines)
+        done = F.broadcast(settled) if n_settled * 64 <= BROADCAST_BYTES else settled
+        left = index.join(done, [*PLACE], "left_anti").alias("b")
+        met = left.join(index.alias("a"), (F.col("a.token") == F.col("b.token")) & _earlier("a", "b") & _passes("a", "b", t))
+        pairs = met.select(*[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in PLACE]).distinct()
+        more = _verified(pairs, rows, t, scratch, n_lines)
+        found = materialize(copies.unionByName(settled).unionByName(more), "line-matches", n_lines)
+    return found, found.count()
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
     """``docs`` with ``_n_lines``, ``_n_removed`` and the text without its removed lines in place of the text."""
     keyed = _repeated(docs)
-    found = matches(docs.select("doc_id", F.col(text).alias("text")), similarity, keyed)
-    lists = _by_document(found, found.count()).select(F.col("doc").alias("_doc"), F.col("sub").alias("_sub"), F.array_distinct("lines").alias("_removed"))
-    marked = docs.join(lists, (_doc() == F.col("_doc")) & (_sub(keyed, text) == F.col("_sub")), "left")
-    marked = marked.withColumn("_lines", F.split(text, "\n", -1))
-    entries = F.transform("_lines", lambda x, i: _entry(i, x))
-    kept = F.when(F.col("_removed").isNotNull(), F.array_except(entries, "_removed"))
-    marked = marked.withColumn("_kept", kept)
-    left = F.array_join(F.transform("_kept", lambda e: F.get("_lines", _number(e))), "\n")
+    found, n = matches(docs.select("doc_id", F.col(text).alias("text")), similarity, keyed)
+    lists = _by_document(found, n)
+    others = [c for c in docs.columns if c != text]
+    marked = docs.select(F.struct(F.lit(0), *others).alias("row"), _doc().alias("doc"), _sub(keyed, text).alias("sub"), F.col(text).alias("text"))
+    marked = marked.join(lists, ["doc", "sub"], "left")
+    marked = marked.select("row", "text", "numbers", F.split("text", "\n", -1).alias("lines"))
+    marked = marked.select("row", "text", "lines", F.when(F.col("numbers").isNotNull(), F.transform(_but("numbers", "lines"), lambda e: e["body"])).alias("kept"))
     return marked.select(
-        *[c for c in docs.columns if c != text],
-        F.coalesce(F.size("_lines"), F.lit(0)).alias("_n_lines"),
-        F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).alias("_n_removed"),
-        F.when(F.col("_kept").isNull(), F.col(text)).otherwise(left).alias(text),
+        *[F.col("row").getField(c).alias(c) for c in others],
+        F.coalesce(F.size("lines"), F.lit(0)).alias("_n_lines"),
+        F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).alias("_n_removed"),
+        F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias(text),
     )
 
 
