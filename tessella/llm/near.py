@@ -12,9 +12,10 @@ text with a count from the start.
   the shingle with the least ln c - r (t - beta) - r, t = floor(ln w / r + beta), together with t. ``ROWS`` samples make a band.
 * Verification: in each bucket of equal bands all texts are held against the one with the least weight to itself, by
   weighted Jaccard similarity. Verified links are joined to components. What is left are pairs of different components in
-  one bucket. Two bounds rule out most of them: what a text has to itself cannot be shared, and the triangle
-  inequality of the Jaccard distance with the two known similarities. The others are verified too. So no pair of a
-  bucket is left out, while a group of copies costs a comparison a member.
+  one bucket. Three bounds rule out most of them: what a text has to itself cannot be shared, the triangle inequality
+  of the Jaccard distance with the two known similarities, and the weights that either has in and outside the text
+  both were held against. The others are verified too. So no pair of a bucket is left out, while a group of copies
+  costs a comparison a member.
 
 Groups are dealt over sub-groups of at most ``PART`` texts, so no task holds a large group.
 
@@ -265,6 +266,9 @@ def links(candidates: DataFrame, similarity: float) -> DataFrame:
     placed = materialize(placed.select(
         "band", "value", "bands", "node", "total", "common", "own", F.coalesce("label", "node").alias("label"),
         F.when(F.col("node") == F.col("_leader"), 1.0).otherwise(F.col("score")).alias("score"),
+        F.when(F.col("node") == F.col("_leader"), F.col("common")).otherwise(
+            F.col("score") * (F.col("total") + F.col("leader.total")) / (1 + F.col("score"))
+        ).alias("met"),
     ), "bucket-labels", n * BANDS)
     parts = placed.groupBy("band", "value", "label").agg(F.count("*").alias("n"))
     main = parts.groupBy("band", "value").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).filter("labels > 1")
@@ -293,13 +297,17 @@ def _rest(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
     """Pairs of one bucket and different components that neither the weights nor the scores with the leader rule out.
 
     1 - similarity is a metric: two texts whose distances to a third differ by more than the bound are too far apart.
+    What two texts share is at most the lesser of what they share with the leader (``met``), and the lesser of the weight
+    outside the leader that each shares with any text.
     """
     x, y = left.alias("x"), right.alias("y")
+    most = F.least("x.met", "y.met") + F.least(F.col("x.common") - F.col("x.met"), F.col("y.common") - F.col("y.met"))
+    apart = F.coalesce(most * (1 + 1e-6) < F.lit(similarity) * (F.col("x.total") + F.col("y.total") - most), F.lit(False))
     far = F.coalesce(F.abs(F.col("x.score") - F.col("y.score")) > 1 - similarity + 1e-9, F.lit(False))
     same = (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value"))
     # A pair is met in the first band that it shares, once.
     again = F.exists(F.slice(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), F.lit(1), F.col("x.band")), lambda p: p)
-    met = x.join(y, same & (F.col("x.label") != F.col("y.label")) & _possible("x.", "y.", similarity) & ~far & ~again)
+    met = x.join(y, same & (F.col("x.label") != F.col("y.label")) & _possible("x.", "y.", similarity) & ~far & ~apart & ~again)
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
