@@ -10,8 +10,8 @@ Jaccard similarity of at least the threshold with it, both judged on the input.
 * The prefix of a line (n - ceil(t n) + 1 words) is indexed. Two similar lines share a prefix word, at which the length
   and positional filters hold. Their parities (128 bits, 256 for long lines; each word flips one) differ in no more
   bits than the lines may differ in words. Pairs that pass are verified on the words themselves.
-* Words that may have long posting lists come first: each line is held against the earliest line of each such list,
-  for some rounds. Only the existence of an earlier match matters, so this settles large groups of variants without
+* Long posting lists come first: each line is held against the earliest line of each of its long lists, then against
+  the earliest of those that are left, for some rounds. Only the existence of an earlier match matters, so this settles large groups of variants without
   their pairs. Lines that found none are then joined with all earlier lines.
 
 Line numbers by document are broadcast up to ``BROADCAST_BYTES``, else joined by document. No user function runs.
@@ -37,9 +37,9 @@ PLACE = ("doc", "sub", "line")
 NO_ID = -(2**63)
 #: Bytes of line numbers that may be broadcast at once.
 BROADCAST_BYTES = 32 << 20
-#: A rarity class from which posting lists may be long: a bucket of 4,096 words. Lists of rarer words are shorter.
-HOT = 24
-ROUNDS = 2
+#: Lines of one class of lengths from which the posting list of a word is long.
+LIST = 64
+ROUNDS = 3
 #: Lines of so many words have the long parity.
 LONG = 192
 
@@ -157,6 +157,11 @@ def _passes(a: str, b: str, t: float) -> Column:
     )
 
 
+def _order() -> Column:
+    """The order of lines as one number, as a minimum of structs is aggregated by sorting."""
+    return F.col("doc").cast("decimal(20,0)") * F.lit(1 << 32) + F.col("line")
+
+
 def _earlier(a: str, b: str) -> Column:
     return (F.col(f"{a}.doc") < F.col(f"{b}.doc")) | ((F.col(f"{a}.doc") == F.col(f"{b}.doc")) & (F.col(f"{a}.line") < F.col(f"{b}.line")))
 
@@ -189,11 +194,9 @@ def _word_sets(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame,
     lines = rows.select("doc", "sub", _numbered("text")).filter(_has_word(F.col("body")))
     places = scratch.keep(lines.select(*PLACE, F.unhex(F.md5("body")).alias("key")), "places")
     n_lines = places.count()
-    # One number for the order of lines, as a minimum of structs is aggregated by sorting.
-    order = F.col("doc").cast("decimal(20,0)") * F.lit(1 << 32) + F.col("line")
-    first = places.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = places.groupBy("key").agg(F.min(_order()).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = scratch.keep(first.select("key", "first"), "first", n_lines)
-    repeat = places.join(first, "key").filter(order > F.col("first"))
+    repeat = places.join(first, "key").filter(_order() > F.col("first"))
     copies = scratch.keep(repeat.select(*PLACE), "copies", n_lines)
     known = rows.join(_by_document(copies, copies.count()), ["doc", "sub"], "left")
     split = known.select("doc", "sub", "numbers", F.split(_plain("text"), "\n", -1).alias("lines"))
@@ -213,9 +216,11 @@ def _index(sets: DataFrame, t: float) -> DataFrame:
 
 
 def _settled(index: DataFrame, rows: DataFrame, t: float, scratch: Scratch, n_lines: int) -> tuple[DataFrame, int]:
-    """Lines that match the earliest line of a posting list that may be long, and their number."""
-    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / t))).cast("int")
-    hot = scratch.keep(index.filter(F.shiftright("token", 57) >= HOT).withColumn("size", size), "hot")
+    """Lines that match the earliest line of a long posting list, and their number."""
+    sized = index.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / t))).cast("int"))
+    long = scratch.keep(sized.groupBy("token", "size").count().filter(F.col("count") >= LIST).select("token", "size"), "long")
+    long = F.broadcast(long) if long.count() * 32 <= BROADCAST_BYTES else long
+    hot = scratch.keep(sized.join(long, ["token", "size"]), "hot")
     settled, n, led = None, 0, None
     for _ in range(ROUNDS):
         left = hot if settled is None else hot.join(settled, [*PLACE], "left_anti")
