@@ -62,11 +62,11 @@ def name_key(name: Column) -> Column:
 
 
 def singular(word: Column) -> Column:
-    """English singular of a key: ies -> y, sses/xes/ches/shes lose es, a plain s goes."""
+    """English singular of a key of over three letters: ies -> y, a plain s goes, ss stays."""
+    long = F.length(word) > 3
     return (
-        F.when(word.rlike("[a-z]ies$"), F.regexp_replace(word, "ies$", "y"))
-        .when(word.rlike("(ss|x|ch|sh)es$"), F.regexp_replace(word, "es$", ""))
-        .when(word.rlike("[^s]s$"), F.regexp_replace(word, "s$", ""))
+        F.when(long & F.endswith(word, F.lit("ies")), F.regexp_replace(word, "ies$", "y"))
+        .when(long & F.endswith(word, F.lit("s")) & ~F.endswith(word, F.lit("ss")), F.regexp_replace(word, "s$", ""))
         .otherwise(word)
     )
 
@@ -85,39 +85,47 @@ def camel_to_kebab(name: Column) -> Column:
     return F.regexp_replace(camel_to_snake(name), "_", "-")
 
 
-#: Spellings of column types by family, fixed values of common SQL dialects and languages.
+#: Spellings of column types by family.
 TYPE_FAMILIES = {
-    "integer": ("int", "integer", "bigint", "smallint", "tinyint", "serial", "bigserial", "long", "short"),
-    "decimal": ("decimal", "numeric", "float", "double", "real", "money", "number"),
-    "text": ("char", "varchar", "text", "string", "nvarchar", "longtext", "citext", "uuid"),
-    "boolean": ("bool", "boolean", "bit"),
-    "time": ("date", "datetime", "timestamp", "timestamptz", "time"),
-    "document": ("json", "jsonb", "object", "map", "variant"),
-    "binary": ("blob", "bytea", "binary", "varbinary"),
-}
+    "string": (
+        "string", "str", "char", "varchar", "nvarchar", "text", "longtext", "mediumtext", "tinytext", "email", "slug", "url", "charfield", "textfield", "emailfield", "enum",
+        "citext", "symbol",
+    ),
+    "number": (
+        "number", "int", "integer", "bigint", "smallint", "tinyint", "mediumint", "uint", "serial", "bigserial", "numeric", "decimal", "float", "double", "real", "money",
+        "integerfield", "floatfield", "decimalfield", "autofield", "bigautofield", "biginteger", "positiveinteger", "int32", "int64", "float32", "float64", "long", "short",
+    ),
+    "bool": ("bool", "boolean", "bit", "booleanfield"),
+    "datetime": ("date", "datetime", "timestamp", "timestamptz", "time", "datefield", "datetimefield", "timestamps", "instant", "localdatetime"),
+    "uuid": ("uuid", "guid", "uuidfield"),
+    "json": ("json", "jsonb", "object", "dict", "map", "mixed", "jsonfield", "hstore"),
+    "bytes": ("blob", "bytea", "bytes", "binary", "byte", "varbinary", "buffer"),
+}
 
 
 def type_family(kind: Column) -> Column:
-    """Family of a column type, its size, brackets and sign left out; null when unknown."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(kind), r"\([^)]*\)|\[\]", ""), r"\b(un)?signed\b", ""))
-    out = F.lit(None).cast("string")
-    for family, names in TYPE_FAMILIES.items():
-        out = F.when(bare.isin(*names), F.lit(family)).otherwise(out)
-    return out
+    """Family of a column type, its size, brackets and sign left out; the bare type where none is known, ``unknown`` of nothing."""
+    given = F.when(F.coalesce(kind, F.lit("")) == "", F.lit("unknown")).otherwise(kind)
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(given), r"(?s)\(.*$", ""), r"[\s\[\]<>*]", ""), r"unsigned$", "")
+    table = F.create_map(*[F.lit(x) for family, names in TYPE_FAMILIES.items() for name in names for x in (name, family)])
+    return F.coalesce(F.try_element_at(table, bare), bare)
 
 
-#: Other names of validation rules.
-RULE_ALIASES = {"notnull": "required", "notblank": "required", "notempty": "required", "presence": "required", "minlength": "min", "maxlength": "max", "regex": "pattern", "matches": "pattern"}
+#: Other names of validation rules.
+RULE_ALIASES = {
+    "notnull": "required", "notempty": "required", "isnotempty": "required", "notblank": "required", "nonempty": "required",
+    "gte": "min", "ge": "min", "minvalue": "min", "minvaluevalidator": "min", "lte": "max", "le": "max", "maxvalue": "max", "maxvaluevalidator": "max",
+    "minlength": "minlength", "minlen": "minlength", "length": "length", "uniqueindex": "unique", "isemail": "email", "emailvalidator": "email",
+    "isurl": "url", "isuuid": "uuid", "gt": "greater", "lt": "less", "maxlength": "maxlength", "maxlen": "maxlength",
+}
 
 
 def rule_name(rule: Column) -> Column:
-    """Canonical name of a validation rule; ``type(x)`` is x."""
-    inner = F.regexp_extract(rule, r"^type\((.*)\)$", 1)
-    bare = name_key(F.when(inner != "", inner).otherwise(F.regexp_replace(rule, r"\(.*$", "")))
-    out = bare
-    for alias, name in RULE_ALIASES.items():
-        out = F.when(bare == alias, F.lit(name)).otherwise(out)
-    return out
+    """Canonical name of a validation rule; ``type(x)`` is x, other arguments are left out."""
+    whole = r"^type\(([^)]*)\)$"
+    bare = name_key(F.when(rule.rlike(whole), F.regexp_extract(rule, whole, 1)).otherwise(F.regexp_replace(rule, r"(?s)\(.*$", "")))
+    table = F.create_map(*[F.lit(x) for kv in RULE_ALIASES.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, bare), bare)
 
 
 def major_version(version: Column) -> Column:
@@ -159,8 +167,13 @@ def middle_cut(text: Column, most: int) -> Column:
 
 
 def numbered(text: Column) -> Column:
-    """Every line with its number, four wide, and a bar."""
-    lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.concat(F.lpad((i + 1).cast("string"), 4, " "), F.lit("| "), x))
+    """Every line with its number, at least four wide, and a bar."""
+
+    def line(x: Column, i: Column) -> Column:
+        n = (i + 1).cast("string")
+        return F.concat(F.repeat(F.lit(" "), F.greatest(F.lit(0), 4 - F.length(n))), n, F.lit("| "), x)
+
+    lines = F.transform(F.split(text, "\n", -1), line)
     return F.array_join(lines, "\n")
 
 
@@ -210,13 +223,43 @@ def identifiers(text: Column) -> Column:
     return F.slice(F.array_distinct(F.concat(quoted, named)), 1, 8)
 
 
+#: What a provider's page says when it has a problem, by code, in order.
+PROBLEMS = (
+    ("LIMIT", r"usage (?:cap|limit)|reached (?:the |your )?(?:current )?(?:message |usage )?limit|message limit|out of (?:free )?messages|too many requests|rate limit|quota|try again (?:later|in)|come back (?:later|at)"),
+    ("CONTEXT_TOO_LARGE", r"message (?:is )?too long|too long|input (?:is )?too large|exceeds? the (?:maximum )?(?:context|length)|context (?:length|window)|prompt is too long"),
+    ("LOGIN", r"log ?in to continue|sign ?in to continue|please (?:log|sign) ?in|session (?:has )?expired"),
+    ("CAPTCHA", r"verify you are (?:a )?human|captcha|unusual activity"),
+    ("NETWORK", r"network error|something went wrong|an error occurred|failed to (?:generate|fetch|load)|connection (?:lost|error)|couldn['’]t (?:generate|complete)"),
+)
+
+
 def problem_kind(text: Column) -> Column:
-    """What a provider's message complains of: the first of five kinds, else null."""
-    low = F.lower(text)
-    return (
-        F.when(low.rlike("rate.?limit|too many requests"), "rate_limited")
-        .when(low.rlike("sign.?in|log.?in|session expired"), "signed_out")
-        .when(low.rlike("too long|context length|maximum length"), "too_long")
-        .when(low.rlike("network|offline|timed? ?out"), "network")
-        .when(low.rlike("captcha|verify you are human"), "challenge")
-    )
+    """Code of the first problem that a message names, in any case; else null."""
+    out = F
+    for code, pattern in PROBLEMS:
+        out = out.when(text.rlike(f"(?i){pattern}"), code)
+    return out
+
+
+def find_json(text: Column) -> Column:
+    """The parts of a fenced block marked json, or else the text itself: candidates to parse."""
+    fenced = F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*\n?(.*?)```"), F.lit(1))
+    return F.when(F.size(fenced) > 0, fenced).otherwise(F.array(text))
+
+
+def readable_route(pattern: Column) -> Column:
+    """A route written as a regular expression as a path: anchors go, each group is a parameter by its name."""
+    s = F.regexp_replace(F.regexp_replace(pattern, r"^\^", ""), r"\$$", "")
+    s = F.regexp_replace(s, r"\(\?P?<(\w+)>[^)]*\)", ":$1")
+    return F.regexp_replace(F.regexp_replace(s, r"\([^?)][^)]*\)", ":param"), r"\\(.)", "$1")
+
+
+def replace_once(text: Column, find: Column, put: Column) -> Column:
+    """The text with its one occurrence of ``find`` replaced; null if it has none or several."""
+    n = F.floor((F.length(text) - F.length(F.replace(text, find, F.lit("")))) / F.length(find))
+    return F.when((F.length(find) > 0) & (n == 1), F.replace(text, find, put))
+
+
+def offline_wait(base: Column) -> Column:
+    """Milliseconds before the next try without a connection: half as long again, 30 seconds at most."""
+    return F.least(F.lit(30000.0), base * 1.5)

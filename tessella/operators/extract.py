@@ -25,47 +25,47 @@ class LineRule:
     languages: tuple[str, ...] = ()  # none: any
 
 
-JS = ("JavaScript", "TypeScript", "Vue", "Svelte")
-JVM = ("Java", "Kotlin")
+JS = ("javascript", "typescript", "vue", "svelte")
+JVM = ("java", "kotlin")
 VERB = "get|post|put|patch|delete|head|options"
 
 SYMBOLS = (
     LineRule("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)", JS),
     LineRule("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>", JS),
     LineRule("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)(?:\s+extends\s+([\w$.]+))?", JS),
-    LineRule("function", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)", ("Python",)),
-    LineRule("class", r"^\s*class\s+([A-Za-z_]\w*)\s*(?:\(([^)]*)\))?", ("Python",)),
-    LineRule("function", r"^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)", ("Go",)),
-    LineRule("class", r"^type\s+([A-Za-z_]\w*)\s+(struct|interface)", ("Go",)),
-    LineRule("class", r"^\s*(?:public\s+|final\s+|abstract\s+|data\s+|sealed\s+|partial\s+|static\s+|internal\s+)*(?:class|interface|record)\s+([A-Za-z_]\w*)", (*JVM, "C#")),
-    LineRule("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+([A-Za-z_]\w*)", ("Rust",)),
-    LineRule("function", r"^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!]?)", ("Ruby",)),
-    LineRule("function", r"^\s*(?:public\s+|private\s+|protected\s+|static\s+)*function\s+([A-Za-z_]\w*)", ("PHP",)),
+    LineRule("function", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)", ("python",)),
+    LineRule("class", r"^\s*class\s+([A-Za-z_]\w*)\s*(?:\(([^)]*)\))?", ("python",)),
+    LineRule("function", r"^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)", ("go",)),
+    LineRule("class", r"^type\s+([A-Za-z_]\w*)\s+(struct|interface)", ("go",)),
+    LineRule("class", r"^\s*(?:public\s+|final\s+|abstract\s+|data\s+|sealed\s+|partial\s+|static\s+|internal\s+)*(?:class|interface|record)\s+([A-Za-z_]\w*)", (*JVM, "csharp")),
+    LineRule("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+([A-Za-z_]\w*)", ("rust",)),
+    LineRule("function", r"^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!]?)", ("ruby",)),
+    LineRule("function", r"^\s*(?:public\s+|private\s+|protected\s+|static\s+)*function\s+([A-Za-z_]\w*)", ("php",)),
 )
 IMPORTS = (
     LineRule("import", r"^\s*(?:import|export)\b[^'\"]*['\"]([^'\"]+)['\"]", JS),
     LineRule("import", r"\b(?:require|import)\(\s*['\"]([^'\"]+)['\"]\s*\)", JS),
-    LineRule("import", r"^\s*from\s+([.\w]+)\s+import\s+(.+)", ("Python",)),
-    LineRule("import", r"^\s*import\s+([\w.]+)", ("Python", *JVM)),
-    LineRule("import", r"^\s*using\s+(?:static\s+)?([\w.]+)\s*;", ("C#",)),
-    LineRule("import", r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([\w./-]+)\"\s*$", ("Go",)),
-    LineRule("import", r"^\s*use\s+([\w\\:]+)", ("PHP", "Rust")),
-    LineRule("import", r"^\s*require(?:_relative)?\s+['\"]([^'\"]+)['\"]", ("Ruby",)),
+    LineRule("import", r"^\s*from\s+([.\w]+)\s+import\s+(.+)", ("python",)),
+    LineRule("import", r"^\s*import\s+([\w.]+)", ("python", *JVM)),
+    LineRule("import", r"^\s*using\s+(?:static\s+)?([\w.]+)\s*;", ("csharp",)),
+    LineRule("import", r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([\w./-]+)\"\s*$", ("go",)),
+    LineRule("import", r"^\s*use\s+([\w\\:]+)", ("php", "rust")),
+    LineRule("import", r"^\s*require(?:_relative)?\s+['\"]([^'\"]+)['\"]", ("ruby",)),
 )
 ROUTES = (
     LineRule("route", rf"\b(?:app|router|server|api)\.({VERB}|all|use)\(\s*['\"`]([^'\"`]+)['\"`]", JS),
-    LineRule("route", rf"^\s*@\w+\.({VERB}|route)\(\s*['\"]([^'\"]*)['\"]", ("Python",)),
+    LineRule("route", rf"^\s*@\w+\.({VERB}|route)\(\s*['\"]([^'\"]*)['\"]", ("python",)),
     LineRule("route", r"^\s*@(Get|Post|Put|Patch|Delete|Request)Mapping\(\s*(?:(?:value|path)\s*=\s*)?\"([^\"]*)\"", JVM),
-    LineRule("route", r"\[Http(Get|Post|Put|Patch|Delete)\(\s*\"([^\"]*)\"", ("C#",)),
-    LineRule("route", r"\.(GET|POST|PUT|PATCH|DELETE|HandleFunc|Handle)\(\s*\"([^\"]+)\"", ("Go",)),
-    LineRule("route", r"^\s*(get|post|put|patch|delete)\s+['\"]([^'\"]+)['\"]", ("Ruby",)),
-    LineRule("route", r"Route::(get|post|put|patch|delete|any)\(\s*['\"]([^'\"]+)['\"]", ("PHP",)),
-    LineRule("route", r"#\[(get|post|put|patch|delete)\(\s*\"([^\"]+)\"", ("Rust",)),
+    LineRule("route", r"\[Http(Get|Post|Put|Patch|Delete)\(\s*\"([^\"]*)\"", ("csharp",)),
+    LineRule("route", r"\.(GET|POST|PUT|PATCH|DELETE|HandleFunc|Handle)\(\s*\"([^\"]+)\"", ("go",)),
+    LineRule("route", r"^\s*(get|post|put|patch|delete)\s+['\"]([^'\"]+)['\"]", ("ruby",)),
+    LineRule("route", r"Route::(get|post|put|patch|delete|any)\(\s*['\"]([^'\"]+)['\"]", ("php",)),
+    LineRule("route", r"#\[(get|post|put|patch|delete)\(\s*\"([^\"]+)\"", ("rust",)),
 )
 CLIENT_CALLS = (
     LineRule("client_call", r"\bfetch\(\s*['\"`]([^'\"`]+)['\"`](?:(?:(?!\bfetch\().)*method:\s*['\"](\w+)['\"])?", JS),
     LineRule("client_call", rf"\b(?:axios|http|client|\$http)\.(?:{VERB})\(\s*['\"`]([^'\"`]+)['\"`]", JS),
-    LineRule("client_call", rf"\b(?:requests|httpx|session)\.(?:{VERB})\(\s*f?['\"]([^'\"]+)['\"]", ("Python",)),
+    LineRule("client_call", rf"\b(?:requests|httpx|session)\.(?:{VERB})\(\s*f?['\"]([^'\"]+)['\"]", ("python",)),
 )
 DATABASE = (
     LineRule("table", r"(?i)\bcreate\s+table\s+(?:if\s+not\s+exists\s+)?[`\"\[]?([\w.]+)"),
@@ -76,8 +76,8 @@ DATABASE = (
     LineRule("delete", r"(?i)\bdelete\s+from\s+[`\"\[]?([A-Za-z_][\w.]*)"),
     LineRule("orm_read", r"\b([A-Z]\w*)\.(find|findOne|findAll|findById|findMany|count|aggregate)\(", JS),
     LineRule("orm_write", r"\b([A-Z]\w*)\.(create|insertMany|updateOne|updateMany|deleteOne|deleteMany|destroy|upsert|bulkCreate)\(", JS),
-    LineRule("orm_read", r"\b([A-Z]\w*)\.objects\.(all|get|filter|exclude|count|first)\(", ("Python",)),
-    LineRule("orm_write", r"\b([A-Z]\w*)\.objects\.(create|update|delete|bulk_create|get_or_create)\(", ("Python",)),
+    LineRule("orm_read", r"\b([A-Z]\w*)\.objects\.(all|get|filter|exclude|count|first)\(", ("python",)),
+    LineRule("orm_write", r"\b([A-Z]\w*)\.objects\.(create|update|delete|bulk_create|get_or_create)\(", ("python",)),
 )
 EVIDENCE = (
     LineRule("auth", r"(?i)\b(jsonwebtoken|jwt|bcrypt|passport|oauth2?|login_required|IsAuthenticated|Authorize|PreAuthorize|session_token)\b"),
@@ -98,11 +98,11 @@ COMMENT = r"^\s*(?://|#[^\[]|#$|\*|/\*|--|<!--)"
 SLASHES = r"//|\*|/\*"
 #: By language: what opens a comment, and closed comments (or their ends) after which the line goes on.
 MARKS = (
-    (("HTML",), r"^\s*<!--", r"^(?:\s*<!--.*?-->)+"),
-    (("Python", "Ruby"), r"^\s*#", None),
-    (("JavaScript", "TypeScript", *JVM, "C#", "Go", "Rust"), rf"^\s*(?:{SLASHES})", r"^(?:\s*(?:/\*.*?\*/|\*/))+\s*"),
-    (("Vue", "Svelte"), rf"^\s*(?:{SLASHES}|<!--)", r"^(?:\s*(?:/\*.*?\*/|\*/|<!--.*?-->))+\s*"),
-    (("PHP",), rf"^\s*(?:{SLASHES}|#[^\[]|#$|<!--)", r"^(?:\s*(?:/\*.*?\*/|\*/|<!--.*?-->))+\s*"),
+    (("html",), r"^\s*<!--", r"^(?:\s*<!--.*?-->)+"),
+    (("python", "ruby"), r"^\s*#", None),
+    (("javascript", "typescript", *JVM, "csharp", "go", "rust"), rf"^\s*(?:{SLASHES})", r"^(?:\s*(?:/\*.*?\*/|\*/))+\s*"),
+    (("vue", "svelte"), rf"^\s*(?:{SLASHES}|<!--)", r"^(?:\s*(?:/\*.*?\*/|\*/|<!--.*?-->))+\s*"),
+    (("php",), rf"^\s*(?:{SLASHES}|#[^\[]|#$|<!--)", r"^(?:\s*(?:/\*.*?\*/|\*/|<!--.*?-->))+\s*"),
 )
 CLOSED = r"^(?:\s*(?:/\*.*?\*/|\*/|<!--.*?-->))+\s*"
 

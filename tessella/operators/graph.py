@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.sources.scratch import written
+
 
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -16,14 +18,17 @@ def reverse(edges: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, starts: DataFrame, depth: int, include_start: bool = False) -> DataFrame:
     """(start, node, depth) of all nodes within ``depth`` steps, with the least number of steps; cycles do no harm.
 
-    ``edges``: src, dst. ``starts``: start. The plan grows by a join a step; ``depth`` is a small constant.
+    ``edges``: src, dst. ``starts``: start. Every frontier is written down, so a step joins stored tables and the plan of
+    the result is a scan a step. The search ends early when a frontier is empty.
     """
-    e = edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst")).distinct()
-    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))
-    front = seen
+    e = written(edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst")).distinct(), "edges")
+    front = written(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct(), "front")
+    seen = front
     for k in range(1, depth + 1):
         step = front.join(e, F.col("node") == F.col("_src")).select("start", F.col("_dst").alias("node"), F.lit(k).alias("depth")).distinct()
-        front = step.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        front = written(step.join(seen.select("start", "node"), ["start", "node"], "left_anti"), "front")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen if include_start else seen.filter("depth > 0")
 
@@ -34,16 +39,65 @@ def trace(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     ``edges``: src, dst, status.
     """
     sure = F.when(F.col("status") == "VERIFIED", 1).otherwise(0)
-    e = edges.groupBy(F.col("src").alias("_src"), F.col("dst").alias("_dst")).agg(F.max(sure).alias("_sure"))
-    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(1).alias("sure"))
-    front = seen
+    e = written(edges.groupBy(F.col("src").alias("_src"), F.col("dst").alias("_dst")).agg(F.max(sure).alias("_sure")), "edges")
+    front = written(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(1).alias("sure")).distinct(), "front")
+    seen = front
     for k in range(1, depth + 1):
         step = front.join(e, F.col("node") == F.col("_src")).groupBy("start", F.col("_dst").alias("node")).agg(F.max(F.least("sure", "_sure")).alias("sure"))
-        front = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").select("start", "node", F.lit(k).alias("depth"), "sure")
+        new = step.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        front = written(new.select("start", "node", F.lit(k).alias("depth"), "sure"), "front")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen.filter("depth > 0").select("start", "node", "depth", F.when(F.col("sure") == 1, "VERIFIED").otherwise("INFERRED").alias("status"))
 
 
+def trace_up(edges: DataFrame, starts: DataFrame, bound: DataFrame, depth: int) -> DataFrame:
+    """(start, step, node) of the chain from each start up through the first caller, until a bound node or none is left.
+
+    ``edges``: src, dst and ord, the order in which a node's callers count. ``bound``: node. A node already on the chain
+    is passed over, so cycles end.
+    """
+    up = written(edges.select(F.col("dst").alias("_node"), F.col("src").alias("_from"), "ord").filter("_node <> _from"), "callers")
+    ends = written(bound.select(F.col("node").alias("_bound")).distinct(), "bound")
+    front = written(starts.select("start", F.lit(0).alias("step"), F.col("start").alias("node")).distinct(), "chain")
+    seen = front
+    for k in range(1, depth + 1):
+        open_ends = front.join(ends, F.col("node") == F.col("_bound"), "left_anti")
+        step = open_ends.join(up, F.col("node") == F.col("_node")).select("start", F.col("_from").alias("node"), "ord")
+        new = step.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        front = written(new.groupBy("start").agg(F.min_by("node", F.struct("ord", "node")).alias("node")).select("start", F.lit(k).alias("step"), "node"), "chain")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
+def call_edges(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """(src, dst, line, status) of calls that resolve, by the first rule that holds.
+
+    A symbol of the same file, then the symbol of an imported file under the imported name (both VERIFIED), then a name
+    that one symbol of the whole project has (INFERRED). A name that is imported but found nowhere resolves to nothing.
+
+    ``calls``: file, symbol, name, line. ``symbols``: file, name. ``imports``: file, local, target (null: not of the project), imported.
+    """
+    node = F.concat_ws("#", "file", "name")
+    known = symbols.select("file", "name", node.alias("id")).distinct()
+    one = known.groupBy("name").agg(F.min("id").alias("only_id"), F.count("*").alias("n")).filter("n = 1").select("name", "only_id")
+    first = imports.groupBy("file", F.col("local").alias("name")).agg(F.min(F.struct("target", "imported")).alias("i"))
+    there = known.select(F.col("file").alias("_target"), F.col("name").alias("_imported"), F.col("id").alias("far_id"))
+    met = (
+        calls.join(known.select("file", "name", F.col("id").alias("near_id")), ["file", "name"], "left")
+        .join(first, ["file", "name"], "left")
+        .join(there, (F.col("i.target") == F.col("_target")) & (F.col("i.imported") == F.col("_imported")), "left")
+        .join(one, "name", "left")
+    )
+    dst = F.when(F.col("near_id").isNotNull(), F.col("near_id")).when(F.col("i").isNotNull(), F.col("far_id")).otherwise(F.col("only_id"))
+    status = F.when(F.col("near_id").isNotNull() | F.col("i").isNotNull(), "VERIFIED").otherwise("INFERRED")
+    out = met.select(F.concat_ws("#", "file", "symbol").alias("src"), dst.alias("dst"), "line", status.alias("status"))
+    return out.filter("dst IS NOT NULL AND src <> dst")
+
+
 def mount_prefixes(mounts: DataFrame, depth: int = 6) -> DataFrame:
     """(file, prefix), one row for each way a file is mounted. ``mounts``: parent (null for a root), file, prefix."""
     level = mounts.filter("parent IS NULL").select("file", "prefix")

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Projects that are compared pair by pair.
+MOST_PROJECTS = 1000
+
 
 def wildcard_join(calls: DataFrame, routes: DataFrame, key: str, method: str, wildcards: tuple[str, ...] = ("ANY", "ALL")) -> DataFrame:
     """Equal ``key`` and compatible ``method``: equal, or a wildcard on either side. Routes' columns get ``route_``."""
@@ -90,12 +93,20 @@ def compare(a: DataFrame, b: DataFrame, key: list[str], detail: str) -> DataFram
 
 
 def pairwise_sets(sets: DataFrame, key: str, items: str) -> DataFrame:
-    """For every two of a few projects: sizes of what is common and what only one has. One row a project is paired."""
-    a = sets.select(F.col(key).alias("a"), F.col(items).alias("_x"))
-    b = sets.select(F.col(key).alias("b"), F.col(items).alias("_y"))
-    met = a.join(F.broadcast(b), F.col("a") < F.col("b"))
-    common = F.size(F.array_intersect("_x", "_y"))
-    return met.select("a", "b", common.cast("long").alias("common"), (F.size("_x") - common).cast("long").alias("only_a"), (F.size("_y") - common).cast("long").alias("only_b"))
+    """For every two of a few projects: how many items are common and how many only one has. ``sets``: a row an item.
+
+    Items meet by an equi join, so only what is common is paired; the projects themselves are ``MOST_PROJECTS`` at most.
+    """
+    rows = sets.select(F.col(key).alias("a"), F.col(items).alias("_x")).distinct()
+    sizes = rows.groupBy("a").agg(F.count("*").alias("_n"))
+    keys = [r["a"] for r in sizes.select("a").limit(MOST_PROJECTS + 1).collect()]
+    if len(keys) > MOST_PROJECTS:
+        raise ValueError(f"over {MOST_PROJECTS} projects: choose which to compare")
+    later = F.filter(F.array(*map(F.lit, keys)).cast(f"array<{dict(rows.dtypes)['a']}>"), lambda k: k > F.col("a"))
+    pairs = sizes.select("a", F.col("_n").alias("_na"), F.explode(later).alias("b")).join(sizes.toDF("b", "_nb"), "b")
+    met = rows.join(rows.toDF("b", "_x"), "_x").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
+    common = F.coalesce("common", F.lit(0))
+    return pairs.join(met, ["a", "b"], "left").select("a", "b", common.alias("common"), (F.col("_na") - common).alias("only_a"), (F.col("_nb") - common).alias("only_b"))
 
 
 def either_direction(left: DataFrame, right: DataFrame, src: str, dst: str) -> DataFrame:

@@ -1,51 +1,113 @@
 """Folds over an ordered list of items: batches by budget, and selections that skip what does not fit.
 
-The state decides when it resets, so a window cannot say it; ``aggregate`` folds one group's ordered array inside the
-engine. A group is one run's queue of files, which its own limits bound.
+The state decides when it resets, so a window cannot say it. A group's items pass in order, an Arrow batch at a time,
+through a fold that keeps a few numbers: memory does not follow the group, and the time is linear. The items of one
+group are one sequence, so one task takes them; groups run beside each other.
+
+Defined results for odd input: a null size counts as 0; ties in the order go by item; a null group is a group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ITEM = "struct<id: bigint, size: bigint, batch: bigint>"
+from tessella.functions.text import token_estimate
+
+#: From the state (None before the first item of a group), the item's values: the next state and what it says of the item.
+Step = Callable[[tuple | None, tuple], tuple[tuple, tuple]]
+
 
+def fold(rows: DataFrame, group: list[str], order: list[str], given: list[str], keep: list[str], says: str, step: Step) -> DataFrame:
+    """The group, the kept columns and what ``step`` says (columns of the DDL ``says``) of each row, in order within its group."""
+    kinds = dict(rows.dtypes)
+    names = [*group, *keep]
+    ddl = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), says])
+    said = [x.split()[0] for x in says.split(", ")]
 
-def _ordered(rows: DataFrame, group: list[str], order: list[str], item: str, size: str) -> DataFrame:
-    key = F.struct(*order, F.col(item).cast("long").alias("_id"), F.col(size).cast("long").alias("_size"))
-    return rows.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(key)), lambda x: F.struct(x["_id"].alias("id"), x["_size"].alias("size"))).alias("_items"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = object(), None
+        for b in batches:
+            keys = list(zip(*[b.column(c).to_pylist() for c in group], strict=True)) if group else [()] * b.num_rows
+            values = zip(*[b.column(c).to_pylist() for c in given], strict=True)
+            out = []
+            for key, value in zip(keys, values, strict=True):
+                if key != at:
+                    at, state = key, None
+                state, what = step(state, value)
+                out.append(what)
+            columns = [b.column(c) for c in names] + [pa.array(list(x)) for x in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *said])
+
+    needed = list(dict.fromkeys([*group, *order, *given, *keep]))
+    dealt = rows.select(*needed).repartition(*group) if group else rows.select(*needed).coalesce(1)
+    return dealt.sortWithinPartitions(*group, *order).mapInArrow(run, ddl)
 
 
 def batches(rows: DataFrame, group: list[str], order: list[str], item: str, size: str, most_size: int, most_items: int) -> DataFrame:
     """Greedy batches in order: a new one starts when the next item would pass a limit; an oversize item is alone."""
 
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["n"] > 0) & ((acc["sum"] + x["size"] > most_size) | (acc["n"] >= most_items))
-        batch = F.when(full, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(
-            batch.alias("batch"), F.when(full, x["size"]).otherwise(acc["sum"] + x["size"]).alias("sum"), F.when(full, F.lit(1).cast("long")).otherwise(acc["n"] + 1).alias("n"),
-            F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), x["size"].alias("size"), batch.alias("batch")))).alias("out"),
-        )
+    def step(state: tuple | None, value: tuple) -> tuple[tuple, tuple]:
+        batch, total, n = state or (1, 0, 0)
+        x = value[0] or 0
+        if n and (total + x > most_size or n >= most_items):
+            batch, total, n = batch + 1, 0, 0
+        return (batch, total + x, n + 1), (batch,)
 
-    zero = F.lit(0).cast("long")
-    start = F.struct(F.lit(1).cast("long").alias("batch"), zero.alias("sum"), zero.alias("n"), F.array().cast(f"array<{ITEM}>").alias("out"))
-    folded = _ordered(rows, group, order, item, size).select(*group, F.aggregate("_items", start, step, lambda a: a["out"]).alias("_out"))
-    return folded.select(*group, F.explode("_out").alias("x")).select(*group, F.col("x.id").alias(item), F.col("x.size").alias(size), F.col("x.batch").alias("batch"))
+    return fold(rows, group, [*order, item], [size], [item, size], "batch bigint", step)
 
 
-def budgeted(rows: DataFrame, group: list[str], order: list[str], item: str, size: str, most_size: int, most_items: int, most_one: int) -> DataFrame:
-    """Each item with ``reason``: kept (null), too_large, no_count or no_size; what does not fit is skipped, the next is tried."""
+def budgeted(
+    rows: DataFrame, group: list[str], order: list[str], item: str, size: str, most_size: int, most_items: int, most_one: int, lines: str | None = None, most_lines: int = 0
+) -> DataFrame:
+    """Each item with ``reason``: kept (null), too_large, no_count, no_size or no_lines; what does not fit is skipped, the next is tried."""
 
-    def step(acc: Column, x: Column) -> Column:
-        why = F.when(x["size"] > most_one, "too_large").when(acc["n"] >= most_items, "no_count").when(acc["sum"] + x["size"] > most_size, "no_size")
-        kept = why.isNull()
-        return F.struct(
-            F.when(kept, acc["sum"] + x["size"]).otherwise(acc["sum"]).alias("sum"), F.when(kept, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
-            F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), why.alias("reason")))).alias("out"),
+    def step(state: tuple | None, value: tuple) -> tuple[tuple, tuple]:
+        n, total, rows_so_far = state or (0, 0, 0)
+        x, k = value[0] or 0, (value[1] or 0) if lines else 0
+        why = (
+            "too_large" if x > most_one
+            else "no_count" if n >= most_items
+            else "no_size" if total + x > most_size
+            else "no_lines" if lines and rows_so_far + k > most_lines
+            else None
         )
+        return ((n, total, rows_so_far) if why else (n + 1, total + x, rows_so_far + k)), (why,)
+
+    return fold(rows, group, [*order, item], [size, *([lines] if lines else [])], [item], "reason string", step)
+
+
+#: What stands at the end of a text that was cut.
+CUT = "\n[cut]"
+
+
+def shrunk_lines(text: Column, most_lines: int, most_tokens: int) -> Column:
+    """Lines that stay of a text: at most so many, then four fifths again and again while they pass the tokens and over ten are left."""
+    steps = F.sequence(F.lit(1), F.lit(60))  # enough for any number of lines that an int holds
+
+    def shrink(k: Column, _: Column) -> Column:
+        kept = F.call_function("substring_index", text, F.lit("\n"), k)
+        return F.when((k > 10) & (token_estimate(kept) > most_tokens), F.floor(k * 0.8).cast("int")).otherwise(k)
+
+    return F.aggregate(steps, F.least(F.size(F.split(text, "\n", -1)), F.lit(most_lines)), shrink)
+
+
+def reduced(
+    rows: DataFrame, group: list[str], order: list[str], item: str, text: str, most_items: int, most_lines_one: int, most_tokens_one: int, most_tokens: int, most_lines: int
+) -> DataFrame:
+    """The group, the item, its lines and tokens after the cut, whether it was cut, and ``reason`` if it does not fit with those kept before it."""
+    n = shrunk_lines(F.col(text), most_lines_one, most_tokens_one)
+    kept = rows.withColumn("lines", n).withColumn("cut", F.col("lines") < F.size(F.split(text, "\n", -1)))
+    body = F.concat(F.call_function("substring_index", F.col(text), F.lit("\n"), F.col("lines")), F.when(F.col("cut"), F.lit(CUT)).otherwise(F.lit("")))
+    sized = kept.withColumn("tokens", token_estimate(body))
+
+    def step(state: tuple | None, value: tuple) -> tuple[tuple, tuple]:
+        items, tokens, lines = state or (0, 0, 0)
+        t, k = value[0] or 0, value[1] or 0
+        why = "maxFiles" if items >= most_items else "maxTotalTokens" if tokens + t > most_tokens else "maxTotalLines" if lines + k > most_lines else None
+        return ((items, tokens, lines) if why else (items + 1, tokens + t, lines + k)), (why,)
 
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("sum"), zero.alias("n"), F.array().cast("array<struct<id: bigint, reason: string>>").alias("out"))
-    folded = _ordered(rows, group, order, item, size).select(*group, F.aggregate("_items", start, step, lambda a: a["out"]).alias("_out"))
-    return folded.select(*group, F.explode("_out").alias("x")).select(*group, F.col("x.id").alias(item), F.col("x.reason").alias("reason"))
+    return fold(sized, group, [*order, item], ["tokens", "lines"], [item, "lines", "tokens", "cut"], "reason string", step)

@@ -10,8 +10,8 @@ from tessella.streaming import messages
 
 
 def x22_page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles, links, scripts, forms and hosts by page and line."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.lit("HTML").alias("language"), F.col("html").alias("text"))
+    """Titles, links, scripts, forms and hosts by page and line: every match of every rule, after the comments that open a line."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.lit("html").alias("language"), F.col("html").alias("text"))
     return extract.facts(pages, extract.PAGES, keep=("page_id",))
 
 
@@ -42,14 +42,15 @@ def st9_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rule_sql(r: extract.LineRule) -> str:
-    return f"""select page_id, line, '{r.kind}' as kind, regexp_extract(body, '{r.pattern}', 1) as name, '' as detail from l where regexp_matches(body, '{r.pattern}')"""
+    return f"""select page_id, line, '{r.kind}' as kind, unnest(regexp_extract_all(body, '{r.pattern}', 1)) as name, '' as detail from l"""
 
 
 QUERIES = {"x22_page_facts": x22_page_facts, "st1_dedup_stream": st1_dedup_stream, "st2_envelopes": st2_envelopes, "st9_rate_limit": st9_rate_limit}
 ORACLES = {
     "x22_page_facts": f"""
 with s as (select page_id, string_split(html, chr(10)) as lines from pages),
-l as (select * from (select page_id, unnest(lines) as body, unnest(range(1, len(lines) + 1)) as line from s) where not regexp_matches(body, '{extract.COMMENT}'))
+u as (select page_id, unnest(lines) as whole, unnest(range(1, len(lines) + 1)) as line from s),
+l as (select page_id, line, regexp_replace(whole, '^(?:\\s*<!--.*?-->)+', '') as body from u where not regexp_matches(regexp_replace(whole, '^(?:\\s*<!--.*?-->)+', ''), '^\\s*<!--'))
 """
     + " union all ".join(map(_rule_sql, extract.PAGES)),
     "st1_dedup_stream": "select distinct event_id, ts, user_id, event_type from events",

@@ -1,0 +1,275 @@
+"""A small bookshop in three languages, and queries over it whose rows are worked out by hand.
+
+The supplied tables hold no source code, so what reads code is checked on these files: a script front end, a script server
+and a Python service that share one domain. Each has a trap, such as a call in a comment or a name in a string.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.functions import paths as P
+from tessella.operators import code as C
+from tessella.operators import extract, graph
+from tessella.sources import files as S
+
+FILES = (
+    ("web/src/components/BasketView.jsx", """import { useState } from 'react';
+import { sendBasket } from '../services/basketService';
+
+export default function BasketView() {
+  const [books, setBooks] = useState([]);
+  const submit = async () => {
+    await sendBasket(books);
+    setBooks([]);
+  };
+  return <button onClick={submit}>Buy</button>;
+}
+"""),
+    ("web/src/services/basketService.js", """/* fetch('/api/old-baskets') was here
+   until the server changed */
+export async function sendBasket(books) {
+  // fetch('/api/unused')
+  const note = 'not a // comment';
+  return fetch('/api/baskets', { method: 'POST', body: JSON.stringify({ books, note }) });
+}
+"""),
+    ("server/routes/basketRoutes.js", """const express = require('express');
+const { addBasket, listBaskets } = require('../controllers/basketController');
+const router = express.Router();
+router.get('/baskets', listBaskets);
+router.post('/baskets', requireReader, addBasket);
+module.exports = router;
+"""),
+    ("server/controllers/basketController.js", """const store = require('../services/basketStore');
+async function addBasket(req, res) {
+  const saved = await saveBasket(req.body);
+  res.json(saved);
+}
+async function listBaskets(req, res) {
+  res.json(await Basket.find({ open: true }));
+}
+"""),
+    ("server/services/basketStore.js", """async function saveBasket(body) {
+  const total = sumPrices(body.books);
+  return Basket.create({ books: body.books, total });
+}
+function sumPrices(books) {
+  return books.reduce((a, b) => a + b.price, 0);
+}
+"""),
+    ("server/db/schema.sql", """CREATE TABLE readers (
+  id INTEGER PRIMARY KEY,
+  email VARCHAR(200) NOT NULL UNIQUE
+);
+-- CREATE TABLE ghosts (id INTEGER);
+CREATE TABLE IF NOT EXISTS baskets (
+  id INTEGER PRIMARY KEY,
+  reader_id INTEGER NOT NULL REFERENCES readers(id),
+  total DECIMAL(10,2),
+  FOREIGN KEY (reader_id) REFERENCES readers (id)
+);
+"""),
+    ("stock/models.py", """from django.db import models
+
+
+class Shelf(models.Model):
+    room = models.CharField(max_length=20)
+
+
+class Book(models.Model):
+    title = models.CharField(max_length=80, unique=True)
+    pages = models.IntegerField(null=True)
+    shelf = models.ForeignKey(Shelf, on_delete=models.CASCADE)
+    # ghost = models.TextField()
+"""),
+    ("stock/views.py", """import os
+from stock.models import Book
+
+
+def count_books(request):
+    return Book.objects.filter(pages=None).count()
+
+
+TOKEN = os.environ.get("STOCK_TOKEN")
+"""),
+    ("stock/test_views.py", """from stock.views import count_books
+
+
+def test_count():
+    assert count_books(None) == 0
+"""),
+    ("package.json", """{"dependencies": {"express": "4.1.0"}, "devDependencies": {"vitest": "1.0.0"}}
+"""),
+    (".env.example", """STOCK_TOKEN=
+"""),
+    (".github/workflows/test.yml", """on: push
+"""),
+)
+
+
+def files(spark: SparkSession) -> DataFrame:
+    """path, language, text of the fixture."""
+    rows = spark.createDataFrame(list(FILES), "path string, text string")
+    return rows.select("path", P.language(F.col("path")).alias("language"), "text")
+
+
+def p02_p05_classes(spark, d):
+    p = F.col("path")
+    return files(spark).select(
+        "path", "language", P.is_source(p).alias("source"), P.is_test(p).alias("test"), P.role(p).alias("role"), P.config_kind(p).alias("config"),
+        P.feature_word(p).alias("word"), P.feature_key(p).alias("feature"),
+    )
+
+
+def x01_x12_line_facts(spark, d):
+    """Symbols, imports, routes, client calls and database calls of the scripts and Python files."""
+    kinds = ("function", "class", "import", "route", "client_call", "orm_read", "orm_write")
+    return extract.facts(C.uncommented(files(spark)).filter(P.is_source(F.col("path")))).filter(F.col("kind").isin(*kinds)).select("path", "line", "kind", "name", "detail")
+
+
+def x13_tables(spark, d):
+    return C.table_columns(files(spark))
+
+
+def x14_models(spark, d):
+    return C.model_fields(files(spark))
+
+
+def x16_relations(spark, d):
+    return C.relations(C.table_columns(files(spark)), C.model_fields(files(spark)))
+
+
+def x02_calls(spark, d):
+    """Calls of functions by the innermost symbol around them."""
+    return C.calls(files(spark))
+
+
+def g03_call_graph(spark, d):
+    src = files(spark)
+    return graph.call_edges(C.calls(src), C.symbols(src), C.bindings(src))
+
+
+def g05_trace_up(spark, d):
+    edges = g03_call_graph(spark, d).select("src", "dst", F.col("line").alias("ord"))
+    starts = edges.select(F.col("dst").alias("start")).distinct()
+    bound = spark.createDataFrame([("web/src/components/BasketView.jsx#submit",)], "node string")
+    return graph.trace_up(edges, starts, bound, 8)
+
+
+def src07_environment(spark, d):
+    return S.environment_names(files(spark)).select("name", F.array_join("paths", ",").alias("paths"))
+
+
+def src05_packages(spark, d):
+    return S.packages(files(spark))
+
+
+QUERIES = {f.__name__: f for f in (
+    p02_p05_classes, x01_x12_line_facts, x13_tables, x14_models, x16_relations, x02_calls, g03_call_graph, g05_trace_up, src07_environment, src05_packages,
+)}
+
+
+def _rows(columns: str, *rows: str) -> str:
+    return f"select * from (values {', '.join(rows)}) t({columns})"
+
+
+#: Rows worked out by hand from the files above.
+ORACLES = {
+    "p02_p05_classes": _rows(
+        "path, language, source, test, role, config, word, feature",
+        "('web/src/components/BasketView.jsx', 'javascript', true, false, 'component', null, 'basket', 'web')",
+        "('web/src/services/basketService.js', 'javascript', true, false, 'service', null, 'basket', 'web')",
+        "('server/routes/basketRoutes.js', 'javascript', true, false, 'route', null, 'basket', 'basket')",
+        "('server/controllers/basketController.js', 'javascript', true, false, 'controller', null, 'basket', 'basket')",
+        "('server/services/basketStore.js', 'javascript', true, false, 'service', null, 'basket', 'basket')",
+        "('server/db/schema.sql', 'sql', false, false, 'other', null, 'schema', 'db')",
+        "('stock/models.py', 'python', true, false, 'model', null, 'models', 'stock')",
+        "('stock/views.py', 'python', true, false, 'controller', null, 'views', 'stock')",
+        "('stock/test_views.py', 'python', true, true, 'test', null, 'test', 'stock')",
+        "('package.json', 'json', false, false, 'other', null, 'package', 'package')",
+        "('.env.example', 'env', false, false, 'other', 'environment', 'env', 'env')",
+        "('.github/workflows/test.yml', 'yaml', false, false, 'other', 'ci', 'test', '')",
+    ),
+    "x01_x12_line_facts": _rows(
+        "path, line, kind, name, detail",
+        "('web/src/components/BasketView.jsx', 1::bigint, 'import', 'react', '')",
+        "('web/src/components/BasketView.jsx', 2, 'import', '../services/basketService', '')",
+        "('web/src/components/BasketView.jsx', 4, 'function', 'BasketView', '')",
+        "('web/src/components/BasketView.jsx', 6, 'function', 'submit', '')",
+        "('web/src/services/basketService.js', 3, 'function', 'sendBasket', '')",
+        "('web/src/services/basketService.js', 6, 'client_call', '/api/baskets', 'POST')",
+        "('server/routes/basketRoutes.js', 1, 'import', 'express', '')",
+        "('server/routes/basketRoutes.js', 2, 'import', '../controllers/basketController', '')",
+        "('server/routes/basketRoutes.js', 4, 'route', 'get', '/baskets')",
+        "('server/routes/basketRoutes.js', 5, 'route', 'post', '/baskets')",
+        "('server/controllers/basketController.js', 1, 'import', '../services/basketStore', '')",
+        "('server/controllers/basketController.js', 2, 'function', 'addBasket', '')",
+        "('server/controllers/basketController.js', 6, 'function', 'listBaskets', '')",
+        "('server/controllers/basketController.js', 7, 'orm_read', 'Basket', 'find')",
+        "('server/services/basketStore.js', 1, 'function', 'saveBasket', '')",
+        "('server/services/basketStore.js', 3, 'orm_write', 'Basket', 'create')",
+        "('server/services/basketStore.js', 5, 'function', 'sumPrices', '')",
+        "('stock/models.py', 1, 'import', 'django.db', 'models')",
+        "('stock/models.py', 4, 'class', 'Shelf', 'models.Model')",
+        "('stock/models.py', 8, 'class', 'Book', 'models.Model')",
+        "('stock/views.py', 1, 'import', 'os', '')",
+        "('stock/views.py', 2, 'import', 'stock.models', 'Book')",
+        "('stock/views.py', 5, 'function', 'count_books', '')",
+        "('stock/views.py', 6, 'orm_read', 'Book', 'filter')",
+        "('stock/test_views.py', 1, 'import', 'stock.views', 'count_books')",
+        "('stock/test_views.py', 4, 'function', 'test_count', '')",
+    ),
+    "x13_tables": _rows(
+        "path, entity, field, type, required, is_unique, is_key, refers_to, refers_field",
+        "('server/db/schema.sql', 'readers', 'id', 'INTEGER', false, false, true, null, null)",
+        "('server/db/schema.sql', 'readers', 'email', 'VARCHAR(200)', true, true, false, null, null)",
+        "('server/db/schema.sql', 'baskets', 'id', 'INTEGER', false, false, true, null, null)",
+        "('server/db/schema.sql', 'baskets', 'reader_id', 'INTEGER', true, false, false, 'readers', 'id')",
+        "('server/db/schema.sql', 'baskets', 'total', 'DECIMAL(10,2)', false, false, false, null, null)",
+    ),
+    "x14_models": _rows(
+        "path, entity, field, type, required, is_unique, refers_to",
+        "('stock/models.py', 'Shelf', 'room', 'CharField', true, false, null)",
+        "('stock/models.py', 'Book', 'title', 'CharField', true, true, null)",
+        "('stock/models.py', 'Book', 'pages', 'IntegerField', false, false, null)",
+        "('stock/models.py', 'Book', 'shelf', 'ForeignKey', true, false, 'Shelf')",
+    ),
+    "x16_relations": _rows(
+        "from_entity, to_entity, field, status",
+        "('baskets', 'readers', 'reader_id', 'VERIFIED')",
+        "('Book', 'Shelf', 'shelf', 'VERIFIED')",
+    ),
+    "x02_calls": _rows(
+        "file, symbol, name, line",
+        "('web/src/components/BasketView.jsx', 'BasketView', 'useState', 5::bigint)",
+        "('web/src/components/BasketView.jsx', 'submit', 'sendBasket', 7)",
+        "('web/src/components/BasketView.jsx', 'submit', 'setBooks', 8)",
+        "('web/src/services/basketService.js', 'sendBasket', 'fetch', 6)",
+        "('server/controllers/basketController.js', 'addBasket', 'saveBasket', 3)",
+        "('server/services/basketStore.js', 'saveBasket', 'sumPrices', 2)",
+        "('stock/test_views.py', 'test_count', 'count_books', 5)",
+    ),
+    "g03_call_graph": _rows(
+        "src, dst, line, status",
+        "('web/src/components/BasketView.jsx#submit', 'web/src/services/basketService.js#sendBasket', 7::bigint, 'VERIFIED')",
+        "('server/controllers/basketController.js#addBasket', 'server/services/basketStore.js#saveBasket', 3, 'INFERRED')",
+        "('server/services/basketStore.js#saveBasket', 'server/services/basketStore.js#sumPrices', 2, 'VERIFIED')",
+        "('stock/test_views.py#test_count', 'stock/views.py#count_books', 5, 'VERIFIED')",
+    ),
+    "g05_trace_up": _rows(
+        "start, step, node",
+        "('web/src/services/basketService.js#sendBasket', 0, 'web/src/services/basketService.js#sendBasket')",
+        "('web/src/services/basketService.js#sendBasket', 1, 'web/src/components/BasketView.jsx#submit')",
+        "('server/services/basketStore.js#saveBasket', 0, 'server/services/basketStore.js#saveBasket')",
+        "('server/services/basketStore.js#saveBasket', 1, 'server/controllers/basketController.js#addBasket')",
+        "('server/services/basketStore.js#sumPrices', 0, 'server/services/basketStore.js#sumPrices')",
+        "('server/services/basketStore.js#sumPrices', 1, 'server/services/basketStore.js#saveBasket')",
+        "('server/services/basketStore.js#sumPrices', 2, 'server/controllers/basketController.js#addBasket')",
+        "('stock/views.py#count_books', 0, 'stock/views.py#count_books')",
+        "('stock/views.py#count_books', 1, 'stock/test_views.py#test_count')",
+    ),
+    "src07_environment": "select 'STOCK_TOKEN' as name, '.env.example,stock/views.py' as paths",
+    "src05_packages": _rows("path, name, version, dev", "('package.json', 'express', '4.1.0', false)", "('package.json', 'vitest', '1.0.0', true)"),
+}

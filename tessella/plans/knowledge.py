@@ -16,8 +16,12 @@ def _t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Categories of the second project.
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
 def _edges(spark, d):
-    return _t(spark, d, "lineitem").filter("l_linenumber = 1").select((F.col("l_orderkey") % 400).alias("src"), (F.col("l_partkey") % 400).alias("dst"), F.col("l_returnflag").alias("flag"))
+    return _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("flag"))
 
 
 def g01_r03_degrees(spark, d):
@@ -26,12 +30,12 @@ def g01_r03_degrees(spark, d):
 
 def g02_reach(spark, d):
     starts = _t(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("start"))
-    return G.reach(_edges(spark, d).filter("flag = 'R'"), starts, 3)
+    return G.reach(_edges(spark, d), starts, 8)
 
 
 def g04_trace(spark, d):
-    e = _edges(spark, d).filter("flag <> 'N'").select("src", "dst", F.when(F.col("flag") == "R", "VERIFIED").otherwise("INFERRED").alias("status"))
-    return G.trace(e, _t(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("start")), 2)
+    e = _edges(spark, d).select("src", "dst", F.when(F.col("flag") == "N", "VERIFIED").otherwise("INFERRED").alias("status"))
+    return G.trace(e, _t(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("start")), 8)
 
 
 def g08_mounts(spark, d):
@@ -62,6 +66,11 @@ def w04_cx6_budget(spark, d):
     return B.budgeted(docs, ["source"], ["doc_id"], "doc_id", "tokens", 12000, 20, 4000)
 
 
+def o09_reduced(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "source", "text")
+    return B.reduced(docs, ["source"], ["doc_id"], "doc_id", "text", 40, 12, 600, 8000, 300).select("doc_id", "source", "lines", "tokens", "cut", "reason")
+
+
 def a18_batch_stats(spark, d):
     return w03_cx7_batches(spark, d).groupBy("source", "batch").agg(F.count("*").alias("files"), F.sum("tokens").alias("tokens"))
 
@@ -76,7 +85,7 @@ def m01_m02_merge(spark, d):
 
 
 def m03_merge_batches(spark, d):
-    c = _t(spark, d, "conversations").select("conv_id", F.when(F.col("turn") > 0, F.substring("text", 1, 40)).otherwise("").alias("text"), F.col("role").alias("last_role"), F.array("role").alias("roles"), "turn")
+    c = _t(spark, d, "conversations").select("conv_id", F.when(F.col("turn") > 0, F.col("text")).otherwise("").alias("text"), F.col("role").alias("last_role"), F.array("role").alias("roles"), "turn")
     return K.merge_batches(c, ["conv_id"], "text", "last_role", "roles", "turn").withColumn("roles", F.array_join("roles", ","))
 
 
@@ -119,7 +128,7 @@ def m14_cache(spark, d):
 def c01_c04_suggestions(spark, d):
     side = F.col("side")
     a = _t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("key"), F.col("c_mktsegment").alias("category")).agg(F.count("*").alias("n")).select("category", "key", (F.col("n") % 3).alias("detail"))
-    b = _t(spark, d, "supplier").join(_t(spark, d, "customer").select("c_mktsegment").distinct(), F.col("s_suppkey") % 3 > 0).select(F.col("c_mktsegment").alias("category"), F.col("s_nationkey").alias("key")).distinct().withColumn("detail", (F.col("key") % 3).cast("long"))
+    b = _t(spark, d, "supplier").select(F.explode(F.array(*map(F.lit, SEGMENTS))).alias("category"), F.col("s_nationkey").alias("key")).distinct().withColumn("detail", (F.col("key") % 3).cast("long"))
     met = J.compare(a, b, ["category", "key"], "detail")
     advice = F.when(side == "only_b", "adopt").when(side == "only_a", "keep").when(side == "different", "review")
     keys = F.array_sort(F.collect_list("key"))
@@ -171,12 +180,12 @@ def r04_r05_runs(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    g01_r03_degrees, g02_reach, g04_trace, g08_mounts, g09_induced, g10_g11_impact, w03_cx7_batches, w04_cx6_budget, a18_batch_stats, m01_m02_merge, m03_merge_batches,
+    g01_r03_degrees, g02_reach, g04_trace, g08_mounts, g09_induced, g10_g11_impact, w03_cx7_batches, w04_cx6_budget, o09_reduced, a18_batch_stats, m01_m02_merge, m03_merge_batches,
     m07_evidence, m08_verdicts, m04_m05_status, m06_stale_docs, m14_cache, c01_c04_suggestions, cx1_cx2_neighbourhood, cx5_halves, st5_sessions, st10_slices,
     r01_r11_file_view, r02_module_coverage, r04_r05_runs,
 )}
 
-_E = "e as (select distinct l_orderkey % 400 as src, l_partkey % 400 as dst, l_returnflag as flag from lineitem where l_linenumber = 1)"
+_E = "e as (select distinct l_orderkey as src, l_partkey as dst, l_returnflag as flag from lineitem)"
 _BATCH = """t as (select doc_id, source, ceil(length(text) / 3.6::double)::bigint as tokens, row_number() over (partition by source order by doc_id) as rn from documents),
   b as (select source, rn, doc_id, tokens, 1::bigint as batch, tokens as s, 1 as n from t where rn = 1 union all
     select t.source, t.rn, t.doc_id, t.tokens, case when b.s + t.tokens > 8000 or b.n >= 10 then b.batch + 1 else b.batch end,
@@ -188,11 +197,12 @@ _CLAIM = """f as (select doc_id::varchar as path, text, sha256(text) as hash, le
   r as (select claim, case when c.path = '../x' then 'unsafe_path' when f.hash is null then 'unknown_file' when f.hash <> c.hash then 'stale_hash' when last > lines then 'bad_lines' when not contains(text, quote) then 'not_found' end as reason from c left join f using (path))"""
 ORACLES = {
     "g01_r03_degrees": f"with {_E}, x as (select distinct src, dst from e) select node, sum(o)::bigint as out_degree, sum(i)::bigint as in_degree from (select src as node, 1 as o, 0 as i from x union all select dst, 0, 1 from x) group by node",
-    "g02_reach": f"""with recursive {_E}, w as (select r_regionkey::bigint as start, r_regionkey::bigint as node, 0 as depth from region union select start, dst, depth + 1 from w join e on node = src and flag = 'R' where depth < 3)
+    "g02_reach": f"""with recursive {_E}, w as (select r_regionkey::bigint as start, r_regionkey::bigint as node, 0 as depth from region union select start, dst, depth + 1 from w join e on node = src where depth < 8)
   select start, node, min(depth) as depth from w group by 1, 2 having min(depth) > 0""",
-    "g04_trace": f"""with {_E}, x as (select src, dst, max((flag = 'R')::int) as sure from e where flag <> 'N' group by 1, 2), d1 as (select src as start, dst as node, sure from x where src < 5 and src <> dst),
-  d2 as (select d1.start, x.dst as node, max(least(d1.sure, x.sure)) as sure from d1 join x on d1.node = x.src where x.dst <> d1.start and not exists (select 1 from d1 y where y.start = d1.start and y.node = x.dst) group by 1, 2)
-  select start, node, depth, case when sure = 1 then 'VERIFIED' else 'INFERRED' end as status from (select *, 1 as depth from d1 union all select *, 2 from d2)""",
+    "g04_trace": f"""with recursive {_E}, x as (select src, dst, max((flag = 'N')::int) as sure from e group by 1, 2),
+  w as (select r_regionkey::bigint as start, r_regionkey::bigint as node, 0 as depth, 1 as sure from region union select start, dst, depth + 1, least(w.sure, x.sure) from w join x on node = src where depth < 8),
+  m as (select start, node, min(depth) as depth from w group by 1, 2 having min(depth) > 0)
+  select start, node, depth, case when max(sure) = 1 then 'VERIFIED' else 'INFERRED' end as status from m join w using (start, node, depth) group by all""",
     "g08_mounts": """select r_name as file, '/' || lower(r_name) as prefix from region union select n_name, '/' || lower(r_name) || '/' || lower(n_name) from nation join region on n_regionkey = r_regionkey
   union select s_name, '/' || lower(r_name) || '/' || lower(n_name) || '/s' || s_suppkey from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey""",
     "g09_induced": f"with {_E} select distinct src, dst from e where src in (select s_suppkey from supplier) and dst in (select s_suppkey from supplier)",
@@ -206,20 +216,29 @@ ORACLES = {
     select t.source, t.rn, t.doc_id, case when k > 4000 then 'too_large' when n >= 20 then 'no_count' when s + k > 12000 then 'no_size' end,
       case when k > 4000 or n >= 20 or s + k > 12000 then s else s + k end, case when k > 4000 or n >= 20 or s + k > 12000 then n else n + 1 end from b join t on t.source = b.source and t.rn = b.rn + 1)
   select source, doc_id, reason from b where rn > 0""",
+    "o09_reduced": """with recursive l as (select doc_id, source, string_split(text, chr(10)) as a from documents),
+  k as (select doc_id, source, a, least(len(a), 12)::int as n from l union all select doc_id, source, a, floor(n * 0.8)::int from k where n > 10 and ceil(length(array_to_string(a[1:n], chr(10))) / 3.6::double) > 600),
+  m as (select doc_id, source, any_value(a) as a, min(n) as n from k group by 1, 2),
+  t as (select doc_id, source, n, n < len(a) as cut, ceil((length(array_to_string(a[1:n], chr(10))) + case when n < len(a) then 6 else 0 end) / 3.6::double)::bigint as tk, row_number() over (partition by source order by doc_id) as rn from m),
+  b as (select source, 0::bigint as rn, null::bigint as doc_id, 0 as n, 0::bigint as tk, false as cut, null::varchar as reason, 0 as f, 0::bigint as s, 0 as li from (select distinct source from t) union all
+    select t.source, t.rn, t.doc_id, t.n, t.tk, t.cut, case when f >= 40 then 'maxFiles' when s + t.tk > 8000 then 'maxTotalTokens' when li + t.n > 300 then 'maxTotalLines' end,
+      case when f >= 40 or s + t.tk > 8000 or li + t.n > 300 then f else f + 1 end, case when f >= 40 or s + t.tk > 8000 or li + t.n > 300 then s else s + t.tk end, case when f >= 40 or s + t.tk > 8000 or li + t.n > 300 then li else li + t.n end
+    from b join t on t.source = b.source and t.rn = b.rn + 1)
+  select doc_id, source, n as lines, tk as tokens, cut, reason from b where rn > 0""",
     "a18_batch_stats": f"with recursive {_BATCH} select source, batch, count(*) as files, sum(tokens)::bigint as tokens from b group by 1, 2",
     "m01_m02_merge": """with o as (select o_orderkey as k, o_orderpriority as v, o_custkey % 3 as r, o_orderkey % 5 = 0 as stale from orders where o_orderkey % 4 <> 0),
   n as (select o_orderkey as k, case when o_custkey % 2 = 0 then o_orderpriority else '9-OTHER' end as v, o_orderkey % 3 as r from orders where o_orderkey % 6 <> 0),
   m as (select k, o.v as ov, o.r as orank, n.v as nv, n.r as nrank, case when n.v is null then false when o.v is null then true when o.v = n.v then n.r > o.r when stale then true else n.r > o.r end as take from o full join n using (k))
   select k as o_orderkey, case when take then nv else ov end as value, ['UNKNOWN', 'INFERRED', 'VERIFIED'][case when take then nrank else orank end + 1] as status,
     case when ov <> nv then case when take then ov else nv end end as alternative from m""",
-    "m03_merge_batches": """select conv_id, coalesce(arg_min(substr(text, 1, 40), turn) filter (where turn > 0 and substr(text, 1, 40) <> ''), null) as text, arg_max(role, turn) as last_role, array_to_string(list_sort(list(distinct role)), ',') as roles from conversations group by conv_id""",
+    "m03_merge_batches": """select conv_id, coalesce(arg_min(text, turn) filter (where turn > 0 and text <> ''), null) as text, arg_max(role, turn) as last_role, array_to_string(list_sort(list(distinct role)), ',') as roles from conversations group by conv_id""",
     "m07_evidence": f"with {_CLAIM} select coalesce(reason, 'valid') as reason, count(*) as n from r group by 1",
     "m08_verdicts": f"""with {_CLAIM} select claim, case when count(*) filter (where reason is null) > 0 then 'VERIFIED' when count(*) filter (where reason = 'stale_hash') > 0 then 'OUTDATED' else 'REJECTED' end as verdict,
   count(*) filter (where reason is null) as valid, count(*) as pieces from r group by claim""",
     "m04_m05_status": "select doc_id as path, case when quality is null then 'NOT_ANALYZED' when doc_id % 9 = 0 then 'OUTDATED' when quality = 1 then 'ANALYZED' else 'PARTIAL' end as status from documents left join labels using (doc_id)",
     "m06_stale_docs": "select source as doc, bool_or(doc_id % 200 = 0) as stale from documents group by source",
     "m14_cache": "select doc_id as path from documents where doc_id % 3 = 0 or doc_id % 5 = 0",
-    "c01_c04_suggestions": """with a as (select c_mktsegment as category, c_nationkey as key, count(*) % 3 as detail from customer group by 1, 2), b as (select distinct c_mktsegment as category, s_nationkey as key, (s_nationkey % 3)::bigint as detail from supplier, customer where s_suppkey % 3 > 0),
+    "c01_c04_suggestions": """with a as (select c_mktsegment as category, c_nationkey as key, count(*) % 3 as detail from customer group by 1, 2), b as (select distinct c_mktsegment as category, s_nationkey as key, (s_nationkey % 3)::bigint as detail from supplier, customer),
   m as (select category, key, case when a.detail is null then 'adopt' when b.detail is null then 'keep' when a.detail <> b.detail then 'review' end as advice from a full join b using (category, key))
   select category, advice, array_to_string(list_sort(list(key))[1:12], ',') as first, greatest(count(*) - 12, 0)::bigint as more from m where advice is not null group by 1, 2""",
     "cx1_cx2_neighbourhood": f"""with {_E}, p as (select r_regionkey::bigint as node from region), d1 as (select dst as node from e where src in (select node from p)), d2 as (select dst as node from e where src in (select node from d1)), u as (select src as node from e where dst in (select node from p))

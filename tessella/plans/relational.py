@@ -26,7 +26,7 @@ def j02_first_existing(spark, d):
 
 
 def j04_split_known(spark, d):
-    edges = _t(spark, d, "lineitem").select((F.col("l_orderkey") % 500).alias("src"), (F.col("l_partkey") % 900).alias("dst"))
+    edges = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
     known = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("path"))
     return J.split_known(edges, "src", "dst", known, "path")
 
@@ -51,8 +51,8 @@ def j08_fallback_lookup(spark, d):
 
 
 def j10_both_ends(spark, d):
-    edges = _t(spark, d, "orders").select("o_orderkey", F.concat(F.lit("C"), F.col("o_custkey") % 200).alias("src"), F.concat(F.lit("C"), F.col("o_orderkey") % 200).alias("dst"))
-    known = _t(spark, d, "customer").filter("c_custkey < 100").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("name"))
+    edges = _t(spark, d, "orders").select("o_orderkey", F.concat(F.lit("C"), F.col("o_custkey")).alias("src"), F.concat(F.lit("C"), F.col("o_orderkey")).alias("dst"))
+    known = _t(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("name"))
     return J.both_ends_known(edges, "src", "dst", known, "name").select("o_orderkey", "status")
 
 
@@ -69,24 +69,25 @@ def j13_c03_compare(spark, d):
 
 
 def j14_r16_pairwise(spark, d):
-    sets = _t(spark, d, "customer").groupBy("c_nationkey").agg(F.collect_set((F.col("c_custkey") % 50)).alias("items"))
-    return J.pairwise_sets(sets, "c_nationkey", "items")
+    o = _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    sets = o.join(_t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("c_nationkey", "l_suppkey")
+    return J.pairwise_sets(sets, "c_nationkey", "l_suppkey")
 
 
 def j16_unique(spark, d):
-    left = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 1500).alias("name"))
+    left = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("name"))
     right = _t(spark, d, "orders").select((F.col("o_custkey")).alias("name"), F.col("o_orderkey").alias("target"))
     return J.unique_match(left, right, "name", "target")
 
 
 def j20_either_direction(spark, d):
-    left = _t(spark, d, "lineitem").select((F.col("l_partkey") % 100).alias("a"), (F.col("l_suppkey") % 100).alias("b")).distinct()
-    right = _t(spark, d, "orders").select((F.col("o_custkey") % 100).alias("a"), (F.col("o_orderkey") % 100).alias("b"))
+    left = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
+    right = _t(spark, d, "orders").select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b"))
     return J.either_direction(left, right, "a", "b")
 
 
 def j22_first_definer(spark, d):
-    ext = _t(spark, d, "supplier").select((F.col("s_suppkey") % 25).cast("int").alias("name"), F.col("s_suppkey").alias("owner"))
+    ext = _t(spark, d, "supplier").select(F.col("s_nationkey").alias("name"), F.col("s_suppkey").alias("owner"))
     defs = _t(spark, d, "customer").select(F.col("c_nationkey").alias("name"), F.col("c_custkey").alias("owner"), F.col("c_custkey").alias("ord"))
     return J.first_definer(ext, defs, "name", "owner", "ord")
 
@@ -150,8 +151,9 @@ def w01_w02_wins(spark, d):
 
 def w05_w06_previous(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    seen = F.size(F.array_distinct(F.collect_list("event_type").over(w.rowsBetween(Window.unboundedPreceding, -1))))
-    return _t(spark, d, "events").select("event_id", F.lag("event_id").over(w).alias("previous"), seen.cast("long").alias("seen_before"))
+    new = F.when(F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")) == 1, 1).otherwise(0)
+    seen = F.coalesce(F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return _t(spark, d, "events").withColumn("new", new).select("event_id", F.lag("event_id").over(w).alias("previous"), seen.alias("seen_before"))
 
 
 def w07_suffix(spark, d):
@@ -201,8 +203,10 @@ def set03_set05_selection(spark, d):
 
 
 def set04_boundary(spark, d):
-    edges = _t(spark, d, "lineitem").select((F.col("l_orderkey") % 300).alias("a"), (F.col("l_partkey") % 300).alias("b")).distinct()
-    a_in, b_in = F.col("a") < 100, F.col("b") < 100
+    chosen = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.lit(True).alias("inside"))
+    edges = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
+    edges = edges.join(chosen.toDF("a", "ia"), "a", "left").join(chosen.toDF("b", "ib"), "b", "left")
+    a_in, b_in = F.col("ia").isNotNull(), F.col("ib").isNotNull()
     kind = F.when(a_in & b_in, "internal").when(a_in, "needs_outside").when(b_in, "used_by_outside")
     return edges.withColumn("kind", kind).filter("kind IS NOT NULL").groupBy("kind").agg(F.count("*").alias("edges"), F.countDistinct("a").alias("sources"))
 
@@ -215,13 +219,12 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _W = "lower(string_split(p_type, ' ')[-1])"
-_SING = """case when regexp_matches({x}, '[a-z]ies$') then regexp_replace({x}, 'ies$', 'y') when regexp_matches({x}, '(ss|x|ch|sh)es$') then regexp_replace({x}, 'es$', '')
-  when regexp_matches({x}, '[^s]s$') then regexp_replace({x}, 's$', '') else {x} end"""
+_SING = """case when length({x}) > 3 and {x} like '%ies' then {x}[:-4] || 'y' when length({x}) > 3 and {x} like '%s' and {x} not like '%ss' then {x}[:-2] else {x} end"""
 ORACLES = {
     "j01_wildcard_join": """select l_orderkey, l_linenumber, m as route_m from lineitem join (select p_partkey, ['A', 'ANY', 'N'][p_size % 3 + 1] as m from part) on l_partkey = p_partkey where l_returnflag = m or m = 'ANY'""",
     "j02_first_existing": """with k as (select distinct o_custkey as k from orders) select c_custkey, case when c_custkey * 7 in (select k from k) then c_custkey * 7
   when c_custkey * 3 in (select k from k) then c_custkey * 3 when c_custkey in (select k from k) then c_custkey end as found from customer""",
-    "j04_split_known": """with e as (select l_orderkey % 500 as src, l_partkey % 900 as dst from lineitem) select src, dst, count(*) as n,
+    "j04_split_known": """with e as (select l_orderkey as src, l_partkey as dst from lineitem) select src, dst, count(*) as n,
   case when dst in (select s_suppkey from supplier) then 'internal' else 'external' end as kind from e where src <> dst group by src, dst""",
     "j05_j06_intervals": """with e as (select event_id, user_id, floor(epoch(ts))::bigint as sec, event_type from events), s as (select user_id, event_id as span_id, sec - 3600 * (event_id % 5 + 1) as low, sec as high from e where event_type = 'purchase')
   select event_id, arg_min(span_id, (high - low) * 1000000000 - span_id) as span_id from e join s using (user_id) where sec between low and high group by event_id""",
@@ -229,17 +232,16 @@ ORACLES = {
   select page_id, (select arg_max(root, length(root)) from o where p.path = root or starts_with(p.path, root || '/')) as owner from p""",
     "j08_fallback_lookup": f"""with k as (select {_SING.format(x=_W)} as k, min(p_brand) as v from part group by 1 having k <> 'steel'), n as (select p_partkey, {_W} as w from part)
   select p_partkey, coalesce((select v from k where k = w), (select v from k where k = upper(w)), (select v from k where k = {_SING.format(x='w')})) as v from n""",
-    "j10_both_ends": "select o_orderkey, case when o_custkey % 200 in (select c_custkey from customer where c_custkey < 100) and o_orderkey % 200 in (select c_custkey from customer where c_custkey < 100) then 'VERIFIED' else 'INFERRED' end as status from orders",
+    "j10_both_ends": "select o_orderkey, case when o_custkey in (select c_custkey from customer) and o_orderkey in (select c_custkey from customer) then 'VERIFIED' else 'INFERRED' end as status from orders",
     "j11_j12_transitions": """select o_orderkey, case when o_orderkey % 3 = 0 then 'NEW' when o_orderkey % 7 = 0 then 'REMOVED' when o_orderkey % 5 <> 0 or o_orderstatus = 'X' then 'SAME' else 'CHANGED' end as transition
   from orders where o_orderkey % 7 <> 0 or o_orderkey % 3 <> 0""",
     "j13_c03_compare": """with a as (select c_nationkey as k, count(*) % 2 as v from customer group by 1 having count(*) % 4 <> 0), b as (select s_nationkey as k, count(*) % 2 as v from supplier group by 1 having count(*) % 3 <> 0)
   select k, a.v as a_detail, b.v as b_detail, case when b.k is null then 'only_a' when a.k is null then 'only_b' when a.v = b.v then 'common' else 'different' end as side from a full join b using (k)""",
-    "j14_r16_pairwise": """with s as (select c_nationkey as k, list(distinct c_custkey % 50) as x from customer group by 1)
+    "j14_r16_pairwise": """with s as (select c_nationkey as k, list(distinct l_suppkey) as x from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey group by 1)
   select a.k as a, b.k as b, len(list_intersect(a.x, b.x))::bigint as common, (len(a.x) - len(list_intersect(a.x, b.x)))::bigint as only_a, (len(b.x) - len(list_intersect(a.x, b.x)))::bigint as only_b from s a join s b on a.k < b.k""",
-    "j16_unique": """with r as (select o_custkey as name, min(o_orderkey) as target from orders group by 1 having count(distinct o_orderkey) = 1) select l_partkey % 1500 as name, l_orderkey, l_linenumber, target from lineitem join r on l_partkey % 1500 = name""",
-    "j20_either_direction": """with r as (select o_custkey % 100 as a, o_orderkey % 100 as b from orders) select distinct l_partkey % 100 as a, l_suppkey % 100 as b from lineitem
-  where exists (select 1 from r where r.a = l_partkey % 100 and r.b = l_suppkey % 100) or exists (select 1 from r where r.b = l_partkey % 100 and r.a = l_suppkey % 100)""",
-    "j22_first_definer": """with f as (select c_nationkey as name, min(c_custkey) as definer from customer group by 1) select name, s_suppkey as owner, definer from supplier join f on name = s_suppkey % 25 where s_suppkey <> definer""",
+    "j16_unique": """with r as (select o_custkey as name, min(o_orderkey) as target from orders group by 1 having count(distinct o_orderkey) = 1) select l_partkey as name, l_orderkey, l_linenumber, target from lineitem join r on l_partkey = name""",
+    "j20_either_direction": """with r as (select o_custkey as a, o_orderkey as b from orders union select o_orderkey, o_custkey from orders) select distinct l_partkey as a, l_suppkey as b from lineitem join r on r.a = l_partkey and r.b = l_suppkey""",
+    "j22_first_definer": """with f as (select c_nationkey as name, min(c_custkey) as definer from customer group by 1) select name, s_suppkey as owner, definer from supplier join f on name = s_nationkey where s_suppkey <> definer""",
     "a02_folder_rollup": """with p as (select string_split(regexp_replace(url, '^[a-z]+://', ''), '/') as s, length(html) as n from pages)
   select folder, count(*) as files, sum(n)::bigint as chars from (select unnest(list_transform(range(1, greatest(1, len(s) - 1) + 1), lambda i: array_to_string(s[1:i], '/'))) as folder, n from p) group by folder""",
     "a03_a04_sets": """select user_id, array_to_string(list_sort(list(distinct event_type)), ',') as types, coalesce(array_to_string(list_sort(list(distinct event_type) filter (where value > 50)), ','), '') as large,
@@ -265,6 +267,7 @@ ORACLES = {
     "set01_multiset_diff": """with o as (select o_custkey, coalesce(list_sort(list(o_orderpriority) filter (where o_orderkey % 2 = 0)), []) as a, coalesce(list(distinct o_orderpriority) filter (where o_orderkey % 2 = 1), []) as b from orders group by 1)
   select o_custkey, array_to_string(list_filter(a, lambda x: list_contains(b, x)), ';') as common, array_to_string(list_filter(a, lambda x: not list_contains(b, x)), ';') as only_a from o""",
     "set03_set05_selection": "select distinct o_orderkey from orders where (o_orderstatus = 'P' or o_totalprice > 400000) and o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R')",
-    "set04_boundary": """with e as (select distinct l_orderkey % 300 as a, l_partkey % 300 as b from lineitem), k as (select *, case when a < 100 and b < 100 then 'internal' when a < 100 then 'needs_outside' when b < 100 then 'used_by_outside' end as kind from e)
+    "set04_boundary": """with e as (select distinct l_orderkey as a, l_partkey as b from lineitem), s as (select s_suppkey as k from supplier),
+  k as (select *, case when a in (select k from s) and b in (select k from s) then 'internal' when a in (select k from s) then 'needs_outside' when b in (select k from s) then 'used_by_outside' end as kind from e)
   select kind, count(*) as edges, count(distinct a) as sources from k where kind is not null group by kind""",
 }

@@ -51,20 +51,47 @@ def s11_s13_keys(spark, d):
 
 
 def s14_s16_features(spark, d):
-    p = F.concat(F.lit("src/"), F.lower(F.regexp_replace("c_mktsegment", " ", "")), F.lit("/services/use"), F.initcap(F.lower("c_mktsegment")), F.lit("Service.test.ts"))
-    return _table(spark, d, "customer").select("c_custkey", P.feature_word(p).alias("word"), P.feature_key(p).alias("key"), P.role(p).alias("role"), P.is_test(p).alias("test"), P.language(p).alias("language"))
+    segment = F.lower(F.regexp_replace("c_mktsegment", " ", ""))
+    tails = ["Service.test.ts", "_controller.py", "Store.js", "List.vue", ".cjs", "Dockerfile", "_test.go"]
+    tail = F.element_at(F.array(*map(F.lit, tails)), (F.col("c_nationkey") % len(tails) + 1).cast("int"))
+    folder = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("src/"), segment, F.lit("/"))).otherwise(F.lit("server/Services/"))
+    p = F.concat(folder, F.when(tail == "Dockerfile", F.lit("")).otherwise(F.concat(F.lit("use"), F.initcap(segment))), tail)
+    return _table(spark, d, "customer").select(
+        "c_custkey", P.feature_word(p).alias("word"), P.feature_key(p).alias("key"), P.role(p).alias("role"), P.is_test(p).alias("test"), P.language(p).alias("language")
+    )
+
+
+#: Types and rules as they are written, and what they are, worked out by hand.
+KINDS = {
+    "VARCHAR(20)": "string", "int unsigned": "number", "Numeric(10,2)": "number", "timestamptz": "datetime", "JSONB": "json", "bytea": "bytes", "text[]": "string",
+    "geometry(Point)": "geometry", "BOOL": "bool", "List<String>": "liststring", "uuid": "uuid", "": "unknown", "EmailField": "string",
+}
+RULES = {
+    "notNull": "required", "Min-Length(3)": "minlength", "type(email)": "email", "required": "required", "Matches(/x/)": "matches", "gte(5)": "min", "le": "max",
+    "type(isUUID)": "uuid", "gt": "greater", "UniqueIndex": "unique", "type(a)(b)": "type",
+}
+
+
+def _nth(values: dict[str, str], n: str):
+    return F.element_at(F.array(*map(F.lit, values)), (F.col(n) % len(values) + 1).cast("int"))
+
+
+def _nth_sql(values: dict[str, str], n: str) -> str:
+    listed = ", ".join("'" + x + "'" for x in values), ", ".join("'" + x + "'" for x in values.values())
+    return f"[{listed[0]}][{n} % {len(values)} + 1]", f"[{listed[1]}][{n} % {len(values)} + 1]"
 
 
 def s17_type_family(spark, d):
-    kinds = ["VARCHAR(20)", "int unsigned", "numeric(10,2)", "timestamptz", "JSONB", "bytea", "text[]", "geometry", "BOOL"]
-    kind = F.element_at(F.array(*map(F.lit, kinds)), (F.col("p_size") % len(kinds) + 1).cast("int"))
+    kind = _nth(KINDS, "p_partkey")
     return _table(spark, d, "part").select("p_partkey", kind.alias("kind"), T.type_family(kind).alias("family"))
 
 
 def s18_rule_name(spark, d):
-    rules = ["notNull", "Min-Length(3)", "type(email)", "required", "Matches(/x/)", "maxlength"]
-    rule = F.element_at(F.array(*map(F.lit, rules)), (F.col("p_size") % len(rules) + 1).cast("int"))
-    return _table(spark, d, "part").select("p_partkey", T.rule_name(rule).alias("rule"))
+    return _table(spark, d, "part").select("p_partkey", T.rule_name(_nth(RULES, "p_partkey")).alias("rule"))
+
+
+_FAMILY_SQL = "select p_partkey, {} as kind, {} as family from part".format(*_nth_sql(KINDS, "p_partkey"))
+_RULE_SQL = "select p_partkey, {} as rule from part".format(_nth_sql(RULES, "p_partkey")[1])
 
 
 def s19_major_version(spark, d):
@@ -115,7 +142,7 @@ def p10_listing(spark, d):
 
 
 def p12_problem(spark, d):
-    texts = ["Too many requests, slow down", "Please sign in", "The context length is exceeded", "Request timed out", "All good", "captcha needed"]
+    texts = ["Too many requests, slow down", "Please sign in", "The context length is exceeded", "Connection lost", "All good", "captcha needed", "Message too long: quota"]
     t = F.element_at(F.array(*map(F.lit, texts)), (F.col("event_id") % len(texts) + 1).cast("int"))
     return _table(spark, d, "events").select("event_id", T.problem_kind(t).alias("kind"))
 
@@ -131,8 +158,7 @@ QUERIES = {f.__name__: f for f in (
     s19_major_version, s20_evidence, s21_slugs, s23_numbered, s26_redaction, s31_s32_percent_backoff, s35_json, p01_exclusion, p10_listing, p12_problem, p13_safe_paths,
 )}
 
-_SINGULAR = """case when regexp_matches({x}, '[a-z]ies$') then regexp_replace({x}, 'ies$', 'y') when regexp_matches({x}, '(ss|x|ch|sh)es$') then regexp_replace({x}, 'es$', '')
-  when regexp_matches({x}, '[^s]s$') then regexp_replace({x}, 's$', '') else {x} end"""
+_SINGULAR = """case when length({x}) > 3 and {x} like '%ies' then {x}[:-4] || 'y' when length({x}) > 3 and {x} like '%s' and {x} not like '%ss' then {x}[:-2] else {x} end"""
 _PATH = """(select case when p = '' then '/' else p end from (select regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '\\$\\{[^}]*\\}', ':param', 'g'), '/+$', '') as p))"""
 _KEY = "regexp_replace(lower({x}), '[^a-z0-9]+', '', 'g')"
 
@@ -149,18 +175,19 @@ ORACLES = {
     "s11_s13_keys": f"""with k as (select *, {_KEY.format(x='p_name')} as k, lower(string_split(p_type, ' ')[-1]) as w from part)
   select p_partkey, k as name_key, {_SINGULAR.format(x='k')} as singular, case when regexp_matches(w, '(ss|us|is|os|as)$') then w else {_SINGULAR.format(x='w')} end as feature,
   lower(regexp_replace(regexp_replace(replace(p_brand, '#', 'No'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g')) as snake from k""",
-    "s14_s16_features": "select c_custkey, lower(c_mktsegment) as word, lower(c_mktsegment) as key, 'service' as role, true as test, 'typescript' as language from customer",
-    "s17_type_family": """with k as (select p_partkey, ['VARCHAR(20)', 'int unsigned', 'numeric(10,2)', 'timestamptz', 'JSONB', 'bytea', 'text[]', 'geometry', 'BOOL'][p_size % 9 + 1] as kind from part)
-  select *, case kind when 'VARCHAR(20)' then 'text' when 'int unsigned' then 'integer' when 'numeric(10,2)' then 'decimal' when 'timestamptz' then 'time' when 'JSONB' then 'document'
-  when 'bytea' then 'binary' when 'text[]' then 'text' when 'BOOL' then 'boolean' end as family from k""",
-    "s18_rule_name": "select p_partkey, ['required', 'min', 'email', 'required', 'pattern', 'max'][p_size % 6 + 1] as rule from part",
+    "s14_s16_features": """with c as (select c_custkey, replace(lower(c_mktsegment), ' ', '') as seg, c_nationkey % 7 as k, c_custkey % 2 = 0 as own from customer)
+  select c_custkey, case k when 5 then 'dockerfile' else seg end as word, case when own then seg when k = 5 then 'dockerfile' else seg end as key,
+  case when k in (0) then 'test' when k = 1 and own then 'controller' when not own and k <> 1 then 'service' when not own then 'controller' when k = 2 then 'state' when k = 3 then 'component' else 'other' end as role,
+  k in (0, 6) as test, ['typescript', 'python', 'javascript', 'vue', 'javascript', 'dockerfile', 'go'][k + 1] as language from c""",
+    "s17_type_family": _FAMILY_SQL,
+    "s18_rule_name": _RULE_SQL,
     "s19_major_version": "select p_partkey, regexp_extract(p_brand, '[0-9]+')::int as major from part",
     "s20_evidence": """with s as (select o_orderkey, o_custkey % 3 as a, o_orderkey % 3 as b from orders)
   select o_orderkey, a::int as rank, ['UNKNOWN', 'INFERRED', 'VERIFIED'][greatest(a, b) + 1] as stronger from s""",
     "s21_slugs": """with s as (select page_id, url, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from pages)
   select page_id, slug, substr(regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g'), 1, 30) as safe_id, substr(slug, 1, 40) || '-' || substr(sha1(url), 1, 8) as segment from s""",
     "s23_numbered": """select doc_id, case when length(text) > 100 then text[1:70] || '...' || text[-25:] else text end as cut,
-  sha256(array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: (case when i < 10000 then lpad(i::varchar, 4, ' ') else substr(i::varchar, 1, 4) end) || '| ' || x), chr(10))) as numbered_sha from documents""",
+  sha256(array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: repeat(' ', greatest(0, 4 - length(i::varchar))) || i::varchar || '| ' || x), chr(10))) as numbered_sha from documents""",
     "s26_redaction": """with p as (select doc_id, text, '-----BEGIN [A-Z ]*PRIVATE KEY-----' as p1, 'AKIA[0-9A-Z]{16}' as p2, '(?:sk|pk|ghp|xoxb)[-_][A-Za-z0-9_-]{16,}' as p3,
   '(?i)(?:password|passwd|pwd|secret|api_key|apikey)[ ]*[=:][ ]*[^ \\n]{4,}' as p4, '[a-z][a-z0-9+]*://[^ /:@]+:[^ /@]+@' as p5, '[REDACTED_SECRET]' as m from documents)
   select doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, p1, m, 'g'), p2, m, 'g'), p3, m, 'g'), p4, m, 'g'), p5, m, 'g')) as redacted_sha,
@@ -170,7 +197,7 @@ ORACLES = {
     "s35_json": "select event_id, json_valid(props) as valid, json_extract_string(props, '$.k') as k from events",
     "p01_exclusion": f"""select page_id, regexp_matches(lower({_PATH}[2:]), '(^|/)node_modules(/|$)|(^|/)[^/]*\\.min\\.js(/|$)|^blog/[^/]*$|^a/.*/z$|(^|/)docs(/|$)') as excluded from pages""",
     "p10_listing": "select o_orderkey, o_orderpriority from orders where o_orderstatus = 'O' and contains(lower(o_orderpriority), 'high') order by o_orderkey limit 5000",
-    "p12_problem": "select event_id, ['rate_limited', 'signed_out', 'too_long', 'network', null, 'challenge'][event_id % 6 + 1] as kind from events",
+    "p12_problem": "select event_id, ['LIMIT', 'LOGIN', 'CONTEXT_TOO_LARGE', 'NETWORK', null, 'CAPTCHA', 'LIMIT'][event_id % 7 + 1] as kind from events",
     "p13_safe_paths": """select event_id, ['a/b.txt', '../x', 'a/../../x', '/etc/x', 'C:\\x', 'a/./b', 'a/../b'][event_id % 7 + 1] as path,
   [true, false, false, false, false, true, true][event_id % 7 + 1] as safe from events""",
 }

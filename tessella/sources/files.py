@@ -6,26 +6,24 @@ after that is built-in expressions over (path, length, content).
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import paths as P
 from tessella.functions import text as T
 
-#: How code names environment variables; the first group is the name.
+#: How code names environment variables; the first group is the name.
 ENVIRONMENT = (
-    r"process\.env\.([A-Z][A-Z0-9_]+)", r"process\.env\[['\"]([A-Z][A-Z0-9_]+)['\"]\]", r"import\.meta\.env\.([A-Z][A-Z0-9_]+)", r"os\.environ\[['\"]([A-Z][A-Z0-9_]+)['\"]\]",
-    r"os\.environ\.get\(['\"]([A-Z][A-Z0-9_]+)['\"]", r"os\.getenv\(['\"]([A-Z][A-Z0-9_]+)['\"]", r"os\.Getenv\(\"([A-Z][A-Z0-9_]+)\"", r"System\.getenv\(\"([A-Z][A-Z0-9_]+)\"", r"ENV\[['\"]([A-Z][A-Z0-9_]+)['\"]\]",
-)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, or under one of our own where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessella-")
-    return f"{root.rstrip('/')}/tessella-core/{name}-{uuid.uuid4().hex}"
+    r"process\.env\.([A-Z_][A-Z0-9_]*)",
+    r"process\.env\[['\"]([A-Z_][A-Z0-9_]*)['\"]\]",
+    r"import\.meta\.env\.([A-Z_][A-Z0-9_]*)",
+    r"os\.environ(?:\.get)?\(?\[?['\"]([A-Z_][A-Z0-9_]*)['\"]",
+    r"os\.getenv\(['\"]([A-Z_][A-Z0-9_]*)['\"]",
+    r"getenv\(['\"]([A-Z_][A-Z0-9_]*)['\"]\)",
+    r"env\(['\"]([A-Z_][A-Z0-9_]*)['\"]",
+    r"os\.(?:Getenv|LookupEnv)\(\s*[\"']([A-Za-z_][A-Za-z0-9_]*)[\"']",
+    r"Environment\.GetEnvironmentVariable\([\"']([A-Za-z_][A-Za-z0-9_]*)[\"']",
+)
 
 
 def relative(path: Column, root: str) -> Column:

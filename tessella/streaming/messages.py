@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessella.functions import text as T
-from tessella.sources.files import scratch
+from tessella.sources.scratch import folder
 
 ENVELOPE = "id string, version string, type string, sent timestamp, body string"
 #: Largest message, in bytes.
@@ -66,7 +66,7 @@ def rate_limited(messages: DataFrame, key: str, ident: str, time: str, per_secon
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over all that is there now, into a table that is read back."""
     spark: SparkSession = stream.sparkSession
-    at = scratch(spark, name)
+    at = folder(spark, name)
     query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")

@@ -51,7 +51,7 @@ def test_names_and_packages(spark):
 
 
 def test_facts(spark):
-    found = files.scan(spark, tree(), ["node_modules"]).withColumn("language", F.when(F.col("path").endswith(".js"), "JavaScript").when(F.col("path").endswith(".py"), "Python").otherwise("SQL"))
+    found = files.scan(spark, tree(), ["node_modules"])
     got = {(r.path, r.line, r.kind, r.name, r.detail) for r in extract.facts(found).collect()}
     for want in (
         ("web/cart.js", 1, "import", "./http", ""), ("web/cart.js", 3, "function", "total", ""), ("web/cart.js", 4, "client_call", "/api/cart", "POST"),
@@ -64,10 +64,10 @@ def test_facts(spark):
 
 def test_every_match_of_a_line(spark):
     rows = [
-        (1, "HTML", '<!-- x --><a href="/1">1</a><a class="b" href="http://x.org/2">2</a><script src="s.js"></script><script src="t.js"></script>\n<!-- <a href="/no"> -->'),
-        (2, "HTML", '* <a href="/3">3</a> # <a href="/3">3</a><form action="/f"><form action="">'),
-        (3, "JavaScript", "/* a */ fetch('/b'); fetch('/c', {method: 'PUT'})\n// fetch('/no')\n/* fetch('/no')\n*/ A.find(1) + B.find(2)\n#p = fetch('/d')"),
-        (4, "HTML", None),
+        (1, "html", '<!-- x --><a href="/1">1</a><a class="b" href="http://x.org/2">2</a><script src="s.js"></script><script src="t.js"></script>\n<!-- <a href="/no"> -->'),
+        (2, "html", '* <a href="/3">3</a> # <a href="/3">3</a><form action="/f"><form action="">'),
+        (3, "javascript", "/* a */ fetch('/b'); fetch('/c', {method: 'PUT'})\n// fetch('/no')\n/* fetch('/no')\n*/ A.find(1) + B.find(2)\n#p = fetch('/d')"),
+        (4, "html", None),
     ]
     files = spark.createDataFrame(rows, "path long, language string, text string")
     got = sorted((r.path, r.line, r.kind, r.name, r.detail) for r in extract.facts(files, extract.PAGES + extract.CLIENT_CALLS + extract.DATABASE).collect())
