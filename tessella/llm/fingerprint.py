@@ -1,12 +1,14 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and segments.
 
-A section is a run of lines between blank lines, a paragraph is a line, and a paragraph is cut into segments of up to
-``SEGMENT`` code points, so that an edit inside a long paragraph can be located too. A segment's digest is 8 hex
-digits; a paragraph's is the SHA-256 of its segments' digests, a section's that of its paragraphs', the root that of
-its sections'. The fingerprint string is ``root:section|section`` where a section is ``digest=segment,segment;...``,
-one list of segments a paragraph. Equal roots mean equal texts; comparing two strings branch by branch shows where they
-differ. Likeness is twice the number of distinct segments in common over the sum of both numbers (1 for two empty
-texts and whenever the roots are equal, 0 with nothing in common).
+A section is a run of lines up to a blank one and that line with it, a paragraph is a line, and a paragraph is cut into
+segments of up to ``SEGMENT`` code points, so that an edit inside a long paragraph can be located too. So the sections
+hold every character, blanks between them too. Digests are SHA-256 all the way: a paragraph's is that of its segments'
+digests, a section's that of its paragraphs', the root that of its sections'. Equal roots mean equal texts.
+
+The fingerprint string is ``root:section|section`` where a section is ``digest=segment,segment;...``, one list of segments
+a paragraph; there sections are cut to 16 and segments to 8 hex digits. These short digests serve the likeness and the
+search for differing branches, never equality. Likeness is twice the number of distinct segments in common over the sum
+of both numbers (1 for two empty texts and whenever the roots are equal, 0 with nothing in common).
 
 All of it is built-in expressions over the row's own text. The neighbour in descending doc_id comes from a table of ids:
 ids are ordered in ranges, each range's own window gives the next id, and the ends of ranges are joined by one row a
@@ -26,33 +28,34 @@ from pyspark.sql.window import Window
 from tessella.llm.common import let, materialize
 
 SEGMENT = 64
-SECTION_BREAK = r"\n[ \t]*\n"
-SEGMENTS = f"[\\s\\S]{{1,{SEGMENT}}}"
+#: Everything up to a blank line, and with it: the sections of a text, laid end to end, are the text.
+SECTIONS = r"(?s).+?(?:\n[ \t]*\n|\z)"
+SEGMENTS = f"(?s).{{1,{SEGMENT}}}"
 #: Ids that one range of the ordering holds.
 RANGE_ROWS = 5000
 #: Stands for a null doc_id while documents are matched.
 NO_ID = -(2**63)
 
 
-def _digest(x: Column) -> Column:
-    return F.substring(F.md5(x), 1, 8)
-
-
 def tree(text: Column) -> Column:
     """The fingerprint string of a text."""
 
     def paragraph(p: Column) -> Column:
-        return F.concat_ws(",", F.transform(F.regexp_extract_all(p, F.lit(SEGMENTS), F.lit(0)), _digest))
+        digests = F.transform(F.regexp_extract_all(p, F.lit(SEGMENTS), F.lit(0)), lambda x: F.sha2(x, 256))
+        short = lambda d: F.concat_ws(",", F.transform(d, lambda x: F.substring(x, 1, 8)))
+        return let(digests, lambda d: F.struct(F.sha2(F.concat_ws("", d), 256).alias("digest"), short(d).alias("leaves")))
 
     def section(s: Column) -> Column:
-        body = F.transform(F.split(s, "\n", -1), paragraph)
-        return let(body, lambda b: F.concat(F.substring(F.sha2(F.concat_ws(";", F.transform(b, lambda p: F.sha2(p, 256))), 256), 1, 16), F.lit("="), F.concat_ws(";", b)))
+        digest = lambda ps: F.sha2(F.concat_ws(";", F.transform(ps, lambda p: p["digest"])), 256)
+        lines = lambda ps: F.concat_ws(";", F.transform(ps, lambda p: p["leaves"]))
+        return let(F.transform(F.split(s, "\n", -1), paragraph), lambda ps: F.struct(digest(ps).alias("digest"), lines(ps).alias("leaves")))
 
     def whole(sections: Column) -> Column:
-        return let(F.concat_ws("|", sections), lambda j: F.concat(F.sha2(j, 256), F.lit(":"), j))
+        named = F.transform(sections, lambda s: F.concat(F.substring(s["digest"], 1, 16), F.lit("="), s["leaves"]))
+        return F.concat(F.sha2(F.concat_ws("|", F.transform(sections, lambda s: s["digest"])), 256), F.lit(":"), F.concat_ws("|", named))
 
     body = F.coalesce(text, F.lit(""))
-    return let(F.transform(F.split(body, SECTION_BREAK, -1), section), whole)
+    return let(F.transform(F.regexp_extract_all(body, F.lit(SECTIONS), F.lit(0)), section), whole)
 
 
 def root(fingerprint: Column) -> Column:
@@ -101,16 +104,30 @@ def fingerprint(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
 
 
 def differing_sections(a: Column, b: Column) -> Column:
-    """Places (from 0) of the sections in which two fingerprint strings differ, the longer one's rest included."""
+    """(only_a, only_b): places (from 0) of the sections of either fingerprint string whose digest the other one lacks.
+
+    An inserted section is one place, and those behind it are none. Where sections were only moved or repeated, the
+    places at which the two differ are given on both sides. Equal roots give empty lists.
+    """
 
     def sections(x: Column) -> Column:
-        return F.split(F.substring_index(x, ":", -1), r"\|", -1)
+        return F.filter(F.split(F.substring_index(x, ":", -1), r"\|", -1), lambda s: s != "")
+
+    def digests(x: Column) -> Column:
+        return F.transform(x, lambda s: F.substring_index(s, "=", 1))
+
+    def places(x: Column, y: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(x) - 1)), lambda i: (i < F.size(x)) & ~F.array_contains(y, F.get(x, i)))
+
+    def moved(x: Column, y: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(x) - 1)), lambda i: (i < F.size(x)) & ~F.get(x, i).eqNullSafe(F.get(y, i)))
 
     def differ(x: Column, y: Column) -> Column:
-        places = F.sequence(F.lit(0), F.greatest(F.size(x), F.size(y)) - 1)
-        return F.filter(places, lambda i: ~F.get(x, i).eqNullSafe(F.get(y, i)))
+        only = F.struct(places(x, y).alias("only_a"), places(y, x).alias("only_b"))
+        shuffled = F.struct(moved(x, y).alias("only_a"), moved(y, x).alias("only_b"))
+        return let(only, lambda o: F.when((F.size(o["only_a"]) == 0) & (F.size(o["only_b"]) == 0) & (root(a) != root(b)), shuffled).otherwise(o))
 
-    return let(sections(a), lambda x: let(sections(b), lambda y: differ(x, y)))
+    return let(digests(sections(a)), lambda x: let(digests(sections(b)), lambda y: differ(x, y)))
 
 
 def op8(docs: DataFrame) -> DataFrame:
@@ -145,31 +162,27 @@ def op8(docs: DataFrame) -> DataFrame:
 
 _TREE = """
 {p}_g as (
-  select rid, s, i, coalesce(string_agg(left(md5(seg), 8), ',' order by k), '') as par
-  from (select rid, s, i, unnest(case when line = '' then [null] else list_transform(range(0, length(line), 64), lambda x: line[x + 1:x + 64]) end) as seg,
-               unnest(range(0, greatest(1, ceil(length(line) / 64.0)::bigint))) as k
-        from (select rid, s, unnest(string_split(sec, chr(10))) as line, unnest(range(0, len(string_split(sec, chr(10))))) as i
-              from (select rid, unnest(string_split_regex({t}, '\\n[ \\t]*\\n')) as sec, unnest(range(0, len(string_split_regex({t}, '\\n[ \\t]*\\n')))) as s from {rel})))
-  group by rid, s, i
+  select rid, list_transform(regexp_extract_all({t}, '(?s).+?(?:\\n[ \\t]*\\n|\\z)'), lambda s: list_transform(string_split(s, chr(10)),
+    lambda l: list_transform(regexp_extract_all(l, '(?s).{1,64}'), lambda g: sha256(g)))) as tree from {rel}
+), {p}_p as (
+  select rid, list_transform(tree, lambda s: list_transform(s, lambda l: {'d': sha256(array_to_string(l, '')), 'c': array_to_string(list_transform(l, lambda g: left(g, 8)), ',')})) as ps,
+    list_distinct(list_transform(flatten(flatten(tree)), lambda g: left(g, 8))) as leaves from {p}_g
 ), {p}_s as (
-  select rid, s, left(sha256(string_agg(sha256(par), ';' order by i)), 16) || '=' || string_agg(par, ';' order by i) as sec from {p}_g group by rid, s
-), {p} as (
-  select rid, string_agg(sec, '|' order by s) as j from {p}_s group by rid
+  select rid, leaves, list_transform(ps, lambda s: {'d': sha256(array_to_string(list_transform(s, lambda p: p.d), ';')), 'c': array_to_string(list_transform(s, lambda p: p.c), ';')}) as ss from {p}_p
 ), {p}_t as (
-  select rid, sha256(j) as root, sha256(j) || ':' || j as fingerprint,
-    list_distinct(list_filter(string_split_regex(regexp_replace(j, '(^|[|])[0-9a-f]{16}=', ',', 'g'), '[,;|]'), lambda x: length(x) = 8)) as leaves
-  from {p}
+  select rid, leaves, sha256(array_to_string(list_transform(ss, lambda s: s.d), '|')) as root,
+    sha256(array_to_string(list_transform(ss, lambda s: s.d), '|')) || ':' || array_to_string(list_transform(ss, lambda s: left(s.d, 16) || '=' || s.c), '|') as fingerprint from {p}_s
 )"""
 SQL = (
     """
-with d as (
+with d as materialized (
   select doc_id, coalesce(text, '') as t, row_number() over (order by doc_id desc nulls last, md5(coalesce(text, ''))) as rid from {rel}
 ), n as (
   select a.*, b.t as nt, b.rid as nrid from d a join d b on b.rid = a.rid % (select count(*) from d) + 1
-), e as (
-  select *, t[1:length(t) - length(t) // 2] || nt[1:length(t) // 2] as ed from n
+), e as materialized (
+  select doc_id, t, rid, nrid, t[1:length(t) - length(t) // 2] || nt[1:length(t) // 2] as ed from n
 ), """
-    + _TREE.replace("{p}", "a").replace("{t}", "t").replace("{rel}", "d")
+    + _TREE.replace("{p}", "a").replace("{t}", "t").replace("{rel}", "d").replace("a_t as (", "a_t as materialized (")
     + ", "
     + _TREE.replace("{p}", "b").replace("{t}", "ed").replace("{rel}", "e")
     + """
