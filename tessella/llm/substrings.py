@@ -1,9 +1,11 @@
 """Substring dedup: words covered by windows that another document with a smaller doc_id has too.
 
-Every window of 50 words is hashed (Rabin-Karp) and counted: a chunk sends each distinct window with the smallest
-doc_id that has it there, a bucket finds the smallest doc_id of all, and chunks whose own is larger hear of it. A
-window is told apart by 56 bits of one hash and the bucket of another, so the bits grow with the corpus. Repeated
-windows of a document are merged into maximal intervals of words.
+Every window of 50 words is hashed (Rabin-Karp). Spark deals the windows by bucket and gathers them there: a chunk sends
+each distinct window with the smallest doc_id that has it there, a bucket finds the smallest doc_id of all (sorted and
+reduced in arrays, since a row a window would cost several times as much), and chunks whose own is larger hear of it. A
+window is told apart by all 64 bits of one hash and the bucket of an independent one. The buckets grow with the corpus,
+to some 86 bits at 100 TB, where less than one false pair is to be expected among 10^13 windows. Repeated windows of a
+document are merged into maximal intervals of words.
 
 Windows are judged on the input: what is removed elsewhere does not matter.
 
@@ -26,7 +28,7 @@ from tessella.llm.windows import (
 )
 
 WIDTH = 50
-BYTES = 7
+BYTES = 8
 
 SENT = "bucket int, chunk int, hashes binary, docs binary, runs binary"
 HEARD = "chunk int, bucket int, hashes binary"

@@ -1,8 +1,10 @@
 """Hashes of every fixed-length window of words, and their exchange between chunks of documents.
 
-Words are hashed by a polynomial over their bytes, windows by a Rabin-Karp polynomial over their words; both come from
-prefix sums modulo 2^64 (the base is odd, so a division by its powers is a product), which numpy does for a whole chunk
-at once. Memory follows ``SLICE`` bytes of text and the chunk, not the corpus.
+A word has two independent hashes: sums of its bytes times random odd 64-bit weights by place (multilinear hashing),
+which no pattern of letters cancels as it can a polynomial modulo a power of two. Windows are hashed by Rabin-Karp
+polynomials over either hash, one to tell them apart and one to choose their bucket, from prefix sums modulo 2^64 (the base
+is odd, so a division by its powers is a product), which numpy does for a whole chunk at once. Memory follows ``SLICE``
+bytes of text and the chunk, not the corpus.
 
 A chunk is a set of documents by a hash of doc_id, some MB of text. A chunk sends each of its distinct windows once,
 packed by bucket (a second hash), so a passage in very many documents costs a row's part a chunk, not a document. What
@@ -22,8 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 M64 = (1 << 64) - 1
-BYTE_BASE, WINDOW_BASE, BUCKET_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7
+WINDOW_BASE, BUCKET_BASE = 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7
 SLICE = 1 << 20
+#: Seeds of the two word hashes, and places of a word whose weights are kept in a table.
+SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+PLACES = 1 << 12
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 EMPTY = np.zeros(0, dtype=np.uint64)
@@ -52,21 +57,42 @@ def inverse(base: int, n: int) -> np.ndarray:
     return power(pow(base, -1, 1 << 64), n)
 
 
-def _slice_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(where words begin, their hashes); data begins and ends between words."""
+def _weights(seed: int, place: np.ndarray) -> np.ndarray:
+    return mix((place.astype(np.uint64) + np.uint64(1)) * np.uint64(seed)) | np.uint64(1)
+
+
+@lru_cache(maxsize=4)
+def _table(seed: int) -> np.ndarray:
+    return _weights(seed, np.arange(PLACES))
+
+
+def _slice_words(data: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(where words begin, their two hashes); data begins and ends between words."""
     blank = BLANK[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True]))))
     begin, end = edge[::2], edge[1::2]
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power(BYTE_BASE, len(data)), out=sums[1:])
-    return begin, mix((sums[end] - sums[begin]) * inverse(BYTE_BASE, len(data) + 1)[begin])
-
-
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, index of the first word of each text and the number of words)."""
+    if not len(begin):
+        return begin, [EMPTY, EMPTY]
+    size = end - begin
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    letters = data[~blank].astype(np.uint64) + np.uint64(1)
+    far = np.flatnonzero(place >= PLACES)
+    near = np.minimum(place, PLACES - 1) if len(far) else place
+    hashes = []
+    for seed in SEEDS:
+        weights = _table(seed)[near]
+        if len(far):
+            weights[far] = _weights(seed, place[far])
+        hashes.append(mix(np.add.reduceat(letters * weights, first) + size.astype(np.uint64) * np.uint64(seed)))
+    return begin, hashes
+
+
+def words(texts: list[bytes]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """(two hashes of every word, index of the first word of each text and the number of words)."""
     data = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
     starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    begins, hashes, at = [], [], 0
+    begins, hashes, at = [], ([], []), 0
     while at < len(data):
         end = min(at + SLICE, len(data))
         while end < len(data) and not BLANK[data[end - 1]]:  # never inside a word
@@ -74,10 +100,12 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             end = end + int(step[0]) + 1 if len(step) else min(end + SLICE, len(data))
         b, h = _slice_words(data[at:end])
         begins.append(b + at)
-        hashes.append(h)
+        for known, new in zip(hashes, h, strict=True):
+            known.append(new)
         at = end
     begin = np.concatenate(begins) if begins else np.zeros(0, dtype=np.int64)
-    return (np.concatenate(hashes) if hashes else EMPTY), np.searchsorted(begin, starts)
+    one, two = (np.concatenate(h) if h else EMPTY for h in hashes)
+    return (one, two), np.searchsorted(begin, starts)
 
 
 def rolling(h: np.ndarray, width: int, base: int) -> np.ndarray:
@@ -103,18 +131,18 @@ class Windows:
 
 def windows(texts: list[bytes], width: int, short: bool = False) -> Windows:
     """``short``: a text with fewer words than ``width`` (but some) is one window."""
-    h, bounds = words(texts)
+    (h, g), bounds = words(texts)
     doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
     n = max(0, len(h) - width + 1)
     at = np.flatnonzero(doc[:n] == doc[width - 1 :]) if n else np.zeros(0, dtype=np.int64)
-    one, two = rolling(h, width, WINDOW_BASE), rolling(h, width, BUCKET_BASE)
+    one, two = rolling(h, width, WINDOW_BASE), rolling(g, width, BUCKET_BASE)
     out = Windows(at, doc[at], one[at], two[at], bounds)
     if short:
         size = np.diff(bounds)
         few = np.flatnonzero((size > 0) & (size < width))
         if len(few):
-            parts = [h[bounds[k] : bounds[k + 1]] for k in few]
-            extra = [np.array([rolling(p, len(p), base)[0] for p in parts], dtype=np.uint64) for base in (WINDOW_BASE, BUCKET_BASE)]
+            spans = [(bounds[k], bounds[k + 1]) for k in few]
+            extra = [np.array([rolling(x[p:q], q - p, base)[0] for p, q in spans], dtype=np.uint64) for x, base in ((h, WINDOW_BASE), (g, BUCKET_BASE))]
             order = np.argsort(np.concatenate((out.doc, few)), kind="stable")
             out = Windows(
                 np.concatenate((out.at, bounds[few]))[order], np.concatenate((out.doc, few))[order],
