@@ -6,8 +6,12 @@ v, and every state with an arc u gets an arc uv to where v led. After the last r
 produce are left: the automaton is deterministic, and each word has one path.
 
 All arcs of one label lead to one state, so the table is kept as: label -> target state, state -> (parent state, arc
-taken away, rank). Whether a state still had an arc when a later rule needed it is answered by the ranks. Encoding
-walks a word's symbols and keeps for each prefix the last label of its one path; transitions are memoized in a table.
+taken away, rank). Whether a state still had an arc when a later rule needed it is answered by the ranks. These two
+tables hold all transitions; written out by state and label they would be some hundred times as large, and few are
+ever used. Encoding walks a word from its start. At each place it looks up the labels that spell what comes next, the
+longest first, and takes the first whose arc leaves the state reached, as a second table (state's label, label) says, in
+which each transition is entered when it is first asked for. A place from which no arc goes on is dead, once and for all,
+since a prefix has one path; so a word takes time in proportion to its length times the length of the longest label.
 
 Words recur, so a worker keeps a bounded dictionary of encoded words. The operator is a map without shuffles.
 
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 #: Encoded words that a worker keeps.
 KEPT_WORDS = 400_000
 #: White space as Unicode defines it, fixed values.
-SPACE = r"\t-\r\x20\x85\xa0  -     　"
+SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_symbols() -> list[str]:
@@ -83,7 +87,7 @@ class Automaton:
         self.names = list(self.target)
         self.inner = {x: k for x, k in self.number.items() if not (end and x.endswith(end) and len(x) > len(end))}
         self.final = {x[: len(x) - len(end)]: k for x, k in self.number.items() if x.endswith(end) and len(x) > len(end)}
-        self.longest = max(map(len, self.inner))
+        self.longest = max(max(map(len, self.inner), default=1), max(map(len, self.final), default=1))
         self.table: dict[int, bool] = {}
 
     def _step(self, last: int, label: int) -> bool:
@@ -102,7 +106,7 @@ class Automaton:
         path: list[int] = []
         places = [0]
         dead = set()
-        length = n
+        length = min(n, longest)
         while True:
             j = places[-1]
             found = -1
