@@ -51,14 +51,18 @@ def write(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T0
     payload = F.coalesce(F.col("html"), F.lit(""))
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     rows = pages.select("page_id", name.alias("name"), "url", payload.alias("payload"), F.unhex(F.sha1(payload)).alias("sha"))
+    spark = pages.sparkSession
     keys = rows.groupBy("name", "sha").agg(F.max("page_id").alias("page_id"), F.sum(F.octet_length("payload")).alias("bytes"))
     keys = materialize(keys, "warc-keys", pages.count())
     n_bytes = keys.agg(F.sum("bytes")).first()[0] or 0
     first = keys.groupBy("sha").agg(F.max("page_id").alias("response_id"))
     roles = keys.join(first, "sha").select("name", "sha", "response_id")
-    # Numbering and join share their keys, so a payload is shuffled once.
+    # Numbering and join share their keys, so a payload is shuffled once, over as many tasks as files are wanted: a
+    # file's size follows ``file_bytes``, whatever the session's number of partitions.
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // file_bytes))
+    rows = rows.repartition(files, "name", "sha")
     number = F.row_number().over(Window.partitionBy("name", "sha").orderBy("url"))
-    placed = rows.withColumn("number", number).join(roles, ["name", "sha"]).withColumn("digest", base32(F.lower(F.hex("sha"))))
+    placed = rows.withColumn("number", number).join(roles.hint("merge"), ["name", "sha"]).withColumn("digest", base32(F.lower(F.hex("sha"))))
 
     n = F.octet_length("payload")
     responds = (F.col("page_id").eqNullSafe(F.col("response_id")) & (F.col("number") == 1)) | (n < least)
@@ -77,8 +81,7 @@ def write(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T0
         F.lit(END), block, F.lit("\r\n"),
     )
     # The sink's line separator is the second half of the record's end.
-    files = max(12, -(-n_bytes // file_bytes))
-    placed.select(record.alias("value")).coalesce(files).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    placed.select(record.alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def _header(name: str) -> Column:
@@ -169,7 +172,12 @@ def read(spark: SparkSession, path: str, records: int = 0) -> DataFrame:
     split = true.filter("NOT whole").select(
         "file", F.col("offset").alias("from"), "successor", "page", "record_type", "refers_to", "stated", "head_len", "block_len"
     )
-    parts = placed.select("file", "block", "seq", "offset").join(split, "file").filter("offset >= `from` AND offset < successor")
+    # Each piece belongs to the last split record that begins at or before it, if it ends before that one's successor.
+    begins = split.select("file", F.col("from").alias("offset"), F.struct("*").alias("record"))
+    before = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
+    inside = placed.select("file", "block", "seq", "offset").join(begins, ["file", "offset"], "left")
+    inside = inside.withColumn("record", F.last("record", ignorenulls=True).over(before)).filter("offset < record.successor")
+    parts = inside.select("block", "seq", "offset", "record.*")
     parts = materialize(parts, "warc-parts", 0)
     # Broadcast when counted as few, so that the other pieces are not shuffled to be thrown away.
     parts = small(parts, parts.count())
