@@ -83,10 +83,14 @@ class Scratch:
         for name in self.names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
-    def keep(self, df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
-        """Like ``materialize``."""
+    def keep(self, df: DataFrame, tag: str, rows: int | None = None, by: str | None = None) -> DataFrame:
+        """Like ``materialize``. ``by``: deal the rows by a column once, so that what later groups or joins by it reads them as they lie."""
         name = f"{self.DATABASE}.{tag}_{uuid.uuid4().hex}"
-        _gathered(df, rows).write.format("parquet").saveAsTable(name)
+        if by:
+            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            df.repartition(n, by).write.format("parquet").bucketBy(n, by).saveAsTable(name)
+        else:
+            _gathered(df, rows).write.format("parquet").saveAsTable(name)
         self.names.append(name)
         return self.spark.table(name)
 

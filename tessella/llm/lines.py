@@ -12,7 +12,8 @@ Jaccard similarity of at least the threshold with it, both judged on the input.
   bits than the lines may differ in words. Pairs that pass are verified on the words themselves.
 * Long posting lists come first: each line is held against the earliest line of each of its long lists, then against
   the earliest of those that are left, for some rounds. Only the existence of an earlier match matters, so this settles large groups of variants without
-  their pairs. Lines that found none are then joined with all earlier lines.
+  their pairs. Lines that found none are then joined with all earlier lines. The index is dealt by word once; the lists
+  of over ``SPLIT`` lines are dealt anew, cut by line on one side and repeated on the other, so no task has a whole one.
 
 Line numbers by document are broadcast up to ``BROADCAST_BYTES``, else joined by document. No user function runs.
 
@@ -40,6 +41,8 @@ BROADCAST_BYTES = 32 << 20
 #: Lines of one class of lengths from which the posting list of a word is long.
 LIST = 64
 ROUNDS = 3
+#: Lines of a posting list that one task joins.
+SPLIT = 8192
 #: Lines of so many words have the long parity.
 LONG = 192
 
@@ -215,12 +218,12 @@ def _index(sets: DataFrame, t: float) -> DataFrame:
     return rows.withColumn("pos", F.col("at") + 1).drop("at")
 
 
-def _settled(index: DataFrame, rows: DataFrame, t: float, scratch: Scratch, n_lines: int) -> tuple[DataFrame, int]:
-    """Lines that match the earliest line of a long posting list, and their number."""
+def _settled(index: DataFrame, rows: DataFrame, t: float, scratch: Scratch, n_lines: int) -> tuple[DataFrame, int, DataFrame]:
+    """Lines that match the earliest line of a long posting list, their number, and the words of the longest lists with the parts to cut them to."""
     sized = index.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / t))).cast("int"))
-    long = scratch.keep(sized.groupBy("token", "size").count().filter(F.col("count") >= LIST).select("token", "size"), "long")
-    long = F.broadcast(long) if long.count() * 32 <= BROADCAST_BYTES else long
-    hot = scratch.keep(sized.join(long, ["token", "size"]), "hot")
+    long = scratch.keep(sized.groupBy("token", "size").count().filter(F.col("count") >= LIST), "long")
+    few = long.count() * 32 <= BROADCAST_BYTES
+    hot = scratch.keep(sized.join(F.broadcast(long.select("token", "size")) if few else long.select("token", "size"), ["token", "size"]), "hot")
     settled, n, led = None, 0, None
     for _ in range(ROUNDS):
         left = hot if settled is None else hot.join(settled, [*PLACE], "left_anti")
@@ -240,7 +243,27 @@ def _settled(index: DataFrame, rows: DataFrame, t: float, scratch: Scratch, n_li
         n += new
         if not new:
             break
-    return settled, n
+    heavy = long.groupBy("token").agg(F.sum("count").alias("n")).filter(F.col("n") > SPLIT)
+    return settled, n, heavy.select("token", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts"))
+
+
+def _met(left: DataFrame, index: DataFrame, heavy: DataFrame, t: float) -> DataFrame:
+    """Pairs (place of a, place of b) of an earlier line of ``index`` and a line of ``left`` that meet in a word and pass the filters."""
+
+    def pairs(b: DataFrame, a: DataFrame, *more: Column) -> DataFrame:
+        close = (F.col("a.token") == F.col("b.token")) & _earlier("a", "b") & _passes("a", "b", t)
+        for m in more:
+            close = close & m
+        return b.alias("b").join(a.alias("a"), close).select(*[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in PLACE])
+
+    n = heavy.count()
+    if not n:
+        return pairs(left, index).distinct()
+    heavy = F.broadcast(heavy) if n * 32 <= BROADCAST_BYTES else heavy
+    rest = pairs(left.join(heavy, "token", "left_anti"), index.join(heavy, "token", "left_anti"))
+    cut = left.join(heavy, "token").withColumn("part", F.pmod(F.xxhash64(*PLACE), F.col("parts")).cast("int"))
+    whole = index.join(heavy, "token").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rest.unionByName(pairs(cut, whole, F.col("a.part") == F.col("b.part"))).distinct()
 
 
 def matches(docs: DataFrame, similarity: float = SIMILARITY, keyed: bool = True) -> tuple[DataFrame, int]:
@@ -251,14 +274,12 @@ def matches(docs: DataFrame, similarity: float = SIMILARITY, keyed: bool = True)
         if keyed:
             rows = scratch.keep(rows.dropDuplicates(["doc", "sub"]), "documents")
         copies, sets, n_lines = _word_sets(rows, scratch)
-        index = scratch.keep(_index(sets, t), "index")
+        index = scratch.keep(_index(sets, t), "index", by="token")
         scratch.drop("sets")
-        settled, n_settled = _settled(index, rows, t, scratch, n_lines)
+        settled, n_settled, heavy = _settled(index, rows, t, scratch, n_lines)
         done = F.broadcast(settled) if n_settled * 64 <= BROADCAST_BYTES else settled
-        left = index.join(done, [*PLACE], "left_anti").alias("b")
-        met = left.join(index.alias("a"), (F.col("a.token") == F.col("b.token")) & _earlier("a", "b") & _passes("a", "b", t))
-        pairs = met.select(*[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in PLACE]).distinct()
-        more = _verified(pairs, rows, t, scratch, n_lines)
+        left = index.join(done, [*PLACE], "left_anti")
+        more = _verified(_met(left, index, heavy, t), rows, t, scratch, n_lines)
         found = materialize(copies.unionByName(settled).unionByName(more), "line-matches", n_lines)
     return found, found.count()
 
