@@ -343,10 +343,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The row of ``docs`` that stays of each class: that with the smallest doc_id, by its text's digest if it has several."""
     tops = _classes(docs.select("doc_id", "text"), similarity).filter(F.col("digest") == F.col("stands"))
-    tops = tops.groupBy("digest").agg(F.min("doc_id").alias("_id")).withColumnRenamed("digest", "_digest")
-    here = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_id")) & (F.unhex(F.md5(F.coalesce("text", F.lit("")))) == F.col("_digest"))
-    same = F.struct(F.coalesce("doc_id", F.lit(NO_ID)), F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    return docs.join(tops, here, "left_semi").withColumn("_same", same).dropDuplicates(["_same"]).drop("_same")
+    tops = tops.groupBy("digest").agg(F.min("doc_id").alias("id"))
+    same = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"))
+    others = [c for c in docs.columns if c != "text"]  # in a struct, where no name clashes
+    packed = docs.select(F.struct(F.lit(0), *others).alias("row"), "text", same.alias("same")).select("row", "text", "same", "same.id", "same.digest")
+    left = packed.join(tops, ["id", "digest"], "left_semi").dropDuplicates(["same"])
+    return left.select(*[(F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op5(docs: DataFrame) -> DataFrame:
