@@ -129,9 +129,12 @@ def mix(
 def draw(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: a row of ``docs`` (with text) for each time it is taken, with ``copy`` from 1.
 
-    The document at which a budget ends is cut to the words that are taken, joined by single spaces.
+    The document at which a budget ends is cut to the words that are taken, joined by single spaces. Other columns are
+    carried as they are, whatever their names, but for an input column ``copy``, which the number replaces.
     """
-    marked = docs.withColumn("_mark", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    others = [c for c in docs.columns if c not in ("text", "copy")]
+    mark = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    marked = docs.select(F.struct(F.lit(0), *others).alias("_row"), "doc_id", "source", "text", mark.alias("_mark"))
     mixed = mix(marked, n_words_of(F.col("text")), quality_weight(F.col("text")), keep=("_mark",), **options)
     taken = mixed.filter("taken > 0").groupBy("doc_id", "_mark").agg(F.collect_list(F.struct("size", "taken")).alias("_takes"))
     taken = taken.select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_of"), "_takes")
@@ -142,7 +145,8 @@ def draw(docs: DataFrame, **options) -> DataFrame:
     copies = met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(words / size))))
     rest = (words - (F.col("copy") - 1) * size).cast("int")
     text = F.when(rest >= size, F.col("text")).otherwise(F.array_join(F.slice(words_of(F.col("text")), F.lit(1), rest), " "))
-    return copies.withColumn("text", text).select(*docs.columns, "copy")
+    kept = [(text if c == "text" else F.col("_row").getField(c)).alias(c) for c in docs.columns if c != "copy"]
+    return copies.select(*kept, "copy")
 
 
 def op1(docs: DataFrame) -> DataFrame:

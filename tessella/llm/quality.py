@@ -42,7 +42,6 @@ class Rule:
 
 #: The table that is compiled. Ratios are per word, per code point in words, or per line with a word.
 RULES = (
-    Rule("too_long", "n_words", most=1_000_000),
     Rule("word_length", "mean_word_chars", least=2.5, most=14.0),
     Rule("symbols", "symbols_per_word", most=0.25),
     Rule("shouting", "bangs_per_word", most=0.25),
@@ -152,8 +151,11 @@ def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
     The verdict passes through a generator, because a filter on it would be moved below the projection and every metric
     would be computed anew for each of its uses.
     """
-    judged = apply_rules(docs, text, keep=tuple(docs.columns), rules=rules)
-    return judged.select(*docs.columns, F.explode_outer(F.array("kept")).alias("_stays")).filter("_stays").select(*docs.columns)
+    others = [c for c in docs.columns if c != text]  # in a struct, where no name clashes with a metric's
+    packed = docs.select(F.struct(F.lit(0), *others).alias("_row"), F.col(text).alias("_body"))
+    judged = apply_rules(packed, "_body", keep=("_row", "_body"), rules=rules)
+    good = judged.select("_row", "_body", F.explode_outer(F.array("kept")).alias("_stays")).filter("_stays")
+    return good.select(*[(F.col("_body") if c == text else F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 #: DuckDB SQL of the same projection; ``{rel}`` is the relation of documents.
