@@ -27,8 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier line matches; those with no word left go."""
-    left = lines.dedup_lines(docs).filter(F.length(F.translate("text", " \t\n\x0b\x0c\r", "")) > 0)
-    return _documents(left)
+    left = lines.dedup_lines(docs).select(*[c for c in COLUMNS if c != "n_chars"], F.explode_outer(F.array(F.struct(F.length("text").cast("long").alias("n_chars"), F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("words")))).alias("is"))
+    return left.filter("is.words").select("doc_id", "text", "lang", "source", "is.n_chars")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
