@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions import paths as P
-from tessella.operators.extract import SYMBOLS, facts
+from tessella.functions import text as T
+from tessella.operators.extract import DATABASE, SYMBOLS, facts
 
 HASHED = ("python", "ruby", "shell", "yaml", "toml", "env")
 _STRINGS = r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'"
@@ -198,3 +199,34 @@ def relations(*entities: DataFrame) -> DataFrame:
     known = rows.select(F.lower("entity").alias("_key")).distinct()
     met = rows.filter("refers_to IS NOT NULL").join(known, F.lower("refers_to") == F.col("_key"), "left")
     return met.select(F.col("entity").alias("from_entity"), F.col("refers_to").alias("to_entity"), "field", F.when(F.col("_key").isNotNull(), "VERIFIED").otherwise("INFERRED").alias("status")).distinct()
+
+
+def endpoints(files: DataFrame) -> DataFrame:
+    """file, line, method, endpoint, middleware and handler of each script route, once for each prefix its file is mounted under.
+
+    A mount is a ``use`` of a name that is imported from a file; what is not mounted keeps its own path.
+    """
+    pattern = r"\b(?:app|router|server|api)\.(get|post|put|patch|delete|head|options|all|use)\(\s*['\"`]([^'\"`]+)['\"`]\s*,?([^;]*)\)"
+    lines = _lines(files.filter(F.col("language").isin("javascript", "typescript")))
+    one = F.arrays_zip(*[F.regexp_extract_all("body", F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in (1, 2, 3)])
+    found = lines.select(F.col("path").alias("file"), "line", F.explode(one).alias("m")).select("file", "line", F.col("m.g1").alias("method"), F.col("m.g2").alias("own"), F.split(F.trim("m.g3"), r"\s*,\s*").alias("args"))
+    mounts = found.filter("method = 'use'").select(F.col("file").alias("_parent"), F.element_at("args", -1).alias("_local"), F.col("own").alias("prefix"))
+    named = bindings(files).filter("target IS NOT NULL").select(F.col("file").alias("_parent"), F.col("local").alias("_local"), F.col("target").alias("file"))
+    placed = mounts.join(named, ["_parent", "_local"]).select("file", "prefix").distinct()
+    routes = found.filter("method <> 'use'").join(placed, "file", "left")
+    path = F.regexp_replace(F.concat(F.coalesce(F.regexp_replace("prefix", "/+$", ""), F.lit("")), "own"), "/{2,}", "/")
+    return routes.select("file", "line", "method", T.endpoint(path).alias("endpoint"), F.slice("args", F.lit(1), F.greatest(F.lit(0), F.size("args") - 1)).alias("middleware"), F.element_at("args", -1).alias("handler"))
+
+
+def database_uses(files: DataFrame) -> DataFrame:
+    """file, symbol, kind (read or write) and entity of each ORM call on a known entity, by the innermost symbol around it.
+
+    The receiver is looked up as it is, then as a key, then in the singular; receivers that are no entity are dropped.
+    """
+    known = table_columns(files).select("entity").union(model_fields(files).select("entity")).distinct()
+    keyed = known.select("entity", T.singular(T.name_key(F.col("entity"))).alias("key")).groupBy("key").agg(F.min("entity").alias("entity"))
+    found = facts(uncommented(files), DATABASE).filter("kind IN ('orm_read', 'orm_write')")
+    named = found.select(F.col("path").alias("file"), F.col("line").alias("at"), F.substring_index("kind", "_", -1).alias("use"), T.singular(T.name_key(F.col("name"))).alias("key"))
+    around = named.join(keyed, "key").join(symbols(files), "file").filter((F.col("line") <= F.col("at")) & (F.col("at") <= F.col("end")))
+    inner = around.groupBy("file", "at", "use", "entity").agg(F.max_by("name", "line").alias("symbol"))
+    return inner.select("file", "symbol", F.col("use").alias("kind"), "entity").distinct()

@@ -126,3 +126,35 @@ def latest_per_key(rows: DataFrame, keys: list[str], *order: Column) -> DataFram
     """One row a key: the first by ``order``."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+
+def ranked(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """The rows with ``rank``, their number within the keys by ``order``."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+#: Fixed value: what describes a sub-project, read before its other files.
+MANIFEST = r"(^|/)(__manifest__\.py|__openerp__\.py|package\.json|go\.mod|Cargo\.toml|pyproject\.toml|setup\.py|composer\.json|pom\.xml|build\.gradle(\.kts)?|[^/]+\.csproj|Gemfile|mix\.exs|pubspec\.yaml)$"
+#: Order of the states of files in a broad run.
+STATE_RANK = {"NOT_ANALYZED": 0, "OUTDATED": 1, "PARTIAL": 2}
+
+
+def reading_order(files: DataFrame, first: list[str], last: list[str]) -> DataFrame:
+    """path and place (from 1): files under ``first`` entries, then the rest, then those under ``last`` entries.
+
+    The longest entry above a file decides, one of ``first`` on a tie. Within a group: the state, then the path, a manifest
+    before all else in its folder. ``files``: path, status.
+    """
+    path = F.col("path")
+
+    def best(entries: list[str]) -> Column:
+        hits = [F.when((path == e) | F.startswith(path, F.lit(e + "/")), F.struct(F.lit(len(e)).alias("n"), F.lit(-k).alias("k"))) for k, e in enumerate(entries)]
+        none = F.struct(F.lit(-1).alias("n"), F.lit(0).alias("k"))
+        return F.array_max(F.array(none, *[F.coalesce(h, none) for h in hits]))
+
+    a, b = best([e.strip("/") for e in first]), best([e.strip("/") for e in last])
+    group = F.when((a["n"] < 0) & (b["n"] < 0), len(first)).when(a["n"] >= b["n"], -a["k"]).otherwise(len(first) + 1 - b["k"])
+    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in STATE_RANK.items() for x in kv]), F.col("status")), F.lit(len(STATE_RANK)))
+    key = F.when(path.rlike(MANIFEST), F.concat(F.regexp_extract(path, "^(.*/)?", 0), F.lit("\x00"), path)).otherwise(path)
+    keyed = files.withColumn("_order", F.struct(group.alias("g"), rank.alias("r"), key.alias("k")))
+    return keyed.select("path", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_order")).cast("long").alias("place"))

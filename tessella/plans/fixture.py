@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import paths as P
+from tessella.functions import text as T
 from tessella.operators import code as C
+from tessella.operators import compare as Cmp
 from tessella.operators import extract, graph
+from tessella.operators import joins as J
+from tessella.operators import verify as V
 from tessella.sources import files as S
 
 FILES = (
@@ -41,6 +45,12 @@ const router = express.Router();
 router.get('/baskets', listBaskets);
 router.post('/baskets', requireReader, addBasket);
 module.exports = router;
+"""),
+    ("server/app.js", """const express = require('express');
+const basketRoutes = require('./routes/basketRoutes');
+const app = express();
+app.use('/api', basketRoutes);
+app.listen(process.env.PORT);
 """),
     ("server/controllers/basketController.js", """const store = require('../services/basketStore');
 async function addBasket(req, res) {
@@ -166,7 +176,115 @@ def src05_packages(spark, d):
     return S.packages(files(spark))
 
 
+def p06_entry_points(spark, d):
+    src = files(spark)
+    uses = C.bindings(src).filter("target IS NOT NULL AND target <> file").select("file", F.col("target").alias("path")).distinct().groupBy("path").agg(F.count("*").alias("dependents"))
+    return src.filter(P.is_source(F.col("path"))).join(uses, "path", "left").select("path", P.is_entry(F.col("path"), F.col("dependents")).alias("entry"))
+
+
+def a07_layers(spark, d):
+    """Sorted files by role of the source files."""
+    src = files(spark).filter(P.is_source(F.col("path")))
+    return src.groupBy(P.role(F.col("path")).alias("role")).agg(F.array_join(F.array_sort(F.collect_set("path")), ",").alias("files"))
+
+
+def x11_endpoints(spark, d):
+    """Routes with the prefix under which their file is mounted, and their handler and middleware."""
+    return C.endpoints(files(spark)).select("file", "line", "method", "endpoint", F.array_join("middleware", ",").alias("middleware"), "handler")
+
+
+def j01_client_links(spark, d):
+    """Client calls and the routes they reach, by path and method."""
+    src = files(spark)
+    sent = extract.facts(C.uncommented(src), extract.CLIENT_CALLS).select("path", "line", F.upper(F.when(F.col("detail") == "", "get").otherwise(F.col("detail"))).alias("m"), T.comparison_path(T.url_path(F.col("name"))).alias("k"))
+    routes = C.endpoints(src).select(F.col("file").alias("route_file"), F.col("line").alias("route_line"), F.upper("method").alias("route_m"), T.comparison_path(F.col("endpoint")).alias("k"))
+    return sent.join(routes, "k").filter("m = route_m OR route_m IN ('ANY', 'ALL')").select("path", "line", "route_file", "route_line")
+
+
+def g06_handlers(spark, d):
+    """Steps behind each route: the handler and what it calls, with the entities that are read or written there."""
+    src = files(spark)
+    edges = graph.call_edges(C.calls(src), C.symbols(src), C.bindings(src))
+    handled = graph.call_edges(C.endpoints(src).select("file", F.concat_ws(" ", F.upper("method"), "endpoint").alias("symbol"), F.col("handler").alias("name"), "line"), C.symbols(src), C.bindings(src))
+    starts = handled.select(F.col("src").alias("route"), F.col("dst").alias("start"))
+    down = graph.reach(edges, starts.select("start").distinct(), 8, include_start=True)
+    used = C.database_uses(src).select(F.concat_ws("#", "file", "symbol").alias("node"), F.concat_ws(":", "kind", "entity").alias("use"))
+    met = starts.join(down, "start").join(used, "node", "left")
+    return met.groupBy("route", "depth", "node").agg(F.array_join(F.array_sort(F.collect_set("use")), ",").alias("uses"))
+
+
+CLAIMS = (
+    ("true", "VERIFIED", "sumPrices", "", [("server/services/basketStore.js", "saveBasket", 1, 4, None)]),
+    ("made up", "VERIFIED", "refund", "", [("server/services/basketStore.js", None, None, None, None)]),
+    ("forged", "VERIFIED", "x", "", [("stock/views.py", None, None, None, "old")]),
+    ("foreign", "VERIFIED", "x", "", [("../etc/passwd", None, None, None, None), ("none.js", None, None, None, None)]),
+    ("bare", "VERIFIED", "x", "", []),
+    ("symbol", "VERIFIED", "", "It counts.", [("stock/views.py", "count_books", 5, None, None)]),
+    ("vague", "VERIFIED", "", "It counts.", [("stock/views.py", None, 1, 2, None)]),
+    ("lines", "VERIFIED", "x", "", [("stock/views.py", None, 5, 900, None)]),
+    ("guess", "INFERRED", "x", "", [("stock/views.py", None, None, None, None)]),
+    ("hunch", "INFERRED", "x", "", []),
+    ("other", "UNKNOWN", "x", "", []),
+)
+
+
+def _claims(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(CLAIMS), f"claim string, status string, subject string, body string, evidence {V.REFERENCES}")
+
+
+def m08_claim_verdicts(spark, d):
+    src = files(spark)
+    known = src.select("path", "text", F.sha2("text", 256).alias("hash"))
+    return V.claim_verdicts(_claims(spark), V.check_references(_claims(spark), known, C.symbols(src)))
+
+
+def m13_sanitised(spark, d):
+    batch = files(spark).filter("path LIKE 'stock/%'").select("path", F.lit("h").alias("hash"))
+    return V.sanitised(_claims(spark), batch).select("claim", "status", F.size("evidence").cast("long").alias("kept"))
+
+
+def m15_places(spark, d):
+    asked = spark.createDataFrame([("server/app.js",), ("app.js",), ("server/services/",), ("ices/basketStore.js",), ("server/none.js",)], "place string")
+    return V.places_exist(asked, files(spark))
+
+
+#: The tables of a second shop.
+OTHER = """CREATE TABLE reader (id BIGINT PRIMARY KEY, email TEXT, nick TEXT);
+CREATE TABLE loans (id UUID PRIMARY KEY);
+"""
+
+
+def c03_compare(spark, d):
+    """The bookshop and a second shop side by side."""
+    return _compared(spark).select("category", "key", "label", "side", F.array_join("why", ", ").alias("why"))
+
+
+def c04_suggestions(spark, d):
+    return Cmp.suggestions(_compared(spark))
+
+
+def a16_totals(spark, d):
+    return Cmp.totals(_compared(spark))
+
+
+def _compared(spark: SparkSession) -> DataFrame:
+    src = files(spark)
+    routes = C.endpoints(src).select("method", "endpoint", F.exists("middleware", lambda m: m.rlike("(?i)auth|requireReader")).alias("protected"))
+    a = Cmp.items(C.table_columns(src), routes, S.packages(src).select("name", "version"), src.groupBy("language").agg(F.count("*").alias("files")).filter("language = 'python'"))
+    ddl = spark.createDataFrame([("o.sql", "sql", OTHER)], "path string, language string, text string")
+    theirs = spark.createDataFrame([("get", "/api/baskets", False), ("post", "/api/baskets", False), ("get", "/api/loans/{id}", True)], "method string, endpoint string, protected boolean")
+    b = Cmp.items(C.table_columns(ddl), theirs, spark.createDataFrame([("express", "5.0.1")], "name string, version string"), spark.createDataFrame([("go", 3)], "language string, files long"))
+    return Cmp.compare(a, b)
+
+
+def o01_order(spark, d):
+    """Reading order of the bookshop: the stock service first, the front end last but for its services."""
+    rows = files(spark).select("path", F.when(F.col("path").endswith(".sql"), "OUTDATED").otherwise("NOT_ANALYZED").alias("status"))
+    return J.reading_order(rows, ["stock", "web/src/services"], ["web"])
+
+
 QUERIES = {f.__name__: f for f in (
+    p06_entry_points, a07_layers, x11_endpoints, j01_client_links, g06_handlers, m08_claim_verdicts, m13_sanitised, m15_places, c03_compare, c04_suggestions, a16_totals, o01_order,
     p02_p05_classes, x01_x12_line_facts, x13_tables, x14_models, x16_relations, x02_calls, g03_call_graph, g05_trace_up, src07_environment, src05_packages,
 )}
 
@@ -182,6 +300,7 @@ ORACLES = {
         "('web/src/components/BasketView.jsx', 'javascript', true, false, 'component', null, 'basket', 'web')",
         "('web/src/services/basketService.js', 'javascript', true, false, 'service', null, 'basket', 'web')",
         "('server/routes/basketRoutes.js', 'javascript', true, false, 'route', null, 'basket', 'basket')",
+        "('server/app.js', 'javascript', true, false, 'other', null, 'app', null)",
         "('server/controllers/basketController.js', 'javascript', true, false, 'controller', null, 'basket', 'basket')",
         "('server/services/basketStore.js', 'javascript', true, false, 'service', null, 'basket', 'basket')",
         "('server/db/schema.sql', 'sql', false, false, 'other', null, 'schema', 'db')",
@@ -204,6 +323,9 @@ ORACLES = {
         "('server/routes/basketRoutes.js', 2, 'import', '../controllers/basketController', '')",
         "('server/routes/basketRoutes.js', 4, 'route', 'get', '/baskets')",
         "('server/routes/basketRoutes.js', 5, 'route', 'post', '/baskets')",
+        "('server/app.js', 1, 'import', 'express', '')",
+        "('server/app.js', 2, 'import', './routes/basketRoutes', '')",
+        "('server/app.js', 4, 'route', 'use', '/api')",
         "('server/controllers/basketController.js', 1, 'import', '../services/basketStore', '')",
         "('server/controllers/basketController.js', 2, 'function', 'addBasket', '')",
         "('server/controllers/basketController.js', 6, 'function', 'listBaskets', '')",
@@ -270,6 +392,68 @@ ORACLES = {
         "('stock/views.py#count_books', 0, 'stock/views.py#count_books')",
         "('stock/views.py#count_books', 1, 'stock/test_views.py#test_count')",
     ),
-    "src07_environment": "select 'STOCK_TOKEN' as name, '.env.example,stock/views.py' as paths",
+    "src07_environment": _rows("name, paths", "('PORT', 'server/app.js')", "('STOCK_TOKEN', '.env.example,stock/views.py')"),
     "src05_packages": _rows("path, name, version, dev", "('package.json', 'express', '4.1.0', false)", "('package.json', 'vitest', '1.0.0', true)"),
+    "p06_entry_points": _rows(
+        "path, entry",
+        "('web/src/components/BasketView.jsx', false)", "('web/src/services/basketService.js', false)", "('server/routes/basketRoutes.js', false)", "('server/app.js', true)",
+        "('server/controllers/basketController.js', false)", "('server/services/basketStore.js', false)", "('stock/models.py', false)", "('stock/views.py', false)", "('stock/test_views.py', false)",
+    ),
+    "a07_layers": _rows(
+        "role, files",
+        "('component', 'web/src/components/BasketView.jsx')", "('service', 'server/services/basketStore.js,web/src/services/basketService.js')", "('route', 'server/routes/basketRoutes.js')",
+        "('controller', 'server/controllers/basketController.js,stock/views.py')", "('model', 'stock/models.py')", "('test', 'stock/test_views.py')", "('other', 'server/app.js')",
+    ),
+    "x11_endpoints": _rows(
+        "file, line, method, endpoint, middleware, handler",
+        "('server/routes/basketRoutes.js', 4::bigint, 'get', '/api/baskets', '', 'listBaskets')",
+        "('server/routes/basketRoutes.js', 5, 'post', '/api/baskets', 'requireReader', 'addBasket')",
+    ),
+    "j01_client_links": "select 'web/src/services/basketService.js' as path, 6::bigint as line, 'server/routes/basketRoutes.js' as route_file, 5::bigint as route_line",
+    "g06_handlers": _rows(
+        "route, depth, node, uses",
+        "('server/routes/basketRoutes.js#GET /api/baskets', 0, 'server/controllers/basketController.js#listBaskets', 'read:baskets')",
+        "('server/routes/basketRoutes.js#POST /api/baskets', 0, 'server/controllers/basketController.js#addBasket', '')",
+        "('server/routes/basketRoutes.js#POST /api/baskets', 1, 'server/services/basketStore.js#saveBasket', 'write:baskets')",
+        "('server/routes/basketRoutes.js#POST /api/baskets', 2, 'server/services/basketStore.js#sumPrices', '')",
+    ),
+    "m08_claim_verdicts": _rows(
+        "claim, verdict, why",
+        "('true', 'VERIFIED', 'found in source')", "('made up', 'UNKNOWN', 'subject not in evidence')", "('forged', 'UNKNOWN', 'stale evidence')", "('foreign', 'UNKNOWN', 'evidence does not hold')",
+        "('bare', 'INFERRED', 'no evidence')", "('symbol', 'VERIFIED', 'symbol exists')", "('vague', 'INFERRED', 'not checkable')", "('lines', 'UNKNOWN', 'evidence does not hold')",
+        "('guess', 'INFERRED', 'kept with evidence')", "('hunch', 'INFERRED', 'kept without evidence')", "('other', 'UNKNOWN', 'as given')",
+    ),
+    "m13_sanitised": _rows(
+        "claim, status, kept",
+        "('true', 'INFERRED', 0::bigint)", "('made up', 'INFERRED', 0)", "('forged', 'VERIFIED', 1)", "('foreign', 'INFERRED', 0)", "('bare', 'INFERRED', 0)", "('symbol', 'VERIFIED', 1)",
+        "('vague', 'VERIFIED', 1)", "('lines', 'VERIFIED', 1)", "('guess', 'INFERRED', 1)", "('hunch', 'INFERRED', 0)", "('other', 'UNKNOWN', 0)",
+    ),
+    "m15_places": _rows('place, "exists"', "('server/app.js', true)", "('app.js', true)", "('server/services/', true)", "('ices/basketStore.js', false)", "('server/none.js', false)"),
+    "c03_compare": _rows(
+        "category, key, label, side, why",
+        "('tables', 'reader', 'readers', 'common', '')", "('tables', 'basket', 'baskets', 'only_a', '')", "('tables', 'loan', 'loans', 'only_b', '')",
+        "('fields', 'reader.id', 'readers.id', 'common', '')", "('fields', 'reader.email', 'readers.email', 'common', 'required differs')", "('fields', 'reader.nick', 'reader.nick', 'only_b', '')",
+        "('fields', 'basket.id', 'baskets.id', 'only_a', '')", "('fields', 'basket.readerid', 'baskets.reader_id', 'only_a', '')", "('fields', 'basket.total', 'baskets.total', 'only_a', '')",
+        "('fields', 'loan.id', 'loans.id', 'only_b', '')",
+        "('apis', 'GET /api/baskets', 'GET /api/baskets', 'common', '')", "('apis', 'POST /api/baskets', 'POST /api/baskets', 'common', 'protection differs')",
+        "('apis', 'GET /api/loans/:p', 'GET /api/loans/{id}', 'only_b', '')",
+        "('modules', 'express', 'express', 'common', 'major version differs')", "('modules', 'vitest', 'vitest', 'only_a', '')",
+        "('stack', 'lang:python', 'python', 'only_a', '')", "('stack', 'lang:go', 'go', 'only_b', '')",
+    ),
+    "c04_suggestions": _rows(
+        "category, direction, items, more",
+        "('tables', 'keep', 'baskets', 0::bigint)", "('tables', 'adopt', 'loans', 0)", "('fields', 'review', 'readers.email (required differs)', 0)", "('fields', 'adopt', 'loans.id; reader.nick', 0)",
+        "('fields', 'keep', 'baskets.id; baskets.reader_id; baskets.total', 0)", "('apis', 'review', 'POST /api/baskets (protection differs)', 0)", "('apis', 'adopt', 'GET /api/loans/{id}', 0)",
+        "('modules', 'review', 'express (major version differs)', 0)", "('modules', 'keep', 'vitest', 0)", "('stack', 'keep', 'python', 0)", "('stack', 'adopt', 'go', 0)",
+    ),
+    "a16_totals": _rows(
+        "category, common, only_a, only_b, different",
+        "('tables', 1::bigint, 1::bigint, 1::bigint, 0::bigint)", "('fields', 2, 3, 2, 1)", "('apis', 2, 0, 1, 1)", "('modules', 1, 1, 0, 1)", "('stack', 0, 1, 1, 0)", "(null, 6, 6, 5, 3)",
+    ),
+    "o01_order": _rows(
+        "path, place",
+        "('stock/models.py', 1::bigint)", "('stock/test_views.py', 2)", "('stock/views.py', 3)", "('web/src/services/basketService.js', 4)", "('package.json', 5)", "('.env.example', 6)",
+        "('.github/workflows/test.yml', 7)", "('server/app.js', 8)", "('server/controllers/basketController.js', 9)", "('server/routes/basketRoutes.js', 10)", "('server/services/basketStore.js', 11)",
+        "('server/db/schema.sql', 12)", "('web/src/components/BasketView.jsx', 13)",
+    ),
 }

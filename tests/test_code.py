@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
+from tessella.functions import pieces
 from tessella.functions import text as T
-from tessella.operators import code, graph, packing
+from tessella.operators import code, graph, joins, packing
 
 SCRIPT = "let a = 'x // y'; // gone {\n/* { fetch(1)\n */ let b = \"/* no */\";\nfunction f() {\n  if (g('}')) { h(); }\n}\nfunction open() {\n"
 PYTHON = 'x = "# no"  # gone\ndef outer():\n    """text # stays"""\n    def inner():\n        return call(1)\n\n    return inner()\n\ny = 2\n'
@@ -88,3 +91,34 @@ def test_texts(spark):
     assert one(T.replace_once(F.lit("a.b.c"), F.lit("b"), F.lit("x"))) == "a.x.c" and one(T.replace_once(F.lit("aa"), F.lit("a"), F.lit("x"))) is None
     assert one(T.offline_wait(F.lit(10000.0))) == 15000.0 and one(T.offline_wait(F.lit(29000.0))) == 30000.0
     assert one(T.find_json(F.lit("see\n```json\n{\"a\": 1}\n```\nend"))) == ['{"a": 1}\n']
+
+
+def lcs(a, b) -> int:
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in reversed(range(len(a))):
+        for j in reversed(range(len(b))):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    return best[0][0]
+
+
+def test_line_diffs_are_shortest(spark):
+    rng = random.Random(4)
+    rows = [("\n".join(rng.choice("abc") for _ in range(rng.randint(1, 12))), "\n".join(rng.choice("abcd") for _ in range(rng.randint(1, 12)))) for _ in range(60)]
+    rows += [(None, "x\ny"), ("x", None), ("", ""), ("a\nb", "a\nb")]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", pieces.line_diff(F.col("a"), F.col("b")).alias("d")).collect()
+    for r in got:
+        a, b = ([] if x is None else x.split("\n") for x in (r.a, r.b))
+        assert [x[1:] for x in r.d if x[0] != "+"] == a and [x[1:] for x in r.d if x[0] != "-"] == b
+        assert sum(x[0] == " " for x in r.d) == lcs(a, b)
+
+
+def test_texts_are_cut_between_lines(spark):
+    rows = [("aa\nbb\ncc", ["aa\nbb", "cc"]), ("abcdefgh\nx", ["abcde", "fgh\nx"]), ("short", ["short"]), (None, None), ("", [""]), ("a\n" * 6, ["a\na\na", "a\na\na"])]
+    docs = spark.createDataFrame([(a,) for a, _ in rows], "t string")
+    assert [r.p for r in docs.select(pieces.split_text(F.col("t"), 5).alias("p")).collect()] == [b for _, b in rows]
+
+
+def test_reading_order_takes_the_longest_entry(spark):
+    files = spark.createDataFrame([("add/a/x.py", "PARTIAL"), ("add/base/y.py", None), ("add/base/__manifest__.py", "PARTIAL"), ("core/z.py", "NOT_ANALYZED"), ("core/b.py", "OUTDATED")], "path string, status string")
+    got = [r.path for r in joins.reading_order(files, ["add/base"], ["add"]).orderBy("place").collect()]
+    assert got == ["add/base/__manifest__.py", "add/base/y.py", "core/z.py", "core/b.py", "add/a/x.py"]
