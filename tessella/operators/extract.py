@@ -41,6 +41,10 @@ SYMBOLS = (
     LineRule("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+([A-Za-z_]\w*)", ("rust",)),
     LineRule("function", r"^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!]?)", ("ruby",)),
     LineRule("function", r"^\s*(?:public\s+|private\s+|protected\s+|static\s+)*function\s+([A-Za-z_]\w*)", ("php",)),
+    LineRule("class", r"^\s*class\s+([A-Z]\w*)(?:\s*<\s*([\w:]+))?", ("ruby",)),
+    LineRule("class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+([A-Za-z_]\w*)", ("rust",)),
+    LineRule("table", r"^\s*create_table\s+[\"':](\w+)", ("ruby",)),
+    LineRule("table", r"^\s*model\s+(\w+)\s*\{", ("prisma",)),
 )
 IMPORTS = (
     LineRule("import", r"^\s*(?:import|export)\b[^'\"]*['\"]([^'\"]+)['\"]", JS),

@@ -15,6 +15,7 @@ from tessella.operators import code as C
 from tessella.operators import compare as Cmp
 from tessella.operators import extract, graph
 from tessella.operators import joins as J
+from tessella.operators import models as M
 from tessella.operators import verify as V
 from tessella.sources import files as S
 
@@ -119,6 +120,102 @@ def test_count():
 )
 
 
+#: The stock's models once more, as other languages declare them.
+DIALECTS = (
+    ("jvm/Book.java", """import jakarta.persistence.*;
+@Entity
+public class Book {
+  @NotBlank
+  @Column(unique = true)
+  private String title;
+  private Integer pages;
+  @ManyToOne
+  private Shelf shelf;
+}
+@Entity
+class Shelf {
+  @Size(max = 20) // @NotNull
+  private String room;
+}
+class Helper {
+  private String none;
+}
+"""),
+    ("net/Book.cs", """public class ShopContext : DbContext {
+  public DbSet<Book> Books { get; set; }
+}
+public class Book {
+  [Required]
+  [StringLength(80)]
+  public string Title { get; set; }
+  public int? Pages { get; set; }
+}
+"""),
+    ("go/book.go", """package stock
+type Book struct {
+  Title string `gorm:"unique;not null" validate:"required,max=80"`
+  Pages *int
+  Shelf Shelf
+}
+type Shelf struct {
+  Room string `gorm:"size:20"`
+}
+type Note struct {
+  Text string
+}
+"""),
+    ("rails/schema.rb", """create_table "books" do |t|
+  t.string "title", null: false
+  t.integer "pages"
+  t.references :shelf
+end
+class Book < ApplicationRecord
+  validates :title, :isbn, presence: true, length: { maximum: 80 }
+end
+"""),
+    ("rust/book.rs", """#[derive(Queryable)]
+pub struct Book {
+  #[validate(length(max = 80))]
+  pub title: String,
+  pub pages: Option<i32>,
+}
+"""),
+    ("node/schema.prisma", """model Book {
+  id    Int    @id
+  title String @unique
+  shelf Shelf?
+}
+model Shelf {
+  books Book[]
+}
+"""),
+    ("php/BookRequest.php", """<?php
+class BookRequest {
+  public function rules() {
+    return ['title' => 'required|max:80'];
+  }
+}
+"""),
+)
+
+
+def dialects(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame(list(DIALECTS), "path string, text string")
+    return rows.select("path", P.language(F.col("path")).alias("language"), "text")
+
+
+def x15_dialect_models(spark, d):
+    return M.declared_fields(dialects(spark))
+
+
+def x21_dialect_rules(spark, d):
+    return M.validation_rules(dialects(spark))
+
+
+def x19_technologies(spark, d):
+    return M.technology_signs(files(spark).union(dialects(spark)))
+
+
 def files(spark: SparkSession) -> DataFrame:
     """path, language, text of the fixture."""
     rows = spark.createDataFrame(list(FILES), "path string, text string")
@@ -284,6 +381,7 @@ def o01_order(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
+    x15_dialect_models, x21_dialect_rules, x19_technologies,
     p06_entry_points, a07_layers, x11_endpoints, j01_client_links, g06_handlers, m08_claim_verdicts, m13_sanitised, m15_places, c03_compare, c04_suggestions, a16_totals, o01_order,
     p02_p05_classes, x01_x12_line_facts, x13_tables, x14_models, x16_relations, x02_calls, g03_call_graph, g05_trace_up, src07_environment, src05_packages,
 )}
@@ -456,4 +554,28 @@ ORACLES = {
         "('.github/workflows/test.yml', 7)", "('server/app.js', 8)", "('server/controllers/basketController.js', 9)", "('server/routes/basketRoutes.js', 10)", "('server/services/basketStore.js', 11)",
         "('server/db/schema.sql', 12)", "('web/src/components/BasketView.jsx', 13)",
     ),
+    "x15_dialect_models": _rows(
+        "path, entity, field, type, required, is_unique, refers_to",
+        "('jvm/Book.java', 'Book', 'title', 'String', true, true, null)", "('jvm/Book.java', 'Book', 'pages', 'Integer', false, false, null)", "('jvm/Book.java', 'Book', 'shelf', 'Shelf', false, false, 'Shelf')",
+        "('jvm/Book.java', 'Shelf', 'room', 'String', false, false, null)",
+        "('net/Book.cs', 'Book', 'Title', 'string', true, false, null)", "('net/Book.cs', 'Book', 'Pages', 'int?', false, false, null)",
+        "('go/book.go', 'Book', 'Title', 'string', true, true, null)", "('go/book.go', 'Book', 'Pages', '*int', false, false, null)", "('go/book.go', 'Book', 'Shelf', 'Shelf', false, false, 'Shelf')",
+        "('go/book.go', 'Shelf', 'Room', 'string', false, false, null)",
+        "('rails/schema.rb', 'books', 'title', 'string', true, false, null)", "('rails/schema.rb', 'books', 'pages', 'integer', false, false, null)", "('rails/schema.rb', 'books', 'shelf', 'references', false, false, 'shelf')",
+        "('rust/book.rs', 'Book', 'title', 'String', true, false, null)", "('rust/book.rs', 'Book', 'pages', 'Option<i32>', false, false, null)",
+        "('node/schema.prisma', 'Book', 'id', 'Int', true, true, null)", "('node/schema.prisma', 'Book', 'title', 'String', true, true, null)", "('node/schema.prisma', 'Book', 'shelf', 'Shelf?', false, false, 'Shelf')",
+        "('node/schema.prisma', 'Shelf', 'books', 'Book[]', false, false, 'Book')",
+    ),
+    "x21_dialect_rules": _rows(
+        "path, entity, field, rule",
+        "('jvm/Book.java', 'Book', 'title', 'required')", "('jvm/Book.java', 'Shelf', 'room', 'size')", "('net/Book.cs', 'Book', 'Title', 'required')", "('net/Book.cs', 'Book', 'Title', 'stringlength')",
+        "('go/book.go', 'Book', 'Title', 'required')", "('go/book.go', 'Book', 'Title', 'max')", "('rails/schema.rb', 'Book', 'title', 'presence')", "('rails/schema.rb', 'Book', 'title', 'length')",
+        "('rails/schema.rb', 'Book', 'isbn', 'presence')", "('rails/schema.rb', 'Book', 'isbn', 'length')", "('rust/book.rs', 'Book', 'title', 'length')",
+        "('php/BookRequest.php', null, 'title', 'required')", "('php/BookRequest.php', null, 'title', 'max')",
+    ),
+    "x19_technologies": _rows(
+        "technology, path, line",
+        "('django-orm', 'stock/models.py', 1::bigint)", "('gorm', 'go/book.go', 3)", "('jpa', 'jvm/Book.java', 1)", "('entity-framework', 'net/Book.cs', 1)", "('activerecord', 'rails/schema.rb', 6)",
+        "('prisma', 'node/schema.prisma', 1)", "('sql', 'server/db/schema.sql', 1)",
+    ),
 }
