@@ -12,7 +12,7 @@ Jaccard similarity of at least the threshold with it, both judged on the input.
   bits than the lines may differ in words. Pairs that pass are verified on the words themselves.
 * Long posting lists come first: each line is held against the earliest line of each of its long lists, then against
   the earliest of those that are left, for some rounds. Only the existence of an earlier match matters, so this settles large groups of variants without
-  their pairs. Lines that found none are then joined with all earlier lines. The index is dealt by word once; the lists
+  their pairs. Lines that found none are then joined with all earlier lines. The index is dealt by word once for both sides; the lists
   of over ``SPLIT`` lines are dealt anew, cut by line on one side and repeated on the other, so no task has a whole one.
 
 Line numbers by document are broadcast up to ``BROADCAST_BYTES``, else joined by document. No user function runs.
@@ -274,11 +274,16 @@ def matches(docs: DataFrame, similarity: float = SIMILARITY, keyed: bool = True)
         if keyed:
             rows = scratch.keep(rows.dropDuplicates(["doc", "sub"]), "documents")
         copies, sets, n_lines = _word_sets(rows, scratch)
-        index = scratch.keep(_index(sets, t), "index", by="token")
+        index = scratch.keep(_index(sets, t), "index")
         scratch.drop("sets")
         settled, n_settled, heavy = _settled(index, rows, t, scratch, n_lines)
-        done = F.broadcast(settled) if n_settled * 64 <= BROADCAST_BYTES else settled
-        left = index.join(done, [*PLACE], "left_anti")
+        # Both sides of the join read one exchange, if settled lines can be left out behind it. That takes a broadcast, and an
+        # outer join, as an anti join would be moved to before the exchange.
+        if n_settled * 64 <= BROADCAST_BYTES:
+            index = index.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
+            left = index.join(F.broadcast(settled.withColumn("_settled", F.lit(True))), [*PLACE], "left").filter("_settled IS NULL").drop("_settled")
+        else:
+            left = index.join(settled, [*PLACE], "left_anti")
         more = _verified(_met(left, index, heavy, t), rows, t, scratch, n_lines)
         found = materialize(copies.unionByName(settled).unionByName(more), "line-matches", n_lines)
     return found, found.count()
