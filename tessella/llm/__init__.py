@@ -1 +1 @@
-"""Operators of a training-data pipeline: mixing, dedup, tokens, archives, rules, fingerprints, shards."""
+"""Operators of a training-data pipeline: mixing, dedup, tokens, archives, rules, fingerprints, shards, licences, phrases, whitening."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, fingerprint, lines, mixing, near, quality, sharding, substrings, tokens, warc
+from tessella.llm import bpe, fingerprint, licences, lines, mixing, near, phrases, quality, sharding, substrings, tokens, warc, whitening
 from tessella.llm.common import documents
 
 
@@ -50,6 +50,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op10(documents(spark, sf_dir))
 
 
+def op11_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.op11(documents(spark, sf_dir))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.op12(documents(spark, sf_dir))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.op13(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -62,6 +74,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": op8_fingerprints,
         "op9_sharding": op9_sharding,
         "op10_bpe": op10_bpe,
+        "op11_licences": op11_licences,
+        "op12_phrases": op12_phrases,
+        "op13_whitening": op13_whitening,
     }
 
 
@@ -72,4 +87,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": warc.sql(),
         "op7_quality_rules": quality.sql(),
         "op8_fingerprints": fingerprint.sql(),
+        "op11_licences": licences.sql(),
+        "op12_phrases": phrases.sql(),
     }

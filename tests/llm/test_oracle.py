@@ -35,6 +35,14 @@ def odd_pages(spark):
     return spark.createDataFrame([(*r, "clash", "clash") for r in rows], PAGES)
 
 
+def odd_embeddings(spark):
+    """Null vectors and entries, entries that are no numbers, repeated rows and vectors, a null id, columns that clash."""
+    nan, inf = float("nan"), float("inf")
+    vectors = [[1.0, 2.0, 3.0], [1.0, 2.0, 3.0], [4.0, -1.0, 0.5], [0.0, 0.0, 7.0], None, [None, 1.0, 1.0], [nan, 1.0, 1.0], [1.0, inf, 1.0], [-2.0, 5.0, 1.0], [1.001, 2.0, 3.0]]
+    rows = [(k, v, 0, 5, "x") for k, v in enumerate(vectors)] + [(None, [9.0, 9.0, -9.0], None, None, None), (2, [4.0, -1.0, 0.5], 0, 5, "x")]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, n int, x string")
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_given_tables(spark, name):
     assert assert_same(QUERIES[name](spark, SF_DIR), SQL[name]) > 0
@@ -51,5 +59,5 @@ def test_odd_tables(spark, name):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, name):
-    at = folder(spark, documents=odd_documents(spark).limit(0), pages=odd_pages(spark).limit(0))
+    at = folder(spark, documents=odd_documents(spark).limit(0), pages=odd_pages(spark).limit(0), embeddings=odd_embeddings(spark).limit(0))
     assert QUERIES[name](spark, at).count() == 0
