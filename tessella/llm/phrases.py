@@ -334,10 +334,20 @@ def sql() -> str:
 with pieces as (
     select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
 ),
-t as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+t as (select lang, row_number() over () as piece, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
 total as (select lang, sum(len(w))::bigint as n from t group by lang),
-starts as (select lang, w, unnest(range(1, len(w) + 1)) as b from t),
-f as (select lang, w[b:b + size - 1] as p, count(*) as f from starts, range(1, 6) s(size) where b + size - 1 <= len(w) group by all),
+u as (select lang, piece, unnest(w) as w, generate_subscripts(w, 1) as i from t),
+g as (
+    select lang, w, lead(w, 1) over o as w2, lead(w, 2) over o as w3, lead(w, 3) over o as w4, lead(w, 4) over o as w5 from u
+    window o as (partition by lang, piece order by i)
+),
+f as (
+    select lang, [w] as p, count(*) as f from g group by lang, w
+    union all select lang, [w, w2], count(*) from g where w2 is not null group by lang, w, w2
+    union all select lang, [w, w2, w3], count(*) from g where w3 is not null group by lang, w, w2, w3
+    union all select lang, [w, w2, w3, w4], count(*) from g where w4 is not null group by lang, w, w2, w3, w4
+    union all select lang, [w, w2, w3, w4, w5], count(*) from g where w5 is not null group by lang, w, w2, w3, w4, w5
+),
 c as (select lang, p, f as a from f where len(p) >= 2 and f >= {least}),
 inside as (select distinct lang, a, p[b:b + size - 1] as p from c, range(2, 5) s(size), range(1, 6) t(b) where size < len(p) and b + size - 1 <= len(p)),
 kept as (select * from c anti join inside using (lang, p, a)),
