@@ -175,7 +175,7 @@ def ancestors(path: Column) -> Column:
 
 
 #: What the parts of a file name say about its role, not about its feature.
-MARKS = r"(?i)[_-](controllers?|services?|models?|routes?|repositor(?:y|ies)|handlers?|views?|serializers?|schemas?|apis?|stores?|forms?|dto|entity|entities|tests?)(?=\.|$)"
+MARKS = r"(?i)[_-](controllers?|services?|models?|routes?|routers?|repositor(?:y|ies)|handlers?|views?|serializers?|schemas?|apis?|stores?|forms?|dto|entity|entities|tests?)(?=\.|$)"
 SUFFIX = r"(Controller|Service|Model|Routes?|Router|Repository|Store|Slice|Reducer|Context|Page|Form|List|Card|View|Screen|Api|Client|Hook|Modal|Table|Container|Provider|Schema|Entity|Dto|Guard|Middleware|Handler)s?$"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,27 +14,25 @@ from pyspark.sql import functions as F
 MOST_PAIRS = 4_000_000
 
 
+def _cuts(text: str, most: int) -> list[int]:
+    """Where pieces end: behind the last line that still fits, or after ``most`` code points where none does."""
+    behind = [m.end() for m in re.finditer("\n", text)]
+    ends = [0]
+    while ends[-1] + most < len(text):
+        furthest = ends[-1] + most
+        line = behind[max(0, bisect_right(behind, furthest) - 1)] if behind else 0
+        ends.append(line if ends[-1] < line <= furthest else furthest)
+    return [*ends[1:], len(text)]
+
+
 def _pieces(text: str, most: int) -> list[str]:
-    if len(text) <= most:
-        return [text]
-    out, now = [], None
-    for line in text.split("\n"):
-        while len(line) > most:
-            if now:
-                out.append(now)
-                now = None
-            out.append(line[:most])
-            line = line[most:]
-        if now and len(now) + len(line) + 1 > most:
-            out.append(now)
-            now = line
-        else:
-            now = f"{now}\n{line}" if now else line
-    return [*out, now] if now else out
+    ends = _cuts(text, most)
+    return [text[x:y] for x, y in zip([0, *ends], ends, strict=False)]
 
 
 def split_text(text: Column, most: int) -> Column:
-    """The text in pieces of at most ``most`` code points, cut between lines; a longer line is cut hard. Null stays null."""
+    """The text in pieces of at most ``most`` code points, cut behind line ends; a longer line is cut hard. The pieces, put
+    together, are the text: no line end is lost. An empty text is one empty piece; null stays null."""
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
@@ -79,21 +78,21 @@ def line_diff(old: Column, new: Column) -> Column:
     return run(old, new)
 
 
-_TOKEN = re.compile(r'"(?:[^"\\\\]|\\\\.)*"|[{}]')
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.DOTALL)
 
 
 def _objects(text: str) -> list[str]:
-    """Balanced objects, found by a stack of open braces outside strings; one inside another is not given."""
-    out, start, depth = [], 0, 0
+    """Balanced objects outside strings, none inside another; a brace that nothing closes hides no later object."""
+    open_, found = [], []
     for m in _TOKEN.finditer(text):
         if m[0] == "{":
-            start = start if depth else m.start()
-            depth += 1
-        elif m[0] == "}" and depth:
-            depth -= 1
-            if not depth:
-                out.append(text[start : m.end()])
-    return sorted(out, key=len, reverse=True)
+            open_.append(m.start())
+        elif m[0] == "}" and open_:
+            begin = open_.pop()
+            while found and found[-1][0] > begin:
+                found.pop()
+            found.append((begin, m.end()))
+    return sorted((text[x:y] for x, y in found), key=len, reverse=True)
 
 
 def json_objects(text: Column) -> Column:

@@ -51,9 +51,14 @@ def endpoint(path: Column) -> Column:
     return path
 
 
+#: A parameter anywhere in a path: a whole segment or a part of one.
+ANY_PARAMETER = r":[a-z_][a-z0-9_]*|\{[^}]+\}|\[[^\]]+\]|<[^>]+>|\*[a-z0-9_]*"
+
+
 def comparison_path(path: Column) -> Column:
-    """Lower case, every parameter as ``:p``: equal for routes that only name parameters differently."""
-    return F.regexp_replace(F.lower(endpoint(path)), r":param", ":p")
+    """Lower case, every parameter as ``:p``, no slash at the end: equal for routes that only name parameters differently."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(path), ANY_PARAMETER, ":p"), "/+$", "")
+    return F.when(bare == "", F.lit("/")).otherwise(bare)
 
 
 def name_key(name: Column) -> Column:

@@ -135,3 +135,76 @@ def risk(impact: DataFrame) -> DataFrame:
     some = F.exists(F.array(*[F.coalesce(c, F.lit(False)) for c, _, _ in rules]), lambda x: x)
     reasons = F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(why)) for c, _, why in rules])), "; ")
     return impact.withColumn("risk", F.when(high, "HIGH").when(some, "MEDIUM").otherwise("LOW")).withColumn("reasons", reasons)
+
+
+def _spread(labels: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """(node, label) where each label has gone along all edges as far as it is the greatest."""
+    while True:
+        near = labels.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("_to")).agg(F.max("label").alias("_near"))
+        step = labels.join(near, F.col("node") == F.col("_to"), "left").select("node", F.greatest("label", F.coalesce("_near", "label")).alias("label"), (F.col("_near") > F.col("label")).alias("rose"))
+        step = written(step, name)
+        labels = step.select("node", "label")
+        if step.filter("rose").isEmpty():
+            return labels
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(node, component): nodes that reach each other have one component, named by its least node.
+
+    ``edges``: src, dst. Nodes without an edge in or out are components of their own and go first, again and again. Among the
+    rest the greatest node that reaches a node colours it; what reaches the colour's own node backwards within the colour
+    is one component, and edges between colours are none of any. Every round takes out the component of each colour. All
+    tables are written down, so a plan is one round long; rounds follow the longest path, not the number of nodes.
+    A node with an edge to itself alone is a component of its own.
+    """
+    ends = edges.filter("src IS NOT NULL AND dst IS NOT NULL")
+    e = written(ends.filter("src <> dst").select("src", "dst").distinct(), "cycle-edges")
+    nodes = written(ends.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "cycle-nodes")
+    found = None
+    while not nodes.isEmpty():
+        inner = written(e.select(F.col("src").alias("node")).intersect(e.select(F.col("dst").alias("node"))), "cycle-inner")
+        single = written(nodes.join(inner, "node", "left_anti").select("node", F.col("node").alias("component")), "cycle-single")
+        if not single.isEmpty():
+            done, nodes = single, inner
+        else:
+            labels = _spread(nodes.select("node", F.col("node").alias("label")), e, "cycle-colours")
+            a, b = labels.select(F.col("node").alias("src"), F.col("label").alias("_a")), labels.select(F.col("node").alias("dst"), F.col("label").alias("_b"))
+            e = written(e.join(a, "src").join(b, "dst").filter("_a = _b").select("src", "dst"), "cycle-within")
+            front = written(labels.filter("node = label"), "cycle-front")
+            done = front
+            while not front.isEmpty():
+                step = front.join(e, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "label").distinct()
+                front = written(step.join(done.select("node"), "node", "left_anti"), "cycle-front")
+                done = done.unionByName(front)
+            done = written(done.select("node", F.col("label").alias("component")), "cycle-done")
+            nodes = written(nodes.join(done, "node", "left_anti"), "cycle-nodes")
+        gone = done.select("node")
+        e = written(e.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti"), "cycle-edges")
+        found = done if found is None else found.unionByName(done)
+    if found is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    least = found.groupBy("component").agg(F.min("node").alias("_least"))
+    return written(found.join(least, "component").select("node", F.col("_least").alias("component")), "cycle-components")
+
+
+def topological(edges: DataFrame) -> DataFrame:
+    """(node, component, layer): what a node depends on (src on dst) is in its component or in a lower layer.
+
+    A cycle is cut by taking its nodes as one component; ``layer`` is the length of the longest chain of components below.
+    Sorting by layer, component and node is an order in which everything comes after what it depends on, the same whatever the
+    order of the rows. Layers are peeled off from below, each by one anti-join over stored tables.
+    """
+    parts = cycles(edges)
+    a, b = parts.select(F.col("node").alias("src"), F.col("component").alias("_a")), parts.select(F.col("node").alias("dst"), F.col("component").alias("_b"))
+    e = written(edges.select("src", "dst").join(a, "src").join(b, "dst").filter("_a <> _b").select(F.col("_a").alias("src"), F.col("_b").alias("dst")).distinct(), "layer-edges")
+    left = written(parts.select("component").distinct(), "layer-open")
+    layers, k = None, 0
+    while not left.isEmpty():
+        waits = e.select(F.col("src").alias("component")).distinct()
+        ready = written(left.join(waits, "component", "left_anti").select("component", F.lit(k).alias("layer")), "layer")
+        left = written(left.join(waits, "component", "left_semi"), "layer-open")
+        e = written(e.join(ready.select(F.col("component").alias("dst")), "dst", "left_anti").select("src", "dst"), "layer-edges")
+        layers, k = ready if layers is None else layers.unionByName(ready), k + 1
+    if layers is None:
+        return parts.withColumn("layer", F.lit(0))
+    return parts.join(layers, "component").select("node", "component", "layer")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import token_estimate
@@ -111,3 +111,31 @@ def reduced(
         return ((items, tokens, lines) if why else (items + 1, tokens + t, lines + k)), (why,)
 
     return fold(sized, group, [*order, item], ["tokens", "lines"], [item, "lines", "tokens", "cut"], "reason string", step)
+
+
+#: What is left of a list that is cut (fixed value), and more steps than any list has.
+KEPT, STEPS = 0.7, 96
+
+
+def shrink(items: DataFrame, group: str, part: str, place: str, cost: str, budget: float) -> DataFrame:
+    """group, part, n and ``kept``: items of each list that stay when the longest list is cut again and again until the group fits.
+
+    ``items``: a row an item with its place in its list, from 1 and gapless. Of lists as long the least part is cut first, to ``KEPT`` of its
+    length, rounded down; cutting ends when the costs fit or nothing is left. A list's lengths are a falling ladder, so the loop's
+    cuts are all ladders' steps in the order of their lengths, and those done are the ones before which the running sum
+    of what is saved does not suffice: a window over the steps (some tens a list), none over items. Null costs are 0.
+    """
+    ladder = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.array(F.col("n").cast("long")), lambda a, _: F.when(F.element_at(a, -1) > 0, F.concat(a, F.array(F.floor(F.element_at(a, -1) * F.lit(KEPT)).cast("long")))).otherwise(a))
+    lists = items.groupBy(group, part).agg(F.count("*").alias("n"), F.sum(F.coalesce(cost, F.lit(0))).alias("_all")).withColumn("_ladder", ladder)
+    steps = lists.select(group, part, F.posexplode("_ladder").alias("_k", "_size")).filter("_size > 0").withColumn("_k", F.col("_k") + 1)
+    owner = lists.select(F.col(group).alias("_g"), F.col(part).alias("_p"), "_ladder")
+    met = items.join(owner, F.col(group).eqNullSafe(F.col("_g")) & F.col(part).eqNullSafe(F.col("_p")))
+    saved = met.groupBy("_g", "_p", F.size(F.filter("_ladder", lambda x: x >= F.col(place))).alias("_at")).agg(F.sum(F.coalesce(cost, F.lit(0))).alias("_saved"))
+    total = lists.groupBy(F.col(group).alias("_tg")).agg(F.sum("_all").alias("_total"))
+    same = steps[group].eqNullSafe(saved["_g"]) & steps[part].eqNullSafe(saved["_p"]) & (steps["_k"] == saved["_at"])
+    cuts = steps.join(saved, same, "left").select(group, part, "_k", "_size", F.coalesce("_saved", F.lit(0)).alias("_saved")).join(total, F.col(group).eqNullSafe(F.col("_tg")))
+    before = Window.partitionBy(group).orderBy(F.desc("_size"), part).rowsBetween(Window.unboundedPreceding, -1)
+    done = cuts.withColumn("_left", F.col("_total") - F.coalesce(F.sum("_saved").over(before), F.lit(0))).filter(F.col("_left") > budget)
+    taken = done.groupBy(F.col(group).alias("_g"), F.col(part).alias("_p")).agg(F.count("*").alias("_cuts"))
+    found = lists.join(taken, F.col(group).eqNullSafe(F.col("_g")) & F.col(part).eqNullSafe(F.col("_p")), "left")
+    return found.select(group, part, "n", F.get("_ladder", F.coalesce("_cuts", F.lit(0)).cast("int")).alias("kept"))

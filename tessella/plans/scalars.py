@@ -39,7 +39,7 @@ def s07_contains_word(spark, d):
 def s08_s10_urls(spark, d):
     p = T.url_path(F.col("url"))
     route = F.regexp_replace(p, "/[0-9]+(?=/|$)", "/{id}")
-    return _table(spark, d, "pages").select("page_id", p.alias("path"), T.endpoint(route).alias("endpoint"), T.comparison_path(route).alias("comparison"))
+    return _table(spark, d, "pages").select("page_id", p.alias("path"), T.endpoint(route).alias("endpoint"), T.comparison_path(F.concat(route, F.lit(".{Format}/"))).alias("comparison"))
 
 
 def s11_s13_keys(spark, d):
@@ -52,7 +52,7 @@ def s11_s13_keys(spark, d):
 
 def s14_s16_features(spark, d):
     segment = F.lower(F.regexp_replace("c_mktsegment", " ", ""))
-    tails = ["Service.test.ts", "_controller.py", "Store.js", "List.vue", ".cjs", "Dockerfile", "_test.go"]
+    tails = ["Service.test.ts", "_controller.py", "Store.js", "List.vue", ".cjs", "Dockerfile", "_router.go"]
     tail = F.element_at(F.array(*map(F.lit, tails)), (F.col("c_nationkey") % len(tails) + 1).cast("int"))
     folder = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("src/"), segment, F.lit("/"))).otherwise(F.lit("server/Services/"))
     p = F.concat(folder, F.when(tail == "Dockerfile", F.lit("")).otherwise(F.concat(F.lit("use"), F.initcap(segment))), tail)
@@ -171,14 +171,14 @@ ORACLES = {
   regexp_matches(lower(text), '(^|[^a-z0-9_])' || lang || '([^a-z0-9_]|$)') as has_lang from documents""",
     "s08_s10_urls": f"""with p as (select page_id, {_PATH} as path from pages), r as (select *, regexp_replace(path, '/[0-9]+(/|$)', '/{{id}}\\1') as r1 from p),
   q as (select *, regexp_replace(regexp_replace(r1, '/[0-9]+(/|$)', '/{{id}}\\1', 'g'), '(^|/)\\{{[^}}/]+\\}}', '\\1:param', 'g') as endpoint from r)
-  select page_id, path, endpoint, replace(lower(endpoint), ':param', ':p') as comparison from q""",
+  select page_id, path, endpoint, replace(lower(endpoint), ':param', ':p') || '.:p' as comparison from q""",
     "s11_s13_keys": f"""with k as (select *, {_KEY.format(x='p_name')} as k, lower(string_split(p_type, ' ')[-1]) as w from part)
   select p_partkey, k as name_key, {_SINGULAR.format(x='k')} as singular, case when regexp_matches(w, '(ss|us|is|os|as)$') then w else {_SINGULAR.format(x='w')} end as feature,
   lower(regexp_replace(regexp_replace(replace(p_brand, '#', 'No'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g')) as snake from k""",
     "s14_s16_features": """with c as (select c_custkey, replace(lower(c_mktsegment), ' ', '') as seg, c_nationkey % 7 as k, c_custkey % 2 = 0 as own from customer)
   select c_custkey, case k when 5 then 'dockerfile' else seg end as word, case when own then seg when k = 5 then 'dockerfile' else seg end as key,
-  case when k in (0) then 'test' when k = 1 and own then 'controller' when not own and k <> 1 then 'service' when not own then 'controller' when k = 2 then 'state' when k = 3 then 'component' else 'other' end as role,
-  k in (0, 6) as test, ['typescript', 'python', 'javascript', 'vue', 'javascript', 'dockerfile', 'go'][k + 1] as language from c""",
+  case when k in (0) then 'test' when k = 1 and own then 'controller' when not own and k <> 1 then 'service' when not own then 'controller' when k = 2 then 'state' when k = 3 then 'component' when k = 6 then 'route' else 'other' end as role,
+  k = 0 as test, ['typescript', 'python', 'javascript', 'vue', 'javascript', 'dockerfile', 'go'][k + 1] as language from c""",
     "s17_type_family": _FAMILY_SQL,
     "s18_rule_name": _RULE_SQL,
     "s19_major_version": "select p_partkey, regexp_extract(p_brand, '[0-9]+')::int as major from part",

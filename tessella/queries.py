@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that register queries through ``QUERIES`` (name -> callable) and ``ORACLES`` (name -> SQL).
-MODULES = ("tessella.plans.corpus", "tessella.plans.scalars", "tessella.plans.relational", "tessella.plans.knowledge", "tessella.plans.facts", "tessella.plans.fixture", "tessella.plans.views")
+MODULES = ("tessella.plans.corpus", "tessella.plans.scalars", "tessella.plans.relational", "tessella.plans.knowledge", "tessella.plans.facts", "tessella.plans.views", "tessella.plans.stored")
 
 
 def queries() -> dict[str, Query]:

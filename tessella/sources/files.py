@@ -57,7 +57,7 @@ def config_files(files: DataFrame) -> DataFrame:
 def environment_names(files: DataFrame) -> DataFrame:
     """name and the sorted paths that refer to it or declare it (in ``.env*`` files); values are never read out."""
     found = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in ENVIRONMENT]))
-    declared = F.regexp_extract_all("text", F.lit(r"(?m)^\s*(?:export\s+)?([A-Z][A-Z0-9_]*)\s*="), F.lit(1))
+    declared = F.regexp_extract_all("text", F.lit(r"(?m)^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*="), F.lit(1))
     names = F.when(P.basename(F.col("path")).startswith(".env"), declared).otherwise(found)
     pairs = files.filter("text IS NOT NULL").select("path", F.explode(F.array_distinct(names)).alias("name"))
     return pairs.groupBy("name").agg(F.array_sort(F.collect_set("path")).alias("paths"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions import pieces
 from tessella.functions import text as T
-from tessella.operators import code, graph, joins, packing
+from tessella.sources import files
+from tessella.operators import code, graph, joins, packing, reconcile, versions
 
 SCRIPT = "let a = 'x // y'; // gone {\n/* { fetch(1)\n */ let b = \"/* no */\";\nfunction f() {\n  if (g('}')) { h(); }\n}\nfunction open() {\n"
 PYTHON = 'x = "# no"  # gone\ndef outer():\n    """text # stays"""\n    def inner():\n        return call(1)\n\n    return inner()\n\ny = 2\n'
@@ -113,7 +114,11 @@ def test_line_diffs_are_shortest(spark):
 
 
 def test_texts_are_cut_between_lines(spark):
-    rows = [("aa\nbb\ncc", ["aa\nbb", "cc"]), ("abcdefgh\nx", ["abcde", "fgh\nx"]), ("short", ["short"]), (None, None), ("", [""]), ("a\n" * 6, ["a\na\na", "a\na\na"])]
+    rows = [
+        ("aa\nb\ncc", ["aa\nb\n", "cc"]), ("abcdefgh\nx", ["abcde", "fgh\nx"]), ("short", ["short"]), (None, None), ("", [""]), ("a\n" * 6, ["a\na\n", "a\na\n", "a\na\n"]),
+        ("\n\nabcdef\n\n\nxyz", ["\n\n", "abcde", "f\n\n\n", "xyz"]), ("\n" * 7, ["\n" * 5, "\n" * 2]), ("x\n" + "y" * 12, ["x\n", "yyyyy", "yyyyy", "yy"]),
+    ]
+    assert all(b is None or "".join(b) == a for a, b in rows)
     docs = spark.createDataFrame([(a,) for a, _ in rows], "t string")
     assert [r.p for r in docs.select(pieces.split_text(F.col("t"), 5).alias("p")).collect()] == [b for _, b in rows]
 
@@ -122,3 +127,24 @@ def test_reading_order_takes_the_longest_entry(spark):
     files = spark.createDataFrame([("add/a/x.py", "PARTIAL"), ("add/base/y.py", None), ("add/base/__manifest__.py", "PARTIAL"), ("core/z.py", "NOT_ANALYZED"), ("core/b.py", "OUTDATED")], "path string, status string")
     got = [r.path for r in joins.reading_order(files, ["add/base"], ["add"]).orderBy("place").collect()]
     assert got == ["add/base/__manifest__.py", "add/base/y.py", "core/z.py", "core/b.py", "add/a/x.py"]
+
+
+def test_objects_outside_strings(spark):
+    rows = [
+        (r'{"s": "}\"x{"}', [r'{"s": "}\"x{"}']), ('{ open, then {"a": {"b": 1}} and {"c": 2}', ['{"a": {"b": 1}}', '{"c": 2}']),
+        ('} {"a": "\\\\"} {}', ['{"a": "\\\\"}', "{}"]), ("none", []), (None, []),
+    ]
+    docs = spark.createDataFrame([(a,) for a, _ in rows], "t string")
+    assert [r.o for r in docs.select(pieces.json_objects(F.col("t")).alias("o")).collect()] == [b for _, b in rows]
+
+
+def test_routes_that_differ_in_parameters_only(spark):
+    routes = ["/a/:id/", "/A/{id}", "/a/<int:id>", "/a/[id]", "/a/*rest", "/file.{ext}/", "/file.:ext", "/"]
+    got = [r.p for r in spark.createDataFrame([(r,) for r in routes], "r string").select(T.comparison_path(F.col("r")).alias("p")).collect()]
+    assert got == ["/a/:p"] * 5 + ["/file.:p"] * 2 + ["/"]
+
+
+def test_declared_names_may_be_in_lower_case(spark):
+    rows = [(".env", "db_url=x\nexport _TOKEN = y\n# no=z\nPORT=1")]
+    got = files.environment_names(spark.createDataFrame(rows, "path string, text string"))
+    assert sorted(r.name for r in got.collect()) == ["PORT", "_TOKEN", "db_url"]

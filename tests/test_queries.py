@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from tessella import queries as core
+from tests import bookshop
 from tests.compare import SF_DIR, assert_same, folder
 
 QUERIES, SQL = core.queries(), core.oracle_sql()
@@ -24,6 +25,12 @@ def test_query_runs(spark, name):
     assert QUERIES[name](spark, SF_DIR).columns
 
 
+@pytest.mark.parametrize("name", sorted(bookshop.QUERIES))
+def test_bookshop(spark, name):
+    """Line rules and what spans lines in code, on a small project whose rows are worked out by hand."""
+    assert_same(bookshop.QUERIES[name](spark, SF_DIR), bookshop.ORACLES[name])
+
+
 def test_stale_docs_take_rows_as_they_are(spark):
     rows = [(1, "a", "web"), (1, "a", "web"), (2, "b", "web"), (200, "c", "book"), (3, "d", "book")]
     got = QUERIES["m06_stale_docs"](spark, folder(spark, documents=spark.createDataFrame(rows, "doc_id long, text string, source string")))
