@@ -1,7 +1,7 @@
 """Sharding by a minimax contiguous partition of atomic groups.
 
-Rows with equal texts form a group that is never split. Groups stand in the order of their smallest doc_id; the shards
-are consecutive runs of groups, and the capacity is the smallest for which that many shards suffice. It is found by
+Rows with equal texts form a group that is never split. Groups stand in the order of their smallest doc_id, those that
+share it (or have none) in that of their texts' digests, both in one number; the shards are consecutive runs of groups, and the capacity is the smallest for which that many shards suffice. It is found by
 binary search, each capacity checked greedily; the cuts keep that capacity and share out the slack that it leaves.
 
 Greedy checks need prefix sums over all groups, which are too many for one place. The driver sees only a table of at
@@ -12,12 +12,14 @@ intervals by the number of blocks until each of them holds one key. That bounds
 distribution, and a hot group is a single sum from the start.
 
 Defined results for odd input: a null text counts as the empty one and is grouped with it; a null doc_id stands after
-all others; groups that share their smallest doc_id (repeated rows whose texts differ) stay together; repeated rows get
+all others; groups that share their smallest doc_id, or have none, are cut apart like all others; repeated rows get
 slots of their own; an empty table gives an empty table; with fewer groups than shards some shards stay empty.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,14 +93,17 @@ class Blocks:
         return low
 
 
+def _number(x: int) -> Column:
+    return F.lit(Decimal(x)).cast("decimal(38,0)")
+
+
 def _sums(groups: DataFrame, intervals: list[tuple[int, int]], per: int) -> list[tuple[int, int, int]]:
     """Blocks of equal width inside the intervals, with their first and last key that occur, and their sums."""
-    at = F.col("at").cast("decimal(38,0)")
     block: Column | None = None
     for k, (low, high) in enumerate(intervals):
         width = max(1, -(-(high - low + 1) // per))
-        index = F.floor((at - F.lit(low).cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)")).cast("long") + F.lit(k * per)
-        test = F.col("at").between(low, high)
+        index = F.call_function("div", F.col("at") - _number(low), _number(width)) + F.lit(k * per)
+        test = F.col("at").between(_number(low), _number(high))
         block = F.when(test, index) if block is None else block.when(test, index)
     found = (
         groups.withColumn("_block", block)
@@ -110,11 +115,11 @@ def _sums(groups: DataFrame, intervals: list[tuple[int, int]], per: int) -> list
 
 
 def minimax_cuts(groups: DataFrame, shards: int, blocks: int = BLOCKS) -> tuple[int, list[int]]:
-    """(smallest capacity, first key of each shard but the first) for groups with columns ``at`` and ``bytes``."""
+    """(smallest capacity, first key of each shard but the first) for groups with columns ``at`` (decimal) and ``bytes``."""
     ends = groups.agg(F.min("at"), F.max("at")).first()
     if ends[0] is None:
         return 0, []
-    table = _sums(groups, [(ends[0], ends[1])], blocks)
+    table = _sums(groups, [(int(ends[0]), int(ends[1]))], blocks)
     while True:
         b = Blocks(table)
         least = max([r[2] for r, a in zip(b.rows, b.atomic, strict=True) if a], default=1)
@@ -155,21 +160,22 @@ def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str =
     )
     last = rows.agg(F.max("doc_id")).first()[0]
     after = min((last if last is not None else 0) + 1, 2**63 - 1)
-    groups = materialize(
-        rows.groupBy("key").agg(F.coalesce(F.min("doc_id"), F.lit(after).cast("long")).alias("at"), F.sum("size").alias("bytes")),
-        "shard-groups",
-    )
+    first = F.coalesce(F.min("doc_id"), F.lit(after).cast("long")).cast("decimal(19,0)")
+    # doc_id times 2 ** 60, and 60 bits of the digest: at most 38 digits
+    digest = F.conv(F.substring(F.hex("key"), 1, 15), 16, 10).cast("decimal(19,0)")
+    at = (first * F.lit(Decimal(1 << 60)).cast("decimal(19,0)") + digest).cast("decimal(38,0)")
+    groups = materialize(rows.groupBy("key").agg(at.alias("at"), F.sum("size").alias("bytes")), "shard-groups")
     _, cuts = minimax_cuts(groups, shards)
-    number = sum((F.when(F.col("at") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    number = sum((F.when(F.col("at") >= _number(c), 1).otherwise(0) for c in cuts), F.lit(0))
     placed = rows.join(groups.select("key", number.alias("shard")), "key")
     return _slots(materialize(placed, "shard-placed"), shards)
 
 
 def _slots(placed: DataFrame, shards: int) -> DataFrame:
-    """Gapless slots: rows of a shard are dealt over counters by a hash of doc_id, counted, offset and numbered."""
+    """Gapless slots: rows of a shard are dealt over counters by a hash of doc_id and text, counted, offset and numbered."""
     counts = {r["shard"]: r["count"] for r in placed.groupBy("shard").count().collect()}  # one row a shard
     parts = [-(-counts.get(s, 0) // SLOT_ROWS) or 1 for s in range(shards)]
-    part = F.pmod(F.xxhash64("doc_id"), F.get(F.array(*map(F.lit, parts)), F.col("shard")).cast("long"))
+    part = F.pmod(F.xxhash64("doc_id", "key"), F.get(F.array(*map(F.lit, parts)), F.col("shard")).cast("long"))
     dealt = placed.withColumn("part", part)
     earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("shard", "part").count().select("shard", "part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
