@@ -76,6 +76,9 @@ def likeness(a: Column, b: Column) -> Column:
 
     return F.when(root(a) == root(b), F.lit(1.0)).otherwise(let(leaves(a), lambda x: let(leaves(b), lambda y: share(x, y))))
 
+#: Copies of a row that are made at once.
+COPIES = 4096
+
 
 def neighbours(ids: DataFrame) -> DataFrame:
     """Each row's (doc_id, no) with (next_id, next_no) and the row's ``need``; the order is a ring, descending.
@@ -133,31 +136,38 @@ def differing_sections(a: Column, b: Column) -> Column:
 def op8(docs: DataFrame) -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))  # a null id is the last in descending order
-    same_key = Window.partitionBy("key").orderBy("digest")
     keyed = docs.select(key.alias("key"), F.unhex(F.md5(body)).alias("digest"), F.floor(F.length(body) / 2).cast("int").alias("need"), body.alias("body"))
-    ids = keyed.select("key", "digest", "need").withColumn("no", F.row_number().over(same_key))
-    ring = neighbours(materialize(ids.select(F.col("key").alias("doc_id"), "no", "need"), "ring-ids"))  # no text is moved for the ids
-    donors = ring.select(F.col("doc_id").alias("owner"), F.col("no").alias("owner_no"), "need", "next_id", "next_no")
-    # Texts are dealt by key once; the numbering and both joins use that (both sides of a join need the same columns of it). (The numbers are compared by a difference, so that
-    # they do not become join keys, which would deal the texts anew.)
-    rows = keyed.select("key", "digest", "body").withColumn("no", F.row_number().over(same_key))
-    given = rows.join(donors, (F.col("key") == F.col("next_id")) & (F.col("no") - F.col("next_no") == 0)).select(
-        "owner", "owner_no", F.substring(F.col("body"), F.lit(1), F.col("need")).alias("head"), tree(F.col("body")).alias("next_fingerprint")
+    # Rows of one id are told apart by their texts; rows that are equal in both are one node of the ring, and all but the
+    # last of them have a copy of themselves as their next.
+    ids = keyed.groupBy("key", "digest").agg(F.first("need").alias("need"), F.count("*").alias("copies"))
+    ids = materialize(ids.select(F.col("key").alias("doc_id"), F.col("digest").alias("no"), "need", "copies"), "ring-ids")  # no text is moved for the ids
+    ring = neighbours(ids.drop("copies")).withColumn("times", F.lit(1).cast("long"))
+    selves = ids.filter("copies > 1").select("doc_id", "no", "need", F.col("doc_id").alias("next_id"), F.col("no").alias("next_no"), (F.col("copies") - 1).alias("times"))
+    donors = ring.unionByName(selves).select(F.col("doc_id").alias("owner"), F.col("no").alias("owner_no"), "need", "times", "next_id", "next_no")
+    # Texts are dealt by id and digest once; both joins use that exchange.
+    rows = keyed.groupBy("key", "digest").agg(F.first("body").alias("body"))
+    given = rows.join(donors, (F.col("key") == F.col("next_id")) & (F.col("digest") == F.col("next_no"))).select(
+        "owner", "owner_no", "times", F.substring(F.col("body"), F.lit(1), F.col("need")).alias("head"), tree(F.col("body")).alias("next_fingerprint")
     )
-    both = rows.join(given, (F.col("key") == F.col("owner")) & (F.col("no") - F.col("owner_no") == 0))
+    both = rows.join(given, (F.col("key") == F.col("owner")) & (F.col("digest") == F.col("owner_no")))
     half = F.floor(F.length("body") / 2).cast("int")
     edited = both.select(
-        F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), F.length("body").cast("long").alias("n_chars"), "next_fingerprint", tree(F.col("body")).alias("fingerprint"),
+        F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "times", F.length("body").cast("long").alias("n_chars"), "next_fingerprint", tree(F.col("body")).alias("fingerprint"),
         F.concat(F.substring(F.col("body"), F.lit(1), F.length("body") - half), F.col("head")).alias("edited"),
     )
     done = edited.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", tree(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint"
+        "doc_id", "times", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", tree(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint"
     )
-    return done.select(
+    found = done.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), "times",
     )
+    # as many rows as there are copies, some thousand at a time
+    chunk = F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / COPIES))
+    parts = found.withColumn("_chunk", F.explode(chunk))
+    one_by_one = F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES).cast("long"), F.col("times") - F.col("_chunk") * COPIES))
+    return parts.withColumn("_copy", F.explode(one_by_one)).drop("times", "_chunk", "_copy")
 
 
 _TREE = """

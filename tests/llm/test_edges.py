@@ -152,3 +152,33 @@ def test_pipeline_run(spark):
     for _, stage in corpus_pipeline.STAGES:
         by_stage = stage(spark, by_stage, at)
     assert sorted(map(str, corpus_pipeline.run(spark, at).collect())) == sorted(map(str, by_stage.collect()))
+
+
+@pytest.fixture(scope="module")
+def half_null_ids(spark):
+    """Half of the ids null, a third of the rows of one id, all of distinct texts but for some repeated rows."""
+    rng = random.Random(11)
+    text = lambda k: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.randint(1, 40))) + f" {k}"
+    rows = [(None if k % 2 else 7 if k % 3 else k, text(k)) for k in range(400)]
+    return spark.createDataFrame(rows + [rows[1]] * 5 + [rows[2]] * 3, "doc_id long, text string")
+
+
+def test_shards_of_texts_without_ids(half_null_ids):
+    got = sharding.op9(half_null_ids).collect()
+    load = {}
+    for r in got:
+        load[r.shard] = load.get(r.shard, 0) + r.size
+    sizes = {}
+    for r in half_null_ids.collect():
+        sizes[r.text] = sizes.get(r.text, 0) + len(r.text) + 16
+    assert len(load) == 40 and max(load.values()) <= sum(load.values()) / 40 + max(sizes.values())
+
+
+def test_fingerprints_of_texts_without_ids(half_null_ids, spark):
+    from tests.compare import assert_same
+
+    at = folder(spark, documents=half_null_ids)
+    assert_same(fingerprint.op8(half_null_ids), fingerprint.sql(f"read_parquet('{at}/documents.parquet/*.parquet')"))
+    copies = spark.createDataFrame([(5, "one\ntwo")] * 5000 + [(None, "x")] * 9, "doc_id long, text string")
+    got = {(r.doc_id, r.near_next): r["count"] for r in fingerprint.op8(copies).groupBy("doc_id", "near_next").count().collect()}
+    assert got == {(5, 1.0): 4999, (5, 0.0): 1, (None, 1.0): 8, (None, 0.0): 1}
