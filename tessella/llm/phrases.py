@@ -7,13 +7,14 @@ with that of another word gives the ends of a longer phrase; a break is no word,
 sums over shards of the bits that are set, and what is counted over all shards steers the next step:
 
 1. Words: their counts over all shards; those under the threshold are in no candidate. The others get a number.
-2. Pairs: bitmaps of two frequent words in a row, for each shard; pairs under the threshold are in no candidate.
-3. Phrases of 3 to 5 words: a shard starts from its frequent pairs, a group of them at a time, and extends each by the
-   frequent pairs that begin with its last word, to the full depth before the next group, so memory follows a group.
-   The bitmap of an extension is the phrase's, moved by one, and the pair's: block by block, all of a group at once.
+2. Pairs: bitmaps of two frequent words in a row, for each shard; pairs under the threshold are in no candidate. Then
+   triples, as two frequent pairs in a row, in the same way: what a pair is to words, a triple is to pairs.
+3. Phrases of 4 and 5 words: a shard starts from its frequent triples, a group of them at a time, and extends each by the
+   frequent triples that begin with its last pair, to the full depth before the next group, so memory follows a group.
+   The bitmap of an extension is the phrase's, moved by one, and the triple's: block by block, all of a group at once.
 
 So no phrase is lost by being rare in every shard: pruning is by counts of the whole corpus only. A shard hears which of
-its words and pairs are frequent through joins, a row for each of its own; nothing that grows with the corpus is broadcast
+its words, pairs and triples are frequent through joins, a row for each of its own; nothing that grows with the corpus is broadcast
 or collected. Shards are written to the shared folder with their number, so a lost task reads the same again.
 
 Scores and the removal of phrases inside longer ones are joins and decimals of 38 digits, exact up to 10^13 words a language.
@@ -84,7 +85,7 @@ class Shard:
         return codes, list(self.code), np.bincount(codes, minlength=len(self.code) + 1)[1:]
 
 
-SHARDS = "shard long, lang string, n long, words array<string>, counts array<long>, codes binary"
+SHARDS = "shard long, lang string, first long, n long, words array<string>, counts array<long>, codes binary"
 
 
 def _packed(codes: np.ndarray) -> bytes:
@@ -106,15 +107,17 @@ def shards_of(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFr
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
+        first = TaskContext.get().partitionId() << 40
         open_: dict[str, Shard] = {}
 
         def close(key: str) -> pa.RecordBatch:
-            nonlocal number
+            nonlocal number, first
             number += 1
             codes, words, counts = open_.pop(key).row()
+            first += len(words)
             return pa.record_batch(
                 {
-                    "shard": pa.array([number], pa.int64()), "lang": pa.array([key]), "n": pa.array([int(counts.sum())], pa.int64()),
+                    "shard": pa.array([number], pa.int64()), "lang": pa.array([key]), "first": pa.array([first - len(words)], pa.int64()), "n": pa.array([int(counts.sum())], pa.int64()),
                     "words": pa.array([[w.decode() for w in words]], pa.list_(pa.string())), "counts": pa.array([counts], pa.list_(pa.int64())),
                     "codes": pa.array([_packed(codes)], pa.binary()),
                 }
@@ -173,21 +176,72 @@ def popcounts(key: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 PAIRS = "shard long, a long, b long, n long"
+TRIPLES = "shard long, a long, b long, c long, n long"
+PHRASES = ", ".join(f"{c} long" for c in PARTS) + ", n long"
+
+
+def _table(shape: str, columns: list[np.ndarray]) -> pa.Table:
+    return pa.table(columns, schema=pa.schema([(c.split()[0], pa.int64()) for c in shape.split(", ")]))
 
 
 def count_pairs(shard: pa.Table, words: pa.Table) -> pa.Table:
     """Counts of a shard's pairs of frequent words."""
-    schema = pa.schema([(c, pa.int64()) for c in ("shard", "a", "b", "n")])
     if not len(shard) or not len(words):
-        return schema.empty_table()
+        return _table(PAIRS, [[]] * 4)
     numbers, text = _frequent(shard, words)
     pair, _, bits = pair_bitmaps(text, len(numbers))
     pair, n = popcounts(pair, bits)
-    return pa.table([np.full(len(n), shard.column("shard")[0].as_py()), numbers[pair // len(numbers)], numbers[pair % len(numbers)], n], schema=schema)
+    return _table(PAIRS, [np.full(len(n), shard.column("shard")[0].as_py()), numbers[pair // len(numbers)], numbers[pair % len(numbers)], n])
+
+
+def _split(heard: pa.Table, part: str) -> tuple[pa.Table, list[np.ndarray]]:
+    """(words, frequent phrases by column) of what a shard hears; ``part``: the last word of a phrase."""
+    phrase = heard.column(part).is_valid()
+    return heard.filter(pa.compute.invert(phrase)), [np.asarray(heard.filter(phrase).column(c), dtype=np.int64) for c in PARTS[: PARTS.index(part) + 1]]
+
+
+def pair_text(text: np.ndarray, n_words: int, pairs: np.ndarray) -> np.ndarray:
+    """At the end of each of ``pairs`` (in order) its place among them from 1, else 0."""
+    here = (text[:-1] - 1) * n_words + text[1:] - 1
+    at = np.minimum(np.searchsorted(pairs, here), len(pairs) - 1)
+    return np.concatenate(([0], np.where((text[:-1] > 0) & (text[1:] > 0) & (pairs[at] == here), at + 1, 0)))
+
+
+def count_triples(shard: pa.Table, heard: pa.Table) -> pa.Table:
+    """Counts of a shard's triples whose pairs are frequent; ``heard``: its words (code, word) and pairs (a, b)."""
+    words, pairs = _split(heard, "b")
+    if not len(shard) or not len(pairs[0]):
+        return _table(TRIPLES, [[]] * 5)
+    numbers, text = _frequent(shard, words)
+    a, b = (np.searchsorted(numbers, x) for x in pairs)
+    pairs = np.unique(a * len(numbers) + b)
+    triple, _, bits = pair_bitmaps(pair_text(text, len(numbers), pairs), len(pairs))
+    triple, n = popcounts(triple, bits)
+    first, second = pairs[triple // len(pairs)], pairs[triple % len(pairs)]
+    parts = [first // len(numbers), first % len(numbers), second % len(numbers)]
+    return _table(TRIPLES, [np.full(len(n), shard.column("shard")[0].as_py()), *[numbers[x] for x in parts], n])
+
+
+def count_phrases(shard: pa.Table, heard: pa.Table) -> pa.Table:
+    """Counts of a shard's phrases of 4 and 5 words whose triples are all frequent; ``heard``: its words (code, word) and triples (a, b, c)."""
+    words, triples = _split(heard, "c")
+    if not len(shard) or not len(triples[0]):
+        return _table(PHRASES, [[]] * 6)
+    numbers, text = _frequent(shard, words)
+    a, b, c = (np.searchsorted(numbers, x) for x in triples)
+    first, second = a * len(numbers) + b, b * len(numbers) + c
+    pairs = np.unique(np.concatenate((first, second)))
+    triples = np.unique(np.searchsorted(pairs, first) * len(pairs) + np.searchsorted(pairs, second))
+    found = list(Extension(pair_text(text, len(numbers), pairs), len(pairs), triples).phrases(LONGEST - 1))
+    if not found:
+        return _table(PHRASES, [[]] * 6)
+    spelt = [[*pairs[u] // len(numbers), pairs[u[-1]] % len(numbers)] for u, _ in found]
+    columns = [np.concatenate([numbers[w[k]] if k < len(w) else np.zeros(len(n), dtype=np.int64) for w, (_, n) in zip(spelt, found, strict=True)]) for k in range(LONGEST)]
+    return _table(PHRASES, [*columns, np.concatenate([n for _, n in found])])
 
 
 class Extension:
-    """Phrases of a shard from its frequent pairs."""
+    """Phrases of a shard from its frequent pairs of units, which are words, or pairs of words that overlap by one."""
 
     def __init__(self, text: np.ndarray, n_words: int, pairs: np.ndarray):
         """``pairs``: the frequent ones, in order."""
@@ -195,7 +249,7 @@ class Extension:
         pair, block, bits = pair_bitmaps(text, n_words)
         keep = pairs[np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)] == pair
         self.pair, self.block, self.bits = pair[keep], block[keep], bits[keep]
-        # the same bitmaps by first word and block: what can follow a phrase there
+        # the same bitmaps by first unit and block: what can follow a phrase there
         self.stride = int(len(text) >> 6) + 2
         after = self.pair // n_words * self.stride + self.block
         order = np.argsort(after, kind="stable")
@@ -229,14 +283,14 @@ class Extension:
         order = np.lexsort((block[row], child))
         return child[order], self.next_word[at][order], block[row][order], both[order]
 
-    def phrases(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(words of each phrase by column, counts) for 3 to LONGEST words, group by group."""
+    def phrases(self, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(units of each phrase by column, counts) for 3 to ``longest`` units, group by group."""
         for pair, block, bits in self.groups():
             words = np.array(sorted(set(pair.tolist())), dtype=np.int64)
             node = np.searchsorted(words, pair)
             columns = [words // self.n_words, words % self.n_words]
             last = pair % self.n_words
-            for _ in range(3, LONGEST + 1):
+            for _ in range(3, longest + 1):
                 child, last, block, bits = self.step(node, last, block, bits)
                 if not len(child):
                     break
@@ -247,49 +301,41 @@ class Extension:
                 yield np.stack(columns), n
 
 
-PHRASES = ", ".join(f"{c} long" for c in PARTS) + ", n long"
-
-
-def count_phrases(shard: pa.Table, heard: pa.Table) -> pa.Table:
-    """Counts of a shard's phrases of 3 to 5 words whose pairs are all frequent; ``heard``: its words (code, word) and pairs (a, b)."""
-    schema = pa.schema([(c, pa.int64()) for c in (*PARTS, "n")])
-    is_pair = heard.column("b").is_valid()
-    pairs = heard.filter(is_pair)
-    if not len(shard) or not len(pairs):
-        return schema.empty_table()
-    words = heard.filter(pa.compute.invert(is_pair))
-    numbers, text = _frequent(shard, words)
-    a, b = (np.searchsorted(numbers, np.asarray(pairs.column(c), dtype=np.int64)) for c in ("a", "b"))
-    found = list(Extension(text, len(numbers), np.unique(a * len(numbers) + b)).phrases())
-    if not found:
-        return schema.empty_table()
-    columns = [np.concatenate([numbers[w[k]] if k < len(w) else np.zeros(len(n), dtype=np.int64) for w, n in found]) for k in range(LONGEST)]
-    return pa.table([*columns, np.concatenate([n for _, n in found])], schema=schema)
-
-
 def mine(scratch: Scratch, docs: DataFrame, least: int = LEAST, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(words: lang, text, word, f; phrases: a to e, size, f; totals: lang, n), all of frequency ``least`` or more.
 
     A word's number tells its language too; the parts of a phrase are numbers, 0 after the last.
     """
     shards = scratch.keep(shards_of(docs, lang, text), "phrase_shards")
-    held = shards.select("shard", "lang", F.explode(F.transform(F.arrays_zip("words", "counts"), lambda x, k: F.struct((k + 1).alias("code"), x["words"].alias("text"), x["counts"].alias("n")))).alias("w"))
-    held = held.select("shard", "lang", "w.*")
-    frequent = held.groupBy("lang", "text").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    words = scratch.keep(frequent.select("lang", "text", (F.monotonically_increasing_id() + 1).alias("word"), "f"), "phrase_words")
-    known = scratch.keep(held.join(words, ["lang", "text"]).select("shard", "code", "word"), "phrase_known")
+    entry = F.transform(F.arrays_zip("words", "counts"), lambda x, k: F.struct((k + 1).alias("code"), x["words"].alias("text"), x["counts"].alias("n")))
+    held = shards.select("shard", "lang", "first", F.explode(entry).alias("w")).select("shard", "lang", "w.*", (F.col("first") + F.col("w.code")).alias("entry"))
+    # a word's number is the smallest of those that the shards' dictionaries gave it
+    same = Window.partitionBy("lang", "text")
+    over = held.withColumns({"f": F.sum("n").over(same), "word": F.min("entry").over(same)}).filter(F.col("f") >= least)
+    names = F.when(F.col("entry") == F.col("word"), F.struct("lang", "text", "f"))
+    known = scratch.keep(over.select("shard", "code", "word", names.alias("named")), "phrase_known")
+    words = known.filter("named IS NOT NULL").select("word", "named.*")
+    known = known.select("shard", "code", "word")
     codes = shards.select("shard", "codes")
 
-    counted = codes.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(count_pairs, PAIRS)
-    over = counted.withColumn("f", F.sum("n").over(Window.partitionBy("a", "b"))).filter(F.col("f") >= least)
-    pairs = scratch.keep(over.select("shard", "a", "b", "f"), "phrase_pairs")
+    def counted(count, shape: str, heard: DataFrame) -> DataFrame:
+        return codes.groupBy("shard").cogroup(heard.groupBy("shard")).applyInArrow(count, shape)
+
+    def frequent(found: DataFrame, parts: list[str]) -> DataFrame:
+        """(shard, parts, f) where the counts of all shards reach the threshold."""
+        over = found.withColumn("f", F.sum("n").over(Window.partitionBy(*parts))).filter(F.col("f") >= least)
+        return scratch.keep(over.select("shard", *parts, "f"), "phrase_parts")
+
+    def hears(parts: DataFrame) -> DataFrame:
+        return known.unionByName(parts.drop("f"), allowMissingColumns=True)
 
-    nothing = F.lit(None).cast("long")
-    heard = known.select("shard", "code", "word", nothing.alias("a"), nothing.alias("b")).unionByName(pairs.select("shard", nothing.cast("int").alias("code"), nothing.alias("word"), "a", "b"))
-    longer = codes.groupBy("shard").cogroup(heard.groupBy("shard")).applyInArrow(count_phrases, PHRASES)
-    longer = longer.groupBy(*PARTS).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    two = pairs.groupBy("a", "b").agg(F.first("f").alias("f"))
-    every = longer.unionByName(two, allowMissingColumns=True).fillna(0, PARTS)
+    pairs = frequent(counted(count_pairs, PAIRS, known), PARTS[:2])
+    triples = frequent(counted(count_triples, TRIPLES, hears(pairs)), PARTS[:3])
+    longer = counted(count_phrases, PHRASES, hears(triples)).groupBy(*PARTS).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    every = longer
+    for table, parts in ((pairs, PARTS[:2]), (triples, PARTS[:3])):
+        every = every.unionByName(table.groupBy(*parts).agg(F.first("f").alias("f")), allowMissingColumns=True)
+    every = every.fillna(0, PARTS)
     size = sum((F.when(F.col(c) > 0, 1).otherwise(0) for c in PARTS[1:]), F.lit(1))
     phrases = scratch.keep(every.select(*PARTS, size.alias("size"), "f"), "phrase_found")
     return words, phrases, shards.groupBy("lang").agg(F.sum("n").alias("n"))

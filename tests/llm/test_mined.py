@@ -81,7 +81,7 @@ def test_bitmaps_move_over_blocks(spark):
     text = np.array(([1, 2, 3] * 100 + [0] + [1, 2] * 70), dtype=np.int64)
     pairs = np.array([0 * 3 + 1, 1 * 3 + 2, 2 * 3 + 0])
     found = {}
-    for w, n in phrases.Extension(text, 3, pairs).phrases():
+    for w, n in phrases.Extension(text, 3, pairs).phrases(5):
         found |= {tuple(int(x) for x in w[:, k]): int(n[k]) for k in range(len(n))}
     want = Counter(tuple(int(x) - 1 for x in text[i : i + k]) for k in (3, 4, 5) for i in range(len(text) - k + 1))
     assert found == {p: n for p, n in want.items() if -1 not in p and all(a * 3 + b in pairs for a, b in zip(p, p[1:]))}
