@@ -177,7 +177,7 @@ ORACLES = {
   lower(regexp_replace(regexp_replace(replace(p_brand, '#', 'No'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g')) as snake from k""",
     "s14_s16_features": """with c as (select c_custkey, replace(lower(c_mktsegment), ' ', '') as seg, c_nationkey % 7 as k, c_custkey % 2 = 0 as own from customer)
   select c_custkey, case k when 5 then 'dockerfile' else seg end as word, case when own then seg when k = 5 then 'dockerfile' else seg end as key,
-  case when k in (0) then 'test' when k = 1 and own then 'controller' when not own and k <> 1 then 'service' when not own then 'controller' when k = 2 then 'state' when k = 3 then 'component' when k = 6 then 'route' else 'other' end as role,
+  case when k in (0) then 'test' when k = 6 then 'route' when k = 1 and own then 'controller' when not own and k <> 1 then 'service' when not own then 'controller' when k = 2 then 'state' when k = 3 then 'component' else 'other' end as role,
   k = 0 as test, ['typescript', 'python', 'javascript', 'vue', 'javascript', 'dockerfile', 'go'][k + 1] as language from c""",
     "s17_type_family": _FAMILY_SQL,
     "s18_rule_name": _RULE_SQL,
