@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators import joins as J
+from tessella.sources.scratch import written
 
 #: Items that a suggestion names.
 SHOWN = 12
@@ -74,3 +75,30 @@ def suggestions(met: DataFrame) -> DataFrame:
     return ranked.groupBy("category", "direction").agg(
         F.array_join(F.transform(F.array_compact(shown), lambda s: s["text"]), "; ").alias("items"), F.greatest(F.count("*") - SHOWN, F.lit(0)).alias("more")
     )
+
+
+def set_overlaps(items: DataFrame, owner: str, category: str, item: str) -> DataFrame:
+    """category, a, b, common, only_a, only_b for each two owners (a < b) with items of a category: their sets as bitmaps.
+
+    Items are numbered once, in a written table, and an owner's set is one bitmap for each 32,768 numbers, so a pair costs a
+    union of bitmaps and not a row an item. Repeated items count once; nulls in any column take no part.
+    """
+    known = items.filter(F.col(owner).isNotNull() & F.col(category).isNotNull() & F.col(item).isNotNull()).select(F.col(owner).alias("owner"), F.col(category).alias("category"), F.col(item).alias("item"))
+    numbers = written(known.select("category", "item").distinct().withColumn("no", F.monotonically_increasing_id()), "set-items")
+    bits = known.join(numbers, ["category", "item"]).groupBy("owner", "category", F.bitmap_bucket_number("no").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("no")).alias("bits"))
+    bits = written(bits, "set-bits")
+    sizes = bits.groupBy("owner", "category").agg(F.sum(F.bitmap_count("bits")).alias("n"))
+    a, b = sizes.select("category", F.col("owner").alias("a"), F.col("n").alias("n_a")), sizes.select("category", F.col("owner").alias("b"), F.col("n").alias("n_b"))
+    pairs = a.join(b, "category").filter("a < b")
+    met = pairs.withColumn("owner", F.explode(F.array("a", "b"))).join(bits, ["owner", "category"])
+    union = met.groupBy("category", "a", "b", "n_a", "n_b", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n")).groupBy("category", "a", "b", "n_a", "n_b").agg(F.sum("n").alias("n"))
+    common = F.col("n_a") + F.col("n_b") - F.col("n")
+    return union.select("category", "a", "b", common.alias("common"), (F.col("n_a") - common).alias("only_a"), (F.col("n_b") - common).alias("only_b"))
+
+
+def overlap_matrix(overlaps: DataFrame, categories: list[str]) -> DataFrame:
+    """a, b, the common items of each category as a column, and ``line``: what is common and what is not, in words."""
+    wide = overlaps.groupBy("a", "b").pivot("category", categories).agg(F.first("common").alias("common"), F.first("only_a").alias("a"), F.first("only_b").alias("b"))
+    count = lambda c, what: F.coalesce(F.col(f"{c}_{what}"), F.lit(0)).cast("string")
+    said = [F.concat(F.lit(f"{c}: common "), count(c, "common"), F.lit(", only A "), count(c, "a"), F.lit(", only B "), count(c, "b")) for c in categories]
+    return wide.select("a", "b", *[F.coalesce(F.col(f"{c}_common"), F.lit(0)).alias(c) for c in categories], F.concat_ws("; ", *said).alias("line"))

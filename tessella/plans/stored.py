@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.operators import compare as C
 from tessella.operators import graph as G
 from tessella.operators import joins as J
 from tessella.operators import packing as P
@@ -130,7 +131,24 @@ def o08_shrunk(spark, d):
     return P.shrink(items, "source", "lang", "rank", "n_chars", 60_000)
 
 
-QUERIES = {f.__name__: f for f in (m10_fields, m11_relations, m11_features, m12_reconcile, m12_conflicts, m12_changes, snk05_versions, o02_topological, o08_shrunk)}
+def _sets(spark, d):
+    """Words, languages and sizes of each source's documents."""
+    docs = _t(spark, d, "documents")
+    item = lambda kind, value: docs.select("source", F.lit(kind).alias("category"), value.cast("string").alias("item"))
+    words = F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+")))
+    return item("lang", F.col("lang")).unionByName(item("size", F.floor(F.col("n_chars") / 50))).unionByName(docs.select("source", F.lit("word").alias("category"), words.alias("item")).filter("item <> ''"))
+
+
+def set06_overlaps(spark, d):
+    """What every two sources have in common, by category."""
+    return C.set_overlaps(_sets(spark, d), "source", "category", "item")
+
+
+def c06_matrix(spark, d):
+    return C.overlap_matrix(set06_overlaps(spark, d), ["lang", "size", "word"])
+
+
+QUERIES = {f.__name__: f for f in (m10_fields, m11_relations, m11_features, m12_reconcile, m12_conflicts, m12_changes, snk05_versions, o02_topological, o08_shrunk, set06_overlaps, c06_matrix)}
 
 _KEY = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')".format
 _RANK = "case {0} when 'VERIFIED' then 2 when 'INFERRED' then 1 else 0 end".format
@@ -177,7 +195,16 @@ cells as (
   from judged j left join moved m using (kind, id)
 )""".replace("{old}", _RANK("s.status")).replace("{new}", _RANK("f.status"))
 
+_OVERLAPS = """i as (select distinct source, 'lang' as category, lang as item from documents union select source, 'size', (n_chars // 50)::varchar from documents
+  union select source, 'word', w from (select source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+')) as w from documents)),
+  n as (select source, category, count(*) as n from i group by 1, 2), m as (select x.category, x.source as a, y.source as b, count(*) as common from i x join i y using (category, item) where x.source < y.source group by all),
+  o as (select x.category, x.source as a, y.source as b, coalesce(common, 0) as common, x.n - coalesce(common, 0) as only_a, y.n - coalesce(common, 0) as only_b
+    from n x join n y on x.category = y.category and x.source < y.source left join m on m.category = x.category and m.a = x.source and m.b = y.source)"""
+
 ORACLES = {
+    "set06_overlaps": f"with {_OVERLAPS} select * from o",
+    "c06_matrix": f"""with {_OVERLAPS} select a, b, sum(common) filter (category = 'lang')::bigint as lang, sum(common) filter (category = 'size')::bigint as size, sum(common) filter (category = 'word')::bigint as word,
+  string_agg(category || ': common ' || common || ', only A ' || only_a || ', only B ' || only_b, '; ' order by category) as line from o group by a, b""",
     "m10_fields": f"""with known as (select source as entity, lang as field, case when count(*) > 60 then 'often' else 'seldom' end as type from documents group by 1, 2),
   claims as (select source as entity, case when toxic = 1 then 'word_' || lower(regexp_extract(text, '[A-Za-z]+')) when quality = 1 then upper(lang) else lang || '_x' end as field,
     case when quality = 1 then 'often' else 'rare' end as type, 'word ' || text as text from documents join labels using (doc_id)),

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import graph, packing, reconcile, versions
+from tessella.operators import compare, graph, packing, reconcile, versions
 
 CELLS = "kind string, id string, part string, item string, value string, status string"
 STORE = CELLS + ", origin string, stale boolean, run string, version long"
@@ -127,3 +127,15 @@ def test_claims_of_fields_relations_and_features(spark):
     rows = [("shop", "sales", "VERIFIED", ["the Sale_Order model"]), ("shop", "ids", "VERIFIED", ["id"]), ("shop", "free", None, None), ("none", "x", "VERIFIED", ["sale.order"]), ("shop", "whole", "VERIFIED", ["sale.order", "y"])]
     got = {r.feature: (r.status, r.matched) for r in reconcile.check_features(spark.createDataFrame(rows, "module string, feature string, status string, based_on array<string>"), names).collect()}
     assert got == {"sales": ("VERIFIED", ["the Sale_Order model"]), "ids": ("INFERRED", []), "free": ("INFERRED", []), "x": ("UNKNOWN", []), "whole": ("VERIFIED", ["sale.order"])}
+
+
+def test_overlaps_of_sets(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("xyz"), rng.choice(["k", "l"]), f"i{rng.randrange(40)}") for _ in range(150)] + [("w", "k", "i1"), (None, "k", "i1"), ("x", None, "i1"), ("x", "k", None)]
+    got = {(r.category, r.a, r.b): (r.common, r.only_a, r.only_b) for r in compare.set_overlaps(spark.createDataFrame(rows, "o string, c string, i string"), "o", "c", "i").collect()}
+    sets = {}
+    for o, c, i in rows:
+        if None not in (o, c, i):
+            sets.setdefault((o, c), set()).add(i)
+    want = {(c, a, b): (len(x & y), len(x - y), len(y - x)) for (a, c), x in sets.items() for (b, d), y in sets.items() if c == d and a < b}
+    assert got == want
