@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessella.operators import compare as C
 from tessella.operators import graph as G
 from tessella.operators import joins as J
+from tessella.operators import orders as D
 from tessella.operators import packing as P
 from tessella.operators import reconcile as R
 from tessella.operators import versions as V
@@ -125,6 +126,13 @@ def o02_topological(spark, d):
     return G.topological(_t(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))).withColumn("layer", F.col("layer").cast("long"))
 
 
+def o03_clustered(spark, d):
+    """Parts by number in the order of a search along what they are shipped with, numbers of nations first."""
+    starts = _t(spark, d, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").cast("long").alias("place"))
+    parts = _t(spark, d, "part").select(F.col("p_partkey").alias("node"))
+    return D.clustered(parts.join(starts, "node", "left"), _t(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))
+
+
 def o08_shrunk(spark, d):
     """Documents of each language that a source keeps within 60,000 characters."""
     items = J.ranked(_t(spark, d, "documents"), ["source", "lang"], F.col("doc_id"))
@@ -148,7 +156,7 @@ def c06_matrix(spark, d):
     return C.overlap_matrix(set06_overlaps(spark, d), ["lang", "size", "word"])
 
 
-QUERIES = {f.__name__: f for f in (m10_fields, m11_relations, m11_features, m12_reconcile, m12_conflicts, m12_changes, snk05_versions, o02_topological, o08_shrunk, set06_overlaps, c06_matrix)}
+QUERIES = {f.__name__: f for f in (m10_fields, m11_relations, m11_features, m12_reconcile, m12_conflicts, m12_changes, snk05_versions, o02_topological, o03_clustered, o08_shrunk, set06_overlaps, c06_matrix)}
 
 _KEY = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')".format
 _RANK = "case {0} when 'VERIFIED' then 2 when 'INFERRED' then 1 else 0 end".format
@@ -241,6 +249,15 @@ ORACLES = {
   ce as (select distinct x.component as s, y.component as t from e join c x on x.node = e.s join c y on y.node = e.t where x.component <> y.component),
   l(component, layer) as (select distinct component, 0 from c where component not in (select s from ce) union select ce.s, layer + 1 from l join ce on ce.t = l.component)
   select node, component, max(layer)::bigint as layer from c join l using (component) group by 1, 2""",
+    "o03_clustered": """with recursive k as (select p_partkey as v, min(coalesce(n_regionkey, 4611686018427387904::bigint)) as p from part left join nation on n_nationkey = p_partkey group by 1),
+  e as (select distinct l_partkey as s, l_suppkey as t from lineitem where l_partkey <> l_suppkey and l_partkey in (select v from k) and l_suppkey in (select v from k)),
+  r(s, t) as (select v, v from k union select r.s, e.t from r join e on r.t = e.s),
+  l as (select t as v, min((p, s)) as root from r join k on k.v = r.s group by 1),
+  d(v, depth) as (select l.v, 0 from l join k on k.v = l.v where l.root = (k.p, k.v) union select e.t, depth + 1 from d join e on e.s = d.v join l a on a.v = e.s join l b on b.v = e.t where a.root = b.root and depth < 40),
+  m as (select v, min(depth) as depth from d group by 1),
+  h as (select e.t as v, min(e.s) as parent from e join m a on a.v = e.s join m b on b.v = e.t join l x on x.v = e.s join l y on y.v = e.t where b.depth = a.depth + 1 and x.root = y.root group by 1),
+  w(v, way) as (select v, [v] from m where depth = 0 union all select h.v, list_append(way, h.v) from w join h on h.parent = w.v)
+  select v as node, row_number() over (order by root, way) as place from w join l using (v)""",
     "o08_shrunk": """with recursive items as (select source, lang, n_chars, row_number() over (partition by source, lang order by doc_id) as p from documents),
   lists as (select source, lang, count(*) as n, sum(n_chars) as cost from items group by 1, 2),
   ladder(source, lang, size) as (select source, lang, n from lists union all select source, lang, floor(size * 0.7::double)::bigint from ladder where size > 0),
