@@ -11,6 +11,7 @@ from tessella.operators import orders as D
 from tessella.operators import packing as P
 from tessella.operators import reconcile as R
 from tessella.operators import versions as V
+from tessella.operators import workflows as W
 
 
 def _t(spark, d, name):
@@ -133,6 +134,18 @@ def o03_clustered(spark, d):
     return D.clustered(parts.join(starts, "node", "left"), _t(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))
 
 
+def g07_workflows(spark, d):
+    """Orders as routes with the first part that was not returned as handler, events as calls of an order, and full-discount returns as the calls between parts."""
+    li = _t(spark, d, "lineitem")
+    kept = li.filter("l_returnflag <> 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_partkey").alias("entry"))
+    routes = _t(spark, d, "orders").join(kept, "o_orderkey", "left").select(F.col("o_orderkey").alias("route"), "entry")
+    links = _t(spark, d, "events").select(F.col("event_id").alias("call"), F.col("user_id").alias("caller"), F.col("user_id").alias("route"))
+    status = F.when(F.col("l_linestatus") == "F", "VERIFIED").otherwise("INFERRED")
+    edges = li.filter("l_returnflag = 'R' AND l_discount >= 0.1").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_orderkey").alias("ord"), status.alias("status"))
+    edges = edges.groupBy("src", "dst").agg(F.min("ord").alias("ord"), F.max("status").alias("status"))
+    return W.assemble(routes, links, edges, _t(spark, d, "nation").select(F.col("n_nationkey").alias("node")), 4, 3)
+
+
 def o08_shrunk(spark, d):
     """Documents of each language that a source keeps within 60,000 characters."""
     items = J.ranked(_t(spark, d, "documents"), ["source", "lang"], F.col("doc_id"))
@@ -156,7 +169,7 @@ def c06_matrix(spark, d):
     return C.overlap_matrix(set06_overlaps(spark, d), ["lang", "size", "word"])
 
 
-QUERIES = {f.__name__: f for f in (m10_fields, m11_relations, m11_features, m12_reconcile, m12_conflicts, m12_changes, snk05_versions, o02_topological, o03_clustered, o08_shrunk, set06_overlaps, c06_matrix)}
+QUERIES = {f.__name__: f for f in (m10_fields, m11_relations, m11_features, m12_reconcile, m12_conflicts, m12_changes, snk05_versions, o02_topological, o03_clustered, g07_workflows, o08_shrunk, set06_overlaps, c06_matrix)}
 
 _KEY = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')".format
 _RANK = "case {0} when 'VERIFIED' then 2 when 'INFERRED' then 1 else 0 end".format
@@ -249,6 +262,23 @@ ORACLES = {
   ce as (select distinct x.component as s, y.component as t from e join c x on x.node = e.s join c y on y.node = e.t where x.component <> y.component),
   l(component, layer) as (select distinct component, 0 from c where component not in (select s from ce) union select ce.s, layer + 1 from l join ce on ce.t = l.component)
   select node, component, max(layer)::bigint as layer from c join l using (component) group by 1, 2""",
+    "g07_workflows": """with recursive e as (select l_partkey as s, l_suppkey as t, min(l_orderkey) as o, max(case when l_linestatus = 'F' then 1 else 0 end) as sure from lineitem
+    where l_returnflag = 'R' and l_discount >= 0.1 and l_partkey <> l_suppkey group by 1, 2),
+  k as (select o_orderkey as route, min(l_partkey) as entry from orders left join lineitem on l_orderkey = o_orderkey and l_returnflag <> 'R' group by 1),
+  f as (select event_id as call, route, entry, user_id as caller from events join k on route = user_id union all select null, route, entry, null from k where route not in (select user_id from events)),
+  ways(entry, node, depth, way, sure) as (select distinct entry, entry, 0, [0, entry], 1 from f where entry is not null union all select w.entry, e.t, depth + 1, way || [o, e.t], e.sure from ways w join e on e.s = w.node where depth < 4),
+  least as (select entry, node, min((depth, way, sure)) as b from ways group by 1, 2),
+  down as (select entry, node, b[3] = 0 as open, row_number() over (partition by entry order by b[2]) as step from least),
+  up(start, step, node, chain) as (select distinct caller, 0, caller, [caller] from f where caller is not null union all
+    select start, step + 1, s, list_append(chain, s) from (select start, step, chain, s, row_number() over (partition by start order by o, s) as rn from up join e on e.t = up.node
+      where not list_contains(chain, s) and step < 3 and up.node not in (select n_nationkey from nation)) where rn = 1),
+  g as (select f.*, top, case when call is null then 0 else coalesce(top + 1, 0) + 1 end as above, case when entry is null or coalesce(open, false) then 'PARTIAL' else 'VERIFIED' end as status
+    from f left join (select start, max(step) as top from up group by 1) on start = caller left join (select entry as en, bool_or(open) as open from down group by 1) on en = entry)
+  select call, route, (top - step + 1)::bigint as place, 'caller' as kind, node, 'VERIFIED' as step_status, status from g join up on start = caller
+  union all select call, route, above, 'call', null, 'VERIFIED', status from g where call is not null
+  union all select call, route, above + 1, 'route', null, 'VERIFIED', status from g
+  union all select call, route, above + 2, 'handler', null, 'UNKNOWN', status from g where entry is null
+  union all select call, route, above + 1 + step, case when step = 1 then 'handler' else 'step' end, node, case when open then 'INFERRED' else 'VERIFIED' end, status from g join down using (entry)""",
     "o03_clustered": """with recursive k as (select p_partkey as v, min(coalesce(n_regionkey, 4611686018427387904::bigint)) as p from part left join nation on n_nationkey = p_partkey group by 1),
   e as (select distinct l_partkey as s, l_suppkey as t from lineitem where l_partkey <> l_suppkey and l_partkey in (select v from k) and l_suppkey in (select v from k)),
   r(s, t) as (select v, v from k union select r.s, e.t from r join e on r.t = e.s),

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from tessella.operators import orders
+from tessella.operators import orders, workflows
 
 
 def plain_search(nodes: dict[int, int | None], edges: list[tuple[int, int]]) -> tuple[list[int], dict[int, int]]:
@@ -63,3 +63,57 @@ def test_deep_and_wide_trees(spark):
     assert got == [*range(5001), *range(6000, 8000)]
     empty = spark.createDataFrame([], "node string, place int")
     assert orders.clustered(empty, spark.createDataFrame([("a", "b")], "src string, dst string")).count() == 0
+
+
+def test_workflows_of_a_small_shop(spark):
+    """A page's button calls a client function, which calls a route; its handler's calls are read back in order."""
+    edges = [("click", "save", 1, "VERIFIED"), ("save", "post", 2, "VERIFIED"), ("other", "post", 1, "VERIFIED"), ("create", "check", 5, "VERIFIED"), ("create", "store", 3, "VERIFIED"),
+        ("store", "insert", 1, "VERIFIED"), ("insert", "create", 1, "VERIFIED"), ("list", "guess", 1, "INFERRED"), ("list", "find", 2, "VERIFIED"), ("guess", "find", 1, "VERIFIED"), (None, "x", 1, "VERIFIED")]
+    routes = [("POST /orders", "create"), ("POST /orders", "create"), ("GET /orders", "list"), ("GET /lost", None), (None, "create")]
+    links = [("app:9", "save", "POST /orders"), ("app:9", "save", "POST /orders"), ("bare:1", None, "POST /orders"), ("app:7", "save", "GET /nowhere"), (None, "save", "GET /lost")]
+    got = workflows.assemble(
+        spark.createDataFrame(routes, "route string, entry string"), spark.createDataFrame(links, "call string, caller string, route string"),
+        spark.createDataFrame(edges, "src string, dst string, ord long, status string"), spark.createDataFrame([("click",)], "node string"), 8, 8,
+    )
+    flows = {}
+    for r in got.orderBy("place").collect():
+        flows.setdefault((r.call, r.route, r.status), []).append((r.place, r.kind, r.node, r.step_status))
+    sure = "VERIFIED"
+    create = [("handler", "create"), ("step", "store"), ("step", "insert"), ("step", "check")]
+    assert flows == {
+        ("app:9", "POST /orders", sure): [(k + 1, *x, sure) for k, x in enumerate([("caller", "click"), ("caller", "save"), ("call", None), ("route", None), *create])],
+        ("bare:1", "POST /orders", sure): [(k + 1, *x, sure) for k, x in enumerate([("call", None), ("route", None), *create])],
+        (None, "GET /orders", "PARTIAL"): [(1, "route", None, sure), (2, "handler", "list", sure), (3, "step", "guess", "INFERRED"), (4, "step", "find", sure)],
+        (None, "GET /lost", "PARTIAL"): [(1, "route", None, sure), (2, "handler", None, "UNKNOWN")],
+    }
+
+
+def test_workflows_of_empty_tables(spark):
+    empty = lambda ddl: spark.createDataFrame([], ddl)
+    got = workflows.assemble(empty("route long, entry long"), empty("call long, caller long, route long"), empty("src long, dst long, ord long, status string"), empty("node long"), 3, 3)
+    assert got.count() == 0
+
+
+def test_steps_of_random_calls(spark):
+    """Steps by the fewest calls and the least way, against all ways written out."""
+    rng = random.Random(9)
+    edges = [(rng.randrange(15), rng.randrange(15), rng.randrange(4), rng.choice(["VERIFIED", "INFERRED"])) for _ in range(40)]
+    rows = spark.createDataFrame(edges, "src long, dst long, ord long, status string")
+    got = {}
+    for r in workflows.walks(rows, spark.createDataFrame([(0,), (3,), (3,), (None,)], "entry long"), 4, 4).orderBy("step").collect():
+        got.setdefault(r.entry, []).append((r.node, r.depth, r.open))
+    for entry in (0, 3):
+        best = {entry: (0, [(0, entry)], False)}
+        front = {entry: [(0, entry)]}
+        for k in range(1, 5):
+            new = {}
+            for v, way in front.items():
+                for b in {b for a, b, _, _ in edges if a == v and a != b}:
+                    here = [(o, s) for x, y, o, s in edges if (x, y) == (v, b)]
+                    to = (way + [(min(o for o, _ in here), b)], all(s != "VERIFIED" for _, s in here))
+                    if b not in best:
+                        new[b] = min(new.get(b, to), to)
+            best |= {b: (k, way, open_) for b, (way, open_) in new.items()}
+            front = {b: way for b, (way, _) in new.items()}
+        want = sorted(((way, v, k, open_) for v, (k, way, open_) in best.items()))
+        assert got[entry] == [(v, k, open_) for _, v, k, open_ in want]
