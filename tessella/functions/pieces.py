@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from bisect import bisect_right
 
@@ -103,84 +102,3 @@ def json_objects(text: Column) -> Column:
         return texts.map(lambda t: [] if t is None else _objects(t))
 
     return run(text)
-
-
-def without_keys(text: Column, keys: tuple[str, ...]) -> Column:
-    """JSON without the named keys at any depth, compact; null where the text is no JSON."""
-
-    def bare(x: object) -> object:
-        if isinstance(x, dict):
-            return {k: bare(v) for k, v in x.items() if k not in keys}
-        return [bare(v) for v in x] if isinstance(x, list) else x
-
-    def clean(t: str | None) -> str | None:
-        try:
-            return None if t is None else json.dumps(bare(json.loads(t)), separators=(",", ":"), ensure_ascii=False)
-        except ValueError:
-            return None
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(clean)
-
-    return run(text)
-
-
-def tree_paths(text: Column) -> Column:
-    """Paths of all nodes of a JSON tree of (name, children), a parent before its children; none where the text is no tree."""
-
-    def paths(t: str | None) -> list[str]:
-        try:
-            todo = [("", json.loads(t or "null"))]
-        except ValueError:
-            return []
-        out = []
-        while todo:
-            above, node = todo.pop()
-            if isinstance(node, dict) and node.get("name"):
-                at = f"{above}{node['name']}"
-                out.append(at)
-                todo += [(at + "/", c) for c in reversed(node.get("children") or [])]
-        return out
-
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(paths)
-
-    return run(text)
-
-
-_KINDS = {"string": str, "boolean": bool, "object": dict, "array": list, "number": (int, float), "integer": int}
-
-
-def _errors(x: object, schema: dict, at: str) -> list[str]:
-    kind = schema.get("type")
-    if kind and (not isinstance(x, _KINDS[kind]) or (isinstance(x, bool) and kind != "boolean")):
-        return [f"{at}: not {kind}"]
-    out = [f"{at}: not one of its values"] if "enum" in schema and x not in schema["enum"] else []
-    if isinstance(x, dict):
-        out += [f"{at}.{k}: missing" for k in schema.get("required", ()) if k not in x]
-        for k, s in schema.get("properties", {}).items():
-            out += _errors(x[k], s, f"{at}.{k}") if k in x else []
-    if isinstance(x, list) and "items" in schema:
-        for k, v in enumerate(x):
-            out += _errors(v, schema["items"], f"{at}[{k}]")
-    if isinstance(x, str) and len(x) > schema.get("maxLength", len(x)):
-        out.append(f"{at}: too long")
-    return out
-
-
-def schema_errors(text: Column, schema: dict) -> Column:
-    """What is wrong with a JSON text by a schema (type, enum, required, properties, items, maxLength), each with its path."""
-
-    def errors(t: str | None) -> list[str]:
-        try:
-            return _errors(json.loads(t or ""), schema, "$")
-        except ValueError:
-            return ["$: no JSON"]
-
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(errors)
-
-    return run(text)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import pieces
 from tessella.functions import text as T
+from tessella.functions import variants as V
 from tessella.operators import joins as J
 
 
@@ -128,19 +129,40 @@ def s36_schema(spark, d):
     """What is wrong with messages, by their schema."""
     body = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.when(F.col("value") > 50, F.array("event_type")).otherwise(F.array(F.lit("ok"), F.lit("much too long"))).alias("tags")))
     schema = {"type": "object", "required": ["id", "user"], "properties": {"kind": {"enum": ["click", "view"]}, "tags": {"type": "array", "items": {"type": "string", "maxLength": 8}}}}
-    return _t(spark, d, "events").select("event_id", F.array_join(pieces.schema_errors(body, schema), "; ").alias("errors"))
+    return _t(spark, d, "events").select("event_id", F.array_join(V.schema_errors(body, schema), "; ").alias("errors"))
+
+
+def s27_sentences(spark, d):
+    """Answers of several shapes as sentences: an object that says what and why, an array, an object that says neither, a number."""
+    kind, user, large = F.col("event_type"), F.col("user_id").cast("string"), F.col("value")
+    said = F.when(large > 75, F.concat(F.lit('{"why":"user '), user, F.lit('","name":"x","question":" '), kind, F.lit(' "}')))
+    said = said.when(large > 50, F.concat(F.lit('["'), kind, F.lit('",null,{"title":"of '), user, F.lit('"},"",'), user, F.lit("]"))).when(large > 25, F.col("props")).otherwise(user)
+    return _t(spark, d, "events").select("event_id", V.sentence(V.value(said)).alias("sentence"))
+
+
+def s37_mended(spark, d):
+    """Messages with an object or a number where a text is wanted, and too many and too long tags, put right; and what stays wrong."""
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    title = F.when(F.col("value") > 50, F.concat(F.lit('{"name":"'), kind, F.lit('","why":"w"}'))).otherwise(user)
+    body = F.concat(F.lit('{"title":'), title, F.lit(',"tags":["'), kind, F.lit('",'), user, F.lit(',"more"],"id":'), F.col("event_id").cast("string"), F.lit("}"))
+    schema = {
+        "type": "object", "required": ["id", "owner"],
+        "properties": {"id": {"type": "integer"}, "title": {"type": "string", "maxLength": 8}, "tags": {"type": "array", "maxItems": 2, "items": {"type": "string", "maxLength": 4}}},
+    }
+    done = _t(spark, d, "events").select("event_id", F.size(V.schema_errors(body, schema)).alias("wrong"), V.mended(body, schema).alias("body"))
+    return done.withColumn("left", F.array_join(V.schema_errors(F.col("body"), schema), "; "))
 
 
 def s38_without_scores(spark, d):
     body = F.concat(F.lit('{"score":1,"x":{"rank":2,"y":'), "props", F.lit('},"z":[{"score":3},4]}'))
-    return _t(spark, d, "events").select("event_id", pieces.without_keys(body, ("score", "rank")).alias("body"))
+    return _t(spark, d, "events").select("event_id", V.without_keys(body, ("score", "rank")).alias("body"))
 
 
 def s39_tree_paths(spark, d):
     """Paths of the tree of regions and their nations."""
     kids = F.array_sort(F.collect_list(F.struct(F.col("n_name").alias("name"))))
     tree = _t(spark, d, "nation").groupBy("n_regionkey").agg(kids.alias("children")).join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return tree.select(F.posexplode(pieces.tree_paths(F.to_json(F.struct(F.col("r_name").alias("name"), "children")))).alias("at", "path")).select("path", F.col("at").cast("long").alias("at"))
+    return tree.select(F.posexplode(V.tree_paths(F.to_json(F.struct(F.col("r_name").alias("name"), "children")))).alias("at", "path")).select("path", F.col("at").cast("long").alias("at"))
 
 
 def s22_pieces(spark, d):
@@ -160,7 +182,7 @@ def s40_diffs(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     a09_measures, a10_histogram, a17_progress, p08_p09_scopes, p11_broad_selection, r06_remaining, r07_deletable, r10_modes, r14_choices, set02_ordered_union, o07_largest, s24_s41_texts,
-    s34_objects, s36_schema, s38_without_scores, s39_tree_paths, s22_pieces, s40_diffs,
+    s34_objects, s27_sentences, s36_schema, s37_mended, s38_without_scores, s39_tree_paths, s22_pieces, s40_diffs,
 )}
 
 _F = """f as (select doc_id as path, source as folder, lang = 'en' as is_source, case when quality is null then 'NOT_ANALYZED' when toxic = 1 then 'OUTDATED' when quality = 1 then 'ANALYZED' else 'PARTIAL' end as status
@@ -196,6 +218,11 @@ ORACLES = {
     "s34_objects": """select event_id, '{"s": "}\\\\\\"{", "p": ' || props || '}' as object, 2 as n from events""",
     "s36_schema": """select event_id, concat_ws('; ', '$.user: missing', case when event_type not in ('click', 'view') then '$.kind: not one of its values' end,
   case when value > 50 then case when length(event_type) > 8 then '$.tags[0]: too long' end else '$.tags[1]: too long' end) as errors from events""",
+    "s27_sentences": """select event_id, case when value > 75 then event_type || ' — user ' || user_id when value > 50 then event_type || '; of ' || user_id || '; ' || user_id
+  when value > 25 then json(props)::varchar else user_id::varchar end as sentence from events""",
+    "s37_mended": """select event_id, (4 + case when length(event_type) > 4 then 1 else 0 end)::int as wrong,
+  '{"id":' || event_id || ',"tags":["' || event_type[1:4] || '","' || (user_id::varchar)[1:4] || '"],"title":"' || case when value > 50 then (event_type || ' — w')[1:8] else user_id::varchar end || '"}' as body,
+  '$.owner: missing' as "left" from events""",
     "s38_without_scores": """select event_id, '{"x":{"y":' || json(props)::varchar || '},"z":[{},4]}' as body from events""",
     "s39_tree_paths": """select r_name as path, 0::bigint as at from region where r_regionkey in (select n_regionkey from nation) union all
   select r_name || '/' || n_name, row_number() over (partition by r_regionkey order by n_name) from nation join region on n_regionkey = r_regionkey""",
