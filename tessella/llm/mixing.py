@@ -1,20 +1,21 @@
 """Mixing sources to target weights, by exponential keys and token budgets.
 
 Each source gets a budget of words: complete epochs first, and the rest by Efraimidis-Spirakis sampling. A document's
-key is -ln(u) / w with u drawn from a hash of its doc_id and w its quality weight; documents are taken by ascending key
+key is -ln(u) / w with u drawn from a hash of its doc_id and text and w its quality weight; documents are taken by ascending key
 and a prefix sum of their sizes is cut at the budget. The document at the cut is taken in part, so a source's words
 meet the budget to the word.
 
 Scale: a source may hold any share of the rows, so its prefix sum is never one window. exp(-key * mean weight) is a
 monotone image of the key that is about uniform; it deals a source into buckets of about ``BUCKET_ROWS`` rows. Bucket
 sums (combined before the shuffle) are prefix-summed instead, one row a bucket, and only the buckets in which a budget
-ends are ordered row by row. Tables joined back have one row a source, and are broadcast only when counted as small.
+ends are ordered, a row for all rows of equal doc_id, text and source, which share a key. Rows without words take none and
+are not ordered. Tables joined back have one row a source, and are broadcast only when counted as small.
 
 Everything is built-in expressions; no user function runs.
 
 Defined results for odd input: a null text has size 0; a null source is a source of its own, ordered last; a null
-doc_id draws its key like any other; repeated rows share one key and are taken one after another; weights that are null or not
-positive count as the least weight; an empty table gives an empty table.
+doc_id draws its key by the text, like any other, and so do different texts of one doc_id; repeated rows share one key and
+are taken one after another; weights that are null or not positive count as the least weight; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,14 +27,16 @@ from pyspark.sql.window import Window
 from tessella.llm.common import materialize, n_words_of, small, words_of
 
 BUCKET_ROWS = 1000
+#: Equal rows that are told apart at once when they are counted out again.
+RUN = 10_000
 LEAST_WEIGHT = 0.05
 SEED = "mix-1"
 WEIGHTS = (3.0, 1.0, 2.0)
 
 
-def uniform(doc_id: Column, seed: str = SEED) -> Column:
-    """A draw in (0, 1) from 52 bits of a hash of seed and doc_id; the same in every run."""
-    text = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def uniform(doc_id: Column, mark: Column, seed: str = SEED) -> Column:
+    """A draw in (0, 1) from 52 bits of a hash of seed, doc_id and the text's digest; the same in every run."""
+    text = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), mark)
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
@@ -73,6 +76,7 @@ def mix(
     docs: DataFrame,
     size: Column,
     quality: Column,
+    mark: Column,
     share: float = 1.5,
     most: float = 2.0,
     weights: tuple[float, ...] = WEIGHTS,
@@ -81,7 +85,7 @@ def mix(
 ) -> DataFrame:
     """doc_id, source, size, source_size, target and taken words of every row of ``docs`` (columns doc_id, source).
 
-    Other columns named in ``keep`` (small ones, such as a digest) are carried along.
+    ``mark`` is the text's digest, which tells rows of one doc_id, or of none, apart. Other columns named in ``keep`` (small ones, such as a digest) are carried along.
     """
     rows = materialize(
         docs.select(
@@ -90,7 +94,7 @@ def mix(
             F.col("source").cast("string").alias("source"),
             size.cast("long").alias("size"),
             F.greatest(F.lit(LEAST_WEIGHT), F.coalesce(quality, F.lit(LEAST_WEIGHT))).alias("weight"),
-            uniform(F.col("doc_id"), seed).alias("u"),
+            uniform(F.col("doc_id"), mark, seed).alias("u"),
         ),
         "mix-rows",
     )
@@ -119,10 +123,15 @@ def mix(
 
     columns = ("doc_id", *keep, "source", "size", "source_size", "target")
     epochs = F.col("epochs") * F.col("size")
-    settled = dealt.filter(F.col("whole").isNotNull()).select(*columns, (epochs + F.col("whole") * F.col("size")).cast("long").alias("taken"))
+    settled = dealt.filter(F.col("whole").isNotNull() | (F.col("size") == 0))
+    settled = settled.select(*columns, (epochs + F.coalesce("whole", F.lit(0)) * F.col("size")).cast("long").alias("taken"))
+    cut = dealt.filter(F.col("whole").isNull() & (F.col("size") > 0))
+    cut = cut.groupBy(*columns, "epochs", "before", "budget", "bucket", "key").agg(F.count("*").alias("_n"))
     in_order = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    cut = dealt.filter(F.col("whole").isNull()).withColumn("_at", F.col("before") + F.coalesce(F.sum("size").over(in_order), F.lit(0)))
-    part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("budget") - F.col("_at")))
+    cut = cut.withColumn("_at", F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("_n")).over(in_order), F.lit(0)))
+    cut = cut.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(RUN).cast("long"))))
+    cut = cut.withColumn("_row", F.explode(F.sequence("_run", F.least(F.col("_run") + RUN, F.col("_n")) - 1)))
+    part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("budget") - F.col("_at") - F.col("_row") * F.col("size")))
     return settled.unionByName(cut.select(*columns, (epochs + part).cast("long").alias("taken")))
 
 
@@ -135,13 +144,20 @@ def draw(docs: DataFrame, **options) -> DataFrame:
     others = [c for c in docs.columns if c not in ("text", "copy")]
     mark = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
     marked = docs.select(F.struct(F.lit(0), *others).alias("_row"), "doc_id", "source", "text", mark.alias("_mark"))
-    mixed = mix(marked, n_words_of(F.col("text")), quality_weight(F.col("text")), keep=("_mark",), **options)
-    taken = mixed.filter("taken > 0").groupBy("doc_id", "_mark").agg(F.collect_list(F.struct("size", "taken")).alias("_takes"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_of"), "_takes")
-    number = F.row_number().over(Window.partitionBy("doc_id", "_mark").orderBy(F.lit(0)))  # equal rows take in turn
-    met = marked.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of"))).withColumn("_n", number)
-    met = met.withColumn("_take", F.get("_takes", F.col("_n") - 1))
-    size, words = F.col("_take.size"), F.col("_take.taken")
+    mixed = mix(marked, n_words_of(F.col("text")), quality_weight(F.col("text")), F.lower(F.hex("_mark")), keep=("_mark",), **options)
+    # Of equal rows some are taken once more, one in part, the others not: at most three counts, the most words first.
+    counts = mixed.groupBy("doc_id", "_mark", "source", "size", "taken").agg(F.count("*").alias("n"))
+    takes = F.reverse(F.array_sort(F.collect_list(F.struct("taken", "n"))))
+    taken = counts.groupBy(F.col("doc_id").alias("_id"), F.col("_mark").alias("_of"), F.col("source").alias("_from"), F.col("size").alias("_size")).agg(takes.alias("_takes"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of")) & F.col("source").cast("string").eqNullSafe(F.col("_from"))
+    met = marked.join(taken.filter(F.get("_takes", F.lit(0))["taken"] > 0), same)
+    # Rows are numbered only where a budget ends among equal ones: in one group a source at most.
+    alike = met.filter(F.size("_takes") == 1).withColumn("_n", F.lit(1))
+    unlike = met.filter(F.size("_takes") > 1).withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_of", "_from").orderBy(F.lit(0))))
+    of = lambda k, name: F.get("_takes", F.lit(k))[name]
+    words = F.when((F.size("_takes") == 1) | (F.col("_n") <= of(0, "n")), of(0, "taken")).when(F.col("_n") <= of(0, "n") + of(1, "n"), of(1, "taken")).otherwise(of(2, "taken"))
+    met = alike.unionByName(unlike).withColumn("_words", words).filter("_words > 0")
+    size, words = F.col("_size"), F.col("_words")
     copies = met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(words / size))))
     rest = (words - (F.col("copy") - 1) * size).cast("int")
     text = F.when(rest >= size, F.col("text")).otherwise(F.array_join(F.slice(words_of(F.col("text")), F.lit(1), rest), " "))
@@ -150,7 +166,7 @@ def draw(docs: DataFrame, **options) -> DataFrame:
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    mixed = mix(docs, n_words_of(F.col("text")), quality_weight(F.col("text")))
+    mixed = mix(docs, n_words_of(F.col("text")), quality_weight(F.col("text")), F.md5(F.coalesce("text", F.lit(""))))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -158,7 +174,7 @@ SQL = """
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
          length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) as symbols,
-         (('0x' || substr(md5('mix-1:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double as u
+         (('0x' || substr(md5('mix-1:' || coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, ''))), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double as u
   from {rel}
 ), k as (
   select *, -ln(u) / greatest(0.05, 1 / (1 + symbols / greatest(size, 1)::double)) as key from d

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import materialize, small
 from tessella.llm.graph import components
 from tessella.llm.windows import (
-    BUCKET_BASE, Plan, Windows, by_bucket, chunked, found, ids, mix, pack, runs, text_bytes, unpack, unzip, windows,
+    BUCKET_BASE, Plan, Windows, by_bucket, chunk_of, chunked, found, ids, mix, pack, runs, text_bytes, unpack, unzip, windows,
 )
 
 WIDTH = 5
@@ -238,9 +238,9 @@ def candidate_sets(docs: DataFrame, reps: DataFrame, n_docs: int, similarity: fl
     """Texts that can have a partner: total weight, band hashes and the shingles that other texts have too."""
     plan = Plan.of(text_bytes(docs))
     # Dealt by id and text, so rows that share an id, or have none, are not one chunk.
-    texts = chunked(docs.select(F.xxhash64("doc_id", F.unhex(F.md5("text"))).alias("doc_id"), "text"), plan)
+    texts = chunked(docs.select(F.xxhash64("doc_id", F.unhex(F.md5("text"))).alias("doc_id"), "text"), plan, chunk_of(plan, F.col("doc_id")))
     keyed = reps.withColumn("doc_id", F.xxhash64("doc_id", "digest"))
-    stand = keyed.select(F.pmod(F.xxhash64("doc_id"), F.lit(plan.chunks)).cast("int").alias("chunk"), "doc_id", "digest", "node", "copies")
+    stand = keyed.select(chunk_of(plan, F.col("doc_id")).alias("chunk"), "doc_id", "digest", "node", "copies")
     sent = texts.groupBy("chunk").cogroup(stand.groupBy("chunk")).applyInArrow(sender(plan.buckets), SENT)
     heard = sent.groupBy("bucket").applyInArrow(tally, HEARD)
     told = heard.unionByName(stand, allowMissingColumns=True).select("chunk", "bucket", "hashes", "counts", "doc_id", "digest", "node", "copies")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.windows import (
-    Plan, by_bucket, chunked, found, ids, pack, runs, text_bytes, unpack, unzip, windows,
+    Plan, by_bucket, chunk_of, chunked, found, ids, pack, runs, text_bytes, unpack, unzip, windows,
 )
 
 WIDTH = 50
@@ -139,7 +139,8 @@ def remover(width: int, buckets: int):
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, the removed intervals of words and the text that is left, words joined by spaces."""
     plan = Plan.of(text_bytes(docs, text))
-    chunks = chunked(docs, plan, doc_id, text)
+    # Any dealing gives the same result; by the scan's partition too, so that rows without an id, or equal ones, are many chunks.
+    chunks = chunked(docs, plan, chunk_of(plan, F.col(doc_id), F.col(text), F.spark_partition_id()), doc_id, text)
     sent = chunks.groupBy("chunk").applyInArrow(sender(width, plan.buckets), SENT)
     heard = sent.groupBy("bucket").applyInArrow(judge, HEARD)
     return chunks.groupBy("chunk").cogroup(heard.groupBy("chunk")).applyInArrow(remover(width, plan.buckets), RESULT)

@@ -6,7 +6,7 @@ polynomials over either hash, one to tell them apart and one to choose their buc
 is odd, so a division by its powers is a product), which numpy does for a whole chunk at once. Memory follows ``SLICE``
 bytes of text and the chunk, not the corpus.
 
-A chunk is a set of documents by a hash of doc_id, some MB of text. A chunk sends each of its distinct windows once,
+A chunk is a set of documents, dealt by a hash, some MB of text. A chunk sends each of its distinct windows once,
 packed by bucket (a second hash), so a passage in very many documents costs a row's part a chunk, not a document. What
 a bucket finds out goes back to the chunks that asked. Texts are shuffled once, compressed: both passes over a chunk
 read the same exchange.
@@ -203,10 +203,13 @@ def unzip(column: pa.ChunkedArray) -> list[bytes]:
     return [d.decompress(x) for x in column.to_pylist()]
 
 
-def chunked(docs: DataFrame, plan: Plan, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def chunk_of(plan: Plan, *by: Column) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(plan.chunks)).cast("int")
+
+
+def chunked(docs: DataFrame, plan: Plan, chunk: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """chunk, doc_id and compressed text. Every use of it must take all three columns, so the exchange is shared."""
     body = F.coalesce(F.col(text), F.lit(""))
-    chunk = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(plan.chunks)).cast("int")
     return docs.select(chunk.alias("chunk"), F.col(doc_id).cast("long").alias("doc_id"), zipped(body).alias("z"))
 
 

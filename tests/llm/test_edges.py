@@ -182,3 +182,37 @@ def test_fingerprints_of_texts_without_ids(half_null_ids, spark):
     copies = spark.createDataFrame([(5, "one\ntwo")] * 5000 + [(None, "x")] * 9, "doc_id long, text string")
     got = {(r.doc_id, r.near_next): r["count"] for r in fingerprint.op8(copies).groupBy("doc_id", "near_next").count().collect()}
     assert got == {(5, 1.0): 4999, (5, 0.0): 1, (None, 1.0): 8, (None, 0.0): 1}
+
+
+def test_mix_of_texts_without_ids(half_null_ids, spark):
+    from tests.compare import assert_same
+
+    docs = half_null_ids.withColumn("source", F.when(F.length("text") % 3 > 0, "web"))
+    at = folder(spark, documents=docs)
+    assert_same(mixing.op1(docs), mixing.sql(f"read_parquet('{at}/documents.parquet/*.parquet')"))
+    taken = mixing.op1(docs).filter("doc_id IS NULL").agg(F.countDistinct(F.expr("taken / size")), F.sum("taken"), F.sum("size")).first()
+    assert taken[0] > 1 and 1.2 < taken[1] / taken[2] < 1.8  # a draw for each text, not one for all of them
+
+
+@pytest.mark.parametrize("share", [0.3, 0.73, 1.5])
+def test_mix_of_equal_rows(spark, monkeypatch, share):
+    monkeypatch.setattr(mixing, "RUN", 7)
+    rows = [(None, "a b c", "web")] * 300 + [(None, None, "web")] * 50 + [(4, "d e", None)] * 40 + [(k, f"x y {k}", "book") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    mixed = mixing.mix(docs, F.size(F.split(F.coalesce("text", F.lit("")), " ")) * F.isnotnull("text").cast("int"), F.lit(1.0), F.md5(F.coalesce("text", F.lit(""))), share=share)
+    per = {r.source: r for r in mixed.groupBy("source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
+    assert {s: r.n for s, r in per.items()} == {"web": 350, None: 40, "book": 30}
+    assert all(abs(r.taken - r.target) <= 0.5 for r in per.values())
+    drawn = mixing.draw(docs, share=share).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("words")).collect()
+    assert {r.source: r.words for r in drawn} == {s: r.taken for s, r in per.items()}
+
+
+def test_windows_of_texts_without_ids(half_null_ids, spark):
+    from tessella.llm.windows import Plan, chunk_of
+
+    rows = [(r.doc_id, (r.text + " ") * 4) for r in half_null_ids.collect()]
+    docs = spark.createDataFrame([*rows, *[(None, "z " * 60)] * 200, *[(7, "z " * 60)] * 200], "doc_id long, text string").repartition(8)
+    got = substrings.op2(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute.substrings([tuple(r) for r in docs.collect()])))
+    dealt = docs.groupBy(chunk_of(Plan(32, 8), F.col("doc_id"), F.col("text"), F.spark_partition_id()).alias("chunk")).count().agg(F.max("count"), F.sum("count")).first()
+    assert dealt[0] < dealt[1] / 3
