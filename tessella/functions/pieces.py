@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
 
@@ -9,9 +10,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Pairs of lines up to which a diff looks for the longest common part; beyond, all old lines go and all new ones come.
-MOST_PAIRS = 4_000_000
-
 
 def _cuts(text: str, most: int) -> list[int]:
     """Where pieces end: behind the last line that still fits, or after ``most`` code points where none does."""
@@ -40,35 +38,85 @@ def split_text(text: Column, most: int) -> Column:
     return run(text)
 
 
+class _Longest:
+    """Lengths of the longest common parts of all ends of ``old`` and ``new``, by one number of a bit a new line for each old line.
+
+    In the number of ``old[i:]`` the lowest n bits have a 0 for each line that ``old[i:]`` shares with the last n new
+    lines. A number follows from the next one by a sum over all bits at once, so a table of n by m lines takes n steps of
+    m / 64 machine words. Every step-th number is kept and those between are worked out again when they are read: some
+    2 * sqrt(n) numbers are held at a time.
+    """
+
+    def __init__(self, old: list[str], new: list[str]):
+        self.old, self.new, self.full = old, new, (1 << len(new)) - 1
+        self.places: dict[str, list[int]] = {}
+        for k, line in enumerate(reversed(new)):
+            self.places.setdefault(line, []).append(k)
+        self.masks: dict[str, int] = {}
+        self.step = math.isqrt(len(old)) + 1
+        self.kept = {len(old): self.full}
+        row = self.full
+        for i in range(len(old) - 1, -1, -1):
+            row = self._before(row, old[i])
+            if i % self.step == 0:
+                self.kept[i] = row
+        self.block: dict[int, int] = {}
+
+    def _mask(self, line: str) -> int:
+        if line in self.masks:
+            return self.masks[line]
+        at = self.places.get(line, ())
+        bits = bytearray(len(self.new) // 8 + 1)
+        for k in at:
+            bits[k >> 3] |= 1 << (k & 7)
+        mask = int.from_bytes(bits, "little")
+        if len(at) ** 2 > len(self.new):  # at most sqrt(m) lines are as frequent
+            self.masks[line] = mask
+        return mask
+
+    def _before(self, row: int, line: str) -> int:
+        if line not in self.places:
+            return row
+        met = row & self._mask(line)
+        return ((row + met) | (row - met)) & self.full
+
+    def row(self, i: int) -> int:
+        if i in self.kept:
+            return self.kept[i]
+        if i not in self.block:
+            start = i // self.step * self.step
+            end = min(start + self.step, len(self.old))
+            row, self.block = self.kept[end], {}
+            for k in range(end - 1, start, -1):
+                row = self.block[k] = self._before(row, self.old[k])
+        return self.block[i]
+
+    def of(self, i: int, j: int) -> int:
+        n = len(self.new) - j
+        return n - (self.row(i) & ((1 << n) - 1)).bit_count()
+
+
 def _diff(old: list[str], new: list[str]) -> list[str]:
-    """Lines with a blank, minus or plus before them. Common ends need no table; where two ways are as long, removals come first."""
-    import numpy as np
-
-    if len(old) * len(new) > MOST_PAIRS:
-        return ["-" + x for x in old] + ["+" + x for x in new]
-    names: dict[str, int] = {}
-    a, b = (np.array([names.setdefault(x, len(names)) for x in lines], dtype=np.int64) for lines in (old, new))
-    best = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for i in range(len(a) - 1, -1, -1):
-        # A row of the table: one more where lines are equal, else the best to the right, as a running maximum.
-        step = np.where(a[i] == b, best[i + 1, 1:] + 1, best[i + 1, :-1])
-        best[i, :-1] = np.maximum.accumulate(step[::-1])[::-1] if len(b) else step
-    out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
+    """Lines with a blank, minus or plus before them, as many kept as can be; where two ways are as long, removals come first."""
+    same = next((k for k, (x, y) in enumerate(zip(old, new, strict=False)) if x != y), min(len(old), len(new)))
+    out, old, new = [" " + x for x in old[:same]], old[same:], new[same:]
+    best, i, j = _Longest(old, new), 0, 0
+    while i < len(old) and j < len(new):
+        if old[i] == new[j]:
             out.append(" " + old[i])
             i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and best[i + 1, j] >= best[i, j + 1]):
+        elif old[i] not in best.places or best.of(i + 1, j) >= best.of(i, j + 1):
             out.append("-" + old[i])
             i += 1
         else:
             out.append("+" + new[j])
             j += 1
-    return out
+    return [*out, *("-" + x for x in old[i:]), *("+" + x for x in new[j:])]
 
 
 def line_diff(old: Column, new: Column) -> Column:
-    """The lines of both texts in one array, marked as kept, removed or added; a null text has no lines."""
+    """The lines of both texts in one array, marked as kept, removed or added; a null text has no lines. Two texts of any size are
+    compared line by line; memory follows the root of the old lines times the new ones, in bits."""
 
     @F.pandas_udf("array<string>")
     def run(olds: pd.Series, news: pd.Series) -> pd.Series:

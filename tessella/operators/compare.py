@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessella.functions import text as T
 from tessella.operators import joins as J
@@ -102,3 +103,37 @@ def overlap_matrix(overlaps: DataFrame, categories: list[str]) -> DataFrame:
     count = lambda c, what: F.coalesce(F.col(f"{c}_{what}"), F.lit(0)).cast("string")
     said = [F.concat(F.lit(f"{c}: common "), count(c, "common"), F.lit(", only A "), count(c, "a"), F.lit(", only B "), count(c, "b")) for c in categories]
     return wide.select("a", "b", *[F.coalesce(F.col(f"{c}_common"), F.lit(0)).alias(c) for c in categories], F.concat_ws("; ", *said).alias("line"))
+
+
+def hunks(diffs: DataFrame, key: str, diff: str = "diff", context: int = 3) -> DataFrame:
+    """The hunks of line diffs (arrays of marked lines): the key, hunk (from 1), old_start, old_lines, new_start, new_lines,
+    head and body.
+
+    Changes with at most ``context`` kept lines between them are one hunk, which has up to as many kept lines on either side;
+    a kept line can end one hunk and begin the next. A diff without changes, an empty or a null one has no hunks. ``key`` names
+    a diff: rows that share it are numbered as one, so give each its own. Windows run over the lines of one diff.
+    """
+    lines = diffs.select(F.col(key), F.posexplode(diff).alias("at", "line"))
+    mark = F.substring("line", 1, 1)
+    so_far = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = so_far.rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("changed", F.when(mark != " ", F.col("at")))
+    lines = lines.withColumn("last", F.last("changed", ignorenulls=True).over(before))
+    opens = F.col("changed").isNotNull() & (F.col("last").isNull() | (F.col("changed") - F.col("last") > context + 1))
+    count = lambda other: F.coalesce(F.sum((mark != other).cast("long")).over(before), F.lit(0).cast("long")) + 1
+    lines = lines.withColumn("island", F.sum(opens.cast("int")).over(so_far)).withColumn("old_at", count("+")).withColumn("new_at", count("-"))
+    following = Window.partitionBy(key).orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumn("next", F.min("changed").over(following))
+    far = F.col("next") - F.coalesce("last", F.lit(-context - 2)) > context + 1
+    ends = F.when(F.col("at") - F.col("last") <= context, F.col("island"))
+    begins = F.when(F.col("next") - F.col("at") <= context, F.col("island") + far.cast("int"))
+    within = F.when(F.col("changed").isNotNull(), F.array("island")).otherwise(F.array_distinct(F.array_compact(F.array(ends, begins))))
+    placed = lines.withColumn("hunk", F.explode(within))
+    body = F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"])
+    number = lambda other: F.sum((mark != other).cast("long"))
+    found = placed.groupBy(key, "hunk").agg(
+        F.min("old_at").alias("old_start"), number("+").alias("old_lines"), F.min("new_at").alias("new_start"), number("-").alias("new_lines"),
+        F.array_join(body, "\n").alias("body"),
+    )
+    head = F.format_string("@@ -%d,%d +%d,%d @@", "old_start", "old_lines", "new_start", "new_lines")
+    return found.select(key, F.col("hunk").cast("long").alias("hunk"), "old_start", "old_lines", "new_start", "new_lines", head.alias("head"), "body")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessella.functions import pieces
 from tessella.functions import text as T
 from tessella.functions import variants as V
+from tessella.operators import compare
 from tessella.operators import joins as J
 
 
@@ -173,22 +174,49 @@ def s22_pieces(spark, d):
 
 def s40_diffs(spark, d):
     """Lines kept, removed and added from each document to the next of its source."""
-    docs = J.ranked(_t(spark, d, "documents"), ["source"], F.col("doc_id"))
-    after = docs.select("source", (F.col("rank") - 1).alias("rank"), F.col("text").alias("later"))
-    met = docs.join(after, ["source", "rank"]).select("doc_id", pieces.line_diff(F.col("text"), F.col("later")).alias("diff"))
+    docs = _t(spark, d, "documents")
+    places = J.ranked(docs.select("doc_id", "source"), ["source"], F.col("doc_id"))
+    after = places.select("source", (F.col("rank") - 1).alias("rank"), F.col("doc_id").alias("next_id"))
+    later = docs.select(F.col("doc_id").alias("next_id"), F.col("text").alias("later"))
+    pairs = places.join(after, ["source", "rank"]).select("doc_id", "next_id").join(docs.select("doc_id", "text"), "doc_id").join(later, "next_id")
+    met = pairs.select("doc_id", pieces.line_diff(F.col("text"), F.col("later")).alias("diff"))
     count = lambda mark: F.size(F.filter("diff", lambda x: F.startswith(x, F.lit(mark)))).cast("long")
     return met.select("doc_id", count(" ").alias("kept"), count("-").alias("removed"), count("+").alias("added"))
 
 
+def s40_hunks(spark, d):
+    """Hunks between a document's numbered words, a line each, and the same with some lines gone, changed and new."""
+    words = F.split(F.regexp_replace("text", "\\n", " "), " ")
+    old = F.transform(words, lambda w, k: F.concat(k.cast("string"), F.lit(" "), w))
+    gone = lambda k: (k % 23 == 3) | (k % 31 == 30)
+    new = F.transform(words, lambda w, k: F.concat(
+        F.when(gone(k), "").when(k % 41 == 11, F.concat(F.lit("changed "), k.cast("string"), F.lit("\n"))).otherwise(F.concat(k.cast("string"), F.lit(" "), w, F.lit("\n"))),
+        F.when(k % 53 == 8, F.concat(F.lit("new "), k.cast("string"), F.lit("\n"))).otherwise(""),
+    ))
+    diff = pieces.line_diff(F.array_join(old, "\n"), F.rtrim(F.array_join(new, ""), F.lit("\n")))
+    found = compare.hunks(_t(spark, d, "documents").select("doc_id", diff.alias("diff")), "doc_id")
+    return found.select("doc_id", "hunk", "head", (F.length("body") - F.length(F.replace("body", F.lit("\n"))) + 1).cast("long").alias("n_lines"))
+
+
 QUERIES = {f.__name__: f for f in (
     a09_measures, a10_histogram, a17_progress, p08_p09_scopes, p11_broad_selection, r06_remaining, r07_deletable, r10_modes, r14_choices, set02_ordered_union, o07_largest, s24_s41_texts,
-    s34_objects, s27_sentences, s36_schema, s37_mended, s38_without_scores, s39_tree_paths, s22_pieces, s40_diffs,
+    s34_objects, s27_sentences, s36_schema, s37_mended, s38_without_scores, s39_tree_paths, s22_pieces, s40_diffs, s40_hunks,
 )}
 
 _F = """f as (select doc_id as path, source as folder, lang = 'en' as is_source, case when quality is null then 'NOT_ANALYZED' when toxic = 1 then 'OUTDATED' when quality = 1 then 'ANALYZED' else 'PARTIAL' end as status
   from documents left join labels using (doc_id))"""
 #: ``s40_diffs`` carries a state from line to line, which SQL does not; the tests hold it against a plain form.
 ORACLES = {
+    "s40_hunks": """with w as (select doc_id, unnest(string_split(replace(text, chr(10), ' '), ' ')) as w, generate_subscripts(string_split(replace(text, chr(10), ' '), ' '), 1) - 1 as k from documents),
+  o as (select doc_id, k, case when k % 23 = 3 or k % 31 = 30 then ['-'] when k % 41 = 11 then ['-', '+'] else [' '] end || case when k % 53 = 8 then ['+'] else [] end as marks from w),
+  m as (select doc_id, unnest(marks) as mark, k, generate_subscripts(marks, 1) as s from o),
+  l as (select *, row_number() over (partition by doc_id order by k, s) - 1 as pos from m),
+  n as (select *, 1 + count(*) filter (mark <> '+') over b as old_at, 1 + count(*) filter (mark <> '-') over b as new_at from l window b as (partition by doc_id order by pos rows between unbounded preceding and 1 preceding)),
+  c as (select doc_id, pos, case when pos - lag(pos) over (partition by doc_id order by pos) <= 4 then 0 else 1 end as opens from l where mark <> ' '),
+  i as (select doc_id, pos, sum(opens) over (partition by doc_id order by pos) as hunk from c),
+  h as (select doc_id, hunk, min(pos) - 3 as lo, max(pos) + 3 as hi from i group by 1, 2)
+  select doc_id, hunk::bigint as hunk, format('@@ -{},{} +{},{} @@', min(old_at), count(*) filter (mark <> '+'), min(new_at), count(*) filter (mark <> '-')) as head, count(*) as n_lines
+  from h join n using (doc_id) where pos between lo and hi group by 1, 2""",
     "a09_measures": f"""with {_F}, m as (select count(*) as files_total, count(*) filter (is_source) as sources, count(*) filter (status <> 'NOT_ANALYZED') as analyzed, count(*) filter (status = 'ANALYZED') as up_to_date,
   count(*) filter (status = 'OUTDATED') as outdated, count(distinct folder) filter (status <> 'NOT_ANALYZED') as folders from f)
   select *, round(100.0 * analyzed / case when sources > 0 then sources else files_total end)::bigint as percent,

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import pieces
 from tessella.functions import text as T
 from tessella.sources import files
-from tessella.operators import code, graph, joins, packing, reconcile, versions
+from tessella.operators import code, compare, graph, joins, packing, reconcile, versions
 
 SCRIPT = "let a = 'x // y'; // gone {\n/* { fetch(1)\n */ let b = \"/* no */\";\nfunction f() {\n  if (g('}')) { h(); }\n}\nfunction open() {\n"
 PYTHON = 'x = "# no"  # gone\ndef outer():\n    """text # stays"""\n    def inner():\n        return call(1)\n\n    return inner()\n\ny = 2\n'
@@ -113,6 +115,77 @@ def test_line_diffs_are_shortest(spark):
         assert sum(x[0] == " " for x in r.d) == lcs(a, b)
 
 
+def plain_walk(a, b) -> list[str]:
+    """A diff from the whole table, removals first where two ways are as long."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in reversed(range(len(a))):
+        for j in reversed(range(len(b))):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) or j < len(b):
+        if i < len(a) and j < len(b) and a[i] == b[j]:
+            out, i, j = [*out, " " + a[i]], i + 1, j + 1
+        elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
+            out, i = [*out, "-" + a[i]], i + 1
+        else:
+            out, j = [*out, "+" + b[j]], j + 1
+    return out
+
+
+def plain_hunks(diff: list[str], context: int) -> list[tuple]:
+    changes = [k for k, x in enumerate(diff) if x[0] != " "]
+    groups: list[list[int]] = []
+    for k in changes:
+        if groups and k - groups[-1][-1] <= context + 1:
+            groups[-1].append(k)
+        else:
+            groups.append([k])
+    out = []
+    for n, g in enumerate(groups, 1):
+        low, high = max(0, g[0] - context), min(len(diff), g[-1] + context + 1)
+        at = [1 + sum(x[0] != other for x in diff[:low]) for other in "+-"]
+        size = [sum(x[0] != other for x in diff[low:high]) for other in "+-"]
+        out.append((n, f"@@ -{at[0]},{size[0]} +{at[1]},{size[1]} @@", "\n".join(diff[low:high])))
+    return out
+
+
+@pytest.mark.parametrize("letters", [2, 4, 30])
+def test_diffs_and_hunks_against_the_whole_table(spark, letters):
+    rng = random.Random(letters)
+    line = lambda: str(rng.randrange(letters))
+    rows = []
+    for k in range(60):
+        a = [line() for _ in range(rng.randint(1, 70))]
+        b = [x for x in a if rng.random() > 0.1] + [line()] if k % 2 else [line() for _ in range(rng.randint(1, 70))]
+        rows.append((k, "\n".join(a), "\n".join(b)))
+    rows += [(100, None, "x\ny"), (101, "x", None), (102, "", ""), (103, None, None), (104, "a\nb", "a\nb")]
+    diffs = spark.createDataFrame(rows, "k long, a string, b string").select("k", "a", "b", pieces.line_diff(F.col("a"), F.col("b")).alias("diff"))
+    want = {k: plain_walk(*([] if x is None else x.split("\n") for x in (a, b))) for k, a, b in rows}
+    assert {r.k: r["diff"] for r in diffs.collect()} == want
+    for context in (3, 1, 0):
+        got = sorted((r.k, r.hunk, r.head, r.body) for r in compare.hunks(diffs, "k", context=context).collect())
+        assert got == [(k, *h) for k, d in sorted(want.items()) for h in plain_hunks(d, context)]
+
+
+def test_diff_of_long_texts(spark):
+    """5,000 by 5,000 lines, of few and of many different lines: both are compared, none given up."""
+    rng = random.Random(6)
+    for letters in (50, 100_000):
+        a = [f"line {rng.randrange(letters)}" for _ in range(5000)]
+        b = [x for x in a if rng.random() > 0.05]
+        for _ in range(200):
+            b.insert(rng.randrange(len(b)), f"other {rng.random()}")
+        b += a[:5000 - len(b)]
+        d = pieces._diff(a, b)
+        assert [x[1:] for x in d if x[0] != "+"] == a and [x[1:] for x in d if x[0] != "-"] == b
+        row = np.zeros(len(b) + 1, dtype=np.int64)
+        numbers = {x: k for k, x in enumerate(dict.fromkeys([*a, *b]))}
+        bs = np.array([numbers[x] for x in b])
+        for x in a:
+            row[1:] = np.maximum.accumulate(np.where(bs == numbers[x], row[:-1] + 1, row[1:]))
+        assert sum(x[0] == " " for x in d) == row[-1]
+
+
 def test_texts_are_cut_between_lines(spark):
     rows = [
         ("aa\nb\ncc", ["aa\nb\n", "cc"]), ("abcdefgh\nx", ["abcde", "fgh\nx"]), ("short", ["short"]), (None, None), ("", [""]), ("a\n" * 6, ["a\na\n", "a\na\n", "a\na\n"]),
