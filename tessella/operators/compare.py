@@ -107,33 +107,34 @@ def overlap_matrix(overlaps: DataFrame, categories: list[str]) -> DataFrame:
 
 def hunks(diffs: DataFrame, key: str, diff: str = "diff", context: int = 3) -> DataFrame:
     """The hunks of line diffs (arrays of marked lines): the key, hunk (from 1), old_start, old_lines, new_start, new_lines,
-    head and body.
+    n_lines, body and head.
 
     Changes with at most ``context`` kept lines between them are one hunk, which has up to as many kept lines on either side;
     a kept line can end one hunk and begin the next. A diff without changes, an empty or a null one has no hunks. ``key`` names
-    a diff: rows that share it are numbered as one, so give each its own. Windows run over the lines of one diff.
+    a diff: rows that share it are numbered on as one, so give each its own.
+
+    Hunks are cut within a row by array functions; only they are exchanged, with counts of the lines before them (and the
+    body where it is asked for), never all lines of a diff.
     """
-    lines = diffs.select(F.col(key), F.posexplode(diff).alias("at", "line"))
-    mark = F.substring("line", 1, 1)
-    so_far = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = so_far.rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("changed", F.when(mark != " ", F.col("at")))
-    lines = lines.withColumn("last", F.last("changed", ignorenulls=True).over(before))
-    opens = F.col("changed").isNotNull() & (F.col("last").isNull() | (F.col("changed") - F.col("last") > context + 1))
-    count = lambda other: F.coalesce(F.sum((mark != other).cast("long")).over(before), F.lit(0).cast("long")) + 1
-    lines = lines.withColumn("island", F.sum(opens.cast("int")).over(so_far)).withColumn("old_at", count("+")).withColumn("new_at", count("-"))
-    following = Window.partitionBy(key).orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = lines.withColumn("next", F.min("changed").over(following))
-    far = F.col("next") - F.coalesce("last", F.lit(-context - 2)) > context + 1
-    ends = F.when(F.col("at") - F.col("last") <= context, F.col("island"))
-    begins = F.when(F.col("next") - F.col("at") <= context, F.col("island") + far.cast("int"))
-    within = F.when(F.col("changed").isNotNull(), F.array("island")).otherwise(F.array_distinct(F.array_compact(F.array(ends, begins))))
-    placed = lines.withColumn("hunk", F.explode(within))
-    body = F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"])
-    number = lambda other: F.sum((mark != other).cast("long"))
-    found = placed.groupBy(key, "hunk").agg(
-        F.min("old_at").alias("old_start"), number("+").alias("old_lines"), F.min("new_at").alias("new_start"), number("-").alias("new_lines"),
-        F.array_join(body, "\n").alias("body"),
+    rows = diffs.select(F.col(key), F.col(diff).alias("_diff"))
+    changed = F.transform("_diff", lambda x, k: F.when(~F.startswith(x, F.lit(" ")), k))
+    rows = rows.withColumn("_at", F.array_compact(changed))
+    begins = F.filter("_at", lambda p, k: (k == 0) | (p - F.get("_at", k - 1) > context + 1))
+    ends = F.filter("_at", lambda p, k: (k == F.size("_at") - 1) | (F.get("_at", k + 1) - p > context + 1))
+    rows = rows.withColumn("_first", begins).withColumn("_last", ends).withColumn("_spans", F.arrays_zip("_first", "_last"))
+
+    def part(x: Column) -> Column:
+        low = F.greatest(F.lit(0), x["_first"] - context)
+        return F.struct(low.alias("low"), F.slice("_diff", low + 1, x["_last"] + context + 1 - low).alias("lines"))
+
+    parts = rows.select(key, F.posexplode(F.transform("_spans", part)).alias("_k", "_part")).select(key, "_k", "_part.*")
+    number = lambda mark: F.size(F.filter("lines", lambda x: F.startswith(x, F.lit(mark)))).cast("long")
+    parts = parts.select(key, "_k", "low", F.size("lines").cast("long").alias("n_lines"), number("-").alias("_gone"), number("+").alias("_come"), F.array_join("lines", "\n").alias("body"))
+    before = Window.partitionBy(key).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    start = lambda other: F.col("low") + 1 - F.coalesce(F.sum(other).over(before), F.lit(0).cast("long"))
+    found = parts.select(
+        key, (F.col("_k") + 1).cast("long").alias("hunk"), start("_come").alias("old_start"), (F.col("n_lines") - F.col("_come")).alias("old_lines"),
+        start("_gone").alias("new_start"), (F.col("n_lines") - F.col("_gone")).alias("new_lines"), "n_lines", "body",
     )
     head = F.format_string("@@ -%d,%d +%d,%d @@", "old_start", "old_lines", "new_start", "new_lines")
-    return found.select(key, F.col("hunk").cast("long").alias("hunk"), "old_start", "old_lines", "new_start", "new_lines", head.alias("head"), "body")
+    return found.withColumn("head", head)

@@ -195,7 +195,7 @@ def s40_hunks(spark, d):
     ))
     diff = pieces.line_diff(F.array_join(old, "\n"), F.rtrim(F.array_join(new, ""), F.lit("\n")))
     found = compare.hunks(_t(spark, d, "documents").select("doc_id", diff.alias("diff")), "doc_id")
-    return found.select("doc_id", "hunk", "head", (F.length("body") - F.length(F.replace("body", F.lit("\n"))) + 1).cast("long").alias("n_lines"))
+    return found.select("doc_id", "hunk", "head", "n_lines")
 
 
 QUERIES = {f.__name__: f for f in (
