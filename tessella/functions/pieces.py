@@ -96,33 +96,61 @@ class _Longest:
         return n - (self.row(i) & ((1 << n) - 1)).bit_count()
 
 
-def _diff(old: list[str], new: list[str]) -> list[str]:
-    """Lines with a blank, minus or plus before them, as many kept as can be; where two ways are as long, removals come first."""
+def _diff(old: list[str], new: list[str]) -> list[int]:
+    """Runs of lines, three numbers each: 0 (kept), 1 (removed) or 2 (added), the first line (of ``new`` if added) and how many.
+
+    As many lines are kept as can be; where two ways are as long, removals come first."""
     same = next((k for k, (x, y) in enumerate(zip(old, new, strict=False)) if x != y), min(len(old), len(new)))
-    out, old, new = [" " + x for x in old[:same]], old[same:], new[same:]
+    out = [0, 0, same] if same else []
+
+    def put(kind: int, at: int, n: int = 1) -> None:
+        if out and out[-3] == kind:
+            out[-1] += n
+        elif n:
+            out.extend((kind, at, n))
+
+    old, new = old[same:], new[same:]
     best, i, j = _Longest(old, new), 0, 0
     while i < len(old) and j < len(new):
         if old[i] == new[j]:
-            out.append(" " + old[i])
+            put(0, same + i)
             i, j = i + 1, j + 1
         elif old[i] not in best.places or best.of(i + 1, j) >= best.of(i, j + 1):
-            out.append("-" + old[i])
+            put(1, same + i)
             i += 1
         else:
-            out.append("+" + new[j])
+            put(2, same + j)
             j += 1
-    return [*out, *("-" + x for x in old[i:]), *("+" + x for x in new[j:])]
+    put(1, same + i, len(old) - i)
+    put(2, same + j, len(new) - j)
+    return out
 
 
 def line_diff(old: Column, new: Column) -> Column:
     """The lines of both texts in one array, marked as kept, removed or added; a null text has no lines. Two texts of any size are
-    compared line by line; memory follows the root of the old lines times the new ones, in bits."""
+    compared line by line; memory follows the root of the old lines times the new ones, in bits. Python gives back numbers
+    only; built-in functions put the lines together."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<int>")
     def run(olds: pd.Series, news: pd.Series) -> pd.Series:
         return pd.Series([_diff([] if a is None else a.split("\n"), [] if b is None else b.split("\n")) for a, b in zip(olds, news, strict=True)])
 
-    return run(old, new)
+    def lines(text: Column) -> Column:
+        return F.coalesce(F.split(text, "\n", -1), F.array().cast("array<string>"))
+
+    def rebuilt(x: Column) -> Column:
+        def part(k: Column) -> Column:
+            kind, at, n = (F.get(x["runs"], k + d) for d in range(3))
+            mark = F.element_at(F.array(F.lit(" "), F.lit("-"), F.lit("+")), kind + 1)
+            some = F.when(kind == 2, F.slice(x["new"], at + 1, n)).otherwise(F.slice(x["old"], at + 1, n))
+            return F.transform(some, lambda line: F.concat(mark, line))
+
+        firsts = F.when(F.size(x["runs"]) > 0, F.sequence(F.lit(0), F.size(x["runs"]) - 1, F.lit(3))).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(firsts, part))
+
+    # A lambda over one struct works out the runs and the lines once a row.
+    given = F.struct(run(old, new).alias("runs"), lines(old).alias("old"), lines(new).alias("new"))
+    return F.get(F.transform(F.array(given), rebuilt), F.lit(0))
 
 
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.DOTALL)

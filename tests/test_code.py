@@ -176,7 +176,8 @@ def test_diff_of_long_texts(spark):
         for _ in range(200):
             b.insert(rng.randrange(len(b)), f"other {rng.random()}")
         b += a[:5000 - len(b)]
-        d = pieces._diff(a, b)
+        runs = pieces._diff(a, b)
+        d = [" -+"[kind] + line for kind, at, n in zip(*(runs[k::3] for k in range(3))) for line in (b if kind == 2 else a)[at : at + n]]
         assert [x[1:] for x in d if x[0] != "+"] == a and [x[1:] for x in d if x[0] != "-"] == b
         row = np.zeros(len(b) + 1, dtype=np.int64)
         numbers = {x: k for k, x in enumerate(dict.fromkeys([*a, *b]))}
