@@ -186,15 +186,15 @@ def s40_diffs(spark, d):
 
 def s40_hunks(spark, d):
     """Hunks between a document's numbered words, a line each, and the same with some lines gone, changed and new."""
-    words = F.split(F.regexp_replace("text", "\\n", " "), " ")
+    words = F.split(F.translate("text", "\n", " "), " ")
     old = F.transform(words, lambda w, k: F.concat(k.cast("string"), F.lit(" "), w))
     gone = lambda k: (k % 23 == 3) | (k % 31 == 30)
     new = F.transform(words, lambda w, k: F.concat(
         F.when(gone(k), "").when(k % 41 == 11, F.concat(F.lit("changed "), k.cast("string"), F.lit("\n"))).otherwise(F.concat(k.cast("string"), F.lit(" "), w, F.lit("\n"))),
         F.when(k % 53 == 8, F.concat(F.lit("new "), k.cast("string"), F.lit("\n"))).otherwise(""),
     ))
-    diff = pieces.line_diff(F.array_join(old, "\n"), F.rtrim(F.array_join(new, ""), F.lit("\n")))
-    found = compare.hunks(_t(spark, d, "documents").select("doc_id", diff.alias("diff")), "doc_id")
+    texts = _t(spark, d, "documents").select("doc_id", F.array_join(old, "\n").alias("old"), F.rtrim(F.array_join(new, ""), F.lit("\n")).alias("new"))
+    found = compare.hunks(texts.select("doc_id", pieces.line_diff(F.col("old"), F.col("new")).alias("diff")), "doc_id")
     return found.select("doc_id", "hunk", "head", "n_lines")
 
 

@@ -167,6 +167,25 @@ def test_diffs_and_hunks_against_the_whole_table(spark, letters):
         assert got == [(k, *h) for k, d in sorted(want.items()) for h in plain_hunks(d, context)]
 
 
+def test_diffs_of_rarely_repeated_lines_take_no_rows_of_bits(monkeypatch):
+    rng = random.Random(9)
+    for most in (0, 1 << 60):  # always by bits, always by pairs
+        monkeypatch.setattr(pieces, "PAIRS", most)
+        for n in range(400):
+            letters = rng.choice((2, 5, 40))
+            a, b = ([str(rng.randrange(letters)) for _ in range(rng.randrange(30))] for _ in range(2))
+            b = b if n % 2 else [x for x in a if rng.random() > 0.2] + b[:2]
+            runs = pieces._diff(a, b)
+            found = [" -+"[k] + x for k, at, size in zip(runs[::3], runs[1::3], runs[2::3]) for x in (b if k == 2 else a)[at : at + size]]
+            assert found == plain_walk(a, b)
+    monkeypatch.undo()
+    monkeypatch.setattr(pieces, "_Longest", None)
+    old = [f"line {k}" for k in range(100_000)]
+    new = [x for k, x in enumerate(old) if k % 7] + ["new"]
+    runs = pieces._diff(old, new)
+    assert sum(runs[k + 2] for k in range(0, len(runs), 3) if runs[k] == 0) == len(new) - 1 and runs[-3:] == [2, len(new) - 1, 1]
+
+
 def test_diff_of_long_texts(spark):
     """5,000 by 5,000 lines, of few and of many different lines: both are compared, none given up."""
     rng = random.Random(6)
