@@ -8,20 +8,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.sources.scratch import written
+from tessella.sources.scratch import dealt, written
 
 
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+def distinct_edges(edges: DataFrame) -> DataFrame:
+    """Distinct src and dst. Edges are dealt before they are made distinct, so no task holds more of them as the input grows."""
+    return dealt(edges.select("src", "dst"), "src", "dst").distinct()
+
+
 def reach(edges: DataFrame, starts: DataFrame, depth: int, include_start: bool = False) -> DataFrame:
     """(start, node, depth) of all nodes within ``depth`` steps, with the least number of steps; cycles do no harm.
 
     ``edges``: src, dst. ``starts``: start. Every frontier is written down, so a step joins stored tables and the plan of
     the result is a scan a step. The search ends early when a frontier is empty.
     """
-    e = written(edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst")).distinct(), "edges")
+    e = written(distinct_edges(edges).select(F.col("src").alias("_src"), F.col("dst").alias("_dst")), "edges")
     front = written(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct(), "front")
     seen = front
     for k in range(1, depth + 1):
@@ -39,7 +44,8 @@ def trace(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     ``edges``: src, dst, status.
     """
     sure = F.when(F.col("status") == "VERIFIED", 1).otherwise(0)
-    e = written(edges.groupBy(F.col("src").alias("_src"), F.col("dst").alias("_dst")).agg(F.max(sure).alias("_sure")), "edges")
+    e = dealt(edges.select("src", "dst", sure.alias("_one")), "src", "dst").groupBy("src", "dst").agg(F.max("_one").alias("_sure"))
+    e = written(e.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), "_sure"), "edges")
     front = written(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(1).alias("sure")).distinct(), "front")
     seen = front
     for k in range(1, depth + 1):
@@ -117,9 +123,9 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, out_degree, in_degree) over distinct edges."""
-    e = edges.select("src", "dst").distinct()
-    ends = e.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(e.select("dst", F.lit(0), F.lit(1)))
-    return ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
+    e = distinct_edges(edges)
+    ends = e.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("end"))
+    return ends.select("end.*").groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
 def risk(impact: DataFrame) -> DataFrame:
@@ -158,7 +164,7 @@ def cycles(edges: DataFrame) -> DataFrame:
     A node with an edge to itself alone is a component of its own.
     """
     ends = edges.filter("src IS NOT NULL AND dst IS NOT NULL")
-    e = written(ends.filter("src <> dst").select("src", "dst").distinct(), "cycle-edges")
+    e = written(distinct_edges(ends.filter("src <> dst")), "cycle-edges")
     nodes = written(ends.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "cycle-nodes")
     found = None
     while not nodes.isEmpty():

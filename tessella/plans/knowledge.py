@@ -47,8 +47,7 @@ def g08_mounts(spark, d):
 
 
 def g09_induced(spark, d):
-    e = _edges(spark, d).select("src", "dst").distinct()
-    return G.induced(e, _t(spark, d, "supplier").select(F.col("s_suppkey").alias("node")))
+    return G.induced(G.distinct_edges(_edges(spark, d)), _t(spark, d, "supplier").select(F.col("s_suppkey").alias("node")))
 
 
 def g10_g11_impact(spark, d):

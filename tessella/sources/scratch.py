@@ -28,3 +28,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     at = folder(df.sparkSession, name)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+#: Rows that a task of ``dealt`` takes, on average.
+ROWS = 1_000_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over as many tasks as its rows ask for, so that what a task holds does not grow with the input."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS))
+    return df.repartition(parts, *keys)
