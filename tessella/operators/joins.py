@@ -110,10 +110,10 @@ def pairwise_sets(sets: DataFrame, key: str, items: str) -> DataFrame:
 
 
 def either_direction(left: DataFrame, right: DataFrame, src: str, dst: str) -> DataFrame:
-    """Rows of ``left`` whose ends are linked on the right in one direction or the other: two equi joins, not an OR."""
-    r = right.select(src, dst).distinct()
+    """Rows of ``left`` whose ends are linked on the right in one direction or the other: one equi join with both turns, not an OR."""
+    r = right.select(src, dst)
     turned = r.select(F.col(dst).alias(src), F.col(src).alias(dst))
-    return left.join(r.union(turned).distinct(), [src, dst], "left_semi")
+    return left.join(r.union(turned), [src, dst], "left_semi")
 
 
 def first_definer(extensions: DataFrame, definitions: DataFrame, name: str, owner: str, order: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from tessella.functions import text as T
 from tessella.operators import joins as J
+from tessella.sources.scratch import dealt
 
 
 def _t(spark, d, name):
@@ -81,7 +82,7 @@ def j16_unique(spark, d):
 
 
 def j20_either_direction(spark, d):
-    left = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
+    left = dealt(_t(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")), "a", "b").distinct()
     right = _t(spark, d, "orders").select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b"))
     return J.either_direction(left, right, "a", "b")
 
