@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.packing import BLOCK, numbered
@@ -10,6 +10,8 @@ from tessella.sources.scratch import written
 
 #: Place of a node that is no start.
 LAST = 1 << 62
+#: Depth of trees up to which they are placed level by level.
+LEVELS = 24
 
 
 def forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -40,14 +42,21 @@ def forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def preorder(trees: DataFrame, block: int = BLOCK) -> DataFrame:
     """(node, place): nodes before their children, children by node, trees by (root_place, root); places from 1.
 
-    A walk round all trees passes down to a node once and up from it once. Every such arc knows the next one from first children and
+    Trees with a ``depth`` (0 of a root) of at most ``LEVELS`` are placed level by level: a node is behind its parent, its earlier siblings
+    and all below these. Sizes go up the levels and places down them, so a node is sent a few times in all.
+
+    In deeper trees, or without a depth, a walk round all trees passes down to a node once and up from it once. Every such arc knows the next one from first children and
     next siblings alone, and how many nodes are yet to come is summed by doubling: as many rounds as the binary digits of the
     number of arcs, whatever the depth of a tree or the number of a node's children.
 
-    ``trees``: node, parent (null of a root), root_place, root.
+    ``trees``: node, parent (null of a root), root_place, root and perhaps depth.
     """
     inner = F.col("parent").isNotNull()
-    children = trees.select("node", "parent", F.when(inner, F.lit(0)).otherwise(F.col("root_place")).cast("long").alias("_order"))
+    order = F.when(inner, F.lit(0)).otherwise(F.col("root_place")).cast("long").alias("_order")
+    deepest = trees.agg(F.max("depth")).first()[0] if "depth" in trees.columns else None
+    if deepest is not None and deepest <= LEVELS:
+        return _by_levels(numbered(trees.select("node", "parent", "depth", order), ["parent"], ["_order", "node"], block), deepest)
+    children = trees.select("node", "parent", order)
     placed = numbered(children, ["parent"], ["_order", "node"], block).select("node", "parent", "_key", "_place")
     first = placed.filter("_place = 0 AND parent IS NOT NULL").select(F.col("parent").alias("_of"), F.col("node").alias("_first"))
     after = placed.select(F.col("_key").alias("_key2"), (F.col("_place") - 1).alias("_place2"), F.col("node").alias("_after"))
@@ -64,6 +73,33 @@ def preorder(trees: DataFrame, block: int = BLOCK) -> DataFrame:
     return arcs.filter("NOT up").select("node", (F.lit(total) - F.col("ahead")).cast("long").alias("place"))
 
 
+def _by_levels(placed: DataFrame, deepest: int) -> DataFrame:
+    """(node, place) of nodes numbered among their siblings."""
+    none = F.lit(0).cast("long")
+    levels: list[DataFrame] = []
+    for k in range(deepest, -1, -1):
+        level = placed.filter(F.col("depth") == k).select("node", "parent", "_key", "_block", "_place")
+        size = F.lit(1).cast("long")
+        if levels:
+            level = level.join(levels[-1].groupBy(F.col("parent").alias("_of")).agg(F.sum("_size").alias("_below")), F.col("node") == F.col("_of"), "left")
+            size = size + F.coalesce("_below", none)
+        levels.append(written(level.select("node", "parent", "_key", "_block", "_place", size.alias("_size")), "level"))
+    earlier = Window.partitionBy("_key", "_block").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    found, upper = None, None
+    for level in reversed(levels):
+        blocks = level.groupBy("_key", "_block").agg(F.sum("_size").alias("_n"))
+        first = blocks.select("_key", "_block", F.coalesce(F.sum("_n").over(above), none).alias("_first"))
+        place = F.col("_first") + F.coalesce(F.col("_earlier"), none) + 1
+        met = level.withColumn("_earlier", F.sum("_size").over(earlier)).join(first, ["_key", "_block"])
+        if upper is not None:
+            met = met.join(upper.select(F.col("node").alias("_of"), F.col("place").alias("_up")), F.col("parent") == F.col("_of"))
+            place = place + F.col("_up")
+        upper = written(met.select("node", place.alias("place")), "places")
+        found = upper if found is None else found.unionByName(upper)
+    return found
+
+
 def clustered(nodes: DataFrame, edges: DataFrame, block: int = BLOCK) -> DataFrame:
     """(node, place): the order in which a depth-first search from the starts, then from the rest, meets the nodes' trees.
 

@@ -26,6 +26,23 @@ def plain_search(nodes: dict[int, int | None], edges: list[tuple[int, int]]) ->
     return order, root
 
 
+def test_levels_and_walks_give_the_same_places(spark, monkeypatch):
+    rng = random.Random(6)
+    parent = {k: rng.choice([None, *range(k)]) for k in range(300)}
+    depth = {}
+    for k, p in parent.items():
+        depth[k] = 0 if p is None else depth[p] + 1
+    trees = spark.createDataFrame([(k, p, rng.choice([1, 2, orders.LAST]), k, depth[k]) for k, p in parent.items()], "node long, parent long, root_place long, root long, depth int")
+    want = sorted(map(tuple, orders.preorder(trees.drop("depth"), 16).collect()))
+    assert [p for _, p in sorted(want, key=lambda x: x[1])] == list(range(1, 301))
+    tables = []
+    monkeypatch.setattr(orders, "written", lambda df, name, write=orders.written: tables.append(name) or write(df, name))
+    assert sorted(map(tuple, orders.preorder(trees, 16).collect())) == want and "arcs" not in tables
+    monkeypatch.setattr(orders, "LEVELS", 0)
+    assert sorted(map(tuple, orders.preorder(trees, 16).collect())) == want and "arcs" in tables
+    assert orders.preorder(trees.limit(0), 16).count() == 0
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_order_of_forests_is_the_searchs_own(spark, seed):
     rng = random.Random(seed)
