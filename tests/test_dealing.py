@@ -20,7 +20,7 @@ def test_edges_are_dealt_by_their_number(spark, monkeypatch):
     assert graph.distinct_edges(rows.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["g01_r03_degrees", "j20_either_direction"])
+@pytest.mark.parametrize("name", ["g01_r03_degrees", "g10_g11_impact", "j20_either_direction"])
 def test_queries_deal_before_they_hold_distinct_rows(spark, monkeypatch, capsys, name):
     monkeypatch.setattr(scratch, "ROWS", 100)
     n = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
