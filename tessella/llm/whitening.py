@@ -48,6 +48,8 @@ FAN_IN = 64
 LOW = (1 << 32) - 1
 #: An eigenvalue below this share of the trace is no variance but rounding of the solver.
 NOTHING = 1e-13
+#: Neighbouring eigenvalues are far apart if more than this many times the norm of what is left off the diagonal lies between them.
+FAR = 1024.0
 
 
 def two_sum(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,31 +223,46 @@ def sums_of(fit: DataFrame) -> Centre | None:
     return Centre(found[0].n, tuple((int(r.high) << 32) + int(r.low) for r in found))
 
 
-def eigen(high: np.ndarray, low: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
+def _orthonormal(x: np.ndarray) -> np.ndarray:
+    """The nearest orthonormal columns to nearly orthonormal ones."""
+    one = np.eye(x.shape[1], dtype=x.dtype)
+    for _ in range(6):
+        r = one - x.T @ x
+        x = x + x @ ((r + r.T) / 4)
+        if np.abs(r).max() < 1e-12:  # its square is below the last bit
+            break
+    return x
+
+
+def eigen(high: np.ndarray, low: np.ndarray, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Eigenvalues, falling, and unit eigenvectors as columns, of a symmetric matrix in double-double.
 
-    Tridiagonal divide and conquer, then rounds of iterative refinement in extended precision: the residual of
-    orthogonality and of diagonality give a first-order correction of every vector, where eigenvalues are apart.
+    Tridiagonal divide and conquer, then rounds of iterative refinement in extended precision: what is left of
+    off-diagonal entries gives a first-order turn of vectors whose eigenvalues are far apart for its size. Runs of close ones are
+    turned by the eigenvectors of their block, less its mean so that a double holds their differences. Vectors are
+    made orthonormal after every round, so no turn costs orthogonality, however close the eigenvalues.
     """
-    values, vectors = np.linalg.eigh((high + high.T) / 2)
+    _, vectors = np.linalg.eigh((high + high.T) / 2)
     a = high.astype(np.longdouble) + low.astype(np.longdouble)
     a = (a + a.T) / 2
-    x = vectors.astype(np.longdouble)
-    one = np.eye(len(a), dtype=np.longdouble)
+    floor = len(a) * np.finfo(np.longdouble).eps * np.linalg.norm(high, 2)
+    x = _orthonormal(vectors.astype(np.longdouble))
     for _ in range(rounds):
-        r = one - x.T @ x
         s = x.T @ (a @ x)
-        r, s = (r + r.T) / 2, (s + s.T) / 2  # so that a correction is a turn, to first order
-        value = np.diag(s) / (1 - np.diag(r))
-        diagonal = np.diag(value)
-        off = np.linalg.norm((s - diagonal).astype(float), 2) + np.linalg.norm(high, 2) * np.linalg.norm(r.astype(float), 2)
-        gap = value[None, :] - value[:, None]
-        apart = np.abs(gap) > 2 * off
-        correction = np.where(apart, (s + value[None, :] * r) / np.where(apart, gap, 1), r / 2)
-        np.fill_diagonal(correction, np.diag(r) / 2)
-        x = x + x @ correction
-    value = np.diag(x.T @ (a @ x)) / np.diag(x.T @ x)
-    x = x / np.sqrt((x * x).sum(axis=0))
+        s = (s + s.T) / 2
+        order = np.argsort(np.diag(s), kind="stable")
+        x, s = x[:, order], s[order][:, order]
+        value = np.diag(s)
+        off = max(np.linalg.norm((s - np.diag(value)).astype(float), 2), floor)
+        ends = np.flatnonzero(np.diff(value) > FAR * off) + 1  # runs of close values end there
+        run = np.searchsorted(ends, np.arange(len(value)), side="right")
+        apart = run[:, None] != run[None, :]
+        x = x + x @ np.where(apart, s / np.where(apart, value[None, :] - value[:, None], 1), 0)
+        for c in map(slice, [0, *ends], [*ends, len(value)]):
+            block = s[c, c] - value[c].mean() * np.eye(c.stop - c.start, dtype=np.longdouble)
+            x[:, c] = x[:, c] @ np.linalg.eigh(block.astype(float))[1].astype(np.longdouble)
+        x = _orthonormal(x)
+    value = (x * (a @ x)).sum(axis=0)
     order = np.argsort(-value, kind="stable")
     return value[order].astype(float), x[:, order].astype(float)
 

@@ -180,6 +180,18 @@ def test_eigenvectors_of_close_values():
         assert np.abs(a @ v - v * e).max() < 1e-14
 
 
+@pytest.mark.parametrize("apart", [1e-15, 1e-14, 1e-13, 1e-12])
+def test_eigenvectors_of_runs_of_close_values(apart):
+    values = 1 + np.arange(11, -1, -1) * np.longdouble(apart)
+    for seed in range(20):
+        q = whitening._orthonormal(np.linalg.qr(np.random.default_rng(seed).normal(size=(12, 12)))[0].astype(np.longdouble))
+        a = q @ np.diag(values) @ q.T
+        high = a.astype(float)
+        e, v = whitening.eigen(high, (a - high).astype(float))
+        assert np.abs(v.T @ v - np.eye(12)).max() < 1e-14 and np.abs(a @ v - v * e).max() < 1e-14
+        assert np.abs(np.abs(q.T @ v) - np.eye(12)).max() < 1e-18 / apart + 1e-6  # what extended precision can tell
+
+
 def test_whitening_without_variance_or_of_unlike_lengths(spark):
     one = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(5)], "vec_id long, embedding array<float>")
     assert whitening.op13(one).count() == 0
