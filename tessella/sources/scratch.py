@@ -31,7 +31,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Rows that a task of ``dealt`` takes, on average.
-ROWS = 1_000_000
+ROWS = 500_000
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:

@@ -26,3 +26,9 @@ def test_queries_deal_before_they_hold_distinct_rows(spark, monkeypatch, capsys,
     n = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
     core.queries()[name](spark, SF_DIR).explain()
     assert f", {-(-n // 100)}), REPARTITION_BY_NUM" in capsys.readouterr().out
+
+
+def test_a_task_is_dealt_half_a_million_rows(spark):
+    rows = spark.range(8_000_000).select((F.col("id") % 50).alias("src"), F.col("id").alias("dst"))
+    sizes = [r["count"] for r in scratch.dealt(rows, "dst").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 510_000
