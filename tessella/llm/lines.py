@@ -27,6 +27,7 @@ empty table; other columns are carried by ``dedup_lines`` as they are, whatever
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +50,8 @@ LONG = 192
 
 def _plain(text: str) -> Column:
     """The text with spaces for other white space but newlines; few texts need the slow way."""
-    return F.when(F.col(text).rlike("[\t\x0b\x0c\r]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(F.col(text))
+    tab, vt, ff, cr = (F.contains(text, F.lit(c)) for c in "\t\x0b\x0c\r")
+    return F.when(tab | vt | ff | cr, F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(F.col(text))
 
 
 def _numbered(text: str) -> Column:
@@ -76,18 +78,17 @@ def rarity(sets: DataFrame) -> Column:
     counts = sets.select(F.explode("hashes").alias("h")).groupBy(F.col("h").bitwiseAND(CLASSES - 1).alias("bucket")).agg(
         F.floor(2 * F.log2(F.count("*"))).cast("int").alias("c")
     )
-    table = [0] * CLASSES
-    for r in counts.collect():  # at most CLASSES rows
-        table[r["bucket"]] = min(63, r["c"])
-    return F.from_json(F.lit(str(table)), "array<int>")  # folded into one literal when planned
+    found = counts.toArrow()  # at most CLASSES rows of two numbers
+    table = np.zeros(CLASSES, dtype=np.int8)
+    table[np.asarray(found.column("bucket"))] = np.minimum(63, np.asarray(found.column("c")))
+    return F.from_json(F.lit(str(table.tolist())), "array<bigint>")  # folded into one literal when planned
 
 
 def _tokens(hashes: str, classes: Column) -> Column:
     """Sorted numbers of the words: 6 bits of rarity, then 57 bits of hash."""
 
     def number(h: Column) -> Column:
-        c = F.get(classes, h.bitwiseAND(CLASSES - 1).cast("int"))
-        return F.shiftleft(c.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+        return F.shiftleft(classes[h.bitwiseAND(CLASSES - 1)], 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
     return F.sort_array(F.transform(hashes, number))
 
@@ -208,14 +209,17 @@ def _word_sets(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame,
     return copies, scratch.keep(new.select(*PLACE, hashes.alias("hashes")), "sets"), n_lines
 
 
-def _index(sets: DataFrame, t: float) -> DataFrame:
-    """A row for each prefix word of each line: its number and place in the order, and what the filters need."""
+def _prefixes(sets: DataFrame, t: float) -> DataFrame:
+    """A row for each line: its number of words, what the filters need, and the words of its prefix in order."""
     numbered = sets.select(*PLACE, F.size("hashes").alias("n"), _tokens("hashes", rarity(sets)).alias("tokens"))
     prefix = F.slice("tokens", F.lit(1), (F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + 1).cast("int"))
-    # The parities stand in a projection of their own: beside the explode they would be computed for each of its rows.
-    lines = numbered.select(*PLACE, "n", *_parities(), prefix.alias("prefix"))
+    return numbered.select(*PLACE, "n", *_parities(), prefix.alias("prefix"))
+
+
+def _index(lines: DataFrame) -> DataFrame:
+    """A row for each prefix word that another line may have: one alone in its bucket (class 0) is in a single line."""
     rows = lines.select(*PLACE, "n", *PARITIES, F.posexplode("prefix").alias("at", "token"))
-    return rows.withColumn("pos", F.col("at") + 1).drop("at")
+    return rows.filter(F.col("token") >= 1 << 57).withColumn("pos", F.col("at") + 1).drop("at")
 
 
 def _settled(index: DataFrame, rows: DataFrame, t: float, scratch: Scratch, n_lines: int) -> tuple[DataFrame, int, DataFrame]:
@@ -274,7 +278,8 @@ def matches(docs: DataFrame, similarity: float = SIMILARITY, keyed: bool = True)
         if keyed:
             rows = scratch.keep(rows.dropDuplicates(["doc", "sub"]), "documents")
         copies, sets, n_lines = _word_sets(rows, scratch)
-        index = scratch.keep(_index(sets, t), "index")
+        # prefixes are stored as arrays: a row a word would repeat the rest ten times, and reading them so costs little
+        index = _index(scratch.keep(_prefixes(sets, t), "prefixes"))
         scratch.drop("sets")
         settled, n_settled, heavy = _settled(index, rows, t, scratch, n_lines)
         # Both sides of the join read one exchange, if settled lines can be left out behind it. That takes a broadcast, and an

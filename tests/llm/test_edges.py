@@ -118,6 +118,15 @@ def test_a_large_group_of_near_copies(spark):
     assert caught >= 0.9 and all(got[d] == d for d in want if list(want.values()).count(want[d]) == 1), caught
 
 
+def test_lines_are_indexed_by_words_that_another_line_may_have(spark):
+    rows = [(d, b"", 0, [w << 20 | d << 4 | w for w in range(8)] + [7, 11]) for d in range(1, 6)]  # eight own words, two in common
+    sets = spark.createDataFrame(rows, "doc long, sub binary, line int, hashes array<long>")
+    prefixes = lines._prefixes(sets, 0.1)  # ten words of ten
+    assert {len(r.prefix) for r in prefixes.collect()} == {10}
+    got = [(r.doc, r.pos) for r in lines._index(prefixes).collect()]
+    assert sorted(got) == [(d, pos) for d in range(1, 6) for pos in (9, 10)]
+
+
 def test_lines_of_a_large_group(spark):
     rng = random.Random(12)
     vocabulary = [f"w{k}" for k in range(500)]
