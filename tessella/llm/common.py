@@ -83,10 +83,10 @@ class Scratch:
         for name in self.names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
-    def keep(self, df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
-        """Like ``materialize``."""
+    def keep(self, df: DataFrame, tag: str, rows: int | None = None, **options: str) -> DataFrame:
+        """Like ``materialize``; ``options`` are the writer's."""
         name = f"{self.DATABASE}.{tag}_{uuid.uuid4().hex}"
-        _gathered(df, rows).write.format("parquet").saveAsTable(name)
+        _gathered(df, rows).write.format("parquet").options(**options).saveAsTable(name)
         self.names.append(name)
         return self.spark.table(name)
 

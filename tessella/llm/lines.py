@@ -8,7 +8,7 @@ Jaccard similarity of at least the threshold with it, both judged on the input.
 * Words are ordered by rarity: a count of their hash bucket over the lines, on a scale of half powers of two, then their
   hash. Any order that all lines share makes the join exact; the rarer the first words, the fewer candidates.
 * The prefix of a line (n - ceil(t n) + 1 words) is indexed. Two similar lines share a prefix word, at which the length
-  and positional filters hold. Their parities (128 bits, 256 for long lines; each word flips one) differ in no more
+  and positional filters hold. Their parities (64 bits, 128 from 64 words and 256 from 192; each word flips one) differ in no more
   bits than the lines may differ in words. Pairs that pass are verified on the words themselves.
 * Long posting lists come first: each line is held against the earliest line of each of its long lists, then against
   the earliest of those that are left, for some rounds. Only the existence of an earlier match matters, so this settles large groups of variants without
@@ -27,6 +27,8 @@ empty table; other columns are carried by ``dedup_lines`` as they are, whatever
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import Scratch, materialize
 
 SIMILARITY = 0.8
-CLASSES = 1 << 17
+CLASSES = 1 << 19
 PLACE = ("doc", "sub", "line")
 NO_ID = -(2**63)
 #: Bytes of line numbers that may be broadcast at once.
@@ -44,8 +46,10 @@ LIST = 64
 ROUNDS = 3
 #: Lines of a posting list that one task joins.
 SPLIT = 8192
-#: Lines of so many words have the long parity.
-LONG = 192
+#: Lines of so many words have the parity of their halves, or of their quarters.
+MIDDLE, LONG = 64, 192
+#: How tables of hashes are written: a dictionary of them only costs time.
+NUMBERS = {"parquet.enable.dictionary": "false"}
 
 
 def _plain(text: str) -> Column:
@@ -74,21 +78,24 @@ def _has_word(body: Column) -> Column:
 
 
 def rarity(sets: DataFrame) -> Column:
-    """2 log2(count) by hash bucket: a constant array whose size does not grow with the input."""
-    counts = sets.select(F.explode("hashes").alias("h")).groupBy(F.col("h").bitwiseAND(CLASSES - 1).alias("bucket")).agg(
+    """2 log2(count) by hash bucket, eight buckets in a number: a constant array whose size does not grow with the input."""
+    counts = sets.select(F.explode("hashes").alias("h")).groupBy(F.col("h").bitwiseAND(CLASSES - 1).cast("int").alias("bucket")).agg(
         F.floor(2 * F.log2(F.count("*"))).cast("int").alias("c")
     )
     found = counts.toArrow()  # at most CLASSES rows of two numbers
     table = np.zeros(CLASSES, dtype=np.int8)
     table[np.asarray(found.column("bucket"))] = np.minimum(63, np.asarray(found.column("c")))
-    return F.from_json(F.lit(str(table.tolist())), "array<bigint>")  # folded into one literal when planned
+    return F.from_json(F.lit(str(table.view("<i8").tolist())), "array<bigint>")  # folded into one literal when planned
 
 
 def _tokens(hashes: str, classes: Column) -> Column:
     """Sorted numbers of the words: 6 bits of rarity, then 57 bits of hash."""
 
     def number(h: Column) -> Column:
-        return F.shiftleft(classes[h.bitwiseAND(CLASSES - 1)], 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+        eight = classes[F.shiftright(h, 3).bitwiseAND(CLASSES // 8 - 1)]
+        rare = F.call_function("shiftright", eight, F.shiftleft(h.bitwiseAND(7), 3).cast("int")).bitwiseAND(63)
+        # never null, which lets the numbers be sorted as they are and not as objects
+        return F.coalesce(F.shiftleft(rare, 57).bitwiseOR(F.shiftrightunsigned(h, 7)), F.lit(0).cast("long"))
 
     return F.sort_array(F.transform(hashes, number))
 
@@ -125,15 +132,18 @@ def _parity(mask: int) -> Column:
 
 
 def _parities() -> list[Column]:
-    """Of all words, of every second, and for long lines of two quarters: together the parities of four quarters."""
-    long, zero = F.col("n") >= LONG, F.lit(0).cast("long")
-    more = [F.when(long, _parity(mask)).otherwise(zero).alias(c) for mask, c in ((128, "p2"), (192, "p3"))]
-    return [_parity(0).alias("p0"), _parity(64).alias("p1"), *more]
+    """Of all words, of every second in longer lines, and for long ones of two quarters: together the parities of four quarters."""
+    more = ((64, MIDDLE, "p1"), (128, LONG, "p2"), (192, LONG, "p3"))
+    return [_parity(0).alias("p0"), *[F.when(F.col("n") >= least, _parity(mask)).otherwise(F.lit(0).cast("long")).alias(c) for mask, least, c in more]]
 
 
 PARITIES = ("p0", "p1", "p2", "p3")
 
 
+def _all(x: str) -> tuple[Column, ...]:
+    return (F.col(f"{x}.p0"),)
+
+
 def _halves(x: str) -> tuple[Column, Column]:
     return F.col(f"{x}.p1"), F.col(f"{x}.p0").bitwiseXOR(F.col(f"{x}.p1"))
 
@@ -156,7 +166,8 @@ def _passes(a: str, b: str, t: float) -> Column:
     return (
         (F.least(an, bn) >= F.lit(t) * F.greatest(an, bn) - 1e-9)
         & (1 + F.least(an - F.col(f"{a}.pos"), bn - F.col(f"{b}.pos")) >= need)
-        & (_differ(_halves(a), _halves(b)) <= most)
+        & (_differ(_all(a), _all(b)) <= most)
+        & ((F.least(an, bn) < MIDDLE) | (_differ(_halves(a), _halves(b)) <= most))
         & ((F.least(an, bn) < LONG) | (_differ(_quarters(a), _quarters(b)) <= most))
     )
 
@@ -206,7 +217,7 @@ def _word_sets(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame,
     split = known.select("doc", "sub", "numbers", F.split(_plain("text"), "\n", -1).alias("lines"))
     new = split.select("doc", "sub", F.explode(_but("numbers", "lines")).alias("e")).select("doc", "sub", "e.line", "e.body").filter(_has_word(F.col("body")))
     hashes = F.array_distinct(F.transform(F.array_remove(F.split("body", " "), ""), lambda w: F.xxhash64(w)))
-    return copies, scratch.keep(new.select(*PLACE, hashes.alias("hashes")), "sets"), n_lines
+    return copies, scratch.keep(new.select(*PLACE, hashes.alias("hashes")), "sets", **NUMBERS, compression="none"), n_lines
 
 
 def _prefixes(sets: DataFrame, t: float) -> DataFrame:
@@ -224,7 +235,8 @@ def _index(lines: DataFrame) -> DataFrame:
 
 def _settled(index: DataFrame, rows: DataFrame, t: float, scratch: Scratch, n_lines: int) -> tuple[DataFrame, int, DataFrame]:
     """Lines that match the earliest line of a long posting list, their number, and the words of the longest lists with the parts to cut them to."""
-    sized = index.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / t))).cast("int"))
+    # a list of LIST lines is in a bucket of no fewer words
+    sized = index.filter(F.col("token") >= int(2 * math.log2(LIST)) << 57).withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / t))).cast("int"))
     long = scratch.keep(sized.groupBy("token", "size").count().filter(F.col("count") >= LIST), "long")
     few = long.count() * 32 <= BROADCAST_BYTES
     hot = scratch.keep(sized.join(F.broadcast(long.select("token", "size")) if few else long.select("token", "size"), ["token", "size"]), "hot")
@@ -237,7 +249,7 @@ def _settled(index: DataFrame, rows: DataFrame, t: float, scratch: Scratch, n_li
         close = (F.col("a.token") == F.col("b.token")) & (F.abs(F.col("a.size") - F.col("b.size")) <= 1)
         met = left.alias("b").join(leaders.alias("a"), close & _earlier("a", "b") & _passes("a", "b", t))
         nearest = met.groupBy(*[F.col(f"b.{c}").alias(f"b_{c}") for c in PLACE]).agg(
-            F.min(F.struct(_differ(_halves("a"), _halves("b")).alias("far"), *[F.col(f"a.{c}").alias(c) for c in ("doc", "line", "sub")])).alias("a")
+            F.min(F.struct(_differ(_all("a"), _all("b")).alias("far"), *[F.col(f"a.{c}").alias(c) for c in ("doc", "line", "sub")])).alias("a")
         )
         pairs = nearest.select(*[F.col(f"a.{c}").alias(f"a_{c}") for c in PLACE], *[f"b_{c}" for c in PLACE])
         found = scratch.keep(_verified(pairs, rows, t, scratch, n_lines), "settled", n_lines)
@@ -279,7 +291,7 @@ def matches(docs: DataFrame, similarity: float = SIMILARITY, keyed: bool = True)
             rows = scratch.keep(rows.dropDuplicates(["doc", "sub"]), "documents")
         copies, sets, n_lines = _word_sets(rows, scratch)
         # prefixes are stored as arrays: a row a word would repeat the rest ten times, and reading them so costs little
-        index = _index(scratch.keep(_prefixes(sets, t), "prefixes"))
+        index = _index(scratch.keep(_prefixes(sets, t), "prefixes", **NUMBERS))
         scratch.drop("sets")
         settled, n_settled, heavy = _settled(index, rows, t, scratch, n_lines)
         # Both sides of the join read one exchange, if settled lines can be left out behind it. That takes a broadcast, and an

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -127,6 +128,29 @@ def test_lines_are_indexed_by_words_that_another_line_may_have(spark):
     assert sorted(got) == [(d, pos) for d in range(1, 6) for pos in (9, 10)]
 
 
+def test_lines_are_ordered_by_their_rarer_words(spark):
+    """Two words of 300 and 3 lines whose hashes agree in 17 bits are told apart, and numbers are sorted without nulls among them."""
+    common, rare = 5, 5 + (1 << 17)
+    rows = [(d, b"", 0, [common, *([rare] if d < 3 else []), -1 - (d << 3)]) for d in range(300)]
+    sets = spark.createDataFrame(rows, "doc long, sub binary, line int, hashes array<long>")
+    assert not lines._prefixes(sets, 0.1).schema["prefix"].dataType.containsNull
+    got = {r.doc: r.prefix for r in lines._prefixes(sets, 0.1).collect()}
+    assert all(list(p) == sorted(p) for p in got.values())
+    assert [x >> 57 for x in got[0]] == [0, 3, 16] and [x >> 57 for x in got[9]] == [0, 16]  # 2 log2 of 1, 3 and 300 lines
+    long = spark.range(64).select(F.floor(2 * F.log2(F.count("*"))).alias("c")).first().c
+    assert long >= int(2 * math.log2(lines.LIST))  # so lists of LIST lines are not passed over
+
+
+@pytest.mark.parametrize("n", [30, 70, 200])
+def test_lines_of_all_parities(spark, n):
+    """Near copies at the threshold, and just below it, of lines with one, two and four parities."""
+    base = [f"w{k}" for k in range(n)]
+    most = n // 9  # so many words may be others
+    rows = [(1, " ".join(base)), (2, " ".join(base[most:] + [f"x{k}" for k in range(most)])), (3, " ".join(base[: n - most - 1] + [f"y{k}" for k in range(most + 1)])), (4, " ".join(base[: -(-4 * n // 5)]))]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.lines_removed(rows) and got[2] == "" and got[3] and got[4] == ""
+
+
 def test_lines_of_a_large_group(spark):
     rng = random.Random(12)
     vocabulary = [f"w{k}" for k in range(500)]
